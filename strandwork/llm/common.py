@@ -8,6 +8,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -108,3 +109,32 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
             )
         before = after
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+
+
+class WordIds(dict):
+    """A 64-bit id for each word, the same everywhere; forgets what it has seen when it holds too many."""
+
+    def __init__(self, most: int = 500_000) -> None:
+        super().__init__()
+        self.most = most
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= self.most:
+            self.clear()
+        self[word] = found = xxhash.xxh3_64_intdigest(word)
+        return found
+
+    def of(self, words: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+
+
+def window_hashes(ids: np.ndarray, size: int) -> np.ndarray:
+    """A 64-bit hash of each run of ``size`` ids."""
+    n = len(ids) - size + 1
+    if n <= 0:
+        return np.empty(0, np.uint64)
+    out = np.zeros(n, np.uint64)
+    for t in range(size):
+        out *= np.uint64(0x9E3779B97F4A7C15)
+        out += ids[t : t + n]
+    return mix(out)
