@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, packing, quality, secrets, simhash
+from . import langid, packing, pii, quality, secrets, simhash
 from . import spans as S
 from .common import table
 
@@ -59,3 +59,14 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         _digest(F.col("base_spans")).alias("base_sha256"),
         S.listed(F.col("secret_spans")).alias("spans"),
     )
+
+
+@query
+def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select(
+        "doc_id",
+        *(_count("base_spans", k).alias(f"n_{k}") for k in pii.KINDS[:4]),
+        _digest(F.col("base_spans")).alias("base_sha256"),
+        S.listed(F.col("pii_spans")).alias("spans"),
+    )
