@@ -9,7 +9,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -138,3 +138,21 @@ def window_hashes(ids: np.ndarray, size: int) -> np.ndarray:
         out *= np.uint64(0x9E3779B97F4A7C15)
         out += ids[t : t + n]
     return mix(out)
+
+
+def positions(df: DataFrame, group: list[str], order: list[str], label: str) -> DataFrame:
+    """Adds ``position``, from 0, of each row within its group by ``order``; rows that tie in it come in any order.
+
+    Rows are dealt by ranges of group and order together, so a large group spans many tasks, and written. A row's place
+    is its place in its task plus what earlier tasks hold of its group; only those counts are summed up by group.
+    """
+    keys = [*group, *order]
+    rows = df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_at", F.monotonically_increasing_id())
+    rows = materialize(rows, label).withColumn("_part", F.shiftright("_at", 33))
+    parts = rows.groupBy(*group, "_part").agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))
+    earlier = Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    names = {c: f"_by_{c}" for c in [*group, "_part"]}
+    parts = parts.withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0))).drop("_n").withColumnsRenamed(names)
+    same = [F.col(a).eqNullSafe(F.col(b)) for a, b in names.items()]
+    placed = rows.join(parts, same).withColumn("position", F.col("_before") + F.col("_at") - F.col("_first"))
+    return placed.select(*df.columns, "position")

@@ -185,3 +185,14 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 3) -> DataFra
         F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
         F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"),
     )
+
+
+def keep_one(docs: DataFrame, words: int = 3, radius: int = 3) -> DataFrame:
+    """The document with the smallest doc_id of each group of near-duplicates, in docs' columns.
+
+    Rows that share a doc_id are copies of one document, of which one row stays. Rows without doc_id all stay.
+    """
+    found = near_duplicates(docs.select("doc_id", "text"), words, radius)
+    first = found.where("doc_id = component_id").select("doc_id").distinct()
+    kept = docs.where("doc_id is not null").join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return kept.unionByName(docs.where("doc_id is null")).select(*(f"`{c}`" for c in docs.columns))
