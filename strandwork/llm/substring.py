@@ -2,16 +2,18 @@
 
 The symbols. A word has a 64-bit name made from its bytes. Rounds then shorten each text: round one first names runs of
 2 to 4 equal words; each round names pairs of neighbours, the left one of a class of names and the right one of the
-other, if they have 2, 4, 8 words at most. Names are hashes of what they stand for, so equal word sequences get equal
+other, if they have 2 and then 4 words at most. Names are hashes of what they stand for, so equal word sequences get equal
 names in every document, task and run: names are global without an exchange. Whether two neighbours join depends on
 themselves alone, so an occurrence of a passage in two texts has the same symbols in both but for a rim: whether a place
-is a border after a round depends on at most 4 (runs) or 2**r - 1 (pairs of round r) words to either side, 15 in all. In
-a window of 50 words the middle 20 hold a whole symbol (none has over 8 words), and those that lie there whole are
-decided by the window alone.
+is a border after a round depends on at most 4 (runs) or 2**r - 1 (pairs of round r) words to either side, 8 in all. In
+a window of 50 words the middle 34 hold a whole symbol (none has over 4 words), and those that lie there whole are
+decided by the window alone. A third round would give rarer names, but a middle of 20 words and so half as many groups
+again.
 
 The groups. Each window is assigned to the longest symbol that lies whole in its middle (ties: greatest name, then the
-first), its anchor. Neighbouring windows with one anchor form a group; a document has about one for ten words. The same
-window has the same anchor name everywhere. Groups are compared by (anchor name, hash of the words they cover):
+first), its anchor. Neighbouring windows with one anchor form a group; a document has about one for sixteen words. The
+same window has the same anchor name everywhere. Anchors whose name only one document has go first. Other groups are
+compared by (anchor name, hash of the words they cover):
 
 - a document in a group that a smaller doc_id also has: all words of the group go;
 - the smallest document of a group: only if its anchor occurs in another group, of another document, its windows are
@@ -28,17 +30,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard as zstd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import WordIds, by_size, list_column, materialize, mix
 
 WINDOW = 50
-ROUNDS = 3
+ROUNDS = 2
 MAX_RUN = 4
 RIM = MAX_RUN + sum(2**r - 1 for r in range(1, ROUNDS + 1))
 LONGEST = max(MAX_RUN, 2**ROUNDS)
 MIDDLE = WINDOW - 2 * RIM
+PLACE = 64
+assert MIDDLE < PLACE  # no group has more windows
 assert MIDDLE >= 2 * LONGEST - 1  # a border is among the first LONGEST places, and a whole symbol after it
 
 BASE = np.uint64(0xD1342543DE82EF95)
@@ -129,7 +134,8 @@ def _signed(x: np.ndarray) -> np.ndarray:
 
 
 def document_groups(docs: DataFrame) -> DataFrame:
-    """(doc_id, text) -> doc_id and arrays name, covers, first, n of its groups; only texts of 50 words or more."""
+    """(doc_id, text) -> doc_id and arrays name, covers and place (PLACE * first window + number of windows) of its groups;
+    only texts of 50 words or more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordIds()
@@ -147,24 +153,23 @@ def document_groups(docs: DataFrame) -> DataFrame:
                     docs_of,
                     list_column(per, _signed(name), pa.int64()),
                     list_column(per, _signed(covers), pa.int64()),
-                    list_column(per, first.astype(np.int32), pa.int32()),
-                    list_column(per, n.astype(np.int32), pa.int32()),
+                    list_column(per, first * PLACE + n, pa.int64()),
                 ]
-                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "name", "covers", "first", "n"])
+                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "name", "covers", "place"])
 
-    schema = "doc_id long, name array<long>, covers array<long>, first array<int>, n array<int>"
+    schema = "doc_id long, name array<long>, covers array<long>, place array<long>"
     return docs.select(F.col("doc_id").cast("long"), "text").where("doc_id is not null").mapInArrow(run, schema)
 
 
 def _group_windows(joined: DataFrame) -> DataFrame:
-    """(doc_id, text, g: array of (name, first, n)) -> doc_id, name and arrays first and hash of a group's windows."""
+    """(doc_id, packed text, g: array of (name, first, n)) -> doc_id, name and arrays first and hash of a group's windows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordIds()
         for batch in batches:
             out_doc, out_name, out_first, out_hash, per = [], [], [], [], []
-            for doc, text, wanted in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
-                words = _words(text.as_py())
+            for doc, packed, wanted in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
+                words = _unpacked(packed.as_py())
                 sums = Sums(known.of(words))
                 for g in wanted:
                     if g["first"] + g["n"] + WINDOW - 1 > len(words):
@@ -187,19 +192,38 @@ def _group_windows(joined: DataFrame) -> DataFrame:
     return joined.mapInArrow(run, "doc_id long, name long, first array<int>, hash array<long>")
 
 
+def _packed_texts(docs: DataFrame) -> DataFrame:
+    """(doc_id, text) -> (doc_id, packed): texts compressed for a shuffle, which takes them as they are."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = zstd.ZstdCompressor(level=6).compress
+        for batch in batches:
+            packed = [pack(x.as_buffer()) if x.is_valid else None for x in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], ["doc_id", "packed"])
+
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, packed binary")
+
+
+def _unpacked(packed: bytes | None) -> list[bytes]:
+    return zstd.ZstdDecompressor().decompress(packed).split() if packed is not None else []
+
+
 def repeated_stretches(docs: DataFrame) -> DataFrame:
     """(doc_id, text) -> (doc_id, first, n): runs of n windows, from window ``first``, that also start in a smaller doc_id."""
-    packed = materialize(document_groups(docs), "groups")
-    zipped = F.explode(F.arrays_zip("name", "covers", "first", "n")).alias("g")
-    flat = packed.select("doc_id", zipped).select("doc_id", "g.*")
+    groups = materialize(document_groups(docs), "groups")
+    zipped = F.explode(F.arrays_zip("name", "covers", "place")).alias("g")
+    flat = groups.select("doc_id", zipped).select("doc_id", "g.*")
+    several = flat.groupBy("name").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("name")
+    flat = materialize(flat.join(materialize(several, "names"), "name", "left_semi"), "candidates")
     least = materialize(flat.groupBy("name", "covers").agg(F.min("doc_id").alias("least")), "least")
     # Anchors in more than one group, of more than one document; windows of each group's smallest document only.
     shared = least.groupBy("name").agg(F.min("least").alias("a"), F.max("least").alias("b")).where("a < b").select("name", F.lit(True).alias("shared"))
     met = flat.join(least.join(shared, "name", "left"), ["name", "covers"]).where("least < doc_id or shared")
-    met = materialize(met.select("doc_id", "name", "first", "n", F.expr("least < doc_id").alias("whole")), "met")
+    first, n = F.floor(F.col("place") / PLACE).cast("int"), F.pmod("place", F.lit(PLACE)).cast("int")
+    met = met.select("doc_id", "name", first.alias("first"), n.alias("n"), F.expr("least < doc_id").alias("whole"))
+    met = materialize(met, "met")
     by_doc = met.where("not whole").groupBy("doc_id").agg(F.collect_list(F.struct("name", "first", "n")).alias("g"))
-    texts = docs.select(F.col("doc_id").cast("long"), "text")
-    windows = materialize(_group_windows(texts.join(by_doc, "doc_id")), "windows")
+    windows = materialize(_group_windows(_packed_texts(docs).join(by_doc, "doc_id")), "windows")
     rows = windows.select("doc_id", "name", F.explode(F.arrays_zip("first", "hash")).alias("w")).select("doc_id", "name", "w.*")
     earliest = rows.groupBy("name", "hash").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("last")).where("least < last")
     single = rows.join(earliest.select("name", "hash", "least"), ["name", "hash"]).where("least < doc_id")
@@ -215,14 +239,14 @@ def remove(docs: DataFrame) -> DataFrame:
     row without doc_id lose nothing. Rows that share a doc_id are taken for copies of one document. No rows give no rows.
     """
     stretches = repeated_stretches(docs).groupBy("doc_id").agg(F.collect_list(F.struct("first", "n")).alias("cut"))
-    joined = docs.select(F.col("doc_id").cast("long"), "text").join(stretches, "doc_id", "left")
+    joined = _packed_texts(docs).join(stretches, "doc_id", "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[list] = [[], [], [], []]
             cuts = batch.column(2)
-            for i, text in enumerate(batch.column(1)):
-                words = _words(text.as_py())
+            for i, packed in enumerate(batch.column(1)):
+                words = _unpacked(packed.as_py())
                 kept = words
                 if (cut := cuts[i]).is_valid:
                     first = cut.values.field(0).to_numpy().astype(np.int64)
