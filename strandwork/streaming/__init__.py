@@ -1,0 +1 @@
+"""No stream operators: the analyses are batch jobs over finished samples."""
