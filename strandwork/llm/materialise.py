@@ -15,6 +15,7 @@ from dataclasses import asdict, dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard as zstd
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,6 +25,8 @@ from .packing import END_ID
 from .tokens import default_path, encoder
 
 ROUNDS = 6
+BLOCK = 256  # documents that are encoded before what is full goes out
+BUNDLE = 512  # sequences that are compressed together for the shuffle, at most
 ROW_BITS = 33  # of monotonically_increasing_id, below the task's number
 
 
@@ -31,7 +34,7 @@ ROW_BITS = 33  # of monotonically_increasing_id, below the task's number
 class Layout:
     n: int
     tokens: int = 1024
-    per_shard: int = 16384
+    per_shard: int = 4096
     key: str = "0"
 
     @property
@@ -99,14 +102,16 @@ def sequences(docs: DataFrame, tokens: int = 1024, tokenizer: str | None = None)
             return pa.RecordBatch.from_arrays([pa.array(data, pa.binary()), pa.array(n, pa.int32())], ["ids", "n_tokens"])
 
         for batch in batches:
-            parts = [held]
-            for text in batch.column(0):
-                parts += [encode(text.as_py() or "").astype("<u2"), end]
-            held = np.concatenate(parts)
-            full = len(held) // tokens
-            if full:
-                yield rows(held[: full * tokens], [tokens] * full)
-                held = held[full * tokens :]
+            texts = batch.column(0)
+            for a in range(0, len(texts), BLOCK):
+                parts = [held]
+                for text in texts[a : a + BLOCK]:
+                    parts += [encode(text.as_py() or "").astype("<u2"), end]
+                held = np.concatenate(parts)
+                full = len(held) // tokens
+                if full:
+                    yield rows(held[: full * tokens], [tokens] * full)
+                    held = held[full * tokens :].copy()
         if len(held):
             yield rows(np.append(held, np.full(tokens - len(held), END_ID, "<u2")), [len(held)])
 
@@ -125,15 +130,25 @@ def _shard_files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.txt").load(f"{path}/shards")
 
 
+def _whole_shards(spark: SparkSession, path: str, layout: Layout) -> np.ndarray:
+    """Numbers of the shards that are written in full."""
+    try:
+        rows = _shard_files(spark, path).select(_shard_of("path").alias("shard"), "length").groupBy("shard").agg(F.sum("length").alias("n")).collect()
+    except AnalysisException:  # no shard yet
+        return np.empty(0, np.int64)
+    return np.array([r["shard"] for r in rows if r["n"] == layout.length(r["shard"])], np.int64)
+
+
 def _shard_of(path: str) -> Column:
     return F.regexp_extract(path, "shard=([0-9]+)", 1).cast("long")
 
 
-def write(docs: DataFrame, path: str, tokens: int = 1024, per_shard: int = 16384, key: str = "0", tokenizer: str | None = None) -> Layout:
+def write(docs: DataFrame, path: str, tokens: int = 1024, per_shard: int = 4096, key: str = "0", tokenizer: str | None = None) -> Layout:
     """Writes the sequences of docs (text) at their slots under ``path``; does only what is missing there.
 
     Sequences are written first and numbered by file and place, then the manifest, then shards: the number's slot tells
-    the shard, one shuffle brings each range of shards to a task, which sorts by slot and writes. A second call with
+    the shard, one shuffle (of sequences compressed in bundles) brings each range of shards to a task, which sorts by slot
+    and writes. A reader's task holds one shard, ``per_shard`` times the stride. A second call with
     the same ``path`` keeps the sequences (and the layout of the manifest, whatever its arguments) and writes shards
     that aren't there in full. Repeated rows are each written. No rows give a layout of 0 sequences and no shards. Ids
     of 65,536 and more don't fit.
@@ -142,7 +157,7 @@ def write(docs: DataFrame, path: str, tokens: int = 1024, per_shard: int = 16384
     layout = _manifest(spark, path)
     if layout is None:
         numbered = sequences(docs, tokens, tokenizer).withColumn("at", F.monotonically_increasing_id())
-        numbered.write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/sequences")
+        numbered.write.mode("overwrite").options(**{"compression": "zstd", "parquet.compression.codec.zstd.level": "9"}).parquet(f"{path}/sequences")
     found = spark.read.schema("ids binary, n_tokens int, at long").parquet(f"{path}/sequences")
     task = F.shiftright("at", ROW_BITS)
     counts = sorted((r["task"], r["count"]) for r in found.groupBy(task.alias("task")).count().collect())  # a row for each task
@@ -153,28 +168,40 @@ def write(docs: DataFrame, path: str, tokens: int = 1024, per_shard: int = 16384
     if not layout.n:
         return layout
     tasks = np.array([t for t, _ in counts], np.int64)
-    known = spark.sparkContext.broadcast((tasks, first))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        order = Permutation(layout.n, layout.key)
-        tasks, first = known.value
-        for batch in batches:
-            at = batch.column(1).to_numpy()
-            number = first[np.searchsorted(tasks, at >> ROW_BITS)] + (at & ((1 << ROW_BITS) - 1))
-            yield pa.RecordBatch.from_arrays([pa.array(order.slots(number)), batch.column(0)], ["slot", "ids"])
+    known = spark.sparkContext.broadcast((tasks, first, _whole_shards(spark, path, layout)))  # numbers by task and by shard
 
-    rows = found.select("ids", "at").mapInArrow(run, "slot long, ids binary")
-    rows = rows.withColumn("shard", F.floor(F.col("slot") / layout.per_shard).cast("long"))
-    try:
-        there = _shard_files(spark, path).select(_shard_of("path").alias("shard"), "length").groupBy("shard").agg(F.sum("length").alias("length"))
-        last = F.lit(layout.shards - 1)
-        whole = F.when(F.col("shard") == last, F.lit(layout.length(layout.shards - 1))).otherwise(F.lit(layout.per_shard * layout.stride))
-        rows = rows.join(F.broadcast(there.where(F.col("length") == whole).select("shard")), "shard", "left_anti")
-    except AnalysisException:
-        pass  # no shard yet
     tasks_out = min(layout.shards, 100_000)
-    dealt = rows.repartitionById(tasks_out, F.floor(F.col("shard") * tasks_out / layout.shards).cast("int"))
-    ordered = dealt.sortWithinPartitions("shard", "slot").select("shard", F.col("ids").cast("string").alias("value"))
+
+    def bundle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        order, pack = Permutation(layout.n, layout.key), zstd.ZstdCompressor(level=3).compress
+        tasks, first, there = known.value
+        for batch in batches:
+            at, ids = batch.column(1).to_numpy(), batch.column(0)
+            slot = order.slots(first[np.searchsorted(tasks, at >> ROW_BITS)] + (at & ((1 << ROW_BITS) - 1)))
+            shard = slot // layout.per_shard
+            rows = np.flatnonzero(~np.isin(shard, there))
+            rows = rows[np.argsort(shard[rows], kind="stable")]
+            target = shard[rows] * tasks_out // layout.shards
+            cuts = np.flatnonzero(np.diff(target)) + 1
+            parts = [x[i : i + BUNDLE] for x in np.split(rows, cuts) for i in range(0, len(x), BUNDLE)]
+            if parts and len(parts[0]):
+                data = [pack(slot[x].tobytes() + b"".join(ids[i].as_py() for i in x.tolist())) for x in parts]
+                to = [int(shard[x[0]] * tasks_out // layout.shards) for x in parts]
+                yield pa.RecordBatch.from_arrays([pa.array(to, pa.int32()), pa.array(data, pa.binary())], ["target", "data"])
+
+    def unbundle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = zstd.ZstdDecompressor().decompress
+        for batch in batches:
+            for data in batch.column(1):
+                raw = unpack(data.as_py())
+                n = len(raw) // (8 + 2 * layout.tokens)
+                slot, size = np.frombuffer(raw, np.int64, n), 2 * layout.tokens
+                ids = [raw[8 * n + i * size : 8 * n + (i + 1) * size] for i in range(n)]
+                yield pa.RecordBatch.from_arrays([pa.array(slot // layout.per_shard), pa.array(slot), pa.array(ids, pa.binary())], ["shard", "slot", "ids"])
+
+    bundles = found.select("ids", "at").mapInArrow(bundle, "target int, data binary")
+    rows = bundles.repartitionById(tasks_out, "target").mapInArrow(unbundle, "shard long, slot long, ids binary")
+    ordered = rows.sortWithinPartitions("shard", "slot").select("shard", F.col("ids").cast("string").alias("value"))
     ordered.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("shard").text(f"{path}/shards")
     return layout
 
