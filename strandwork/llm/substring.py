@@ -95,7 +95,7 @@ def groups(ids: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     """Groups of windows of texts with ``sizes`` words, laid end to end in ``ids``:
     (text number, anchor name, hash of all words covered, first window, number of windows); windows count from the
     text's start."""
-    starts = np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64)
+    starts = (np.cumsum(sizes) - sizes).astype(np.int64)
     first = np.zeros(len(ids), bool)
     first[starts[sizes > 0]] = True
     names, lengths = recompress(ids, first)
