@@ -48,14 +48,18 @@ def _p_values(token: Column) -> Column:
             F.length(x["abc"]).cast("double").alias("k"),
         )
 
+    total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, y: s + y)
+
+    def centred(x: Column) -> Column:
+        mean = total(F.transform(x["v"], lambda y: y.cast("double"))) / F.size(x["v"])
+        return F.struct(x["v"].alias("v"), x["k"].alias("k"), mean.alias("mean"))
+
     def sums(x: Column) -> Column:
-        v, k = x["v"], x["k"]
+        v, k, mean = x["v"], x["k"], x["mean"]
         n = F.size(v)
-        total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, y: s + y)
         squares = total(
             F.transform(F.array_distinct(v), lambda c: F.pow(F.size(F.filter(v, lambda y: y == c)).cast("double"), F.lit(2.0)))
         )
-        mean = total(F.transform(v, lambda y: y.cast("double"))) / n
         after = F.slice(v, 2, n)
         changed = F.zip_with(v, after, lambda a, b: F.when(b.isNotNull() & ((a * 2 >= k) != (b * 2 >= k)), 1.0).otherwise(0.0))
         cross = F.zip_with(v, after, lambda a, b: F.when(b.isNotNull(), (a - mean) * (b - mean)).otherwise(0.0))
@@ -84,7 +88,7 @@ def _p_values(token: Column) -> Column:
         return F.struct(x["n"].alias("n"), F.least(F.lit(1.0), 3 * least).alias("p"))
 
     usable = F.filter(one, lambda x: x["abc"].isNotNull())
-    return F.element_at(F.concat(F.transform(F.transform(F.transform(usable, indexed), sums), tested), F.array(F.lit(None))), 1)
+    return F.element_at(F.concat(F.transform(F.transform(F.transform(F.transform(usable, indexed), centred), sums), tested), F.array(F.lit(None))), 1)
 
 
 def _random(found: Column, alpha: float) -> Column:
@@ -108,13 +112,19 @@ def _random(found: Column, alpha: float) -> Column:
         )
         return F.struct(q.alias("all"), F.array_sort(F.transform(q, lambda s: s["q"])).alias("q"))
 
-    def kept(b: Column) -> Column:
+    def cut(b: Column) -> Column:
         m = F.size(b["q"])
         under = F.transform(b["q"], lambda q, i: F.when(q <= (i + 1) * alpha / m, q).otherwise(F.lit(-1.0)))
-        cut = F.coalesce(F.array_max(under), F.lit(-1.0))
-        return F.filter(b["all"], lambda s: s["q"] > cut)
+        return F.struct(b["all"].alias("all"), F.coalesce(F.array_max(under), F.lit(-1.0)).alias("cut"))
+
+    def kept(b: Column) -> Column:
+        return F.filter(b["all"], lambda s: s["q"] > b["cut"])
+
+    return F.flatten(F.transform(F.transform(F.transform(boxed, weighed), cut), kept))
+
 
-    return F.flatten(F.transform(F.transform(boxed, weighed), kept))
+#: Names of columns that a scan makes.
+OWN = {"base_spans", "secret_spans", "_m", "_s", "_t"}
 
 
 def scan(docs: DataFrame, alpha: float = 0.01) -> DataFrame:
@@ -124,7 +134,7 @@ def scan(docs: DataFrame, alpha: float = 0.01) -> DataFrame:
     span covers. Offsets are code points, ends exclusive. A null or empty text has none. Columns of these names are
     replaced; repeated rows are each scanned; no rows give no rows. All in one pass, without a shuffle.
     """
-    docs = docs.select(*(f"`{c}`" for c in docs.columns if c.lower() not in {"base_spans", "secret_spans", "_m", "_s", "_t"}))
+    docs = docs.select(*(f"`{c}`" for c in docs.columns if c.lower() not in OWN))
     text = F.coalesce(F.col("text"), F.lit(""))
     stage = docs.withColumn("_t", text)
     stage = stage.withColumn(
@@ -151,9 +161,9 @@ def scan(docs: DataFrame, alpha: float = 0.01) -> DataFrame:
 
 def redact(docs: DataFrame, mask: str = "[SECRET]", alpha: float = 0.01) -> DataFrame:
     """docs with each secret span of text replaced by ``mask`` (overlapping ones by one); n_chars follows if it is there."""
-    found = scan(docs, alpha)
-    out = found.withColumn("text", S.masked(F.col("text"), F.col("secret_spans"), mask))
+    aside = {c: f"_kept{i}_" for i, c in enumerate(docs.columns) if c.lower() in OWN}
+    out = scan(docs.withColumnsRenamed(aside), alpha).withColumn("text", S.masked(F.col("text"), F.col("secret_spans"), mask))
     if "n_chars" in docs.columns:
         n_chars = F.when(F.size("secret_spans") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
         out = out.withColumn("n_chars", n_chars)
-    return out.select(*(f"`{c}`" for c in docs.columns))
+    return out.select(*(F.col(f"`{aside.get(c, c)}`").alias(c) for c in docs.columns))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -16,31 +17,61 @@ def matches(text: Column, pattern: str) -> Column:
     return F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
 
 
+def staged(value: Column, *steps: Callable[[Column], Column]) -> Column:
+    """steps applied one after the other; each sees its argument as a value that is computed once, also inside lambdas
+    (an expression that stands in a lambda is computed again for every element)."""
+    box = F.array(value)
+    for step in steps:
+        box = F.transform(box, step)
+    return F.element_at(box, 1)
+
+
 def located(text: Column, pattern: str, found: Column) -> Column:
     """Spans of ``found`` (what ``matches`` gave): start, end (exclusive), the match, up to 40 characters before it that
     belong to no other match, and the character after it. The pattern must not match the empty string.
 
-    The text is split by the same pattern: the pieces between matches have the lengths that are missing.
+    The text is split by the same pattern: the pieces between matches have the lengths that are missing. Ends are sums
+    over the matches before, taken in about sqrt(n) blocks of sqrt(n) matches, as arrays can only grow by copying.
     """
-    pieces = F.split(text, pattern, -1)
-    rows = F.transform(
-        F.sequence(F.lit(1), F.size(found)),
-        lambda i: F.struct(
-            F.length(F.element_at(pieces, i)).alias("gap"),
-            F.element_at(found, i).alias("m"),
-            F.right(F.element_at(pieces, i), F.lit(CONTEXT)).alias("before"),
-            F.left(F.element_at(pieces, i + 1), F.lit(1)).alias("after"),
-        ),
-    )
-
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + x["gap"]
-        end = start + F.length(x["m"])
-        span = F.struct(start.alias("start"), end.alias("end"), x["m"].alias("m"), x["before"].alias("before"), x["after"].alias("after"))
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(span)).alias("out"))
-
-    zero = F.struct(F.lit(0).alias("at"), F.expr(NONE).alias("out"))
-    return F.when(F.size(found) > 0, F.aggregate(rows, zero, step, lambda acc: acc["out"])).otherwise(F.expr(NONE))
+
+    def sums(values: Column, start: Column) -> Column:
+        zero = F.struct(start.alias("at"), F.expr("cast(array() as array<int>)").alias("out"))
+        add = lambda acc, x: F.struct((acc["at"] + x).alias("at"), F.concat(acc["out"], F.array(acc["at"] + x)).alias("out"))
+        return F.aggregate(values, zero, add, lambda acc: acc["out"])
+
+    def steps(b: Column) -> Column:
+        step = F.transform(b["f"], lambda m, i: F.length(F.get(b["p"], i)) + F.length(m))
+        return F.struct(b["p"].alias("p"), b["f"].alias("f"), step.alias("step"), F.ceil(F.sqrt(F.size(b["f"]))).cast("int").alias("c"))
+
+    def block(b: Column, k: Column) -> Column:
+        return F.slice(b["step"], k * b["c"] + 1, b["c"])
+
+    def blocks(b: Column) -> Column:
+        totals = F.transform(F.sequence(F.lit(0), b["c"] - 1), lambda k: F.aggregate(block(b, k), F.lit(0), lambda x, y: x + y))
+        return F.struct(*(b[c].alias(c) for c in ("p", "f", "step", "c")), totals.alias("totals"))
+
+    def bases(b: Column) -> Column:
+        before = F.concat(F.array(F.lit(0)), F.slice(sums(b["totals"], F.lit(0)), F.lit(1), b["c"] - 1))
+        return F.struct(*(b[c].alias(c) for c in ("p", "f", "step", "c")), before.alias("bases"))
+
+    def ends(b: Column) -> Column:
+        each = F.flatten(F.transform(b["bases"], lambda base, k: sums(block(b, k), base)))
+        return F.struct(b["p"].alias("p"), b["f"].alias("f"), each.alias("ends"))
+
+    def spans(b: Column) -> Column:
+        return F.transform(
+            b["ends"],
+            lambda e, i: F.struct(
+                (e - F.length(F.get(b["f"], i))).alias("start"),
+                e.alias("end"),
+                F.get(b["f"], i).alias("m"),
+                F.right(F.get(b["p"], i), F.lit(CONTEXT)).alias("before"),
+                F.left(F.get(b["p"], i + 1), F.lit(1)).alias("after"),
+            ),
+        )
+
+    start = F.struct(F.split(text, pattern, -1).alias("p"), found.alias("f"))
+    return F.when(F.size(found) > 0, staged(start, steps, blocks, bases, ends, spans)).otherwise(F.expr(NONE))
 
 
 def labelled(spans: Column, number: int, kind: str) -> Column:
