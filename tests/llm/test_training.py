@@ -7,7 +7,7 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
-from strandwork.llm import chat, materialise, packing, queries
+from strandwork.llm import chat, materialise, packing, queries, simhash
 from strandwork.llm.tokens import default_path, encoder
 
 
@@ -211,6 +211,8 @@ def test_pipeline(spark, data, documents, tokenizer):
     pipeline = pytest.importorskip("corpus_pipeline")
     assert [n for n, _ in pipeline.STAGES] == ["language_id", "near_dedup", "decontamination", "secret_scan", "packing"]
     docs, seen = spark.read.parquet(f"{data}/documents.parquet"), {}
+    planted = (10**6, " ".join(documents["text"][0].split()[::-1]) + " token=abcdef123456", documents["lang"][0], "x", 1)
+    docs = docs.unionByName(spark.createDataFrame([planted], docs.schema))
     for name, stage in pipeline.STAGES:
         out = stage(spark, docs, data)
         if name != "packing":
@@ -219,9 +221,10 @@ def test_pipeline(spark, data, documents, tokenizer):
             docs = spark.read.parquet(path)
             seen[name] = {r["doc_id"]: r["text"] for r in docs.collect()}
             assert len(seen[name]) == docs.count()
-    from strandwork.llm import simhash
-
     assert len({simhash.fingerprint(t) for t in seen["near_dedup"].values()}) == len(seen["near_dedup"])
     assert set(seen["decontamination"]) < set(seen["near_dedup"]) and len(seen["language_id"]) > 0.9 * len(documents)
-    assert set(seen["secret_scan"]) == set(seen["decontamination"]) and any("[SECRET]" in t for t in seen["secret_scan"].values())
-    packed_well(pipeline.run(spark, data).collect(), seen["secret_scan"], tokenizer)
+    before, after = seen["decontamination"], seen["secret_scan"]
+    assert set(after) == set(before) and all(("[SECRET]" in after[d]) == (after[d] != before[d]) for d in after)
+    assert after[10**6].endswith(" [SECRET]")
+    packed_well(out.collect(), after, tokenizer)
+    assert {r["doc_id"] for r in pipeline.run(spark, data).select("doc_id").distinct().collect()} == set(after) - {10**6}
