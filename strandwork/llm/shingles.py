@@ -1,0 +1,238 @@
+"""Near copies by exact Jaccard similarity of word shingles, found by prefix filtering; nothing above the threshold is missed."""
+
+from __future__ import annotations
+
+import math
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import WordIds, connected_components, list_column, materialize, window_hashes
+
+BLOCK = 1024
+EPS = 1e-9
+NAMES = ["key", "a", "n_a", "at_a", "b", "n_b", "at_b"]
+BUCKET = "key long, a long, n_a int, at_a int, b long, n_b int, at_b int"
+
+
+def shingles(text: str | None, words: int, ids: WordIds) -> np.ndarray:
+    """Sorted distinct 64-bit hashes of a text's shingles; A-Z are lower-cased, a text of fewer words is one shingle."""
+    found = ids.of((text or "").encode().lower().split())
+    return np.unique(window_hashes(found, min(words, len(found)))) if len(found) else np.empty(0, np.uint64)
+
+
+def set_id(hashes: np.ndarray) -> int:
+    return int(np.uint64(xxhash.xxh3_64_intdigest(hashes.astype("<u8").tobytes())).view(np.int64))
+
+
+def _common(docs: DataFrame, words: int, rows: int = 8000, share: float = 0.02, most: int = 500_000) -> dict[int, int]:
+    """Shingles seen often in a sample of rows, with their counts. They only say which shingles come last in the order."""
+    n = docs.count()
+    if not n:
+        return {}
+    spread = 1 << 30
+    cut = int(min(1.0, max(share, rows / n)) * spread)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids = WordIds()
+        for batch in batches:
+            for x in batch.column(0):
+                if len(found := shingles(x.as_py(), words, ids)):
+                    yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64))], ["h"])
+
+    some = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(spread)) < cut).select("text").mapInArrow(run, "h long")
+    top = some.groupBy("h").count().where("count >= 4").orderBy(F.desc("count"), "h").limit(most)
+    return {r["h"]: r["count"] for r in top.collect()}
+
+
+def _sets(docs: DataFrame, words: int, similarity: float, common: dict[int, int]) -> DataFrame:
+    """(doc_id, text) -> (doc_id, node, n, prefix): the set's id, its size, and its first shingles in the common order.
+
+    Two sets of similarity ``similarity`` share so many shingles that each has one of them among its first
+    n - ceil(similarity * n) + 1, whatever the order is. Rare shingles come first, so few sets share one.
+    """
+    h = np.sort(np.array(list(common), np.int64).view(np.uint64))
+    counts = np.array([common[int(x)] for x in h.view(np.int64)], np.int64)
+    shared = docs.sparkSession.sparkContext.broadcast((h, counts))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, (often, seen) = WordIds(), shared.value
+        for batch in batches:
+            node, size, prefix = [], [], []
+            for x in batch.column(1):
+                found = shingles(x.as_py(), words, ids)
+                n = len(found)
+                k = n - math.ceil(similarity * n - EPS) + 1 if n else 0
+                node.append(set_id(found))
+                size.append(n)
+                if n and len(often):
+                    at = np.minimum(np.searchsorted(often, found), len(often) - 1)
+                    rank = np.where(often[at] == found, seen[at], 0)
+                    found = found[np.argsort(rank, kind="stable")]
+                prefix.append(found[:k].view(np.int64))
+            lists = list_column([len(p) for p in prefix], np.concatenate(prefix) if prefix else np.empty(0, np.int64), pa.int64())
+            cols = [batch.column(0), pa.array(node, pa.int64()), pa.array(size, pa.int32()), lists]
+            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "node", "n", "prefix"])
+
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, node long, n int, prefix array<long>")
+
+
+def _sized(n_a: np.ndarray, n_b: np.ndarray, similarity: float) -> np.ndarray:
+    """Whether sets of these sizes can be similar enough."""
+    return np.minimum(n_a, n_b) >= similarity * np.maximum(n_a, n_b) - EPS
+
+
+def _by_bucket(of: Callable[[list[np.ndarray]], Iterator[pa.RecordBatch]]):
+    """Calls ``of`` with the columns of whole buckets; batches are sorted by their first column."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] | None = None
+        for batch in batches:
+            rows = [c.to_numpy() for c in batch.columns]
+            rows = rows if held is None else [np.concatenate(x) for x in zip(held, rows, strict=True)]
+            if not len(rows[0]):
+                continue
+            cut = int(np.searchsorted(rows[0], rows[0][-1]))
+            held = [x[cut:] for x in rows]
+            if cut:
+                yield from of([x[:cut] for x in rows])
+        if held is not None and len(held[0]):
+            yield from of(held)
+
+    return run
+
+
+def _paired(key: np.ndarray, n: np.ndarray, node: np.ndarray, at: np.ndarray, x: np.ndarray, y: np.ndarray) -> pa.RecordBatch:
+    """Pairs of rows, the smaller node first."""
+    x, y = np.where(node[x] < node[y], x, y), np.where(node[x] < node[y], y, x)
+    return pa.RecordBatch.from_arrays([*map(pa.array, (key[x], node[x], n[x], at[x], node[y], n[y], at[y]))], NAMES)
+
+
+def _some_pairs(similarity: float):
+    """Rows of buckets of several sets as they are (b null), and as pairs each set with the bucket's first and the next one."""
+
+    def of(rows: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        key, _, node, _ = rows
+        once = np.concatenate([[True], (key[1:] != key[:-1]) | (node[1:] != node[:-1])])
+        rows = [x[once] for x in rows]
+        key = rows[0]
+        new = np.concatenate([[True], key[1:] != key[:-1]])
+        alone = new & np.concatenate([new[1:], [True]])
+        key, n, node, at = (x[~alone] for x in rows)
+        if not len(key):
+            return
+        none = [pa.nulls(len(key), t) for t in (pa.int64(), pa.int32(), pa.int32())]
+        yield pa.RecordBatch.from_arrays([*map(pa.array, (key, node, n, at)), *none], NAMES)
+        new = np.concatenate([[True], key[1:] != key[:-1]])
+        first = np.maximum.accumulate(np.where(new, np.arange(len(key)), 0))
+        b = np.flatnonzero(~new)
+        far = b[first[b] != b - 1]
+        x, y = np.concatenate([b - 1, first[far]]), np.concatenate([b, far])
+        ok = _sized(n[x], n[y], similarity)
+        yield _paired(key, n, node, at, x[ok], y[ok])
+
+    return _by_bucket(of)
+
+
+def _other_pairs(similarity: float):
+    """All pairs of a bucket that earlier links have not joined."""
+
+    def of(rows: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        key, n, node, at, root = rows
+        starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        low, high = np.minimum.reduceat(root, starts), np.maximum.reduceat(root, starts)
+        ends = np.append(starts[1:], len(key))
+        for i, j in zip(starts[low != high].tolist(), ends[low != high].tolist(), strict=True):
+            for u in range(i, j, BLOCK):  # blocks against blocks: memory stays bounded
+                for v in range(u, j, BLOCK):
+                    s, t = slice(u, min(u + BLOCK, j)), slice(v, min(v + BLOCK, j))
+                    ok = (root[s, None] != root[None, t]) & _sized(n[s, None], n[None, t], similarity)
+                    x, y = np.nonzero(ok)
+                    once = x + u < y + v
+                    if once.any():
+                        yield _paired(key, n, node, at, x[once] + u, y[once] + v)
+
+    return _by_bucket(of)
+
+
+def _reach(pairs: DataFrame, similarity: float) -> DataFrame:
+    """Of the pairs met in buckets (a, b, n_a, n_b, at_a, at_b), all buckets included, those that can be similar enough.
+
+    What two sets share is what their prefixes share, and at most what follows the last of it in both; nor can it be more
+    than what their prefixes share and the rest of the one whose prefix ends first.
+    """
+    rest = lambda n: F.ceil(F.col(n) * similarity - EPS) - 1
+    after = F.least(F.col("n_a") - 1 - F.max("at_a"), F.col("n_b") - 1 - F.max("at_b"))
+    most = F.count("*") + F.least(after, F.greatest(rest("n_a"), rest("n_b")))
+    found = pairs.groupBy("a", "b", "n_a", "n_b").agg(most.alias("most"))
+    return found.where(F.col("most") >= (F.col("n_a") + F.col("n_b")) * (similarity / (1 + similarity)) - EPS).select("a", "b")
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, words: int, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose whole sets reach ``similarity``."""
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    one = sets.join(asked, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
+    one = materialize(one, "asked")
+    for side in "ab":
+        pairs = pairs.join(one.select(F.col("node").alias(side), F.col("doc_id").alias(f"doc_{side}")), side)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids = WordIds()
+        for batch in batches:
+            ok = []
+            for a, b, x, y in zip(*batch.columns, strict=True):
+                x, y = shingles(x.as_py(), words, ids), shingles(y.as_py(), words, ids)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                # A doc_id with several texts brings them all; only the asked ones count.
+                same = set_id(x) == a.as_py() and set_id(y) == b.as_py()
+                ok.append(same and both >= similarity * (len(x) + len(y) - both) - EPS)
+            yield batch.select([0, 1]).filter(pa.array(ok, pa.bool_()))
+
+    for side, text in (("a", "x"), ("b", "y")):
+        pairs = pairs.join(docs.select(F.col("doc_id").alias(f"doc_{side}"), F.col("text").alias(text)), f"doc_{side}")
+    return materialize(pairs.select("a", "b", "x", "y").mapInArrow(run, "a long, b long"), "similar")
+
+
+def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(doc_id, text, ...) -> (doc_id long, component_id long), a row for each row with a doc_id.
+
+    component_id is the smallest doc_id that links reach, the own one included; texts are linked whose sets of shingles
+    have a Jaccard similarity of ``similarity`` or more. Texts without words are one group; rows of one doc_id are one
+    document. Sets that share a shingle of their prefixes are candidates. Neighbours of a bucket are verified first, then
+    all pairs that those links have not joined, so that a large group needs no quadratic number of pairs.
+    """
+    docs = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), "text")
+    made = _sets(docs, words, similarity, _common(docs, words))
+    sets = materialize(made.select("doc_id", "node"), "sets")
+    rows = made.select("node", "n", F.posexplode("prefix").alias("at", "key")).select("key", "n", "node", "at")
+    buckets = rows.repartition("key").sortWithinPartitions("key", "n", "node")
+    buckets = materialize(buckets.mapInArrow(_some_pairs(similarity), BUCKET), "buckets")
+    # Which pairs come first is free: those that meet in many buckets.
+    some = buckets.where("b is not null").groupBy("a", "b", "n_a", "n_b").count()
+    some = materialize(some.where(F.col("count") >= (F.col("n_a") + F.col("n_b")) * (1 - similarity) / 5).select("a", "b"), "pairs")
+    links = _verified(some, sets, docs, words, similarity)
+    roots = connected_components(links)
+    rooted = buckets.where("b is null").select("key", F.col("n_a").alias("n"), F.col("a").alias("node"), F.col("at_a").alias("at"))
+    rooted = rooted.join(roots, "node", "left").select("key", "n", "node", "at", F.coalesce("root", "node").alias("root"))
+    others = rooted.repartition("key").sortWithinPartitions("key").mapInArrow(_other_pairs(similarity), BUCKET)
+    others = materialize(_reach(others, similarity).join(some, ["a", "b"], "left_anti"), "pairs")
+    links = links.unionByName(_verified(others, sets, docs, words, similarity))
+    twice = sets.groupBy("doc_id").agg(F.min("node").alias("a"), F.collect_set("node").alias("b")).where("size(b) > 1")
+    links = links.unionByName(twice.select("a", F.explode("b").alias("b")))
+    placed = sets.select("doc_id", "node").join(connected_components(links), "node", "left")
+    placed = placed.select("doc_id", F.coalesce("root", "node").alias("root"))
+    return placed.join(placed.groupBy("root").agg(F.min("doc_id").alias("component_id")), "root").select("doc_id", "component_id")
+
+
+def keep_one(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """The document with the smallest doc_id of each group of near copies, in docs' columns.
+
+    Rows that share a doc_id are copies of one document, of which one row stays. Rows without doc_id all stay.
+    """
+    first = near_copies(docs.select("doc_id", "text"), words, similarity).where("doc_id = component_id").select("doc_id").distinct()
+    kept = docs.where("doc_id is not null").join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return kept.unionByName(docs.where("doc_id is null")).select(*(f"`{c}`" for c in docs.columns))

@@ -1,0 +1,83 @@
+"""Near copies of the pipeline against brute force on whole shingle sets."""
+
+import random
+
+import pytest
+from strandwork.llm import shingles
+
+
+def grams(text, k=5):
+    w = (text or "").lower().split()
+    return {tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))} if w else set()
+
+
+def jaccard(a, b):
+    return len(a & b) / len(a | b) if a | b else 1.0
+
+
+def components(rows, similarity=0.8):
+    sets, root = {d: grams(t) for d, t in rows}, {d: d for d, _ in rows}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    ids = sorted(sets)
+    for i, a in enumerate(ids):
+        for b in ids[:i]:
+            if jaccard(sets[a], sets[b]) >= similarity - 1e-9:
+                x, y = sorted((find(a), find(b)))
+                root[y] = x
+    return {d: find(d) for d in ids}
+
+
+def planted(seed, pool):
+    """Texts and copies of them with some words changed, so that most similarities lie between 0.7 and 1."""
+    r, rows = random.Random(seed), []
+    words = [f"w{i}" for i in range(pool)]
+    header = " ".join(r.choice(words) for _ in range(40))
+    for _ in range(25):
+        base = [r.choice(words) for _ in range(r.choice([3, 5, 8, 60, 300, 900]))]
+        text = f"{header} {' '.join(base)}" if r.random() < 0.4 else " ".join(base)
+        rows.append(text)
+        for _ in range(r.randint(0, 4)):
+            w = text.split()
+            for _ in range(round(len(w) * r.uniform(0.0, 0.035))):
+                w[r.randrange(len(w))] = f"x{r.randrange(10**9)}"
+            rows.append(" ".join(w))
+    r.shuffle(rows)
+    return [(i, t) for i, t in enumerate(rows)] + [(1000, ""), (1001, None), (1002, " \n")]
+
+
+@pytest.mark.parametrize(("seed", "pool", "block"), [(0, 5000, 1024), (1, 30, 4)])
+def test_near_copies_are_all_found(spark, monkeypatch, seed, pool, block):
+    monkeypatch.setattr(shingles, "BLOCK", block)
+    rows = planted(seed, pool)
+    sets = [grams(t) for _, t in rows]
+    close = [x for i, a in enumerate(sets) for b in sets[:i] if 0.8 <= (x := jaccard(a, b)) < 1]
+    assert sum(x < 0.9 for x in close) >= 5 and sum(x >= 0.9 for x in close) >= 5
+    got = shingles.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == components(rows)
+
+
+def test_stage_drops_planted_copies(spark):
+    """Copies of 0.8 to 0.95, most of which lie more than 3 bits apart on op2's fingerprints."""
+    pipeline = pytest.importorskip("corpus_pipeline")
+    rows = planted(2, 5000)
+    docs = spark.createDataFrame([(d, t, "en", None, None) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    want = components(rows)
+    assert sorted(r["doc_id"] for r in pipeline.near_dedup(spark, docs, "").collect()) == sorted({c for c in want.values()})
+
+
+def test_rows_of_one_document_and_edges(spark, edge, nothing):
+    a, b = " ".join(f"a{i}" for i in range(50)), " ".join(f"b{i}" for i in range(50))
+    rows = [(5, a), (5, b), (3, a + " end"), (7, b), (9, "other"), (None, a)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in shingles.near_copies(docs).collect()}
+    assert got == {5: 3, 3: 3, 7: 3, 9: 9}
+    kept = shingles.keep_one(edge)
+    ids = sorted(r["doc_id"] for r in kept.where("doc_id is not null").collect())
+    assert kept.columns == edge.columns and len(ids) == len(set(ids))
+    assert 0 in ids and not {1, 2, 9} & set(ids) and kept.where("doc_id is null").count() == 2
+    assert shingles.keep_one(nothing).count() == 0
