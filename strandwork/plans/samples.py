@@ -178,8 +178,10 @@ def strongest_change(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def kmeans_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = T.table(spark, sf_dir, "embeddings").select("vec_id", *(F.col("embedding")[i].cast("double").alias(f"pdyad{i}") for i in range(8)))
-    return cluster.cluster_occupancy(rows, [f"pdyad{i}" for i in range(8)], 4).select("vec_id", "occ_cluster")
+    table = T.table(spark, sf_dir, "embeddings")
+    columns = [f"pdyad{i}" for i in range(table.agg(F.max(F.size("embedding"))).first()[0])]
+    rows = table.select("vec_id", *(F.col("embedding")[i].cast("double").alias(c) for i, c in enumerate(columns)))
+    return cluster.cluster_occupancy(rows, columns, 4).select("vec_id", "occ_cluster")
 
 
 @query()
