@@ -39,7 +39,7 @@ def hmm_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def hmm_train(spark: SparkSession, sf_dir: str) -> DataFrame:
-    model, history = hmm.train(_segments(spark, sf_dir), small_model(), rounds=2)
+    model, history = hmm.train(_segments(spark, sf_dir), small_model())
     rows = [(k, float(w), float(history[-1])) for k, w in sorted(model.weights.items())]
     return spark.createDataFrame(rows, "dbf string, weight double, log_likelihood double")
 
