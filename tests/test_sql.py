@@ -6,7 +6,6 @@ from pathlib import Path
 import duckdb
 import pandas as pd
 import pytest
-from conftest import ROOT  # noqa: F401
 from strandwork.plans import registry
 
 TABLES = "customer supplier part orders lineitem events documents embeddings".split()
