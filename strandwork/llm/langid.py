@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,9 +10,10 @@ import zstandard as zstd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import materialize
+
 UNKNOWN = "und"
 BLOCK = 4096
-LETTER = re.compile(r"[^\W\d_]")
 
 
 def held_out() -> Column:
@@ -21,14 +21,15 @@ def held_out() -> Column:
 
 
 def fit(
-    docs: DataFrame, sample_docs: int = 4000, dict_bytes: int = 65536, text_chars: int = 2000, max_langs: int = 256
+    docs: DataFrame, sample_docs: int = 4000, dict_bytes: int = 65536, text_chars: int = 2000, max_langs: int = 256, word_chars: int = 64
 ) -> dict[str, bytes]:
     """(doc_id, text, lang) -> a raw-content dictionary of at most ``dict_bytes`` for each language.
 
     Learns from rows with text, language and doc_id that aren't held out: of each language at most ``sample_docs`` rows,
-    those with the least hashes of doc_id. Words that most of these use fill one half of a dictionary, the most common
-    last, where zstandard finds them cheapest; pieces of ``text_chars`` characters of sampled texts fill the other.
-    What the driver gets is bounded by languages times ``dict_bytes``, whatever the input.
+    those with the least hashes of doc_id. Words of ``word_chars`` characters at most that most of these use fill one half
+    of a dictionary, the most common last, where zstandard finds them cheapest; pieces of ``text_chars`` characters, each
+    from a place in a sampled text that a hash of its doc_id tells, fill the other. What the driver gets is bounded by
+    languages times ``dict_bytes``, whatever the input; over ``max_langs`` languages raise.
     """
     rows = docs.where(~held_out() & F.col("doc_id").isNotNull() & F.col("text").isNotNull() & F.col("lang").isNotNull())
     counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().limit(max_langs + 1).collect()}
@@ -44,16 +45,17 @@ def fit(
     h = F.xxhash64("doc_id")
     thin = rows.where(F.pmod(h, F.lit(spread)) < cut).select("lang", "text", h.alias("h"), "doc_id")
     nth = F.row_number().over(Window.partitionBy("lang").orderBy(F.pmod("h", F.lit(spread)), "h", "doc_id", "text"))
-    sample = thin.withColumn("nth", nth).where(F.col("nth") <= sample_docs)
+    sample = materialize(thin.withColumn("nth", nth).where(F.col("nth") <= sample_docs), "sample")
     half = dict_bytes // 2
     texts = sample.where(F.col("nth") <= 2 + 4 * half // text_chars)
     parts: dict[str, list[str]] = {lang: [] for lang in counts}
-    for r in texts.select("lang", F.substring("text", 1, text_chars).alias("part")).orderBy("lang", "nth").collect():
+    at = 1 + F.pmod(F.hash("doc_id"), F.greatest(F.lit(1), F.length("text") - text_chars + 1))
+    for r in texts.select("lang", F.substr("text", at, F.lit(text_chars)).alias("part"), "nth").orderBy("lang", "nth").collect():
         parts[r["lang"]].append(r["part"].lower())
     words = sample.select("lang", F.explode(F.array_distinct(F.split(F.lower("text"), "[\\x20\\t-\\r]+"))).alias("word"))
     common = words.where("word <> ''").groupBy("lang", "word").count()
     place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("count"), "word"))
-    top = common.withColumn("place", place).where(F.col("place") <= half // 3).where("length(word) <= 64")
+    top = common.where(F.length("word") <= word_chars).withColumn("place", place).where(F.col("place") <= half // 3)
     vocabulary: dict[str, list[str]] = {lang: [] for lang in counts}
     for r in top.orderBy("lang", "place").select("lang", "word").collect():
         vocabulary[r["lang"]].append(r["word"])
@@ -91,7 +93,7 @@ class Classifier:
 
     def predict(self, text: str | None) -> tuple[str, float]:
         """The language and the margin to the next one as a share of the latter's size; the first by name in a tie."""
-        if not text or not self.langs or not LETTER.search(text):
+        if not text or not self.langs or not any(map(str.isalpha, text)):
             return UNKNOWN, 0.0
         sizes = self.sizes(text)
         order = np.argsort(sizes, kind="stable")
