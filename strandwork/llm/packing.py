@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize
-from .tokens import default_path, encoder
+from .tokens import encoder, paths, small_ids
 
 END_ID = 2
 
@@ -37,17 +37,17 @@ class Capacity:
         return self.tokens, self.docs or self.tokens, self.cost or self.tokens**2
 
 
-def pieces(docs: DataFrame, tokens: int = 1024, tokenizer: str | None = None, keep_ids: bool = False) -> DataFrame:
+def pieces(docs: DataFrame, tokens: int = 1024, tokenizer: str | None = None, keep_ids: bool = False, ranks: str | None = None) -> DataFrame:
     """(doc_id, text) -> (doc_id, piece, start, length, ids_crc32[, ids]), a row for each piece of each document.
 
     A document is its ids and then id 2; a null or empty text is that id alone. Only a document of more than ``tokens``
     ids is cut: into pieces of ``tokens``, of which the first may be shorter. ``ids`` are little-endian unsigned 32-bit
-    in the checksum and unsigned 16-bit in the column (the vocabulary must fit).
+    in the checksum and unsigned 16-bit in the column (larger ones raise).
     """
-    path = tokenizer or default_path()
+    path, ranks = paths(tokenizer, ranks)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path)
+        encode = encoder(path, ranks)
         for batch in batches:
             out: list[list] = [[] for _ in range(6)]
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
@@ -56,7 +56,7 @@ def pieces(docs: DataFrame, tokens: int = 1024, tokenizer: str | None = None, ke
                 at = 0
                 for k, size in enumerate([first] + [tokens] * ((len(ids) - first) // tokens)):
                     part = ids[at : at + size]
-                    row = (doc, k, at, size, zlib.crc32(part.tobytes()), part.astype("<u2").tobytes() if keep_ids else None)
+                    row = (doc, k, at, size, zlib.crc32(part.tobytes()), small_ids(part).tobytes() if keep_ids else None)
                     for values, x in zip(out, row, strict=True):
                         values.append(x)
                     at += size
@@ -166,7 +166,7 @@ def place(items: DataFrame, capacity: Capacity, order: list[str], salts: int = 6
     return placed.select(*items.columns, "sequence_id", "offset"), n_sequences
 
 
-def pack(docs: DataFrame, capacity: Capacity | None = None, tokenizer: str | None = None) -> DataFrame:
+def pack(docs: DataFrame, capacity: Capacity | None = None, tokenizer: str | None = None, ranks: str | None = None) -> DataFrame:
     """(doc_id, text, ...) -> (doc_id, piece, start, length, ids_crc32, sequence_id, offset), a row for each piece.
 
     Null and empty texts are the end id alone. Rows that repeat, null doc_ids included, are packed as often as they
@@ -174,6 +174,6 @@ def pack(docs: DataFrame, capacity: Capacity | None = None, tokenizer: str | Non
     rows.
     """
     capacity = capacity or Capacity()
-    cut = materialize(pieces(docs, capacity.tokens, tokenizer), "pieces")
+    cut = materialize(pieces(docs, capacity.tokens, tokenizer, ranks=ranks), "pieces")
     placed, _ = place(cut, capacity, ["doc_id", "piece", "ids_crc32"])
     return placed

@@ -8,14 +8,14 @@ from collections import defaultdict
 import numpy as np
 import pytest
 from strandwork.llm import chat, materialise, packing, queries, simhash
-from strandwork.llm.tokens import default_path, encoder
+from strandwork.llm.tokens import default_paths, encoder, small_ids
 
 
 @pytest.fixture(scope="module")
 def tokenizer():
     from tokenizers import Tokenizer
 
-    return Tokenizer.from_file(default_path())
+    return Tokenizer.from_file(default_paths()[0])
 
 
 def ids_of(tokenizer, text):
@@ -23,7 +23,7 @@ def ids_of(tokenizer, text):
 
 
 def test_fast_ids_are_the_tokenizers(tokenizer, documents):
-    encode = encoder(default_path())
+    encode = encoder(*default_paths())
     odd = ["<|endoftext|> x", "é　   \n\n x ", "don't I'LL 12345 ½ 漢字🎉", "", " ", "\x00\x1f", "a" * 3000]
     for text in [*documents["text"].dropna().head(80), *odd]:
         assert encode(text).tolist() == tokenizer.encode(text, add_special_tokens=False).ids
@@ -166,24 +166,62 @@ def test_permutation(n):
         assert abs(np.corrcoef(np.arange(n), slots)[0, 1]) < 0.2
 
 
+def stored(spark, path):
+    """The sequences in the stream's order, without what fills the last one up."""
+    rows = spark.read.parquet(f"{path}/stream").orderBy("file", "split", "k").collect()
+    return np.concatenate([np.frombuffer(r["ids"], "<u2") for r in rows]) if rows else np.empty(0, "<u2")
+
+
 def test_shards(spark, data, documents, tokenizer, tmp_path):
     docs, path = spark.read.parquet(f"{data}/documents.parquet"), f"file://{tmp_path}/order"
     layout = materialise.write(docs, path, tokens=256, per_shard=100, key="k")
-    stored = spark.read.parquet(f"{path}/sequences").orderBy("at").collect()
-    stream = [x for r in stored for x in np.frombuffer(r["ids"], "<u2")[: r["n_tokens"]].tolist()]
-    want = [ids_of(tokenizer, t) for t in documents["text"]]
-    assert sorted(stream) == sorted(x for y in want for x in y) and layout.n == len(stored)
+    want = [x for t in documents["text"] for x in ids_of(tokenizer, t)]
+    assert stored(spark, path).tolist() == want and layout.n == -(-len(want) // 256)
+    want = np.array(want + [2] * (layout.n * 256 - len(want)), "<u2").reshape(-1, 256)
     slots = materialise.Permutation(layout.n, "k").slots(np.arange(layout.n))
     rows = {r["slot"]: r for r in materialise.read(spark, path).collect()}
     assert sorted(rows) == list(range(layout.n))
     for i, s in enumerate(slots.tolist()):
-        assert bytes(rows[s]["ids"]) == bytes(stored[i]["ids"]) and (rows[s]["shard"], rows[s]["byte_offset"]) == layout.place(s)
+        assert bytes(rows[s]["ids"]) == want[i].tobytes() and (rows[s]["shard"], rows[s]["byte_offset"]) == layout.place(s)
     for f in (tmp_path / "order" / "shards").glob("shard=*/*.txt"):
         shard = int(f.parent.name[6:])
         assert f.stat().st_size == layout.length(shard)
         assert f.read_bytes()[: 2 * 256] == bytes(rows[shard * 100]["ids"])
-    assert sorted(r["slot"] for r in materialise.read(spark, path, 250).collect()) == list(range(250, layout.n))
     assert {r["slot"]: r["sequence"] for r in materialise.index(spark, path).collect()} == {s: i for i, s in enumerate(slots.tolist())}
+    late = materialise.read(spark, path, 250)
+    (tmp_path / "order" / "shards" / "shard=0").joinpath(next((tmp_path / "order" / "shards" / "shard=0").glob("*.txt")).name).write_bytes(b"lost")
+    assert sorted(r["slot"] for r in late.collect()) == list(range(250, layout.n))
+    assert sorted(r["slot"] for r in materialise.read(spark, path, 250).collect()) == list(range(250, layout.n))
+
+
+def test_the_order_does_not_depend_on_splits(spark, documents, tmp_path):
+    for i in range(3):
+        (tmp_path / "d").mkdir(exist_ok=True)
+        documents.iloc[i::3].to_parquet(f"{tmp_path}/d/part-{i}.parquet", row_group_size=7)
+    found, files = [], spark.read.parquet(f"{tmp_path}/d")
+    for k, size in enumerate(("64m", "20k", "8k")):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")
+        try:
+            materialise.write(files, f"file://{tmp_path}/{k}", tokens=64, per_shard=50)
+            found.append(sorted(materialise.index(spark, f"file://{tmp_path}/{k}").collect()))
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+            spark.conf.unset("spark.sql.files.openCostInBytes")
+    splits = [spark.read.parquet(f"{tmp_path}/{k}/stream").select("file", "split").distinct().count() for k in range(3)]
+    assert splits[0] < splits[1] < splits[2] and found[0] == found[1] == found[2]
+    # Rows that don't come straight from files are ordered by doc_id, however they are dealt.
+    other = []
+    for k, n in enumerate((3, 5)):
+        materialise.write(files.repartition(n, "text"), f"file://{tmp_path}/r{k}", tokens=64, per_shard=50)
+        other.append(sorted(materialise.index(spark, f"file://{tmp_path}/r{k}").collect()))
+    assert other[0] == other[1] and len(other[0]) == len(found[0])
+
+
+def test_large_ids_raise():
+    assert small_ids(np.array([0, 65535], np.uint32)).tolist() == [0, 65535]
+    with pytest.raises(ValueError):
+        small_ids(np.array([65536], np.uint32))
 
 
 def test_an_interrupted_write_goes_on(spark, data, tmp_path):
@@ -202,7 +240,7 @@ def test_an_interrupted_write_goes_on(spark, data, tmp_path):
 def test_order_edges(spark, edge, nothing, tmp_path, tokenizer):
     layout = materialise.write(edge, f"file://{tmp_path}/e")
     total = sum(len(ids_of(tokenizer, r["text"])) for r in edge.select("text").collect())
-    assert spark.read.parquet(f"{tmp_path}/e/sequences").selectExpr("sum(n_tokens)").first()[0] == total
+    assert len(stored(spark, f"{tmp_path}/e")) == total
     assert materialise.read(spark, f"file://{tmp_path}/e").count() == layout.n
     assert materialise.write(nothing, f"file://{tmp_path}/n").n == 0 and materialise.read(spark, f"file://{tmp_path}/n").count() == 0
 
