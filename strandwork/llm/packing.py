@@ -20,21 +20,27 @@ END_ID = 2
 
 @dataclass(frozen=True)
 class Capacity:
-    """What a sequence holds at most: tokens, documents' pieces, and attention cost (the sum of squared lengths).
+    """What a sequence holds at most: tokens, documents' pieces, and attention cost.
 
-    ``docs`` and ``cost`` of None do not bind. ``weights`` weigh the three in the choice of a bin; ``rule`` is
-    "residual" (smallest weighted norm of what would be left) or "dot" (largest weighted dot product of the item with
-    what is left).
+    The cost of a piece is the number of ``tile`` x ``tile`` tiles that its own attention takes, so a sequence of many
+    short pieces costs more than one long piece of as many tokens. ``cost`` of None is one tile more than one piece of
+    ``tokens`` takes; ``docs`` of None does not bind. ``weights`` weigh what is left of the three, as shares of their
+    capacities, in the choice of a bin; ``rule`` is "residual" (smallest weighted Euclidean norm of what would be left) or "dot" (largest weighted dot product of the item
+    with what is left).
     """
 
     tokens: int = 1024
-    docs: int | None = None
+    docs: int | None = 24
     cost: int | None = None
-    weights: tuple[float, float, float] = (1.0, 0.0, 0.0)
+    tile: int = 128
+    weights: tuple[float, float, float] = (1.0, 0.5, 0.5)
     rule: str = "residual"
 
+    def cost_of(self, length: int) -> int:
+        return (-(-length // self.tile)) ** 2
+
     def limits(self) -> tuple[int, int, int]:
-        return self.tokens, self.docs or self.tokens, self.cost or self.tokens**2
+        return self.tokens, self.docs or self.tokens, self.cost or self.cost_of(self.tokens) + 1
 
 
 def pieces(docs: DataFrame, tokens: int = 1024, tokenizer: str | None = None, keep_ids: bool = False, ranks: str | None = None) -> DataFrame:
@@ -78,27 +84,27 @@ def plan_bins(counts: dict[int, int], capacity: Capacity) -> list[tuple[int, int
     each of its bins as fit, or fewer bins of it if the items run out.
     """
     limits = np.array(capacity.limits(), float)
-    weights = np.array(capacity.weights) / limits
+    weights = np.array(capacity.weights)
     classes: dict[tuple[int, int, int], list] = defaultdict(list)  # what is left -> [[number of bins, parts], ...]
     done: list[tuple[int, tuple]] = []
 
     def put(left: tuple[int, int, int], n: int, parts: tuple) -> None:
-        if left[0] <= 0 or left[1] <= 0:
+        if min(left) <= 0:
             done.append((n, parts))
         else:
             classes[left].append((n, parts))
 
     for length in sorted(counts, reverse=True):
-        need = np.array([length, 1, length * length])
+        need = np.array([length, 1, capacity.cost_of(length)])
         todo = counts[length]
         while todo:
             open_ = [left for left in classes if all(np.array(left) >= need)]
             if open_:
                 lefts = np.array(open_, float)
                 if capacity.rule == "dot":
-                    best = int(np.argmax((lefts / limits * weights * (need / limits)).sum(axis=1)))
+                    best = int(np.argmax((weights * lefts / limits * (need / limits)).sum(axis=1)))
                 else:
-                    best = int(np.argmin(np.abs((lefts - need) * weights).sum(axis=1)))
+                    best = int(np.argmin((weights * ((lefts - need) / limits) ** 2).sum(axis=1)))
                 left = open_[best]
                 n, parts = classes[left].pop()
                 if not classes[left]:

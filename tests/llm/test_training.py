@@ -58,7 +58,7 @@ def test_packing_query(spark, data, documents, tokenizer):
     assert n <= 1.02 * least + 1
 
 
-@pytest.mark.parametrize("capacity", [packing.Capacity(), packing.Capacity(docs=4, weights=(1, 1, 0)), packing.Capacity(cost=300_000, weights=(1, 0, 1), rule="dot")])
+@pytest.mark.parametrize("capacity", [packing.Capacity(), packing.Capacity(docs=4, weights=(1, 1, 0)), packing.Capacity(cost=30, weights=(1, 0, 1), rule="dot")])
 def test_plans_hold_every_capacity(capacity):
     r = random.Random(3)
     for _ in range(20):
@@ -71,13 +71,35 @@ def test_plans_hold_every_capacity(capacity):
         assert {k: len(v) for k, v in ranks.items()} == counts and all(v == set(range(len(v))) for v in ranks.values())
         tokens, docs, cost = capacity.limits()
         for parts in bins.values():
-            assert sum(x for _, x in parts) <= tokens and len(parts) <= docs and sum(x * x for _, x in parts) <= cost
+            assert sum(x for _, x in parts) <= tokens and len(parts) <= docs and sum(capacity.cost_of(x) for _, x in parts) <= cost
             end = 0
             for at, length in sorted(parts):
                 assert at == end
                 end += length
 
 
+def test_all_three_capacities_choose(documents, tokenizer):
+    """The default binds by documents and by cost, chooses other bins than tokens alone, and stays near the bound."""
+    counts = defaultdict(int)
+    for text in documents["text"]:
+        n = len(ids_of(tokenizer, text))
+        counts[(n - 1) % 1024 + 1] += 1
+        counts[1024] += (n - 1) // 1024
+    counts = {k: v for k, v in counts.items() if v} | {1: 60, 12: 8, 1000: 4}
+    capacity = packing.Capacity()
+    plan, plain = (packing.plan_bins(counts, c) for c in (capacity, packing.Capacity(docs=None, cost=10**9, weights=(1, 0, 0))))
+    bins, others = defaultdict(list), defaultdict(list)
+    for out, segments in ((bins, plan), (others, plain)):
+        for length, _, n, each, start, _ in segments:
+            for i in range(n):
+                out[start + i // each].append(length)
+    cost = lambda b: sum(map(capacity.cost_of, b))
+    limits = capacity.limits()
+    assert max(map(len, bins.values())) <= limits[1] < max(map(len, others.values()))
+    assert max(map(cost, bins.values())) <= limits[2] < max(map(cost, others.values()))
+    assert len(bins) <= 1.01 * sum(k * v for k, v in counts.items()) / 1024 + 2
+
+
 def test_packing_edges(spark, edge, nothing, tokenizer):
     rows = packing.pack(edge).collect()
     size = sum(len(ids_of(tokenizer, r["text"])) for r in edge.select("text").collect())
