@@ -1,9 +1,11 @@
 """Secrets and personal data against plain regular expressions."""
 
 import hashlib
+import math
 import random
 import re
 import string
+from collections import Counter
 
 import pytest
 from strandwork.llm import pii, queries, secrets
@@ -84,13 +86,89 @@ def test_pii(spark, texts):
     check(scanned(spark, pii.scan, texts), texts, "pii", "pii_spans", base_pii)
 
 
-def test_random_strings_are_found_and_words_are_not(spark):
+WORDS = (
+    "get set user name value kafka elastic search connector index by id time stamp request response handler service manager config parse json string buffer local remote "
+    "file path size count total average limit offset page token cache client server query table column row batch stream window session partition"
+).split()
+
+
+def identifier(r):
+    w, how = [r.choice(WORDS) for _ in range(r.randint(4, 7))], r.randint(0, 4)
+    if how == 0:
+        return w[0] + "".join(map(str.capitalize, w[1:]))
+    if how == 3:
+        return "".join(x + (str(r.randint(0, 99)) if r.random() < 0.4 else "") for x in w)
+    return ("_" if how != 2 else "-").join(w).upper() if how == 4 else ("_" if how == 1 else "-").join(w)
+
+
+def key(r):
+    letters, digits = string.ascii_letters, string.digits
+    alphabets = [letters + digits, string.ascii_lowercase + digits, string.ascii_uppercase + "234567", letters + digits + "+/", letters + digits + "-_", string.ascii_uppercase + digits, string.ascii_lowercase]
+    abc = r.choice(alphabets)
+    return "".join(r.choice(abc) for _ in range(r.randint(20, 44)))
+
+
+def p_value(token):
+    """The battery of one token in plain Python."""
+    body = token.rstrip("=")
+    n, e = len(body), next(m for (p, _), m in zip(secrets.ENCODINGS, secrets.model(), strict=True) if re.search(p, body))
+    k, s2, s3, c0, c1, v1 = e
+    pairs, ways = sum(c * (c - 1) for c in Counter(body).values()), n * (n - 1)
+    if (pairs - ways / k) / math.sqrt(2 * ways / k * (1 - 1 / k)) > 4:
+        return 1.0
+    z = [(ways * s2 - pairs) / math.sqrt(4 * ways * (n - 2) * (s3 - s2 * s2) + 2 * ways * (s2 - s2 * s2))]
+    kinds = [secrets._kind(c) for c in body]
+    if c0:
+        turns = sum(x != y and (x, y) != ("u", "l") for x, y in zip(kinds, kinds[1:]))
+        if (turns - (n - 1) * c1) / math.sqrt((n - 1) * c1 * (1 - c1)) < -4:
+            return 1.0
+        z.append((turns - (n - 1) * c0) / math.sqrt((n - 1) * c0 * (1 - c0)))
+    pairs_of = [(x, y) for x, y in zip(body.lower(), body.lower()[1:]) if x.isalpha() and y.isalpha()]
+    m, turns = len(pairs_of), sum((x in "aeiou") != (y in "aeiou") for x, y in pairs_of)
+    if v1 and m >= 8:
+        if (turns - m * v1) / math.sqrt(m * v1 * (1 - v1)) > 4:
+            return 1.0
+        z.append((m * 0.6 - turns) / math.sqrt(m * 0.24))
+    return math.erfc(sum(z) / math.sqrt(len(z)) / math.sqrt(2)) / 2
+
+
+def test_the_battery(spark):
+    r = random.Random(2)
+    tokens = [t for t in (f(r) for _ in range(150) for f in (identifier, key)) if len(t) >= 20] + ["a" * 25, "ab" * 20, "Q" * 300, "x9" * 15 + "==", "z" * 20_000]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(tokens)], "i int, t string").select("i", secrets.battery(F.col("t")).alias("b")).collect()
+    for row in rows:
+        want = p_value(tokens[row["i"]])
+        assert row["b"]["n"] == len(tokens[row["i"]].rstrip("=")) and abs(row["b"]["p"] - want) <= 2e-7 + 0.001 * want
+
+
+def test_the_cut_is_that_of_the_step_up_rule():
+    assert secrets.cut([], 0.05) == (1.0, -1.0) and secrets.cut([(20, 0, 100)], 0.05)[1] == -1.0
+    r = random.Random(4)
+    counts = [(r.randint(20, 60), r.choice([0, 1, 2, 3, 30, 50]), r.randint(1, 5)) for _ in range(200)]
+    mean, most = secrets.cut(counts, 0.05)
+    flat = sorted(10 ** (-b / 10) * mean / n for n, b, c in counts for _ in range(c))
+    rejected = max(i for i in range(1, len(flat) + 1) if flat[i - 1] <= 0.05 * i / len(flat))
+    assert most == pytest.approx(0.05 * rejected / len(flat))
+
+
+@pytest.mark.parametrize(("names", "keys"), [(1500, 150), (1500, 15), (1500, 0), (0, 100)])
+def test_random_strings_are_found_and_identifiers_are_not(spark, names, keys):
+    """The share of ordinary identifiers among what is reported, and how many keys are found."""
     r = random.Random(1)
-    keys = ["".join(r.choice(string.ascii_letters + string.digits) for _ in range(40)) for _ in range(40)]
+    rows = [(0, t) for t in (identifier(r) for _ in range(2 * names)) if len(t) >= 20][:names] + [(1, key(r)) for _ in range(keys)]
+    df = spark.createDataFrame([(w, f"the value {t} was there") for w, t in rows], "what int, text string")
+    found = secrets.scan(df).where("size(base_spans) = 0").groupBy("what").agg(F.count("*").alias("n"), F.count_if(F.size("secret_spans") > 0).alias("hits"))
+    found = {r["what"]: r for r in found.collect()}
+    wrong, right = (found[w]["hits"] if w in found else 0 for w in (0, 1))
+    assert wrong <= 0.05 * (wrong + right) + 1
+    assert not keys or right >= (0.8 if keys >= 100 else 0.4) * found[1]["n"]
+
+
+def test_ordinary_strings_by_name(spark):
     words = ["https/www/example/path/of/many/parts", "internationalization_of_names_v2", "zzzzzzzzzzzzzzzzzzzz1111111111BBBBBBBBBB", "abcdefghijklmnopqrstuvwxyz0123456789ABCDEF"]
-    found = scanned(spark, secrets.scan, [f"the key {x} was lost" for x in keys + words])
-    hits = [len(found[i]["secret_spans"]) for i in range(len(keys + words))]
-    assert sum(hits[: len(keys)]) >= 36 and sum(hits[len(keys) :]) == 0
+    words += ["theQuickBrownFoxJumps1", "getUserNameById2Value", "kafka2elasticsearch5connector9"]
+    found = scanned(spark, secrets.scan, [f"the key {x} was lost" for x in words])
+    assert not any(found[i]["secret_spans"] for i in range(len(words)))
 
 
 def test_redact(spark):
