@@ -3,6 +3,7 @@ only, but for the fit on a table of vote patterns whose size is bounded."""
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -25,11 +26,25 @@ KINDS = ["email", "ip", "card", "phone", "local", "ssn", "person", "account"]
 
 # Gazetteers and cue words.
 NAMES = (
-    "Alice Anna Carlos Carmen Charles Daniel David Elena Emily Emma George Hans Henry Isabel James Jean John Jose Juan "
-    "Julia Karl Laura Linda Louis Lucia Maria Marie Mary Michael Paul Peter Pierre Robert Sarah Sophie Thomas William"
+    "Adam Alan Albert Alejandro Alex Alexander Alice Amanda Ana Andrea Andrew Angela Anita Ann Anna Anne Anthony Antonio Arthur Barbara Beatriz Ben Benjamin Brian "
+    "Bruno Camille Carl Carla Carlos Carmen Caroline Catherine Charles Charlotte Chris Christian Christine Christopher Claire Clara Claudia Cristina Daniel Daniela David "
+    "Deborah Diana Diego Dieter Dmitri Donna Dorothy Edward Elena Elisabeth Elizabeth Emily Emma Eric Eva Fernando Fiona Florian Francesca Francis Frank Franz Gabriel "
+    "George Giovanni Giulia Grace Gustav Hanna Hans Harry Helen Helga Henri Henry Hugo Ian Ingrid Irene Isabel Ivan Jack Jacob James Jane Janet Jean Jennifer Jessica "
+    "Joan John Jonas Jorge Jose Joseph Josephine Juan Julia Julie Karen Karl Kate Katherine Kevin Klaus Laura Lea Leon Linda Lisa Louis Louise Lucas Lucia Luis Luisa "
+    "Manuel Marco Margaret Maria Marie Mario Mark Marta Martin Mary Matthew Max Michael Michel Miguel Monica Nancy Natalia Nicolas Nina Olga Oliver Olivia Oscar Pablo "
+    "Patricia Patrick Paul Paula Peter Philip Pierre Rachel Rebecca Richard Robert Rosa Ruth Samuel Sandra Sara Sarah Simon Sofia Sophie Stephen Susan Sven Teresa "
+    "Thomas Tom Ursula Victor Victoria Walter William Yves"
 ).split()
-DOMAIN_ENDS = "com org net edu gov mil info io co de fr es uk eu us ca au jp ch it nl".split()
-COUNTRY_CODES = "1 7 20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 54 55 56 57 60 61 62 63 64 65 66 81 82 84 86 90 91".split()
+SURNAMES = (
+    "Adams Anderson Bauer Becker Bernard Brown Campbell Clark Cohen Davies Davis Diaz Dubois Dupont Evans Fernandez Fischer Garcia Gomez Gonzalez Green Gupta Hall Harris "
+    "Hernandez Hill Hoffmann Jackson Johnson Jones Kim King Klein Koch Kowalski Lee Lefebvre Lewis Lopez Martin Martinez Meyer Miller Mitchell Moore Moreau Morgan Morris "
+    "Mueller Muller Murphy Nelson Nguyen Novak Patel Perez Peters Petit Phillips Richter Roberts Robinson Rodriguez Romero Rossi Roux Ruiz Sanchez Schmidt Schneider "
+    "Schulz Scott Silva Simon Singh Smith Taylor Thomas Thompson Torres Turner Wagner Walker Weber White Williams Wilson Wolf Wood Wright Young Zimmermann"
+).split()
+NOT_SURNAMES = "Street Road Avenue Square City County River Lake Island University College School Church Hospital Airport Park Award Prize Day January February March April May June July August September October November December".split()
+ADVERTISED_SSN = ["078051120", "219099999", "457555462"]
+DOMAIN_ENDS = "com org net edu gov mil info io co de fr es it nl be at uk eu us ca au jp ch ru br mx in".split()
+COUNTRY_CODES = "1 7 20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 54 55 56 57 60 61 62 63 64 65 66 81 82 84 86 90 91 351 353 358 420".split()
 CUES = {
     "email": "mail|e-mail|contact|write",
     "ip": "ip|host|server|address|login",
@@ -70,30 +85,51 @@ def _vote(yes: Column, no: Column | None = None) -> Column:
 
 
 def _votes(kind: str, s: Column) -> tuple[Column, Column, Column, Column]:
-    """Of the four labelers on a span: pattern, gazetteer, words before it, character after it. 1, 0 (no opinion) or -1."""
+    """Of the four labelers on a span: pattern, gazetteer, words before it, characters beside it. 1, 0 (no opinion) or -1."""
     m, digits = s["m"], _digits(s["m"])
     true = F.lit(True)
+    before = F.lower(s["before"])
+    surname = F.element_at(F.split(m, "\\x20"), -1)
     pattern, known = {
-        "email": lambda: (_vote(true), _vote(F.lower(F.element_at(F.split(m, "\\."), -1)).isin(DOMAIN_ENDS), F.lower(m).rlike("@(mail[0-9]*\\.)?example\\."))),
-        "ip": lambda: (_vote(_is_ip(m), ~_is_ip(m)), _vote(F.lit(False), m.rlike("^(0|10|127|255|192\\.168)\\."))),
+        "email": lambda: (_vote(m.rlike("^[A-Za-z0-9][^@]*@.*\\.[A-Za-z]{2,}$"), true), _vote(F.lower(F.element_at(F.split(m, "\\."), -1)).isin(DOMAIN_ENDS), F.lower(m).rlike("@(mail[0-9]*\\.)?example\\."))),
+        "ip": lambda: (_vote(_is_ip(m), ~_is_ip(m)), _vote(m.rlike("^(10|172|192|8|1)\\."), m.rlike("^(0|127|255)\\."))),
         "card": lambda: (_vote(_is_card(m), ~_is_card(m)), _vote(digits.rlike("^(4|5[1-5]|2[2-7]|3[47]|6011|65|35)"), true)),
         "phone": lambda: (_vote(F.length(digits).between(9, 15), true), _vote(digits.rlike(f"^({'|'.join(COUNTRY_CODES)})"), true)),
-        "local": lambda: (_vote(digits.rlike("^[2-9]..[2-9]"), true), _vote(digits.rlike("^([2-9](00|11)|555)"), F.lit(False))),
-        "ssn": lambda: (_vote(~digits.rlike("^(000|666|9)|^...00|0000$"), true), _vote(F.lit(False))),
-        "person": lambda: (_vote(F.lit(False)), _vote(true)),
-        "account": lambda: (_vote(F.lit(False), ~F.length(digits).between(8, 20)), _vote(F.lit(False))),
+        "local": lambda: (_vote(digits.rlike("^[2-9]..[2-9]"), true), _vote(F.lit(False), digits.rlike("^([2-9](00|11)|555)|^([0-9])\\2{9}$"))),
+        "ssn": lambda: (_vote(~digits.rlike("^(000|666|9)|^...00|0000$"), true), _vote(F.lit(False), digits.isin(ADVERTISED_SSN))),
+        "person": lambda: (_vote(before.rlike("(^|[,.:;]|mr|mrs|ms|dr|dear|from|by|to|with|and)\\W*$"), before.rlike("(^|[^a-z])(in|at|on|near|of|the)\\x20$")), _vote(surname.isin(SURNAMES), surname.isin(NOT_SURNAMES))),
+        "account": lambda: (_vote(F.lit(False), ~F.length(digits).between(8, 20)), _vote(F.lit(False), digits.rlike("^(19|20)[0-9]{6}$|^([0-9])\\2+$|^97[89][0-9]{10}$"))),
     }[kind]()
-    before = F.lower(s["before"])
     cue = _vote(before.rlike(f"(?<![a-z])({CUES[kind]})(?![a-z])"), before.rlike(f"(?<![a-z])({COUNTER_CUES})(?![a-z])"))
-    glued = s["after"].rlike("[\\p{L}0-9_]") | s["before"].rlike("[\\p{L}0-9_]$")
+    glued = s["after"].rlike("^[\\p{L}0-9_]") | s["before"].rlike("[\\p{L}0-9_]$")
     return pattern, known, cue, _vote(F.lit(False), glued)
 
 
+#: Sizes of the cells that describe a span's shape and context: length, separators in it, what is before and what is after
+#: it, and the words on both sides (none, or one of three classes by hash).
+CELLS = (4, 3, 3, 3, 4, 4)
+WIDTH = math.prod(CELLS)
+
+
+def _cells(s: Column) -> tuple[Column, ...]:
+    """What the classifier sees beside the votes, as small numbers."""
+    signs = F.array_size(F.array_distinct(F.filter(F.split(F.regexp_replace(s["m"], "[\\p{L}0-9]", ""), ""), lambda c: c != "")))
+    word = lambda x: F.when(x == "", 0).otherwise(1 + F.pmod(F.hash(F.lower(x)), F.lit(3)))
+    return (
+        F.least(F.lit(3), F.floor((s["end"] - s["start"]) / 8).cast("int")),
+        F.least(F.lit(2), signs),
+        F.when(s["before"].rlike("(^|\\n)$"), 0).when(s["before"].rlike("[\\p{L}0-9_.-]$"), 1).otherwise(2),
+        F.when(s["after"].rlike("^(\\n|$)"), 0).when(s["after"].rlike("^[\\p{L}0-9_-]"), 1).otherwise(2),
+        word(F.regexp_extract(s["before"], "(\\p{L}+)[^\\p{L}]*$", 1)),
+        word(F.regexp_extract(s["after"], "^[^\\p{L}]*(\\p{L}+)", 1)),
+    )
+
+
 def candidates(docs: DataFrame) -> DataFrame:
     """(doc_id, text) -> doc_id, base_spans and candidates, an array of (start, no, end, kind, pattern).
 
-    pattern holds the four votes and the length's class as one number, 3**4 * 4 of them for each kind. Candidates are
-    the matches of the base patterns, checks failed or not, and of looser ones. One pass, without a shuffle.
+    pattern holds the four votes and the cells of shape and context as one number (``CELLS``). Candidates are the
+    matches of the base patterns, checks failed or not, and of looser ones. One pass, without a shuffle.
     """
     person = PERSON % "|".join(NAMES)
     finders = {"email": EMAIL, "ip": IP, "card": CARD, "phone": PHONE, "local": LOCAL, "ssn": SSN, "person": person}
@@ -121,9 +157,10 @@ def candidates(docs: DataFrame) -> DataFrame:
             code = F.lit(0)
             for v in _votes(kind, s):
                 code = code * 3 + (v + 1)
-            size = F.least(F.lit(3), F.floor((s["end"] - s["start"]) / 8).cast("int"))
+            for n, cell in zip(CELLS, _cells(s), strict=True):
+                code = code * n + cell
             return F.struct(
-                s["start"].alias("start"), F.lit(KINDS.index(kind)).alias("no"), s["end"].alias("end"), F.lit(kind).alias("kind"), (code * 4 + size).alias("pattern")
+                s["start"].alias("start"), F.lit(KINDS.index(kind)).alias("no"), s["end"].alias("end"), F.lit(kind).alias("kind"), code.alias("pattern")
             )
 
         return F.transform(every[kind], one)
@@ -134,73 +171,96 @@ def candidates(docs: DataFrame) -> DataFrame:
 
 @dataclass
 class Model:
-    """reliability[labeler][class][vote + 1] and prior[kind] from EM; weights of the logistic span classifier."""
+    """reliability[kind][labeler][class][vote + 1] (1 for no opinion) and prior[kind] from EM; weights of the logistic span classifier."""
 
     reliability: np.ndarray
     prior: np.ndarray
     weights: np.ndarray
 
 
-def _features(no: np.ndarray, votes: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """Kind (one-hot), each labeler's yes and no, and the length's class (one-hot)."""
-    return np.hstack([np.eye(len(KINDS))[no], votes == 1, votes == -1, np.eye(4)[size]]).astype(float)
+def _decode(pattern: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Votes (n x 4) and cells (n x 6) of codes."""
+    code, cells = pattern // WIDTH, []
+    rest = pattern % WIDTH
+    for n in reversed(CELLS):
+        cells.append(rest % n)
+        rest = rest // n
+    return np.stack([code // 27 % 3, code // 9 % 3, code // 3 % 3, code % 3], axis=1) - 1, np.stack(cells[::-1], axis=1)
+
 
+def _blocks() -> list[tuple[int, int]]:
+    """First column and size of each block of features: the kind, each labeler's vote and each cell by kind."""
+    sizes = [len(KINDS), *[3 * len(KINDS)] * 4, *(len(KINDS) * n for n in CELLS)]
+    return list(zip(np.cumsum([0, *sizes[:-1]]).tolist(), sizes, strict=True))
 
-def _decode(pattern: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    code = pattern // 4
-    return np.stack([code // 27 % 3, code // 9 % 3, code // 3 % 3, code % 3], axis=1) - 1, pattern % 4
+
+def _columns(no: np.ndarray, votes: np.ndarray, cells: np.ndarray) -> np.ndarray:
+    """Of each row the columns that are 1, one of each block."""
+    each = [no, *(no * 3 + v + 1 for v in votes.T), *(no * n + c for n, c in zip(CELLS, cells.T, strict=True))]
+    return np.stack([first + x for (first, _), x in zip(_blocks(), each, strict=True)], axis=1)
 
 
 def fit(found: DataFrame, rounds: int = 60) -> Model:
-    """Reliabilities by expectation-maximisation over the counts of vote patterns, then a classifier of their posteriors.
+    """Reliabilities by expectation-maximisation over the counts of votes, then a logistic classifier of the posteriors.
 
-    Counts come from all candidates. The driver gets one row for each kind and pattern, 2592 at most.
+    The classifier sees the votes, and by kind the shape and the context of a span, so it differs from the posterior where
+    spans of equal votes lie in unlike places. Counts come from all candidates. The driver gets a row for each kind and
+    pattern that occurs, 8 * 81 * WIDTH (1.1 million) at most, whatever the input.
     """
     rows = (
         found.select(F.explode("candidates").alias("c")).groupBy(F.col("c.no").alias("no"), F.col("c.pattern").alias("pattern")).count().collect()
     )
     no, pattern, n = (np.array([r[i] for r in rows], int) for i in range(3))
-    votes, size = _decode(pattern)
-    truth = np.clip(0.5 + 0.2 * votes.sum(axis=1), 0.1, 0.9)  # start: a soft majority
-    reliability = np.full((4, 2, 3), 1 / 3)
-    prior = np.full(len(KINDS), 0.5)
-    for _ in range(rounds if len(rows) else 0):
+    width = sum(size for _, size in _blocks())
+    reliability, prior, w = np.ones((len(KINDS), 4, 2, 3)), np.full(len(KINDS), 0.5), np.zeros(width)
+    if not len(rows):
+        return Model(reliability, prior, w)
+    votes, cells = _decode(pattern)
+    truth = np.clip(0.4 + 0.35 * votes.sum(axis=1), 0.1, 0.9)  # start: a soft majority; no votes tell rather no
+    before = np.array([[4.0, 0.0, 1.0], [1.0, 0.0, 4.0]])  # counts beforehand: labelers are right more often than not
+    for _ in range(rounds):
         for c, p in enumerate((1 - truth, truth)):
             for j in range(4):
-                seen = np.bincount(votes[:, j] + 1, weights=p * n, minlength=3) + np.array([1.0, 1.0, 1.0])
-                reliability[j, c] = seen / seen.sum()
+                seen = np.bincount(no * 3 + votes[:, j] + 1, weights=p * n, minlength=3 * len(KINDS)).reshape(-1, 3) + before[c]
+                seen[:, 1] = 0  # a labeler without an opinion tells nothing
+                reliability[:, j, c] = seen / seen.sum(axis=1, keepdims=True)
+                reliability[:, j, c, 1] = 1
         prior = (np.bincount(no, weights=truth * n, minlength=len(KINDS)) + 1) / (np.bincount(no, weights=n, minlength=len(KINDS)) + 2)
-        log = [np.log(q) + sum(np.log(reliability[j, c, votes[:, j] + 1]) for j in range(4)) for c, q in enumerate((1 - prior[no], prior[no]))]
+        log = [np.log(q) + sum(np.log(reliability[no, j, c, votes[:, j] + 1]) for j in range(4)) for c, q in enumerate((1 - prior[no], prior[no]))]
         truth = 1 / (1 + np.exp(np.clip(log[0] - log[1], -50, 50)))
-    x = _features(no, votes, size) if len(rows) else np.zeros((0, len(KINDS) + 12))
-    w = np.zeros(x.shape[1])
-    share = n / max(1, n.sum()) if len(rows) else n
-    for _ in range(40 if len(rows) else 0):  # Newton steps, slightly regularised
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        h = (x * (share * p * (1 - p))[:, None]).T @ x + 1e-4 * np.eye(len(w))
-        step = np.linalg.solve(h, x.T @ (share * (truth - p)) - 1e-4 * w)
-        w += np.clip(step, -2, 2)
+    ones, share = _columns(no, votes, cells), n / n.sum()
+    for _ in range(40):  # Newton steps, slightly regularised
+        p = 1 / (1 + np.exp(-np.clip(w[ones].sum(axis=1), -30, 30)))
+        h, g = 1e-4 * np.eye(width), -1e-4 * w
+        for j in range(ones.shape[1]):
+            g += np.bincount(ones[:, j], weights=share * (truth - p), minlength=width)
+            for k in range(ones.shape[1]):
+                h += np.bincount(ones[:, j] * width + ones[:, k], weights=share * p * (1 - p), minlength=width * width).reshape(width, width)
+        step = np.clip(np.linalg.solve(h, g), -2, 2)
+        w += step
+        if np.abs(step).max() < 1e-6:
+            break
     return Model(reliability, prior, w)
 
 
 def probability(model: Model, c: Column) -> Column:
     """The classifier's probability of a candidate, as arithmetic on its kind and pattern."""
-    k, w = len(KINDS), [float(x) for x in model.weights]
-    pick = lambda values, i: F.element_at(F.array(*map(F.lit, values)), i + 1)
-    code = F.floor(c["pattern"] / 4).cast("int")
-    logit = pick(w[:k], c["no"]) + pick(w[k + 8 :], F.pmod(c["pattern"], F.lit(4)))
-    for j, power in enumerate((27, 9, 3, 1)):
-        vote = F.pmod(F.floor(code / power).cast("int"), F.lit(3))
-        logit = logit + pick([w[k + 4 + j], 0.0, w[k + j]], vote)
-    return 1 / (1 + F.exp(-logit))
+    tables = [F.array(*map(F.lit, model.weights[first : first + size].tolist())) for first, size in _blocks()]
+    code, rest = F.floor(c["pattern"] / WIDTH).cast("int"), F.pmod(c["pattern"], F.lit(WIDTH))
+    each = [c["no"], *(c["no"] * 3 + F.pmod(F.floor(code / k).cast("int"), F.lit(3)) for k in (27, 9, 3, 1))]
+    power = WIDTH
+    for n in CELLS:
+        power //= n
+        each.append(c["no"] * n + F.pmod(F.floor(rest / power).cast("int"), F.lit(n)))
+    return 1 / (1 + F.exp(-sum((F.get(t, i) for t, i in zip(tables, each, strict=True)), F.lit(0.0))))
 
 
 def scan(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
     """(doc_id, text, ...) -> doc_id, base_spans and pii_spans, arrays of (start, no, end, kind), a row for each row.
 
     base_spans are the matches of the four base patterns that pass their checks. pii_spans also hold the candidates
-    which the classifier finds likelier than ``threshold`` and which overlap no base span. Offsets are code points, ends
-    exclusive. A null or empty text has none; no rows give no rows.
+    which the classifier finds likelier than ``threshold`` and which overlap no base span; candidates of several kinds on
+    one place are each kept. Offsets are code points, ends exclusive. A null or empty text has none; no rows give no rows.
     """
     found = materialize(candidates(docs), "pii")
     model = fit(found)

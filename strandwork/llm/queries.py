@@ -59,6 +59,7 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         *(_count("base_spans", k).alias(f"n_{k}") for k in ("assign", "access", "hex")),
         _digest(F.col("base_spans")).alias("base_sha256"),
         S.listed(F.col("secret_spans")).alias("spans"),
+        F.size("secret_spans").alias("n_spans"),
     )
 
 
@@ -70,6 +71,7 @@ def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
         *(_count("base_spans", k).alias(f"n_{k}") for k in pii.KINDS[:4]),
         _digest(F.col("base_spans")).alias("base_sha256"),
         S.listed(F.col("pii_spans")).alias("spans"),
+        F.size("pii_spans").alias("n_spans"),
     )
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 SPAN = "struct<start:int,end:int,m:string,before:string,after:string>"
 NONE = f"cast(array() as array<{SPAN}>)"
 CONTEXT = 40
+AFTER = 20
 
 
 def matches(text: Column, pattern: str) -> Column:
@@ -27,8 +28,8 @@ def staged(value: Column, *steps: Callable[[Column], Column]) -> Column:
 
 
 def located(text: Column, pattern: str, found: Column) -> Column:
-    """Spans of ``found`` (what ``matches`` gave): start, end (exclusive), the match, up to 40 characters before it that
-    belong to no other match, and the character after it. The pattern must not match the empty string.
+    """Spans of ``found`` (what ``matches`` gave): start, end (exclusive), the match, and up to 40 characters before it and
+    20 after it that belong to no other match. The pattern must not match the empty string.
 
     The text is split by the same pattern: the pieces between matches have the lengths that are missing. Ends are sums
     over the matches before, taken in about sqrt(n) blocks of sqrt(n) matches, as arrays can only grow by copying.
@@ -66,7 +67,7 @@ def located(text: Column, pattern: str, found: Column) -> Column:
                 e.alias("end"),
                 F.get(b["f"], i).alias("m"),
                 F.right(F.get(b["p"], i), F.lit(CONTEXT)).alias("before"),
-                F.left(F.get(b["p"], i + 1), F.lit(1)).alias("after"),
+                F.left(F.get(b["p"], i + 1), F.lit(AFTER)).alias("after"),
             ),
         )
 

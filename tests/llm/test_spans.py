@@ -7,6 +7,7 @@ import re
 import string
 from collections import Counter
 
+import numpy as np
 import pytest
 from strandwork.llm import pii, queries, secrets
 from pyspark.sql import functions as F
@@ -178,11 +179,69 @@ def test_redact(spark):
     assert (rows[2]["text"], rows[2]["n_chars"], rows[3]["text"]) == ("none", 7, None)
 
 
-def test_more_personal_data_is_found(spark):
-    lines = [f"Call me on phone {200 + i}-{234 + i}-{1000 + i} please, dear Mary Smith{'x' * (i % 3)}" for i in range(60)] + [f"social security 12{i % 10}-45-67{i:02d}" for i in range(60)]
-    found = scanned(spark, pii.scan, lines)
-    kinds = {s["kind"] for r in found.values() for s in r["pii_spans"]}
-    assert {"local", "ssn"} <= kinds
+def planted(r, n):
+    """(text, kind or None, value or name of the look-alike), half of them personal data of all eight kinds, half look-alikes."""
+    digit = lambda k: "".join(str(r.randint(0, 9)) for _ in range(k))
+    def card():
+        body = "4" + digit(14)
+        total = sum(d if i % 2 else (2 * d - 9 if d > 4 else 2 * d) for i, d in enumerate(map(int, body[::-1])))
+        return body + str(-total % 10)
+    real = {
+        "email": lambda: f"please write to {r.choice('abcd')}{digit(2)}@host{digit(1)}.org today",
+        "ip": lambda: f"login from server 10.{r.randint(0,255)}.{r.randint(0,255)}.7 failed",
+        "card": lambda: f"payment by visa card {card()} done",
+        "phone": lambda: f"my phone is +49 30 {digit(7)} at home",
+        "local": lambda: f"call me on phone {r.randint(2,9)}{r.randint(2,9)}{r.randint(2,9)}-{r.randint(2,9)}{digit(2)}-{digit(4)} please",
+        "ssn": lambda: f"social security number {r.randint(100,599)}-{r.randint(10,99)}-{r.randint(1000,9999)} on file",
+        "person": lambda: f"dear {r.choice(pii.NAMES)} {r.choice(pii.SURNAMES)}, thank you",
+        "account": lambda: f"from customer account {digit(10)} to pay",
+    }
+    fake = {
+        "version": lambda: f"version 7{digit(2)}.4{digit(2)}.{digit(3)}.{digit(1)} of the page",
+        "serial": lambda: f"the serial {digit(5)}7{digit(5)} is on page two",
+        "order": lambda: f"see order {digit(3)}-{digit(2)}-0000 and page five",
+        "street": lambda: f"in {r.choice(pii.NAMES)} {r.choice(pii.NOT_SURNAMES)} there was rain",
+        "part": lambda: f"build 1{digit(2)}-1{digit(2)}-{digit(4)} of the serial figure",
+    }
+    rows = []
+    for i in range(n):
+        k = list(real)[i % 8]; t = real[k]()
+        v = {"email": r"\S+@\S+", "person": r"(?<=dear )\w+ \w+", "phone": r"\+[\d ]+\d"}.get(k, r"\d[\d.-]+\d")
+        rows.append((t, k, re.search(v, t)[0]))
+        f = list(fake)[i % 5]
+        rows.append((fake[f](), None, f))
+    return rows
+
+
+def test_precision_and_recall_on_planted_spans(spark):
+    """All eight kinds among look-alikes: 0.95 of the planted ones are found, 0.95 of what is found is planted."""
+    rows = planted(random.Random(3), 400)
+    found = scanned(spark, pii.scan, [t for t, _, _ in rows])
+    right, wrong, missed, beyond = 0, 0, 0, set()
+    for i, (text, kind, value) in enumerate(rows):
+        spans = {(s["kind"], text[s["start"] : s["end"]]) for s in found[i]["pii_spans"]}
+        hit = {(k, x) for k, x in spans if k == kind and value in x}
+        right, missed, wrong = right + bool(hit), missed + (kind is not None and not hit), wrong + len(spans - hit)
+        beyond |= {k for k, _ in hit} - set(pii.KINDS[:4])
+    assert right >= 0.95 * (right + missed) and wrong <= 0.05 * (right + wrong)
+    assert beyond == set(pii.KINDS[4:])
+
+
+def test_the_fit_by_hand(spark):
+    """A candidate's probability in Spark is that of the weights in numpy; kinds on one place are each kept."""
+    rows = planted(random.Random(5), 120) + [("call phone 234-567-8901 account please", None, "x")] * 3
+    df = spark.createDataFrame([(i, t) for i, (t, _, _) in enumerate(rows)], "doc_id long, text string")
+    stage = pii.candidates(df)
+    model = pii.fit(stage)
+    got = stage.select(F.explode("candidates").alias("c")).select("c.no", "c.pattern", pii.probability(model, F.col("c")).alias("p")).collect()
+    no, pattern = (np.array([r[i] for r in got], int) for i in range(2))
+    votes, cells = pii._decode(pattern)
+    assert (np.abs(votes) <= 1).all() and (cells < np.array(pii.CELLS)).all()
+    want = 1 / (1 + np.exp(-model.weights[pii._columns(no, votes, cells)].sum(axis=1)))
+    assert np.allclose(want, [r["p"] for r in got])
+    places = stage.where("doc_id >= 240").select(F.explode("candidates").alias("c")).select("c.kind", "c.start").distinct().collect()
+    assert {r["kind"] for r in places} >= {"local", "account"}
+    assert pii.fit(stage.limit(0)).weights.sum() == 0
 
 
 def test_queries(spark, data, documents):
