@@ -1,4 +1,9 @@
-"""Near copies by exact Jaccard similarity of word shingles, found by prefix filtering; nothing above the threshold is missed."""
+"""Near copies by exact Jaccard similarity of word shingles; nothing above the threshold is missed.
+
+SimHash by multi-index hashing (``simhash.near_links``) goes first, on fingerprints of the same shingles, and its links are
+verified on whole sets. Fingerprints of similarity 0.8 differ in about ten of 64 bits, far more than balls of a bounded size
+reach, so what it leaves unlinked is found by prefix filtering.
+"""
 
 from __future__ import annotations
 
@@ -12,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import WordIds, connected_components, list_column, materialize, window_hashes
+from .simhash import majority, near_links
 
 BLOCK = 1024
 EPS = 1e-9
@@ -50,7 +56,8 @@ def _common(docs: DataFrame, words: int, rows: int = 8000, share: float = 0.02,
 
 
 def _sets(docs: DataFrame, words: int, similarity: float, common: dict[int, int]) -> DataFrame:
-    """(doc_id, text) -> (doc_id, node, n, prefix): the set's id, its size, and its first shingles in the common order.
+    """(doc_id, text) -> (doc_id, node, fp, n, prefix): the set's id, its fingerprint and size, and its first shingles in the
+    common order.
 
     Two sets of similarity ``similarity`` share so many shingles that each has one of them among its first
     n - ceil(similarity * n) + 1, whatever the order is. Rare shingles come first, so few sets share one.
@@ -62,12 +69,13 @@ def _sets(docs: DataFrame, words: int, similarity: float, common: dict[int, int]
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, (often, seen) = WordIds(), shared.value
         for batch in batches:
-            node, size, prefix = [], [], []
+            node, fp, size, prefix = [], [], [], []
             for x in batch.column(1):
                 found = shingles(x.as_py(), words, ids)
                 n = len(found)
                 k = n - math.ceil(similarity * n - EPS) + 1 if n else 0
                 node.append(set_id(found))
+                fp.append(majority(found))
                 size.append(n)
                 if n and len(often):
                     at = np.minimum(np.searchsorted(often, found), len(often) - 1)
@@ -75,10 +83,11 @@ def _sets(docs: DataFrame, words: int, similarity: float, common: dict[int, int]
                     found = found[np.argsort(rank, kind="stable")]
                 prefix.append(found[:k].view(np.int64))
             lists = list_column([len(p) for p in prefix], np.concatenate(prefix) if prefix else np.empty(0, np.int64), pa.int64())
-            cols = [batch.column(0), pa.array(node, pa.int64()), pa.array(size, pa.int32()), lists]
-            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "node", "n", "prefix"])
+            bits = pa.array(np.array(fp, np.uint64).view(np.int64))
+            cols = [batch.column(0), pa.array(node, pa.int64()), bits, pa.array(size, pa.int32()), lists]
+            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "node", "fp", "n", "prefix"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, node long, n int, prefix array<long>")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, node long, fp long, n int, prefix array<long>")
 
 
 def _sized(n_a: np.ndarray, n_b: np.ndarray, similarity: float) -> np.ndarray:
@@ -197,23 +206,34 @@ def _verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, words: int, si
     return materialize(pairs.select("a", "b", "x", "y").mapInArrow(run, "a long, b long"), "similar")
 
 
-def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+def _fingerprint_pairs(sets: DataFrame, radius: int) -> DataFrame:
+    """(a, b) of sets whose fingerprints lie within ``radius`` bits: enough of them to connect whatever does."""
+    kinds = sets.select("fp", "node").distinct()
+    first = materialize(kinds.groupBy("fp").agg(F.min("node").alias("node")), "fingerprints")
+    equal = kinds.join(first.withColumnRenamed("node", "b"), "fp").select(F.col("node").alias("a"), "b")
+    pairs = equal.unionByName(near_links(first, radius)).where("a <> b")
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+
+def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius: int = 3) -> DataFrame:
     """(doc_id, text, ...) -> (doc_id long, component_id long), a row for each row with a doc_id.
 
     component_id is the smallest doc_id that links reach, the own one included; texts are linked whose sets of shingles
     have a Jaccard similarity of ``similarity`` or more. Texts without words are one group; rows of one doc_id are one
-    document. Sets that share a shingle of their prefixes are candidates. Neighbours of a bucket are verified first, then
-    all pairs that those links have not joined, so that a large group needs no quadratic number of pairs.
+    document. Pairs whose fingerprints differ in ``radius`` bits or fewer are verified first; then sets that share a shingle
+    of their prefixes: neighbours of a bucket, and at last all pairs that those links have not joined, so that a large
+    group needs no quadratic number of pairs.
     """
     docs = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), "text")
     made = _sets(docs, words, similarity, _common(docs, words))
-    sets = materialize(made.select("doc_id", "node"), "sets")
+    sets = materialize(made.select("doc_id", "node", "fp"), "sets")
     rows = made.select("node", "n", F.posexplode("prefix").alias("at", "key")).select("key", "n", "node", "at")
     buckets = rows.repartition("key").sortWithinPartitions("key", "n", "node")
     buckets = materialize(buckets.mapInArrow(_some_pairs(similarity), BUCKET), "buckets")
     # Which pairs come first is free: those that meet in many buckets.
     some = buckets.where("b is not null").groupBy("a", "b", "n_a", "n_b").count()
-    some = materialize(some.where(F.col("count") >= (F.col("n_a") + F.col("n_b")) * (1 - similarity) / 5).select("a", "b"), "pairs")
+    some = some.where(F.col("count") >= (F.col("n_a") + F.col("n_b")) * (1 - similarity) / 5).select("a", "b")
+    some = materialize(some.unionByName(_fingerprint_pairs(sets, radius)).distinct(), "pairs")
     links = _verified(some, sets, docs, words, similarity)
     roots = connected_components(links)
     rooted = buckets.where("b is null").select("key", F.col("n_a").alias("n"), F.col("a").alias("node"), F.col("at_a").alias("at"))

@@ -34,6 +34,11 @@ def fingerprint(text: str | None, words: int = 3) -> int:
     first = [0, *(ends[: n - k] + 1).tolist()]
     digest = xxhash.xxh64_intdigest
     hashes = np.fromiter((digest(joined[a:b], 42) for a, b in zip(first, last, strict=True)), np.uint64, n - k + 1)
+    return majority(hashes)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The 64 bits that are set in over half of the hashes."""
     ones = np.zeros(64, np.int64)
     for i in range(0, len(hashes), 1 << 16):
         part = np.ascontiguousarray(hashes[i : i + (1 << 16)].astype("<u8"))
