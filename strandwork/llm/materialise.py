@@ -26,6 +26,9 @@ from .tokens import encoder, paths, small_ids
 
 ROUNDS = 6
 BLOCK = 256  # documents that are encoded before what is full goes out
+SLICE = 2048  # rows of the stream that are cut anew at once
+#: How the stream is stored: small row groups and no dictionaries, as a writer holds a row group of each column.
+STREAM = {"compression": "zstd", "parquet.compression.codec.zstd.level": "6", "parquet.block.size": str(8 << 20), "parquet.enable.dictionary": "false"}
 
 @dataclass(frozen=True)
 class Layout:
@@ -194,7 +197,7 @@ def write(docs: DataFrame, path: str, tokens: int = 1024, per_shard: int = 4096,
 
     for as_they_are in (True, False) if layout is None else ():
         made = stream(docs, tokens, tokenizer, ranks, as_they_are)
-        made.write.mode("overwrite").options(**{"compression": "zstd", "parquet.compression.codec.zstd.level": "6"}).parquet(f"{path}/stream")
+        made.write.mode("overwrite").options(**STREAM).parquet(f"{path}/stream")
         if all(r["rows"] == r["last"] + 1 for r in sums_by_split()):
             break  # else docs are shuffled rows: those of a split lie in several places
     sums, found = sums_by_split(), found.parquet(f"{path}/stream")
@@ -215,9 +218,7 @@ def write(docs: DataFrame, path: str, tokens: int = 1024, per_shard: int = 4096,
     def bundle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         perm, pack = Permutation(layout.n, layout.key), zstd.ZstdCompressor(level=3).compress
         splits, begins, there = known.value
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in (b.slice(a, SLICE) for b in batches for a in range(0, b.num_rows, SLICE)):
             begin = begins[np.searchsorted(splits, batch.column(0).to_numpy())] + batch.column(1).to_numpy() * size
             n = batch.column(3).to_numpy().astype(np.int64)
             data = batch.column(2)
@@ -285,13 +286,8 @@ def write(docs: DataFrame, path: str, tokens: int = 1024, per_shard: int = 4096,
     return layout
 
 
-def read(spark: SparkSession, path: str, start: int = 0) -> DataFrame:
-    """Slots from ``start`` on: (slot, shard, byte_offset, ids binary). Files of the shards before the first one aren't
-    opened."""
-    layout = _manifest(spark, path)
-    schema = "slot long, shard long, byte_offset long, ids binary"
-    if layout is None or start >= layout.n:
-        return spark.createDataFrame([], schema)
+def _records(spark: SparkSession, path: str, layout: Layout, start: int, names: list[str], schema: str, more) -> DataFrame:
+    """Slots from ``start`` on: slot, shard, byte_offset, and the columns that ``more`` makes of (slots, an array of records)."""
     first, _ = layout.place(start)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -301,30 +297,35 @@ def read(spark: SparkSession, path: str, start: int = 0) -> DataFrame:
                 if (data[:, -1] != 10).any() or data.size != layout.length(shard):
                     raise ValueError(f"shard {shard} is damaged")
                 skip = max(0, start - shard * layout.per_shard)
-                slot = shard * layout.per_shard + np.arange(len(data), dtype=np.int64)
                 for a in range(skip, len(data), 1024):
                     part = data[a : a + 1024, :-1]
-                    cols = [
-                        pa.array(slot[a : a + 1024]),
-                        pa.array(np.full(len(part), shard, np.int64)),
-                        pa.array(np.arange(a, a + len(part), dtype=np.int64) * layout.stride),
-                        pa.array([x.tobytes() for x in part], pa.binary()),
-                    ]
-                    yield pa.RecordBatch.from_arrays(cols, ["slot", "shard", "byte_offset", "ids"])
+                    at = np.arange(a, a + len(part), dtype=np.int64)
+                    slot = shard * layout.per_shard + at
+                    cols = [pa.array(slot), pa.array(np.full(len(part), shard, np.int64)), pa.array(at * layout.stride), *more(slot, part)]
+                    yield pa.RecordBatch.from_arrays(cols, names)
 
     return _shard_files(spark, path, first).select("shard", "content").mapInArrow(run, schema)
 
 
+def read(spark: SparkSession, path: str, start: int = 0) -> DataFrame:
+    """Slots from ``start`` on: (slot, shard, byte_offset, ids binary). Files of the shards before the first one aren't
+    opened."""
+    layout, schema = _manifest(spark, path), "slot long, shard long, byte_offset long, ids binary"
+    if layout is None or start >= layout.n:
+        return spark.createDataFrame([], schema)
+    ids = lambda slot, part: [pa.array([x.tobytes() for x in part], pa.binary())]
+    return _records(spark, path, layout, start, ["slot", "shard", "byte_offset", "ids"], schema, ids)
+
+
 def index(spark: SparkSession, path: str) -> DataFrame:
     """(slot, shard, byte_offset, sequence, ids_crc32) of every record, read from the shards; sequence is the number in
-    input order that the slot stands for, crc32 that of the ids as little-endian unsigned 16-bit numbers."""
-    layout = _manifest(spark, path)
+    the stream's order that the slot stands for, crc32 that of the ids as little-endian unsigned 16-bit numbers."""
+    layout, schema = _manifest(spark, path), "slot long, shard long, byte_offset long, sequence long, ids_crc32 long"
+    if layout is None or not layout.n:
+        return spark.createDataFrame([], schema)
+    order = Permutation(layout.n, layout.key)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        order = Permutation(layout.n, layout.key)
-        for batch in batches:
-            crc = [zlib.crc32(x.as_buffer()) for x in batch.column(3)]
-            cols = [*batch.columns[:3], pa.array(order.numbers(batch.column(0).to_numpy())), pa.array(crc, pa.int64())]
-            yield pa.RecordBatch.from_arrays(cols, ["slot", "shard", "byte_offset", "sequence", "ids_crc32"])
+    def more(slot: np.ndarray, part: np.ndarray) -> list[pa.Array]:
+        return [pa.array(order.numbers(slot)), pa.array([zlib.crc32(np.ascontiguousarray(x)) for x in part], pa.int64())]
 
-    return read(spark, path).mapInArrow(run, "slot long, shard long, byte_offset long, sequence long, ids_crc32 long")
+    return _records(spark, path, layout, 0, ["slot", "shard", "byte_offset", "sequence", "ids_crc32"], schema, more)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import functools
+import json
 from pathlib import Path
 
 import numpy as np
@@ -17,19 +18,21 @@ def encoder(path: str, ranks: str | None = None):
     (a .tiktoken file), ids come from there, five times as fast and the same (the tests compare the two); texts with a
     special token's string in them still go through ``tokenizers``.
     """
-    from tokenizers import Tokenizer
-
-    whole = Tokenizer.from_file(path)
-    special = [t.content for t in whole.get_added_tokens_decoder().values()]
+    held: list = []
 
     def slow(text: str) -> np.ndarray:
-        return np.asarray(whole.encode(text, add_special_tokens=False).ids, np.uint32)
+        if not held:  # large, and seldom needed where there are ranks
+            from tokenizers import Tokenizer
+
+            held.append(Tokenizer.from_file(path))
+        return np.asarray(held[0].encode(text, add_special_tokens=False).ids, np.uint32)
 
     if ranks is None:
         return slow
     import public_tokenizers
     import tiktoken
 
+    special = [t["content"] for t in json.loads(Path(path).read_bytes()).get("added_tokens", [])]
     pieces = {base64.b64decode(a): int(b) for a, b in map(bytes.split, Path(ranks).read_bytes().splitlines())}
     fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=pieces, special_tokens={})
 
