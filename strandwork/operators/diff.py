@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..constants import DIFF_ABS, DIFF_P, HALF_NUCLEOSOME, SITE_MIN_SCORE, TABLE_MIN_PERCENT
 from ..functions.scalar import sample_suffix, two_sided_p
 from .intervals import point_join
+from .link import pair_category
 
 
 def merge_sites(samples: list[DataFrame], keys: tuple[str, ...] = ("tf", "chr", "start", "end"), minimum: float = SITE_MIN_SCORE) -> DataFrame:
@@ -27,7 +28,7 @@ def percent_by_cluster(genes: DataFrame, sizes: DataFrame, clusters: list[int],
     """(tf, gene, cluster) and (cluster, size) -> tf and a column c1, c2, ... of the percentage of a cluster's genes with a
     site; rows that are all zero, all over ``minimum`` or nowhere over it are left out."""
     n = genes.groupBy("tf", "cluster").agg(F.countDistinct("gene").alias("n"))
-    share = n.join(F.broadcast(sizes), "cluster").select("tf", "cluster", (100 * F.col("n") / F.col("size")).alias("p"))
+    share = n.join(sizes, "cluster").select("tf", "cluster", (100 * F.col("n") / F.col("size")).alias("p"))
     columns = [f"c{c + 1}" for c in clusters]
     wide = share.groupBy("tf").pivot("cluster", clusters).agg(F.first("p"))
     wide = wide.select("tf", *(F.coalesce(F.col(str(c)), F.lit(0.0)).alias(k) for c, k in zip(clusters, columns, strict=True)))
@@ -70,6 +71,37 @@ def strongest_change(nucs: DataFrame, change: DataFrame, half: int = HALF_NUCLEO
     return met.groupBy("name", "tf").agg(F.max_by("diff", F.struct(F.abs("diff"), "diff")).alias("diff"))
 
 
+def change(a: DataFrame, b: DataFrame, keys: tuple[str, ...] = ("chr", "pos", "tf")) -> DataFrame:
+    """Two samples' stitched posteriors (keys, prob) -> keys, probA, probB and diff, B less A; a base that one sample lacks
+    counts 0 there. One aggregation of their union; rows that repeat a key are averaged within their sample."""
+    both = a.select(*keys, F.lit(0).alias("_s"), "prob").unionByName(b.select(*keys, F.lit(1).alias("_s"), "prob"))
+    of = lambda i: F.coalesce(F.avg(F.when(F.col("_s") == i, F.col("prob"))), F.lit(0.0))
+    return both.groupBy(*keys).agg(of(0).alias("probA"), of(1).alias("probB")).withColumn("diff", F.col("probB") - F.col("probA"))
+
+
+def between_samples(a: DataFrame, b: DataFrame, nucs: DataFrame, sites: DataFrame, p_cut: float = DIFF_P, least: float = DIFF_ABS) -> DataFrame:
+    """What differs between two decoded samples: (chr, start, end, tf, diff, probA, probB, z, p_value) of the sites.
+
+    a, b: stitched posteriors (chr, pos, tf, prob); nucs: linked nucleosomes (name, chr, dyadA, dyadB), at which no change is
+    expected but the background's; sites: (chr, start, end, tf). A site's change is that of its bases with the greatest
+    difference; it stands out against the strongest changes around the nucleosomes.
+    """
+    changed = change(a, b)
+    background = strongest_change(nucs, changed.select("chr", "pos", "tf", "diff"))
+    met = point_join(changed, sites.select("chr", "start", "end", F.col("tf").alias("_tf"))).where("tf = _tf")
+    strongest = F.max_by(F.struct("diff", "probA", "probB"), F.struct(F.abs("diff"), "diff", "pos"))
+    rows = met.groupBy("chr", "start", "end", "tf").agg(strongest.alias("c")).select("chr", "start", "end", "tf", "c.*")
+    return z_scores(rows, background.select("tf", "diff"), p_cut, least)
+
+
+def change_by_category(nucs: DataFrame, changed: DataFrame) -> DataFrame:
+    """(category, tf, n, mean, up, down): changes (name, tf, diff) of linked nucleosomes (name, dyadA, dyadB) by whether both
+    samples have the nucleosome."""
+    kinds = nucs.where("dyadA is not null or dyadB is not null").withColumns(pair_category()).select("name", "category")
+    up, down = (F.count_if(F.col("diff") > 0), F.count_if(F.col("diff") < 0))
+    return kinds.join(changed, "name").groupBy("category", "tf").agg(F.count("*").alias("n"), F.avg("diff").alias("mean"), up.alias("up"), down.alias("down"))
+
+
 def z_scores(change: DataFrame, background: DataFrame, p_cut: float = DIFF_P, least: float = DIFF_ABS) -> DataFrame:
     """(chr, start, end, tf, diff, probA, probB) against the (tf, diff) of the background -> those that stand out.
 
@@ -78,5 +110,5 @@ def z_scores(change: DataFrame, background: DataFrame, p_cut: float = DIFF_P, le
     """
     stats = background.groupBy("tf").agg(F.avg("diff").alias("_m"), F.stddev_pop("diff").alias("_s"))
     z = (F.col("diff") - F.col("_m")) / F.when(F.col("_s") > 0, F.col("_s"))
-    rows = change.where(F.abs("diff") > least).where("probA <= 1 and probB <= 1").join(F.broadcast(stats), "tf").withColumn("z", z)
+    rows = change.where(F.abs("diff") > least).where("probA <= 1 and probB <= 1").join(stats, "tf").withColumn("z", z)
     return rows.where("z is not null").withColumn("p_value", two_sided_p(F.col("z"))).where(F.col("p_value") < p_cut).drop("_m", "_s")

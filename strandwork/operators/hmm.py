@@ -15,6 +15,7 @@ from dataclasses import dataclass, field, replace
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,6 +26,7 @@ from ..functions.scalar import to_probabilities
 HEAD, MIDDLE, TAIL = 9, 128, 10
 NUC_STATES = HEAD + 4 * MIDDLE + TAIL
 DYAD_POSITION = NUCLEOSOME // 2
+TOGETHER = 4  # segments that a task decodes at once
 
 
 @dataclass(frozen=True)
@@ -159,56 +161,66 @@ class Kernel:
         self.chain[[0, self.nuc, *(x for pair in model.starts().values() for x in pair)]] = False
 
     def _forward_step(self, alpha: np.ndarray) -> np.ndarray:
+        """(segments x states) -> the next position's values before its emission."""
         a, b = self.middle.start, self.middle.stop
-        out = alpha[self.is_end].sum() * self.entry
-        out[1:] += np.where(self.chain[1:], alpha[:-1], 0)
-        mid = alpha[a:b].reshape(MIDDLE, 4)
-        out[a : a + 4] += alpha[a - 1] * self.first
-        out[a + 4 : b] += np.einsum("ki,kij->kj", mid[:-1], self.trans).ravel()
-        out[b] += mid[-1].sum()
+        out = alpha[:, self.is_end].sum(axis=1, keepdims=True) * self.entry
+        out[:, 1:] += np.where(self.chain[1:], alpha[:, :-1], 0)
+        mid = alpha[:, a:b].reshape(-1, MIDDLE, 4)
+        out[:, a : a + 4] += alpha[:, a - 1, None] * self.first
+        out[:, a + 4 : b] += np.matmul(mid[:, :-1, None, :], self.trans).reshape(len(alpha), -1)
+        out[:, b] += mid[:, -1].sum(axis=1)
         return out
 
     def _backward_step(self, x: np.ndarray) -> np.ndarray:
         """x: emission times backward value of the next position -> backward value."""
         a, b = self.middle.start, self.middle.stop
-        out = np.where(self.is_end, (self.entry * x).sum(), 0.0)
-        out[:-1] += np.where(self.chain[1:], x[1:], 0)
-        mid = x[a:b].reshape(MIDDLE, 4)
-        out[a - 1] += (self.first * mid[0]).sum()
-        out[a : b - 4] += np.einsum("kij,kj->ki", self.trans, mid[1:]).ravel()
-        out[b - 4 : b] += x[b]
+        out = np.where(self.is_end, (self.entry * x).sum(axis=1, keepdims=True), 0.0)
+        out[:, :-1] += np.where(self.chain[1:], x[:, 1:], 0)
+        mid = x[:, a:b].reshape(-1, MIDDLE, 4)
+        out[:, a - 1] += (self.first * mid[:, 0]).sum(axis=1)
+        out[:, a : b - 4] += np.matmul(self.trans, mid[:, 1:, :, None]).reshape(len(x), -1)
+        out[:, b - 4 : b] += x[:, b, None]
         return out
 
     def _emission(self, codes: np.ndarray | None, signals: dict[str, np.ndarray]) -> np.ndarray:
-        size = len(codes) if codes is not None else len(next(iter(signals.values())))
-        out = self.base[codes] if codes is not None and self.model.use_sequence else np.ones((size, self.n))
+        shape = codes.shape if codes is not None else next(iter(signals.values())).shape
+        out = self.base[codes] if codes is not None and self.model.use_sequence else np.ones((*shape, self.n))
         for name, values in signals.items():
             c = self.model.counts[name]
             mu = np.concatenate([[c.other[0], c.motif[0]], c.nucleosome[0]])
             phi = np.concatenate([[c.other[1], c.motif[1]], np.full(NUCLEOSOME, c.nucleosome[1])])
             seen, at = np.unique(values, return_inverse=True)
             table = np.array([[_nb(int(k), m, p) for m, p in zip(mu, phi, strict=True)] for k in seen])
-            out = out * table[:, self.position + 2][at]
+            out *= table[:, self.position + 2][at.reshape(shape)]
         return out
 
-    def posterior(self, codes: np.ndarray | None, signals: dict[str, np.ndarray]) -> tuple[np.ndarray, float]:
-        """Chances of states by base, and the log likelihood. One scale is shared by both directions."""
+    def posteriors(self, codes: np.ndarray | None, signals: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """Chances of states of segments of equal length (segments x bases x states), and the log likelihood of each. One
+        scale is shared by both directions. All segments take a step together."""
         tiny = np.finfo(float).tiny
-        e = self._emission(codes, signals)
-        n = len(e)
-        alpha, scale = np.empty((n, self.n)), np.empty(n)
+        e = np.ascontiguousarray(np.swapaxes(self._emission(codes, signals), 0, 1))  # base by base
+        n, m = e.shape[:2]
+        alpha, scale = np.empty((n, m, self.n)), np.empty((n, m, 1))
         for t in range(n):
-            x = (self.entry if t == 0 else self._forward_step(alpha[t - 1])) * e[t]
-            if not x.sum() > 0:
-                x = x + tiny
-            scale[t] = x.sum()
-            alpha[t] = x / scale[t]
-        beta = np.ones(self.n)
+            x = (np.broadcast_to(self.entry, (m, self.n)) if t == 0 else self._forward_step(alpha[t - 1])) * e[t]
+            total = x.sum(axis=1, keepdims=True)
+            if not (total > 0).all():
+                x = np.where(total > 0, x, x + tiny)
+                total = x.sum(axis=1, keepdims=True)
+            scale[t] = total
+            alpha[t] = x / total
+        beta = np.ones((m, self.n))
         for t in range(n - 2, -1, -1):
             beta = self._backward_step(np.maximum(e[t + 1], 0) * beta) / scale[t + 1]
             alpha[t] *= beta
-        total = alpha.sum(axis=1, keepdims=True)
-        return alpha / np.where(total > 0, total, 1), float(np.log(scale).sum())
+        total = alpha.sum(axis=2, keepdims=True)
+        alpha /= np.where(total > 0, total, 1)
+        return np.swapaxes(alpha, 0, 1), np.log(scale).sum(axis=(0, 2))
+
+    def posterior(self, codes: np.ndarray | None, signals: dict[str, np.ndarray]) -> tuple[np.ndarray, float]:
+        """``posteriors`` of one segment."""
+        post, ll = self.posteriors(None if codes is None else codes[None], {k: v[None] for k, v in signals.items()})
+        return post[0], float(ll[0])
 
     def expected(self, post: np.ndarray) -> dict[str, float]:
         """Expected entries by element: background, both strands of each motif, nucleosome."""
@@ -224,60 +236,111 @@ def _inputs(segments: DataFrame, model: Model) -> DataFrame:
     return segments.select("segment_id", "chr", "start", *(["codes"] if model.use_sequence else []), *model.counts)
 
 
-def _rows(batch: pa.RecordBatch, model: Model) -> Iterator[tuple]:
-    for r in range(batch.num_rows):
-        get = lambda c: np.array(batch.column(c)[r].values)  # noqa: E731, B023
-        codes = get("codes").astype(int) if model.use_sequence else None
-        yield batch.column("segment_id")[r].as_py(), batch.column("chr")[r].as_py(), batch.column("start")[r].as_py(), codes, {k: get(k) for k in model.counts}
+def _decoded(batches: Iterator[pa.RecordBatch], model: Model, strict_compat: bool = False) -> Iterator[tuple]:
+    """(segment, chr, start, posterior, log likelihood) of each row; TOGETHER segments of equal length are decoded at once."""
+    kernel = Kernel(model, strict_compat)
+    for batch in batches:
+        sizes = np.array([len(x) for x in batch.column(batch.num_columns - 1)], np.int64)
+        order = np.argsort(sizes, kind="stable")
+        for same in np.split(order, np.flatnonzero(np.diff(sizes[order])) + 1) if len(order) else ():
+            for i in range(0, len(same), TOGETHER):
+                rows = same[i : i + TOGETHER].tolist()
+                get = lambda c: np.stack([np.asarray(batch.column(c)[r].values) for r in rows])  # noqa: E731, B023
+                codes = get("codes").astype(int) if model.use_sequence else None
+                if not sizes[rows[0]]:
+                    continue
+                post, ll = kernel.posteriors(codes, {k: get(k) for k in model.counts})
+                for k, r in enumerate(rows):
+                    yield *(batch.column(c)[r].as_py() for c in ("segment_id", "chr", "start")), post[k], float(ll[k])
 
 
 def decode(segments: DataFrame, model: Model, cut: float = POSTERIOR_CUT, strict_compat: bool = False) -> DataFrame:
     """(segment_id, chr, start[, codes], a count array for each signal of the model) -> the sparse posterior
-    (segment_id, chr, pos, state, prob) with prob >= cut. A segment is decoded in one piece, so its memory is its bases
-    times states."""
+    (segment_id, chr, pos, state, prob) with prob >= cut. A segment is decoded in one piece, TOGETHER of equal length at
+    once, so a task's memory is that many times bases times states."""
     shared = segments.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kernel = Kernel(shared.value, strict_compat)
-        for batch in batches:
-            for segment, chrom, start, codes, signals in _rows(batch, shared.value):
-                post, _ = kernel.posterior(codes, signals)
-                at, state = np.nonzero(post >= cut)
-                cols = [pa.array(np.full(len(at), segment)), pa.array([chrom] * len(at), pa.string()), pa.array(start + at), pa.array(state.astype(np.int32)), pa.array(post[at, state])]
-                yield pa.RecordBatch.from_arrays(cols, ["segment_id", "chr", "pos", "state", "prob"])
+        for segment, chrom, start, post, _ in _decoded(batches, shared.value, strict_compat):
+            at, state = np.nonzero(post >= cut)
+            cols = [pa.array(np.full(len(at), segment)), pa.array([chrom] * len(at), pa.string()), pa.array(start + at), pa.array(state.astype(np.int32)), pa.array(post[at, state])]
+            yield pa.RecordBatch.from_arrays(cols, ["segment_id", "chr", "pos", "state", "prob"])
 
     return _inputs(segments, model).mapInArrow(run, "segment_id long, chr string, pos long, state int, prob double")
 
 
+def decode_factors(segments: DataFrame, model: Model, cut: float = POSTERIOR_CUT) -> DataFrame:
+    """(segment_id, chr, pos, dbf, prob): as ``decode`` and the sum by factor, added up before rows leave the worker."""
+    shared = segments.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        factors = shared.value.factors()
+        names = sorted({f for _, f in factors})
+        member = np.zeros((shared.value.n_states, len(names)))
+        for state, f in factors:
+            member[state, names.index(f)] = 1
+        for segment, chrom, start, post, _ in _decoded(batches, shared.value):
+            sums = np.where(post >= cut, post, 0) @ member
+            at, k = np.nonzero(sums)
+            dbf = pa.DictionaryArray.from_arrays(pa.array(k.astype(np.int32)), pa.array(names)).cast(pa.string())
+            cols = [pa.array(np.full(len(at), segment)), pa.array([chrom] * len(at), pa.string()), pa.array(start + at), dbf, pa.array(sums[at, k])]
+            yield pa.RecordBatch.from_arrays(cols, ["segment_id", "chr", "pos", "dbf", "prob"])
+
+    return _inputs(segments, model).mapInArrow(run, "segment_id long, chr string, pos long, dbf string, prob double")
+
+
 def expectations(segments: DataFrame, model: Model) -> DataFrame:
     """(segment_id, dbf, expected, log_likelihood): what training needs of a segment, before any cut."""
     shared = segments.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kernel = Kernel(shared.value)
-        for batch in batches:
-            for segment, _, _, codes, signals in _rows(batch, shared.value):
-                post, ll = kernel.posterior(codes, signals)
-                rows = [(segment, k, x, ll) for k, x in kernel.expected(post).items()]
-                yield pa.RecordBatch.from_pandas(pd.DataFrame(rows, columns=["segment_id", "dbf", "expected", "log_likelihood"]), preserve_index=False)
+        for segment, _, _, post, ll in _decoded(batches, shared.value):
+            rows = [(segment, k, x, ll) for k, x in kernel.expected(post).items()]
+            yield pa.RecordBatch.from_pandas(pd.DataFrame(rows, columns=["segment_id", "dbf", "expected", "log_likelihood"]), preserve_index=False)
 
     return _inputs(segments, model).mapInArrow(run, "segment_id long, dbf string, expected double, log_likelihood double")
 
 
-def train(segments: DataFrame, model: Model, rounds: int = EM_ROUNDS, cap: float | None = None) -> tuple[Model, list[float]]:
+def log_likelihoods(segments: DataFrame, model: Model) -> DataFrame:
+    """(segment_id, log_likelihood): how well the model explains each segment."""
+    return expectations(segments, model).where("dbf = 'background'").select("segment_id", "log_likelihood")
+
+
+def _round(spark: SparkSession, path: str, i: int) -> tuple[Model, float] | None:
+    """What round ``i`` left under ``path``: the model before it and the log likelihood under that model."""
+    try:
+        return Model.load(spark, f"{path}/round-{i}/model"), spark.read.schema("log_likelihood double").json(f"{path}/round-{i}/likelihood").first()[0]
+    except (AnalysisException, TypeError):
+        return None
+
+
+def train(segments: DataFrame, model: Model, rounds: int = EM_ROUNDS, cap: float | None = None, path: str | None = None) -> tuple[Model, list[float]]:
     """Expectation-maximisation of the weights -> the model and the log likelihood before each round and after the last.
 
     A round returns one row for each element to the driver. Motifs over ``cap`` (by default ``motif_cap`` of the first
-    weights) are held there.
+    weights) are held there. With a ``path``, each round's model and likelihood are kept there, and a training that was
+    interrupted goes on after its last finished round.
     """
     from .occupancy import capped, weights
 
+    spark = segments.sparkSession
     cap = motif_cap(model.weights) if cap is None else cap
     history: list[float] = []
     segments = segments.persist()
     for i in range(rounds + 1):
-        found = expectations(segments, model).persist()
-        history.append(found.groupBy("segment_id").agg(F.first("log_likelihood").alias("l")).agg(F.sum("l")).first()[0] or 0.0)
+        if path and (kept := _round(spark, path, i)):
+            model = kept[0]
+            history.append(kept[1])
+            if i == rounds or _round(spark, path, i + 1):
+                continue
+            found = expectations(segments, model).persist()
+        else:
+            found = expectations(segments, model).persist()
+            history.append(found.groupBy("segment_id").agg(F.first("log_likelihood").alias("l")).agg(F.sum("l")).first()[0] or 0.0)
+            if path:
+                model.save(spark, f"{path}/round-{i}/model")
+                spark.createDataFrame([(history[-1],)], "log_likelihood double").coalesce(1).write.mode("overwrite").json(f"{path}/round-{i}/likelihood")
         if i < rounds:
             new = {r["dbf"]: r["weight"] for r in capped(weights(found), cap).collect()}
             total = sum(new.values())

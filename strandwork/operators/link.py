@@ -6,7 +6,7 @@ import math
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..constants import LINK_MIN_OCCUPANCY, LINK_TOLERANCE, SHIFT_THRESHOLD
@@ -105,10 +105,10 @@ def named(linked: DataFrame, n: int) -> DataFrame:
     rows = linked.withColumn("_at", F.coalesce(*dyads))
     rows = running(rows, F.lit(1).cast("long"), "sum", "_k", ["_at", *dyads], at="_at")
     sizes = linked.groupBy("chr").agg(F.count("*").alias("_n"))
-    other = sizes.select(F.col("chr").alias("_c"), F.col("_n").alias("_m"))
-    before = sizes.join(F.broadcast(other), F.col("_c") < F.col("chr"), "left").groupBy("chr").agg(F.coalesce(F.sum("_m"), F.lit(0)).alias("_before"))
+    earlier = Window.orderBy("chr").rowsBetween(Window.unboundedPreceding, -1)  # a row for each chromosome
+    before = sizes.select("chr", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
     name = F.concat(F.lit("nuc_"), (F.col("_before") + F.col("_k") - 1).cast("string"))
-    return rows.join(F.broadcast(before), "chr").withColumn("name", name).drop("_at", "_k", "_before")
+    return rows.join(before, "chr").withColumn("name", name).drop("_at", "_k", "_before")
 
 
 def cumulative_shifts(shift: list[str]) -> dict[str, Column]:

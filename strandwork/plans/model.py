@@ -30,10 +30,7 @@ def _segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def hmm_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    model = small_model()
-    posterior = hmm.decode(_segments(spark, sf_dir), model)
-    states = spark.createDataFrame(model.factors(), "state int, dbf string")
-    found = occupancy.by_factor(posterior, states, ("segment_id", "chr", "pos"))
+    found = hmm.decode_factors(_segments(spark, sf_dir), small_model())
     return found.groupBy("chr", "pos", "dbf").agg(F.avg("prob").alias("prob"))
 
 

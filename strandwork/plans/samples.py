@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.scalar import ERFC
 from ..operators import cluster, diff, link
 from ..operators.occupancy import union_all
 from ..operators.signal import midpoint_histogram
@@ -158,10 +159,51 @@ def z_score_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("chr", "start", "end", "tf", F.round("diff", 6).alias("diff"), F.round("z", 4).alias("z"))
 
 
-@query()
+#: The p-value's polynomial in SQL, over t.
+POLYNOMIAL = "(" * 9 + f"{ERFC[-1]}" + "".join(f" * t + {c})" for c in ERFC[::-1][1:])
+
+
+@query(
+    f"""WITH {Z}, x AS (SELECT c.*, (diff - m) / s AS z, abs((diff - m) / s) / sqrt(2.0) AS x FROM c JOIN b USING (tf) WHERE abs(diff) > 0.001), y AS (SELECT *, 1 / (1 + x / 2) AS t FROM x),
+    p AS (SELECT *, t * exp(-x * x + {POLYNOMIAL}) AS p FROM y)
+    SELECT chr, start, "end", tf, round(diff, 6) AS diff, round("probA", 6) AS "probA", round("probB", 6) AS "probB", round(z, 4) AS z, round(p, 6) AS p_value FROM p WHERE p < 0.05"""
+)
 def differential_p_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _changes(spark, sf_dir)
-    return diff.z_scores(rows, rows.select("tf", "diff"))
+    found = diff.z_scores(rows, rows.select("tf", "diff"))
+    digits = {"diff": 6, "probA": 6, "probB": 6, "z": 4, "p_value": 6}
+    return found.select("chr", "start", "end", "tf", *(F.round(c, k).alias(c) for c, k in digits.items()))
+
+
+def _posterior(spark: SparkSession, sf_dir: str, flag: str) -> DataFrame:
+    """Line items of a return flag as a posterior: a probability for each supplier's chromosome, part and line status."""
+    rows = T.table(spark, sf_dir, "lineitem").where(F.col("l_returnflag") == flag)
+    keys = [F.concat(F.lit("chr"), F.pmod("l_suppkey", F.lit(16))).alias("chr"), F.col("l_partkey").alias("pos"), F.col("l_linestatus").alias("tf")]
+    return rows.select(*keys, (F.col("l_discount") * 10).alias("prob"))
+
+
+@query(
+    """WITH s AS (SELECT l_returnflag AS f, 'chr' || (l_suppkey % 16) AS chr, l_partkey AS pos, l_linestatus AS tf, avg(l_discount * 10) AS prob FROM lineitem WHERE l_returnflag IN ('A', 'R') GROUP BY ALL),
+    a AS (SELECT chr, pos, tf, prob AS pa FROM s WHERE f = 'A'), r AS (SELECT chr, pos, tf, prob AS pr FROM s WHERE f = 'R')
+    SELECT chr, pos, tf, round(coalesce(pa, 0), 6) AS "probA", round(coalesce(pr, 0), 6) AS "probB", round(coalesce(pr, 0) - coalesce(pa, 0), 6) + 0.0 AS diff FROM a FULL JOIN r USING (chr, pos, tf)"""
+)
+def posterior_change(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = diff.change(_posterior(spark, sf_dir, "A"), _posterior(spark, sf_dir, "R"))
+    return found.select("chr", "pos", "tf", *((F.round(c, 6) + 0.0).alias(c) for c in ("probA", "probB", "diff")))
+
+
+@query(
+    f"""WITH {GRID}, n AS (SELECT chr || ':' || cell AS name, CASE WHEN "dyadA" IS NULL THEN 'null_A' WHEN "dyadB" IS NULL THEN 'null_B' ELSE 'not_null' END AS category FROM shifted
+    WHERE "dyadA" IS NOT NULL OR "dyadB" IS NOT NULL),
+    v AS (SELECT chr || ':' || CAST(floor(ref_start / 100) AS BIGINT) AS name, CASE WHEN user_id % 2 = 0 THEN 'even' ELSE 'odd' END AS tf, round(value) - 100 AS diff FROM fragments)
+    SELECT category, tf, count(*) AS n, round(avg(diff), 6) AS mean, count(*) FILTER (diff > 0) AS up, count(*) FILTER (diff < 0) AS down FROM n JOIN v USING (name) GROUP BY ALL"""
+)
+def change_by_category(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nucs = _grid(spark, sf_dir).withColumn("name", F.concat_ws(":", "chr", "cell"))
+    rows = T.fragments(spark, sf_dir).withColumn("name", F.concat_ws(":", "chr", F.floor(F.col("ref_start") / 100)))
+    tf = F.when(F.pmod("user_id", F.lit(2)) == 0, "even").otherwise("odd").alias("tf")
+    found = diff.change_by_category(nucs, rows.select("name", tf, (F.round("value") - 100).alias("diff")))
+    return found.withColumn("mean", F.round("mean", 6))
 
 
 @query(

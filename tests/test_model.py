@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from strandwork import api
 from strandwork.config import parse
 from strandwork.functions import scalar
-from strandwork.operators import fit, hmm, occupancy
+from strandwork.operators import diff, fit, hmm, occupancy
 
 
 def model(**more):
@@ -91,6 +91,48 @@ def test_training_never_lowers_the_likelihood(spark):
     assert sum(found.weights.values()) == pytest.approx(1)
 
 
+def test_segments_decoded_together_are_those_decoded_alone(spark):
+    m, r = model(), np.random.default_rng(3)
+    kernel = hmm.Kernel(m)
+    codes, counts = r.integers(0, 5, (5, 230)), r.integers(0, 3, (5, 230))
+    post, ll = kernel.posteriors(codes, {"long": counts})
+    for i in range(5):
+        one, l = kernel.posterior(codes[i], {"long": counts[i]})
+        assert np.allclose(post[i], one) and ll[i] == pytest.approx(l)
+    segs = segments(spark, 6)
+    sums = {(x["segment_id"], x["pos"], x["dbf"]): x["prob"] for x in hmm.decode_factors(segs, m).collect()}
+    states = spark.createDataFrame(m.factors(), "state int, dbf string")
+    want = hmm.decode(segs, m).join(states, "state").groupBy("segment_id", "pos", "dbf").agg(F.sum("prob").alias("prob")).collect()
+    assert {k: pytest.approx(v) for k, v in sums.items()} == {(x["segment_id"], x["pos"], x["dbf"]): x["prob"] for x in want}
+    found = {x["segment_id"]: x["log_likelihood"] for x in hmm.log_likelihoods(segs, m).collect()}
+    for x in segs.collect():
+        assert found[x["segment_id"]] == pytest.approx(kernel.posterior(np.array(x["codes"]), {"long": np.array(x["long"])})[1])
+
+
+def test_an_interrupted_training_goes_on(spark, tmp_path, monkeypatch):
+    segs, m, path = segments(spark), model(), str(tmp_path / "em")
+    want, history = hmm.train(segs, m, 3)
+    hmm.train(segs, m, 1, path=path)
+    asked, plain = [], hmm.expectations
+    monkeypatch.setattr(hmm, "expectations", lambda s, x: asked.append(1) or plain(s, x))
+    got, after = hmm.train(segs, m, 3, path=path)
+    assert len(asked) == 3 and after == pytest.approx(history)
+    assert got.weights == pytest.approx(want.weights)
+    asked.clear()
+    assert hmm.train(segs, m, 3, path=path)[1] == pytest.approx(history) and not asked
+
+
+def test_what_differs_between_two_samples(spark):
+    a = spark.createDataFrame([("c", p, "T", 0.1) for p in range(400)] + [("c", 100, "T", 0.3)], "chr string, pos long, tf string, prob double")
+    b = spark.createDataFrame([("c", p, "T", 0.1 + 0.01 * (p % 3 == 0) + 0.8 * (p == 305)) for p in range(400)], "chr string, pos long, tf string, prob double")
+    rows = {r["pos"]: r for r in diff.change(a, b).collect()}
+    assert len(rows) == 400 and rows[100]["probA"] == pytest.approx(0.2) and rows[305]["diff"] == pytest.approx(0.8)
+    nucs = spark.createDataFrame([("n1", "c", 80, 90), ("n2", "c", 200, 201), ("n3", "c", None, 5)], "name string, chr string, dyadA long, dyadB long")
+    sites = spark.createDataFrame([("c", 300, 310, "T"), ("c", 10, 20, "T"), ("c", 300, 310, "U")], "chr string, start long, end long, tf string")
+    found = diff.between_samples(a, b, nucs, sites).collect()
+    assert [(r["start"], r["tf"], round(r["diff"], 3)) for r in found] == [(300, "T", 0.8)]
+
+
 def test_decode_stitch_and_calls(spark, tmp_path):
     m, segs = model(), segments(spark)
     posterior = api.decode(segs, m, str(tmp_path / "p"))
