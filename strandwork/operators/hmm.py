@@ -26,7 +26,7 @@ from ..functions.scalar import to_probabilities
 HEAD, MIDDLE, TAIL = 9, 128, 10
 NUC_STATES = HEAD + 4 * MIDDLE + TAIL
 DYAD_POSITION = NUCLEOSOME // 2
-TOGETHER = 4  # segments that a task decodes at once
+TOGETHER = 8  # segments that a task decodes at once
 
 
 @dataclass(frozen=True)
@@ -138,8 +138,8 @@ class Kernel:
         s, w = self.n, model.weights
         base = np.zeros((5, s))
         base[:4, 0] = model.background
-        self.entry, self.is_end = np.zeros(s), np.zeros(s, bool)
-        self.entry[0], self.is_end[0] = w["background"], True
+        self.entry, self.is_end = np.zeros(s), np.zeros(s)
+        self.entry[0], self.is_end[0] = w["background"], 1
         self.position = np.full(s, -2)  # -2 background, -1 motif, else position in the nucleosome
         for name, (forward, backward) in model.starts().items():
             m = np.array(model.motifs[name])
@@ -147,9 +147,9 @@ class Kernel:
             base[:4, forward:backward], base[:4, backward : backward + size] = m.T, m[::-1, ::-1].T
             self.position[forward : backward + size] = -1
             for a in (forward, backward):
-                self.entry[a], self.is_end[a + size - 1] = w[name] / 2, True
+                self.entry[a], self.is_end[a + size - 1] = w[name] / 2, 1
         a, b = self.nuc + HEAD, self.nuc + HEAD + 4 * MIDDLE
-        self.entry[self.nuc], self.is_end[s - 1] = w["nucleosome"], True
+        self.entry[self.nuc], self.is_end[s - 1] = w["nucleosome"], 1
         base[:4, self.nuc : a], base[:4, b:] = np.array(model.ends[:HEAD]).T, np.array(model.ends[HEAD:]).T
         base[:4, a:b] = np.tile(np.eye(4), MIDDLE)
         self.position[self.nuc :] = np.concatenate([np.arange(HEAD), HEAD + np.repeat(np.arange(MIDDLE), 4), HEAD + MIDDLE + np.arange(TAIL)])
@@ -159,26 +159,27 @@ class Kernel:
         self.chain = np.ones(s, bool)  # states reached from the one before them
         self.chain[self.entry > 0] = self.chain[a:b] = self.chain[b] = False
         self.chain[[0, self.nuc, *(x for pair in model.starts().values() for x in pair)]] = False
+        self.chain = self.chain.astype(float)
 
     def _forward_step(self, alpha: np.ndarray) -> np.ndarray:
         """(segments x states) -> the next position's values before its emission."""
         a, b = self.middle.start, self.middle.stop
-        out = alpha[:, self.is_end].sum(axis=1, keepdims=True) * self.entry
-        out[:, 1:] += np.where(self.chain[1:], alpha[:, :-1], 0)
+        out = (alpha @ self.is_end)[:, None] * self.entry
+        out[:, 1:] += alpha[:, :-1] * self.chain[1:]
         mid = alpha[:, a:b].reshape(-1, MIDDLE, 4)
         out[:, a : a + 4] += alpha[:, a - 1, None] * self.first
-        out[:, a + 4 : b] += np.matmul(mid[:, :-1, None, :], self.trans).reshape(len(alpha), -1)
+        out[:, a + 4 : b] += sum(mid[:, :-1, i, None] * self.trans[:, i] for i in range(4)).reshape(len(alpha), -1)
         out[:, b] += mid[:, -1].sum(axis=1)
         return out
 
     def _backward_step(self, x: np.ndarray) -> np.ndarray:
         """x: emission times backward value of the next position -> backward value."""
         a, b = self.middle.start, self.middle.stop
-        out = np.where(self.is_end, (self.entry * x).sum(axis=1, keepdims=True), 0.0)
-        out[:, :-1] += np.where(self.chain[1:], x[:, 1:], 0)
+        out = (x @ self.entry)[:, None] * self.is_end
+        out[:, :-1] += x[:, 1:] * self.chain[1:]
         mid = x[:, a:b].reshape(-1, MIDDLE, 4)
         out[:, a - 1] += (self.first * mid[:, 0]).sum(axis=1)
-        out[:, a : b - 4] += np.matmul(self.trans, mid[:, 1:, :, None]).reshape(len(x), -1)
+        out[:, a : b - 4] += sum(mid[:, 1:, j, None] * self.trans[:, :, j] for j in range(4)).reshape(len(x), -1)
         out[:, b - 4 : b] += x[:, b, None]
         return out
 
@@ -233,7 +234,10 @@ def _nb(k: int, mu: float, phi: float) -> float:
 
 
 def _inputs(segments: DataFrame, model: Model) -> DataFrame:
-    return segments.select("segment_id", "chr", "start", *(["codes"] if model.use_sequence else []), *model.counts)
+    """What a decoder needs, dealt over all tasks: a segment is small, but takes long."""
+    spark = segments.sparkSession
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return segments.repartition(tasks, "segment_id").select("segment_id", "chr", "start", *(["codes"] if model.use_sequence else []), *model.counts)
 
 
 def _decoded(batches: Iterator[pa.RecordBatch], model: Model, strict_compat: bool = False) -> Iterator[tuple]:
