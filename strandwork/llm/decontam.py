@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import re
+from array import array
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from itertools import repeat
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +23,8 @@ BLOCK = 4  # units of a block
 LIGHT = 0.3
 SHINGLE = 5
 K1, B = 1.2, 0.75
+END = 1 << 62  # a cursor behind its last posting
+_place = itemgetter(0)
 
 #: A-Z become lower case and ASCII punctuation becomes white space, byte by byte.
 NORMAL = bytes(ord(chr(i).lower()) if 65 <= i <= 90 else 32 if i < 128 and not chr(i).isalnum() else i for i in range(256))
@@ -51,7 +56,7 @@ class Index:
     A unit is retrieved for a passage if the shares of the terms they have in common reach ``threshold``. Of each unit's
     terms, the lightest ones, together ``LIGHT`` at most, are not essential. For all passages of a text at once, the
     essential terms' block maxima are added up; a passage in which no block comes to the threshold less ``LIGHT`` can't
-    reach it. For the others the sums of all block maxima pick the blocks whose postings are read.
+    reach it. The others walk the postings by pivots, see ``retrieve``.
     """
 
     def __init__(self, items: list[tuple[int, str]], threshold: float) -> None:
@@ -82,30 +87,62 @@ class Index:
                 rows.append((self.terms[t], u, x / total, x / total if below > LIGHT else 0.0))
         rows.sort()
         term, unit, share, essential = (np.array([r[i] for r in rows], k) for i, k in enumerate((int, int, float, float)))
-        self.unit, self.share = unit, share
+        self.unit, self.share = array("q", unit.tolist()), array("d", share.tolist())
+        self.first = np.searchsorted(term, np.arange(len(self.terms) + 1)).tolist()
         blocks = unit // BLOCK
         head = np.flatnonzero(np.concatenate([[True], (term[1:] != term[:-1]) | (blocks[1:] != blocks[:-1])])) if len(rows) else np.empty(0, np.int64)
-        self.block = blocks[head]
-        self.block_max = np.maximum.reduceat(share, head) if len(rows) else share
-        self.block_from, self.block_to = head, np.append(head[1:], len(rows))
-        self.term_from = np.searchsorted(term[head], np.arange(len(self.terms) + 1))
+        most = np.maximum.reduceat(share, head) if len(rows) else share
+        self.block_max = dict(zip(zip(term[head].tolist(), blocks[head].tolist(), strict=True), most.tolist(), strict=True))
+        self.most = [max(self.share[a:b]) for a, b in zip(self.first, self.first[1:], strict=False)]
         self.n_blocks = -(-len(units) // BLOCK)
         most = np.maximum.reduceat(essential, head) if len(rows) else share
         heavy = np.flatnonzero(most > 0)
-        self.heavy_block, self.heavy_max = self.block[heavy], most[heavy]
+        self.heavy_block, self.heavy_max = blocks[head][heavy], most[heavy]
         self.heavy_from = np.searchsorted(term[head][heavy], np.arange(len(self.terms) + 2))  # the last: not a term
 
-    def retrieve(self, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Numbers and scores of the units that reach the threshold for a passage with these distinct terms."""
-        entries = _ranges(self.term_from[terms], self.term_from[terms + 1])
-        bound = np.bincount(self.block[entries], weights=self.block_max[entries], minlength=self.n_blocks)
-        entries = entries[(bound >= self.threshold - 1e-9)[self.block[entries]]]
-        if not len(entries):
-            return entries, self.share[:0]
-        postings = _ranges(self.block_from[entries], self.block_to[entries])
-        score = np.bincount(self.unit[postings], weights=self.share[postings])
-        found = np.flatnonzero(score >= self.threshold - 1e-9)
-        return found, score[found]
+    def retrieve(self, terms: np.ndarray) -> tuple[list[int], list[float]]:
+        """Numbers and scores of the units that reach the threshold for a passage with these distinct terms.
+
+        Block-max WAND: cursors on the terms' postings stand in order of their units. The pivot is the first unit at which
+        the greatest shares of the terms up to it reach the threshold; none before it can. If its block's maxima don't, all
+        units up to the block's end or the next cursor are skipped, else lagging cursors move up to it or it is scored.
+        """
+        need = self.threshold - 1e-9
+        walk = [[self.unit[a], a, b, self.most[t], t] for t in terms.tolist() if (a := self.first[t]) < (b := self.first[t + 1])]
+        units: list[int] = []
+        scores: list[float] = []
+
+        def move(cursors: list[list], to: int) -> None:
+            for c in cursors:
+                if c[0] < to:
+                    c[1] = bisect_left(self.unit, to, c[1], c[2])
+                    c[0] = self.unit[c[1]] if c[1] < c[2] else END
+
+        while walk:
+            walk.sort(key=_place)
+            while walk and walk[-1][0] == END:
+                walk.pop()
+            reach, n = 0.0, 0
+            while n < len(walk) and reach < need:
+                reach += walk[n][3]
+                n += 1
+            if reach < need:
+                break
+            pivot = walk[n - 1][0]
+            while n < len(walk) and walk[n][0] == pivot:
+                n += 1
+            block = pivot // BLOCK
+            if sum(self.block_max.get((c[4], block), 0.0) for c in walk[:n]) < need:
+                move(walk[:n], min((block + 1) * BLOCK, walk[n][0] if n < len(walk) else END))
+            elif walk[0][0] < pivot:
+                move(walk[:n], pivot)
+            else:
+                score = sum(self.share[c[1]] for c in walk[:n])
+                if score >= need:
+                    units.append(pivot)
+                    scores.append(score)
+                move(walk[:n], pivot + 1)
+        return units, scores
 
     def passages(self, term: np.ndarray) -> np.ndarray:
         """Numbers of the passages that may reach the threshold; passage k has the chunks k and k + 1 of UNIT words."""
@@ -139,7 +176,7 @@ class Index:
         best: dict[int, float] = {}
         for a in begin.tolist():
             known = np.unique(term[a : a + PASSAGE])
-            for u, s in zip(*(x.tolist() for x in self.retrieve(known[known < none])), strict=True):
+            for u, s in zip(*self.retrieve(known[known < none]), strict=True):
                 item = int(self.item_of[u])
                 best[item] = max(s, best.get(item, 0.0))
         if not best:

@@ -107,6 +107,15 @@ def hits_by_hand(documents, items, overlap=0.8):
     return out
 
 
+def asked_and_said(text, item):
+    """Half of the question's shingles and half of the answer's words are in the text."""
+    question, answer = map(decontam.normal_words, decontam.question_and_answer(item))
+    words, k = decontam.normal_words(text), min(5, len(question))
+    shingles = lambda w: {tuple(w[i : i + k]) for i in range(len(w) - k + 1)}
+    asked = not k or 2 * len(shingles(question) & shingles(words)) >= len(shingles(question))
+    return asked and 2 * len(set(answer) & set(words)) >= len(set(answer))
+
+
 def test_benchmark_query(spark, data, documents):
     import pandas as pd
 
@@ -135,6 +144,67 @@ def test_benchmark_passages_in_disguise(spark, data, mode):
     assert [(r["doc_id"], r["item_id"]) for r in found.collect()] == [(1, item["item_id"])]
 
 
+@pytest.mark.parametrize("seed", range(6))
+def test_pivots_find_every_unit(seed, threshold=0.5):
+    import random
+
+    import numpy as np
+
+    rng = random.Random(seed)
+    words = [f"w{i}" for i in range(40 * (seed + 1))]
+    some = lambda n: rng.choices(words, [1 / (i + 1) for i in range(len(words))], k=n)
+    items = [(i, " ".join(some(rng.randint(1, 150)))) for i in range(60)]
+    index = decontam.Index(items, threshold)
+    term_of = np.repeat(np.arange(len(index.terms)), np.diff(index.first))
+    for _ in range(60):
+        part = rng.choice(items)[1].split()
+        asked = {index.terms[w] for w in rng.sample(part, len(part) * rng.randint(4, 10) // 10) + some(40) if w in index.terms}
+        score = np.bincount(np.array(index.unit), np.array(index.share) * np.isin(term_of, list(asked)))
+        units, scores = index.retrieve(np.array(sorted(asked), int))
+        assert units == np.flatnonzero(score >= threshold - 1e-9).tolist() and np.allclose(scores, score[units])
+
+
+def test_pivots_skip_postings():
+    """A passage that shares rare words with one item alone reads few of the postings of its frequent words."""
+    import numpy as np
+
+    class Read(list):
+        n = 0
+
+        def __getitem__(self, i):
+            Read.n += 1
+            return super().__getitem__(i)
+
+    items = [(i, f"the of and a to {' '.join(f'r{i}x{k}' for k in range(12))}") for i in range(4000)]
+    index = decontam.Index(items, 0.5)
+    index.share = Read(index.share)
+    asked = decontam.normal_words(items[1234][1])
+    units, _ = index.retrieve(np.array(sorted(index.terms[w] for w in asked)))
+    assert units == [1234] and Read.n < 40
+
+
+@pytest.mark.parametrize("share", [0.85, 0.9, 1.0])
+def test_recall_of_scattered_and_edited_items(spark, data, share):
+    """A piece of each item of that share of its words, some edited, within other text: found if the overlaps say so."""
+    import random
+
+    rng = random.Random(7)
+    items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{data}/benchmark.parquet").collect()]
+    fill = [f"fill{i}" for i in range(300)]
+    rows = []
+    for i, text in items:
+        words = text.split()
+        cut = rng.randint(0, int(len(words) * (1 - share)))
+        words = words[cut : cut + round(len(words) * share)]
+        for k in rng.sample(range(len(words)), len(words) // 60):
+            words[k] = "edited"
+        rows.append((len(rows), " ".join(rng.choices(fill, k=rng.randint(0, 400)) + words + rng.choices(fill, k=rng.randint(0, 400))), *[None] * 3))
+    want = {(d, i) for d, i in hits_by_hand([r[:2] for r in rows], items) if asked_and_said(rows[d][1], dict(items)[i])}
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    found = {(r["doc_id"], r["item_id"]) for r in decontam.contaminated(docs, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert found <= want and len(found) >= 0.9 * len(want) and len(want) >= 0.5 * len(items)
+
+
 def test_benchmark_edges(spark, edge, nothing):
     items = spark.createDataFrame([(1, None), (None, "x"), (3, ""), (4, "same words in both rows here"), (5, "same words in both rows here"), (6, "one")], "item_id long, text string")
     found = {(r["doc_id"], r["item_id"]) for r in decontam.contaminated(edge, items).collect()}
