@@ -13,13 +13,14 @@ from __future__ import annotations
 
 import json
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, positions
+from .common import connected_components, materialize, positions
 
 MESSAGE, CALL, RESULT, TOOL = range(4)
 REFERENCE = re.compile(r"\$\{([^{}\s]+)\}")
@@ -170,81 +171,170 @@ def _first(rows: DataFrame, keys: list[str], what: str) -> DataFrame:
     return some.groupBy(*keys).agg(F.min(F.struct("turn", "idx", "json", "args")).alias(what))
 
 
-def order_calls(calls: DataFrame, results: DataFrame) -> DataFrame:
-    """Linked calls -> (conv_id, id, level, at): topological level and the turn at which a call can stand at the earliest.
+def _later(*turns: int | None) -> int | None:
+    return max((t for t in turns if t is not None), default=None)
+
+
+def walk(nodes: dict[int, tuple[int | None, int | None, list[int]]]) -> dict[int, tuple[int | None, int | None]]:
+    """eid -> (turn, turn of the result, eids of needs), a whole component, -> eid -> (level, at); see ``order_calls``."""
+    open_, needed_by = {}, defaultdict(list)
+    for eid, (_, _, needs) in nodes.items():
+        open_[eid] = len(needs)
+        for x in needs:
+            needed_by[x].append(eid)
+    out: dict[int, tuple[int | None, int | None]] = {}
+    back: dict[int, int | None] = {}
+    level, now = 0, [e for e, n in open_.items() if not n]
+    while now:
+        after = []
+        for eid in now:
+            turn, result, needs = nodes[eid]
+            at = _later(turn, *(back[x] for x in needs))
+            out[eid], back[eid] = (level, at), _later(at, result)
+            for x in needed_by[eid]:
+                open_[x] -= 1
+                if not open_[x]:
+                    after.append(x)
+        level, now = level + 1, after
+    return {eid: out.get(eid, (None, turn)) for eid, (turn, _, _) in nodes.items()}
+
+
+def _walked(nodes: DataFrame) -> DataFrame:
+    """``walk`` of the components (root) of nodes; a task reads them one after the other."""
 
-    calls: (conv_id, id, turn, needs); results: (conv_id, id, turn). Level after level, calls whose needs are all placed
-    are placed: one round for each link of the longest chain. Calls in a cycle, or behind one, get a null level.
-    """
-    spark = calls.sparkSession
-    ids = calls.select("conv_id", "id")
-    needs = calls.select("conv_id", "id", F.explode("needs").alias("need")).distinct()
-    needs = materialize(needs.join(ids.withColumnRenamed("id", "need"), ["conv_id", "need"], "left_semi"), "needs")
-    done_at = calls.join(results.withColumnRenamed("turn", "back"), ["conv_id", "id"], "left")
-    done_at = done_at.select("conv_id", "id", "turn", F.greatest("turn", "back").alias("back"))
-    free = done_at.join(needs, ["conv_id", "id"], "left_anti")
-    placed = free.select("conv_id", "id", F.lit(0).alias("level"), F.col("turn").alias("at"), "back")
-    if needs.isEmpty():
-        return placed.drop("back")
-    waiting, rounds = done_at.join(needs.select("conv_id", "id").distinct(), ["conv_id", "id"], "left_semi"), 0
-    waiting = materialize(waiting, "waiting")
-    placed = materialize(placed, "placed")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, tuple] = {}
+        root = None
+
+        def done() -> pa.RecordBatch:
+            found = walk(held)
+            cols = [list(found), [x[0] for x in found.values()], [x[1] for x in found.values()]]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["eid", "level", "at"])
+
+        for batch in batches:
+            for key, eid, turn, result, needs in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if key != root and held:
+                    yield done()
+                    held = {}
+                root, held[eid] = key, (turn, result, needs)
+        if held:
+            yield done()
+
+    kinds = [pa.int64(), pa.int32(), pa.int64()]
+    return nodes.repartition("root").sortWithinPartitions("root").mapInArrow(run, PLACED)
+
+
+PLACED = "eid long, level int, at long"
+
+
+def _by_rounds(nodes: DataFrame) -> DataFrame:
+    """What ``_walked`` gives, for components of any size: a round of joins places the calls whose needs are placed."""
+    needs = materialize(nodes.select("eid", F.explode("needs").alias("need")), "needs")
+    free = nodes.where(F.size("needs") == 0)
+    placed = materialize(free.select("eid", F.lit(0).alias("level"), F.col("turn").alias("at"), F.greatest("turn", "result").alias("back")), "placed")
+    waiting, rounds = materialize(nodes.where(F.size("needs") > 0).select("eid", "turn", "result"), "waiting"), 0
     while not waiting.isEmpty():
         rounds += 1
-        before = placed.select("conv_id", F.col("id").alias("need"), F.col("level").alias("l"), F.col("back").alias("b"))
+        before = placed.select(F.col("eid").alias("need"), F.col("level").alias("l"), F.col("back").alias("b"))
         ready = (
-            needs.join(waiting.select("conv_id", "id"), ["conv_id", "id"], "left_semi")
-            .join(before, ["conv_id", "need"], "left")
-            .groupBy("conv_id", "id")
+            needs.join(waiting.select("eid"), "eid", "left_semi")
+            .join(before, "need", "left")
+            .groupBy("eid")
             .agg(F.count_if(F.col("l").isNull()).alias("open"), F.max("l").alias("l"), F.max("b").alias("b"))
             .where("open = 0")
         )
-        new = waiting.join(ready, ["conv_id", "id"]).select(
-            "conv_id",
-            "id",
-            (F.col("l") + 1).alias("level"),
-            F.greatest("turn", "b").alias("at"),
-            F.greatest("turn", "b", "back").alias("back"),
-        )
+        at = F.greatest("turn", "b")
+        new = waiting.join(ready, "eid").select("eid", (F.col("l") + 1).alias("level"), at.alias("at"), F.greatest(at, "result").alias("back"))
         new = materialize(new, f"level-{rounds}")
         if new.isEmpty():
             break
         placed = placed.unionByName(new)
-        waiting = materialize(waiting.join(new, ["conv_id", "id"], "left_anti"), f"waiting-{rounds}")
-    stuck = waiting.select("conv_id", "id", F.lit(None).cast("int").alias("level"), F.col("turn").alias("at"))
-    return placed.drop("back").unionByName(stuck) if rounds else spark.createDataFrame([], placed.drop("back").schema)
+        waiting = materialize(waiting.join(new, "eid", "left_anti"), f"waiting-{rounds}")
+    return placed.drop("back").unionByName(waiting.select("eid", F.lit(None).cast("int").alias("level"), F.col("turn").alias("at")))
+
+
+def order_calls(calls: DataFrame, edges: DataFrame, most: int = 100_000) -> DataFrame:
+    """(eid, turn, result) and (eid, need) -> (eid, level, at) of the calls in edges.
+
+    level is topological, at the turn at which a call can stand at the earliest: its own, or that of the last result that
+    it needs. Calls in a cycle, or behind one, get a null level and their own turn. Edges join calls to components in
+    logarithmic rounds; a component of ``most`` calls and edges is walked within a task, a larger one by a round of joins
+    for each level.
+    """
+    edges = materialize(edges.distinct(), "edges")
+    if edges.isEmpty():
+        return calls.sparkSession.createDataFrame([], PLACED)
+    named = connected_components(edges.select(F.col("eid").alias("a"), F.col("need").alias("b")))
+    wanted = edges.groupBy("eid").agg(F.collect_list("need").alias("needs"))
+    both = edges.select("eid").unionByName(edges.select(F.col("need").alias("eid"))).distinct()
+    nodes = (
+        both.join(wanted, "eid", "left")
+        .join(named.withColumnRenamed("node", "eid"), "eid", "left")
+        .join(calls, "eid")
+        .select(F.coalesce("root", "eid").alias("root"), "eid", "turn", "result", F.coalesce("needs", F.expr("cast(array() as array<bigint>)")).alias("needs"))
+    )
+    nodes = materialize(nodes, "nodes")
+    sizes = nodes.groupBy("root").agg(F.sum(1 + F.size("needs")).alias("n"))
+    large = materialize(sizes.where(F.col("n") > most).select("root"), "large")
+    if large.isEmpty():
+        return _walked(nodes)
+    return _walked(nodes.join(large, "root", "left_anti")).unionByName(_by_rounds(nodes.join(large, "root", "left_semi")))
+
+
+def last_uses(asks: DataFrame, calls: DataFrame) -> DataFrame:
+    """(eid, conv, need, turn) and (conv, id, turn, use) -> (eid, conv, need, use): the last use of the id at or before the turn,
+    or the first one (0). Running values are taken in ranges of (conv, id, turn) and then over ranges."""
+    given = calls.select("conv", F.col("id").alias("need"), "turn", F.lit(0).alias("late"), "use", F.lit(None).cast("long").alias("eid"))
+    asked = asks.select("conv", "need", "turn", F.lit(1).alias("late"), F.lit(None).cast("long").alias("use"), "eid")
+    rows = given.unionByName(asked).repartitionByRange("conv", "need", "turn", "late").withColumn("part", F.spark_partition_id())
+    rows = materialize(rows, "asks")
+    group = ["conv", "need"]
+    here = Window.partitionBy(*group, "part").orderBy("turn", "late", "use").rowsBetween(Window.unboundedPreceding, 0)
+    earlier = Window.partitionBy(*group).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = rows.groupBy(*group, "part").agg(F.max("use").alias("last")).withColumn("before", F.max("last").over(earlier))
+    found = rows.withColumn("use", F.max("use").over(here)).where("late = 1").join(parts.drop("last"), [*group, "part"])
+    return found.select("eid", *group, F.coalesce("use", "before", F.lit(0).cast("long")).alias("use"))
 
 
 def link(messages: DataFrame, tools: DataFrame | None = None) -> DataFrame:
     """(conv_id, turn, role, text) -> (conv_id, position, turn, kind, role, id, linked, valid, json), a row for each event.
 
-    kind is message, call or result. Calls and results are hash-joined by conversation and id: the first call and the
-    first result of an id (by turn) are linked, others stay and are not. Events are ordered by turn, but a result comes
-    after its call, and a call after the results that it needs; calls in a cycle keep their turn, and their ``valid``
-    says ``cycle``. Else ``valid`` is what ``check`` says of a call's arguments under its conversation's schema for the
-    name, or that of ``tools`` (name, schema). ``json`` is canonical.
+    kind is message, call or result. Calls and results are hash-joined by conversation, id and use: the k-th call of an id
+    (by turn, index and JSON) meets its k-th result, others are not linked. A call that needs an id needs its last use of
+    the same turn or an earlier one, else its first; its own id is the use before it. Events are ordered by turn, but a
+    result comes after its call, and a call after the results that it needs; calls in a cycle keep their turn, and their
+    ``valid`` says ``cycle``. Else ``valid`` is what ``check`` says of a call's arguments under its conversation's schema
+    for the name, or that of ``tools`` (name, schema). ``json`` is canonical.
 
-    A null or broken text is the content null or itself; null conv_ids are one conversation; null turns come first;
-    repeated rows are each kept; no rows give no rows. No task holds a whole conversation.
+    A null or broken text is the content null or itself; null conv_ids are one conversation; null turns come first; null
+    ids are not linked; repeated rows are each kept; no rows give no rows. No task holds a whole conversation.
     """
-    found = materialize(events(messages), "events")
-    calls, results = found.where(F.col("kind") == CALL), found.where(F.col("kind") == RESULT)
-    key = ["conv_id", "id"]
-    first_call = _first(calls, key, "c").hint("shuffle_hash")
-    first_result = _first(results, key, "r").hint("shuffle_hash")
-    pairs = first_call.join(first_result, key, "full_outer")
-    needs = calls.select(*key, "turn", "idx", "json", "needs").alias("x")
-    pairs = materialize(pairs.select(*key, "c", "r"), "pairs")
-    first = pairs.where("c is not null").select(*key, F.col("c.turn").alias("turn"), F.col("c.idx").alias("idx"), F.col("c.json").alias("json"))
-    ordered = order_calls(
-        needs.join(first, [*key, "turn", "idx", "json"]).groupBy(*key, "turn").agg(F.first("needs").alias("needs")),
-        pairs.where("r is not null").select(*key, F.col("r.turn").alias("turn")),
+    conv = F.coalesce(F.col("conv_id").cast("string"), F.lit("none")).alias("conv")
+    found = materialize(events(messages).select("*", conv, F.monotonically_increasing_id().alias("eid")), "events")
+    calls = found.where(F.col("kind") == CALL)
+    used = found.where(F.col("kind").isin(CALL, RESULT) & F.col("id").isNotNull()).select("conv", "id", "kind", "turn", "idx", "json", "eid")
+    used = positions(used, ["conv", "id", "kind"], ["turn", "idx", "json", "eid"], "uses").withColumnRenamed("position", "use")
+    used = materialize(used.select("eid", "conv", "id", "kind", "turn", "use"), "used")
+    named = used.where(F.col("kind") == CALL).drop("kind")
+    results = used.where(F.col("kind") == RESULT).select("conv", "id", "use", F.col("eid").alias("r_eid"), F.col("turn").alias("result"))
+    pairs = materialize(named.hint("shuffle_hash").join(results, ["conv", "id", "use"]).select("eid", "r_eid", "result"), "pairs")
+
+    asks = calls.select("eid", "conv", "id", "turn", F.explode("needs").alias("need"))
+    own = asks.where("need = id").join(named.select("eid", "use"), "eid").select("eid", "conv", "need", F.greatest(F.col("use") - 1, F.lit(0)).alias("use"))
+    asks = asks.where("id is null or need <> id").join(named.select("conv", F.col("id").alias("need")).distinct(), ["conv", "need"], "left_semi")
+    wanted = last_uses(asks, named).unionByName(own)
+    edges = wanted.join(named.select("conv", F.col("id").alias("need"), "use", F.col("eid").alias("to")), ["conv", "need", "use"])
+    placed = order_calls(calls.select("eid", "turn").join(pairs.drop("r_eid"), "eid", "left"), edges.select("eid", F.col("to").alias("need")))
+    known = calls.select("eid", "turn").join(pairs.drop("result"), "eid", "left").join(placed.withColumn("stuck", F.col("level").isNull()), "eid", "left")
+    known = materialize(
+        known.select("eid", "r_eid", F.coalesce("level", F.lit(0)).alias("level"), F.coalesce("at", "turn").alias("at"), F.coalesce("stuck", F.lit(False)).alias("stuck")), "placed"
     )
-    linked = pairs.join(ordered, key, "left").withColumn("both", F.col("c").isNotNull() & F.col("r").isNotNull())
+    of_calls = known.select("eid", F.col("r_eid").isNotNull().alias("linked"), "level", "at", "stuck")
+    of_results = known.where("r_eid is not null").select(F.col("r_eid").alias("eid"), F.lit(True).alias("linked"), "level", "at", F.lit(False).alias("stuck"))
 
-    defined = _first(found.where(F.col("kind") == TOOL), ["conv_id", "name"], "d")
-    defined = defined.select("conv_id", "name", F.col("d.args").alias("schema"))
-    checked = calls.join(defined, ["conv_id", "name"], "left")
+    defined = _first(found.where(F.col("kind") == TOOL), ["conv", "name"], "d")
+    defined = defined.select("conv", "name", F.col("d.args").alias("schema"))
+    checked = calls.join(defined, ["conv", "name"], "left")
     if tools is not None:
         common = tools.where("name is not null").groupBy("name").agg(F.min("schema").alias("common"))
         checked = checked.join(common, "name", "left").withColumn("schema", F.coalesce("schema", "common"))
@@ -254,32 +344,24 @@ def link(messages: DataFrame, tools: DataFrame | None = None) -> DataFrame:
             said = [check(a, s) for a, s in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns[2:], pa.array(said, pa.string())], names)
 
-    kept = ["conv_id", "turn", "kind", "idx", "role", "id", "json"]
+    kept = ["eid", "conv_id", "turn", "kind", "idx", "role", "id", "json"]
     names = [*kept, "valid"]
-    schema = ", ".join(f"{x} {t}" for x, t in zip(names, ["long", "long", "int", "int", *["string"] * 4], strict=True))
-    checked = checked.select("args", "schema", *kept).mapInArrow(run, schema)
-    rest = found.where(F.col("kind").isin(MESSAGE, RESULT)).select(*kept, F.lit(None).cast("string").alias("valid"))
-    rows = checked.unionByName(rest)
-    keyed = rows.where("id is not null").join(linked, key, "left")
-    rows = keyed.unionByName(rows.where("id is null"), allowMissingColumns=True)
-    own = F.struct("turn", "idx", "json")
-    mine = F.when(F.col("kind") == CALL, own == F.struct("c.turn", "c.idx", "c.json")).when(
-        F.col("kind") == RESULT, own == F.struct("r.turn", "r.idx", "r.json")
-    )
-    mine = F.coalesce(mine & F.col("both"), F.lit(False))
-    level = F.coalesce(F.col("level"), F.lit(0))
-    moved = F.col("kind").isin(CALL, RESULT) & F.col("at").isNotNull()
+    schema = ", ".join(f"{x} {t}" for x, t in zip(names, ["long", "long", "long", "int", "int", *["string"] * 4], strict=True))
+    checked = checked.select("args", "schema", *kept).mapInArrow(run, schema).join(of_calls, "eid", "left")
+    results = found.where(F.col("kind") == RESULT).select(*kept, F.lit(None).cast("string").alias("valid")).join(of_results, "eid", "left")
+    rest = found.where(F.col("kind") == MESSAGE).select(*kept)
+    rows = checked.unionByName(results).unionByName(rest, allowMissingColumns=True)
     rows = rows.select(
         "conv_id",
         "turn",
         F.element_at(F.array(*map(F.lit, ["message", "call", "result"])), F.col("kind") + 1).alias("kind"),
         "role",
         "id",
-        F.when(F.col("kind") != MESSAGE, mine).alias("linked"),
-        F.when((F.col("kind") == CALL) & F.col("level").isNull() & F.col("at").isNotNull(), F.lit("cycle")).otherwise(F.col("valid")).alias("valid"),
+        F.when(F.col("kind") != MESSAGE, F.coalesce("linked", F.lit(False))).alias("linked"),
+        F.when(F.col("stuck"), F.lit("cycle")).otherwise(F.col("valid")).alias("valid"),
         "json",
-        F.when(moved, F.greatest("turn", "at")).otherwise(F.col("turn")).alias("_at"),
-        F.when(F.col("kind") == MESSAGE, 0).otherwise(2 * level + F.col("kind")).alias("_phase"),
+        F.greatest("turn", "at").alias("_at"),
+        F.when(F.col("kind") == MESSAGE, 0).otherwise(2 * F.coalesce("level", F.lit(0)) + F.col("kind")).alias("_phase"),
         "idx",
     )
     placed = positions(rows, ["conv_id"], ["_at", "_phase", "turn", "idx", "json"], "events")

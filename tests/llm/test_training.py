@@ -167,6 +167,73 @@ def test_a_long_chain_of_calls(spark):
     assert [r["id"] for r in found] == [str(i // 2) for i in range(24)] and {r["valid"] for r in found if r["kind"] == "call"} == {"ok"}
 
 
+def linked_by_hand(rows):
+    """(position, kind, id, linked, valid) of each event of each conversation, one event after the other in plain Python."""
+    out = {}
+    for conv in {r[0] for r in rows}:
+        events = [(t, *e) for c, t, r, x in rows if c == conv for e in chat.parse(r, x)]
+        key = lambda e: (e[0], e[2], e[7])
+        uses = {}
+        for kind in (chat.CALL, chat.RESULT):
+            for i in sorted((i for i, e in enumerate(events) if e[1] == kind and e[3] is not None), key=lambda i: key(events[i])):
+                uses.setdefault((kind, events[i][3]), []).append(i)
+        result = {c: r for (k, x), cs in uses.items() if k == chat.CALL for c, r in zip(cs, uses.get((chat.RESULT, x), []), strict=False)}
+        needs = {}
+        for i, e in enumerate(events):
+            for x in e[6] or [] if e[1] == chat.CALL else []:
+                there = uses.get((chat.CALL, x), [])
+                if x == e[3]:
+                    needs.setdefault(i, []).append(there[max(0, there.index(i) - 1)])
+                elif there:
+                    needs.setdefault(i, []).append(([j for j in there if events[j][0] <= e[0]] or there[:1])[-1])
+        placed, more = {}, True
+        while more:
+            more = False
+            for i, e in enumerate(events):
+                if e[1] == chat.CALL and i not in placed and all(j in placed for j in needs.get(i, [])):
+                    level = 1 + max((placed[j][0] for j in needs.get(i, [])), default=-1)
+                    at = max([e[0], *(placed[j][2] for j in needs.get(i, []))])
+                    placed[i], more = (level, at, max(at, events[result[i]][0]) if i in result else at), True
+        order = []
+        call_of = {r: c for c, r in result.items()}
+        for i, e in enumerate(events):
+            level, at, _ = placed.get(call_of.get(i, i), (0, e[0], None))
+            order.append((max(e[0], at), 0 if e[1] == chat.MESSAGE else 2 * level + e[1], *key(e), i))
+        for p, (*_, i) in enumerate(sorted(order)):
+            e = events[i]
+            called = e[1] == chat.CALL
+            linked = None if e[1] == chat.MESSAGE else i in result or i in call_of
+            out[conv, p] = (e[7], linked, ("no_schema" if i in placed else "cycle") if called else None)
+    return out
+
+
+@pytest.mark.parametrize("most", [100_000, 12])
+def test_thousands_of_random_calls(spark, monkeypatch, most):
+    """Ids used again, missing results, forward needs, cycles: against plain Python; also when components pass a task's bound."""
+    rng = random.Random(most)
+    rows = []
+    for conv in range(40 if most > 12 else 4):
+        ids = [f"c{i}" for i in range(rng.choice([4, 12, 60]))]
+        for turn in range(rng.randint(2, 30)):
+            calls = []
+            for _ in range(rng.randint(0, 5)):
+                near = [x for x in rng.sample(ids, min(len(ids), 3)) if rng.random() < 0.25]
+                calls.append({"id": rng.choice(ids), "name": "f", "arguments": {"n": rng.random(), "of": [f"${{{x}}}" for x in near[:1]]}, "depends_on": near[1:]})
+            rows.append((conv, turn, "assistant", json.dumps({"content": rng.choice(["a", "b"]), "tool_calls": calls})))
+            rows += [(conv, turn + rng.randint(0, 2), "tool", json.dumps({"tool_call_id": c["id"], "content": rng.random()})) for c in calls if rng.random() < 0.8]
+    monkeypatch.setattr(chat.order_calls, "__defaults__", (most,))
+    found = chat.link(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    want = linked_by_hand(rows)
+    assert {(r["conv_id"], r["position"]): (r["json"], r["linked"], r["valid"]) for r in found} == want
+    assert most == 12 or sum(x[1] is not None for x in want.values()) > 1500
+
+
+def test_ids_used_in_every_turn(spark):
+    rows = [(c, 2 * t + k, ["assistant", "tool"][k], json.dumps([{"tool_calls": [{"id": "call_0", "name": "f", "arguments": {}, "depends_on": ["call_0"] * (t > 0)}]}, {"tool_call_id": "call_0", "content": t}][k])) for c in (7, None) for t in range(50) for k in (0, 1)]
+    found = chat.link(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).orderBy("conv_id", "position").collect()
+    assert all(r["linked"] and r["valid"] in (None, "no_schema") for r in found) and [r["turn"] for r in found] == 2 * list(range(100))
+
+
 def test_chat_query(spark, data):
     import pandas as pd
 
