@@ -7,10 +7,11 @@ from dataclasses import replace
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .config import Config
+from .config import Config, parse
 from .constants import DINUCLEOTIDE_SAMPLE, EM_ROUNDS, EM_SEED, EM_SEGMENTS, HALF_NUCLEOSOME, NB_EXCLUDED_CHR, NB_FALLBACK, NUCLEOSOME, SITE_REACH
 from .operators import calls, fit, hmm, intervals, occupancy, signal
 from .sources import readers, sinks
+from .storage import materialize
 
 
 def segment_table(segments: DataFrame, fragments: DataFrame, config: Config, sequence: DataFrame | None = None, tech: str = "MNase") -> DataFrame:
@@ -66,10 +67,66 @@ def fit_sequence(sequence: DataFrame, dyads: DataFrame, motifs: dict[str, list[l
     return hmm.Model(motifs, background, hmm.initial_weights(motifs, background), first, rows, ends)
 
 
-def train(segments: DataFrame, model: hmm.Model, counts: dict[str, hmm.Counts], rounds: int = EM_ROUNDS) -> tuple[hmm.Model, list[float]]:
-    """Learns the weights on at most 500 segments (an order by hash); several assays are several entries of counts."""
-    some = fit.sampled(segments, "segment_id", EM_SEGMENTS, EM_SEED)
-    return hmm.train(some, replace(model, counts=counts, use_sequence=model.use_sequence and "codes" in segments.columns), rounds)
+def train(
+    segments: DataFrame, model: hmm.Model, counts: dict[str, hmm.Counts], rounds: int = EM_ROUNDS, most: int | None = EM_SEGMENTS, path: str | None = None
+) -> tuple[hmm.Model, list[float]]:
+    """Learns the weights on at most ``most`` segments (500, in an order by hash; None: all of them). Several assays are
+    several entries of counts. Rounds are kept under ``path``, see ``hmm.train``."""
+    some = segments if most is None else fit.sampled(segments, "segment_id", most, EM_SEED)
+    return hmm.train(some, replace(model, counts=counts, use_sequence=model.use_sequence and "codes" in segments.columns), rounds, path=path)
+
+
+def _fragments(spark: SparkSession, path: str) -> DataFrame:
+    return readers.bam(spark, path) if path.endswith(".bam") else spark.read.parquet(path)
+
+
+def _signals(spark: SparkSession, segments: DataFrame, configs: list[Config]) -> DataFrame:
+    """Segments with codes and the counts of each config's fragments; a config without fragments adds none."""
+    rows = readers.with_sequence(segments, readers.fasta(spark, configs[0].fasta)).drop("seq")
+    for c in configs:
+        if c.fragments:
+            found = segment_table(segments, _fragments(spark, c.fragments), c, tech=c.tech)
+            rows = rows.join(found.select("segment_id", f"long_{c.tech}", f"short_{c.tech}"), "segment_id")
+    return rows
+
+
+def run_training(spark: SparkSession, config: str | list[str], segments: str, out: str, rounds: int = EM_ROUNDS) -> tuple[hmm.Model, list[float]]:
+    """From INI files (one for each assay, sequence from the first) and a table of segments to a trained model under ``out``.
+
+    Keeps the settings, each round and the model there; run again, it goes on after the last finished round. Without
+    fragments in any config, the model is of the sequence alone. Fragments are BAM, or Parquet of (chr, ref_start, tlen).
+    """
+    texts = [spark.read.text(p, wholetext=True).first()[0] for p in ([config] if isinstance(config, str) else config)]
+    configs = [parse(t) for t in texts]
+    if len({c.tech for c in configs}) < len(configs):
+        raise ValueError("each assay's config needs its own tech")
+    spark.createDataFrame(list(enumerate(texts)), "i int, text string").coalesce(1).write.mode("overwrite").parquet(f"{out}/settings")
+    first = configs[0]
+    dyads, sites = readers.dyads(spark, first.dyads), readers.sites(spark, first.sites)
+    model = fit_sequence(readers.fasta(spark, first.fasta), dyads, readers.motifs(spark, first.motifs))
+    counts: dict[str, hmm.Counts] = {}
+    for c in configs:
+        if c.fragments:
+            counts |= fit_counts(_fragments(spark, c.fragments), dyads, sites, c)
+    rows = _signals(spark, readers.segments(spark, segments), configs)
+    model, history = train(rows, model, counts, rounds, path=f"{out}/rounds")
+    model.save(spark, f"{out}/model")
+    return model, history
+
+
+def run_decoding(spark: SparkSession, trained: str, segments: str, out: str) -> DataFrame:
+    """The sparse posterior of a table of segments under the model and settings that ``run_training`` left in ``trained``;
+    posterior and log likelihoods are kept under ``out``."""
+    configs = [parse(r["text"]) for r in spark.read.parquet(f"{trained}/settings").orderBy("i").collect()]
+    model = hmm.Model.load(spark, f"{trained}/model")
+    rows = materialize(_signals(spark, readers.segments(spark, segments), configs), "signals")
+    hmm.log_likelihoods(rows, model).write.mode("overwrite").parquet(f"{out}/likelihoods")
+    return decode(rows, model, f"{out}/posterior")
+
+
+def background_track(posterior: DataFrame, segments: DataFrame, model: hmm.Model) -> DataFrame:
+    """(chr, pos, prob): the chance that a base is background, averaged over the segments that cover it."""
+    return stitched(posterior, segments, factors(segments.sparkSession, model)).where("dbf = 'background'").select("chr", "pos", "prob")
 
 
 def decode(segments: DataFrame, model: hmm.Model, path: str) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..constants import DIFF_ABS, DIFF_P, HALF_NUCLEOSOME, SITE_MIN_SCORE, TABLE_MIN_PERCENT
-from ..functions.scalar import sample_suffix, two_sided_p
+from ..functions.scalar import sample_suffix, t_quantile, two_sided_p
 from .intervals import point_join
 from .link import pair_category
 
@@ -51,9 +51,9 @@ def spread(df: DataFrame, value: str, by: list[str]) -> DataFrame:
     )
 
 
-def confidence(df: DataFrame, value: str, by: list[str], quantile: float = 1.959963984540054) -> DataFrame:
-    """(by, mean, low, high): the mean and ``quantile`` standard errors around it."""
-    half = quantile * F.stddev_samp(value) / F.sqrt(F.count(value))
+def confidence(df: DataFrame, value: str, by: list[str], level: float = 0.95) -> DataFrame:
+    """(by, mean, low, high): the mean and its interval by Student's t; no interval for a single value."""
+    half = t_quantile(F.count(value) - 1, (1 + level) / 2) * F.stddev_samp(value) / F.sqrt(F.count(value))
     return df.groupBy(*by).agg(F.avg(value).alias("mean"), (F.avg(value) - half).alias("low"), (F.avg(value) + half).alias("high"))
 
 

@@ -66,6 +66,41 @@ def gamma_moments(histogram: DataFrame, by: list[str]) -> DataFrame:
     return m.select(*by, (F.col("mean") * F.col("mean") / var).alias("shape"), (F.col("mean") / var).alias("rate"))
 
 
+def _digamma(x: float) -> float:
+    """Shifted above 10, then the asymptotic series."""
+    back = 0.0
+    while x < 10:
+        back, x = back + 1 / x, x + 1
+    return math.log(x) - 1 / (2 * x) - 1 / (12 * x**2) + 1 / (120 * x**4) - 1 / (252 * x**6) - back
+
+
+def gamma_shape(mean: float, log_mean: float) -> float:
+    """The shape of most likelihood from the mean and the mean logarithm: ln a - digamma(a) = ln(mean) - log_mean."""
+    gap, low, high = math.log(mean) - log_mean, 1e-6, 1.0
+    while math.log(high) - _digamma(high) > gap and high < 1e9:
+        high *= 2
+    for _ in range(100):
+        mid = (low + high) / 2
+        low, high = (mid, high) if math.log(mid) - _digamma(mid) > gap else (low, mid)
+    return (low + high) / 2
+
+
+def fit_gamma(histogram: DataFrame, by: list[str]) -> DataFrame:
+    """(by..., value, n) -> (by..., shape, rate) of most likelihood; values over 0 count, null where all of them are equal.
+
+    What reaches a task of a group are three sums."""
+    v, n = F.col("value").cast("double"), F.sum("n")
+    sums = histogram.where("value > 0").groupBy(*by).agg((F.sum(v * F.col("n")) / n).alias("mean"), (F.sum(F.log(v) * F.col("n")) / n).alias("log_mean"))
+    wider = F.log("mean") - F.col("log_mean") > 1e-12
+
+    @F.pandas_udf("double")
+    def shape(mean: pd.Series, log_mean: pd.Series) -> pd.Series:
+        return pd.Series([gamma_shape(m, x) if m == m else None for m, x in zip(mean, log_mean, strict=True)], dtype=float)
+
+    fitted = sums.withColumn("shape", shape(F.when(wider, F.col("mean")), "log_mean"))
+    return fitted.select(*by, F.nanvl("shape", F.lit(None)).alias("shape"), (F.nanvl("shape", F.lit(None)) / F.col("mean")).alias("rate"))
+
+
 def base_composition(sequences: DataFrame, seq: str = "seq") -> DataFrame:
     """(base, share) of A, C, G, T over all sequences, either case; other letters don't count."""
     s = F.translate(seq, "acgt", "ACGT")

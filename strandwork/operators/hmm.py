@@ -38,6 +38,23 @@ class Counts:
     nucleosome: tuple[tuple[float, ...], float]
 
 
+@dataclass(frozen=True)
+class Density:
+    """As ``Counts`` for a smoothed signal: kind is normal (means, standard deviations) or gamma (shapes, rates), with a pair
+    for each of the nucleosome's positions. Under a gamma, a signal below 1e-6 counts as that."""
+
+    kind: str
+    other: tuple[float, float]
+    motif: tuple[float, float]
+    nucleosome: tuple[tuple[float, float], ...]
+
+    def at(self, x: float, a: float, b: float) -> float:
+        if self.kind == "normal":
+            return math.exp(-((x - a) ** 2) / (2 * b * b)) / (b * math.sqrt(2 * math.pi))
+        x = max(x, 1e-6)
+        return math.exp(a * math.log(b) + (a - 1) * math.log(x) - b * x - math.lgamma(a))
+
+
 @dataclass(frozen=True)
 class Model:
     """motifs: name -> length x 4 probabilities; background: shares of A, C, G, T; dinucleotides: the first base's chances
@@ -50,7 +67,7 @@ class Model:
     first: list[float] = field(default_factory=lambda: [0.25] * 4)
     transitions: list[list[list[float]]] = field(default_factory=lambda: [[[0.25] * 4] * 4] * (MIDDLE - 1))
     ends: list[list[float]] = field(default_factory=lambda: [[0.25] * 4] * (HEAD + TAIL))
-    counts: dict[str, Counts] = field(default_factory=dict)
+    counts: dict[str, Counts | Density] = field(default_factory=dict)
     use_sequence: bool = True
 
     def __post_init__(self) -> None:
@@ -95,13 +112,15 @@ class Model:
 
     def save(self, spark: SparkSession, path: str) -> None:
         data = {k: getattr(self, k) for k in ("motifs", "background", "weights", "first", "transitions", "ends", "use_sequence")}
-        data["counts"] = {k: [c.other, c.motif, c.nucleosome] for k, c in self.counts.items()}
+        data["counts"] = {k: [c.other, c.motif, c.nucleosome, getattr(c, "kind", None)] for k, c in self.counts.items()}
         spark.createDataFrame([(json.dumps(data),)], "value string").coalesce(1).write.mode("overwrite").text(path)
 
     @staticmethod
     def load(spark: SparkSession, path: str) -> Model:
         data = json.loads(spark.read.text(path).first()[0])
-        data["counts"] = {k: Counts(tuple(a), tuple(b), (tuple(c[0]), c[1])) for k, (a, b, c) in data["counts"].items()}
+        for k, (a, b, c, kind) in data["counts"].items():
+            known = Counts(tuple(a), tuple(b), (tuple(c[0]), c[1])) if kind is None else Density(kind, tuple(a), tuple(b), tuple(map(tuple, c)))
+            data["counts"][k] = known
         return Model(**data)
 
 
@@ -188,10 +207,10 @@ class Kernel:
         out = self.base[codes] if codes is not None and self.model.use_sequence else np.ones((*shape, self.n))
         for name, values in signals.items():
             c = self.model.counts[name]
-            mu = np.concatenate([[c.other[0], c.motif[0]], c.nucleosome[0]])
-            phi = np.concatenate([[c.other[1], c.motif[1]], np.full(NUCLEOSOME, c.nucleosome[1])])
+            smooth = isinstance(c, Density)
+            inside = c.nucleosome if smooth else [(m, c.nucleosome[1]) for m in c.nucleosome[0]]
             seen, at = np.unique(values, return_inverse=True)
-            table = np.array([[_nb(int(k), m, p) for m, p in zip(mu, phi, strict=True)] for k in seen])
+            table = np.array([[c.at(float(k), *p) if smooth else _nb(int(k), *p) for p in (c.other, c.motif, *inside)] for k in seen])
             out *= table[:, self.position + 2][at.reshape(shape)]
         return out
 

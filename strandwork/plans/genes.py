@@ -76,7 +76,13 @@ ANNOTATED = f"""{PROMOTERS}, {NUCS},
     ho AS (SELECT name, string_agg(DISTINCT g.orf, ',' ORDER BY g.orf) AS orf FROM pts JOIN extent g ON g.chr = pts.chr AND p > foot AND p < top GROUP BY name),
     b AS (SELECT n.*, h1.orf AS plus1, h2.orf AS minus1, hp.orf AS p, ho.orf AS o FROM nucs n LEFT JOIN h1 ON h1.name = n.name AND h1.k = 1 LEFT JOIN h2 ON h2.name = n.name AND h2.k = 1
       LEFT JOIN hp ON hp.name = n.name LEFT JOIN ho ON ho.name = n.name),
-    annotated AS (SELECT *, CASE WHEN plus1 IS NULL AND minus1 IS NULL THEN p END AS promoter, CASE WHEN plus1 IS NULL AND minus1 IS NULL AND p IS NULL THEN o END AS orf FROM b)"""
+    d0 AS (SELECT *, CASE WHEN strand = 1 THEN tts + 1 ELSE greatest(1, tts - 500) END AS s, CASE WHEN strand = 1 THEN tts + 500 ELSE tts - 1 END AS e FROM extent),
+    down AS (SELECT p.chr, p.orf, CASE WHEN p.strand = -1 THEN greatest(p.s, max(x.top) FILTER (x.top < p.e)) ELSE p.s END AS d_start,
+      CASE WHEN p.strand = -1 THEN p.e ELSE least(p.e, min(x.foot) FILTER (x.foot > p.s)) END AS d_end
+      FROM d0 p LEFT JOIN extent x ON x.chr = p.chr AND x.orf <> p.orf GROUP BY p.chr, p.orf, p.strand, p.s, p.e),
+    hd AS (SELECT DISTINCT name FROM pts JOIN down g ON g.chr = pts.chr AND p > d_start AND p < d_end),
+    annotated AS (SELECT *, CASE WHEN plus1 IS NULL AND minus1 IS NULL THEN p END AS promoter, CASE WHEN plus1 IS NULL AND minus1 IS NULL AND p IS NULL THEN o END AS orf,
+      plus1 IS NULL AND minus1 IS NULL AND p IS NULL AND o IS NULL AND name IN (SELECT name FROM hd) AS behind FROM b)"""
 
 
 @query(f"WITH {ANNOTATED} SELECT name, plus1, minus1, promoter, orf FROM annotated")
@@ -84,11 +90,17 @@ def point_in_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
     return annotate.annotate(_nucs(spark, sf_dir), T.genes(spark, sf_dir), ["dyadA", "dyadB"]).select("name", "plus1", "minus1", "promoter", "orf")
 
 
-@query()
+@query(
+    f"""WITH {ANNOTATED}, c AS (SELECT CASE WHEN behind THEN 'Downstream_nuc' WHEN orf IS NOT NULL THEN 'ORF_transcript_nuc' WHEN promoter IS NOT NULL THEN 'Promoter_nuc'
+      WHEN plus1 IS NOT NULL AND minus1 IS NOT NULL THEN '+1_-1_nuc_both' WHEN plus1 IS NOT NULL THEN '+1_nuc_only' WHEN minus1 IS NOT NULL THEN '-1_nuc_only'
+      ELSE 'Intergenic_nuc' END AS location, CASE WHEN "dyadA" IS NULL OR "dyadB" IS NULL THEN '4_not_always_present' WHEN abs("dyadB" - "dyadA") <= 20 THEN '1_no_shift'
+      ELSE '2_directional_shift' END AS shift_type FROM annotated), n AS (SELECT shift_type, location, count(*) AS n FROM c GROUP BY ALL)
+    SELECT shift_type, location, n, round(100.0 * n / sum(n) OVER (PARTITION BY shift_type), 6) AS percent FROM n"""
+)
 def annotation_cross_tab(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = annotate.annotate(_nucs(spark, sf_dir), T.genes(spark, sf_dir), ["dyadA", "dyadB"])
     rows = rows.withColumn("location", annotate.location()).withColumn("shift_type", link.shift_class(["shift_AB"]))
-    return annotate.cross_tab(rows, "location", ["shift_type"])
+    return annotate.cross_tab(rows, "location", ["shift_type"]).withColumn("percent", F.round("percent", 6))
 
 
 @query(
@@ -122,10 +134,24 @@ def genome_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return annotate.genome_composition(T.sizes(spark, sf_dir), {"site": sites, "gene": bodies})
 
 
-@query()
+def _first_of(kind: str, short: str) -> str:
+    return f"""{short} AS (SELECT {kind} AS gene, ("dyadB" - "dyadA") * CASE WHEN right(split_part({kind}, '-', 1), 1) = 'W' THEN 1 ELSE -1 END AS shift, "pdyadA" AS pa, "pdyadB" AS pb,
+      row_number() OVER (PARTITION BY {kind} ORDER BY name) AS k FROM annotated WHERE {kind} IS NOT NULL)"""
+
+
+@query(
+    f"""WITH {ANNOTATED}, {_first_of("plus1", "p1")}, {_first_of("minus1", "m1")},
+    bodies AS (SELECT gene, avg(coalesce("pdyadA", 0)) AS pa, avg(coalesce("pdyadB", 0)) AS pb FROM (SELECT unnest(string_split(orf, ',')) AS gene, "pdyadA", "pdyadB" FROM annotated WHERE orf IS NOT NULL) GROUP BY gene),
+    f AS (SELECT * FROM p1 WHERE k = 1), l AS (SELECT * FROM m1 WHERE k = 1),
+    every AS (SELECT gene FROM f UNION SELECT gene FROM l UNION SELECT gene FROM bodies)
+    SELECT every.gene, f.shift AS "p1_shift_AB", f.pa AS "p1_pdyadA", f.pb AS "p1_pdyadB", l.shift AS "m1_shift_AB", l.pa AS "m1_pdyadA", l.pb AS "m1_pdyadB",
+      round(bodies.pa, 6) AS "orf_pdyadA", round(bodies.pb, 6) AS "orf_pdyadB"
+    FROM every LEFT JOIN f ON f.gene = every.gene LEFT JOIN l ON l.gene = every.gene LEFT JOIN bodies ON bodies.gene = every.gene"""
+)
 def gene_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = annotate.annotate(_nucs(spark, sf_dir), T.genes(spark, sf_dir), ["dyadA", "dyadB"])
-    return annotate.gene_features(rows, 2, "name")
+    found = annotate.gene_features(rows, 2, "name")
+    return found.withColumns({c: F.round(c, 6) for c in ("orf_pdyadA", "orf_pdyadB")})
 
 
 @query(

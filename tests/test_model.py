@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from strandwork import api
 from strandwork.config import parse
 from strandwork.functions import scalar
-from strandwork.operators import diff, fit, hmm, occupancy
+from strandwork.operators import cluster, diff, fit, hmm, occupancy
 
 
 def model(**more):
@@ -20,6 +20,89 @@ def model(**more):
     return hmm.Model(motifs, [0.3, 0.2, 0.2, 0.3], weights, [0.1, 0.2, 0.3, 0.4], trans, rng.dirichlet(np.ones(4), 19).tolist(), counts, **more)
 
 
+@pytest.mark.parametrize("kind", ["normal", "gamma"])
+def test_smooth_signals(spark, tmp_path, kind):
+    """Densities of a smoothed signal emit by state what the column functions say, and survive a file."""
+    pairs = [(0.5 + 0.01 * i, 1.0 + 0.002 * i) for i in range(149)]
+    m = model()
+    m = hmm.Model(**{f: getattr(m, f) for f in ("motifs", "background", "weights", "first", "transitions", "ends")}, counts={"long": hmm.Density(kind, pairs[0], pairs[1], tuple(pairs[2:]))}, use_sequence=False)
+    m.save(spark, str(tmp_path / "m"))
+    assert hmm.Model.load(spark, str(tmp_path / "m")) == m or hmm.Model.load(spark, str(tmp_path / "m")).counts == m.counts
+    x = np.array([[0.3, 1.7, 2.2]])
+    kernel = hmm.Kernel(m)
+    got = kernel._emission(None, {"long": x})[0]
+    pdf = scalar.normal_pdf if kind == "normal" else scalar.gamma_pdf
+    rows = spark.createDataFrame([(i, j, float(v), *pairs[p + 2]) for i, v in enumerate(x[0]) for j, p in enumerate(kernel.position.tolist())], "i int, j int, x double, a double, b double")
+    want = {(r["i"], r["j"]): r["y"] for r in rows.select("i", "j", pdf(F.col("x"), F.col("a"), F.col("b")).alias("y")).collect()}
+    assert np.allclose(got, [[want[i, j] for j in range(m.n_states)] for i in range(3)])
+    post, ll = kernel.posterior(None, {"long": x[0]})
+    assert np.allclose(post.sum(axis=1), 1) and math.isfinite(ll)
+
+
+def test_gamma_of_most_likelihood(spark):
+    rng = np.random.default_rng(3)
+    values = np.round(rng.gamma(2.5, 1 / 0.8, 4000), 3) + 0.001
+    rows = [("a", float(v), 1) for v in values] + [("b", 2.0, 5), ("a", 0.0, 7)]
+    found = {r["g"]: r for r in fit.fit_gamma(spark.createDataFrame(rows, "g string, value double, n long"), ["g"]).collect()}
+    ll = lambda a, b: float((a * math.log(b) + (a - 1) * np.log(values) - b * values - math.lgamma(a)).sum())
+    a, b = found["a"]["shape"], found["a"]["rate"]
+    assert all(ll(a, b) >= ll(a * x, b * y) for x in (0.99, 1, 1.01) for y in (0.99, 1, 1.01)) and abs(a - 2.5) < 0.2
+    assert found["b"]["shape"] is None and found["b"]["rate"] is None
+
+
+def test_intervals_of_means(spark):
+    known = {1: 12.7062, 2: 4.30265, 3: 3.18245, 5: 2.57058, 10: 2.22814, 30: 2.04227, 1000: 1.96234}
+    got = spark.createDataFrame([(n,) for n in known], "n long").select("n", scalar.t_quantile(F.col("n"), 0.975).alias("q")).collect()
+    assert all(abs(r["q"] / known[r["n"]] - 1) < 2e-3 for r in got)
+    row = diff.confidence(spark.createDataFrame([(1, float(x)) for x in (1, 2, 3)] + [(2, 5.0)], "k int, x double"), "x", ["k"]).orderBy("k").collect()
+    assert row[0]["mean"] == 2 and abs(row[0]["high"] - 2 - 4.30265 / math.sqrt(3)) < 1e-4 and row[1]["low"] is None
+    assert [scalar.sample_suffix(i) for i in (0, 25, 26, 27, 52)] == ["A", "Z", "AA", "AB", "BA"]
+
+
+def test_clusters_of_separate_groups(spark):
+    rows = [(i, float(i % 3) / 3 + i / 1e5, [None, 5.0, 0.9][i % 3], float(i % 2) * 50 + i / 1e4) for i in range(60)]
+    df = spark.createDataFrame(rows, "i int, a double, b double, c double")
+    found = {r["i"]: r["occ_cluster"] for r in cluster.cluster_occupancy(df, ["a", "b"], 3).collect()}
+    groups = [{found[i] for i in range(60) if i % 3 == g} for g in range(3)]
+    assert all(len(g) == 1 for g in groups) and groups[0] == {1} and set().union(*groups) == {1, 2, 3}  # 0 for missing, clipped to 1
+    found = {r["i"]: r["cluster"] for r in cluster.cluster_scaled(df, ["c"], 2).collect()}
+    assert {found[i] == i % 2 for i in range(60)} == {True}
+
+
+@pytest.mark.parametrize("assays", [[], ["MNase"], ["MNase", "ATAC"]])
+def test_runs_from_config_files(spark, tmp_path, assays):
+    """Sequence alone, one assay, two assays: from files to a model and a posterior; a second run finds all rounds done."""
+    rng = random.Random(5)
+    (tmp_path / "g.fa").write_text(">chrI\n" + "".join(rng.choices("ACGT", k=3000)) + "\n")
+    (tmp_path / "m.meme").write_text("MOTIF A1\nletter-probability matrix: w= 2\n0.7 0.1 0.1 0.1\n0.1 0.7 0.1 0.1\n")
+    (tmp_path / "d.bed").write_text("".join(f"chrI\t{p}\t{p + 1}\n" for p in range(200, 2800, 190)))
+    (tmp_path / "s.bed").write_text("chrI\t500\t510\tA1\t0\t+\nchrI\t900\t910\tA1\t0\t-\n")
+    (tmp_path / "c.tsv").write_text("chr\tstart\tend\nchrI\t1\t600\nchrI\t501\t1100\n")
+    files = []
+    for tech in assays or ["MNase"]:
+        text = f"[main]\npwmFile = {tmp_path}/m.meme\nnucleosomeFile = {tmp_path}/d.bed\ntfFile = {tmp_path}/s.bed\nnucFile = {tmp_path}/g.fa\ntech = {tech}\n"
+        if assays:
+            rows = [("chrI", rng.randint(0, 2800), rng.choice([150, 40])) for _ in range(800)]
+            spark.createDataFrame(rows, "chr string, ref_start int, tlen int").write.parquet(f"{tmp_path}/{tech}")
+            text += f"bamFile = {tmp_path}/{tech}\n"
+        (tmp_path / f"{tech}.ini").write_text(text)
+        files.append(str(tmp_path / f"{tech}.ini"))
+    out = str(tmp_path / "out")
+    m, history = api.run_training(spark, files, f"{tmp_path}/c.tsv", out, rounds=1)
+    assert set(m.counts) == {f"{c}_{t}" for t in assays for c in ("long", "short")} and len(history) == 2 and history[1] >= history[0] - 1e-6
+    assert api.run_training(spark, files, f"{tmp_path}/c.tsv", out, rounds=1)[1] == history
+    post = api.run_decoding(spark, out, f"{tmp_path}/c.tsv", f"{out}/all")
+    total = post.groupBy("segment_id", "pos").agg(F.sum("prob").alias("p")).collect()
+    assert len(total) == 1200 and all(abs(r["p"] - 1) < 0.05 for r in total)
+    assert abs(spark.read.parquet(f"{out}/all/likelihoods").agg(F.sum("log_likelihood")).first()[0] - history[1]) < 1e-6 * abs(history[1])
+    segs = spark.createDataFrame([("chrI", 1, 600), ("chrI", 501, 1100)], "chr string, start long, end long")
+    track = {r["pos"]: r["prob"] for r in api.background_track(post, segs, m).collect()}
+    by_hand = {}
+    for r in post.where("state = 0").collect():
+        by_hand.setdefault(r["pos"], []).append(r["prob"])
+    assert all(abs(track.get(p, 0) - sum(x) / (2 if 501 <= p <= 600 else 1)) < 1e-9 for p, x in by_hand.items()) and set(track) == set(by_hand)
+
+
 def dense(m):
     """The whole transition matrix over emitting states, and start chances, written out edge by edge."""
     n, s = m.n_states, m.nuc_start
