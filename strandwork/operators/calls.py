@@ -1,86 +1,109 @@
 """Greedy calls of peaks along chromosomes.
 
-A call suppresses its neighbourhood, so calls depend on each other only along runs of rows that lie close together.
-Rows are cut into such runs, and some hundred runs are one group.
+A row is picked if no picked row of a higher score (the first of equals) covers it. Rows are decided in stretches of a
+chromosome, each with the rows around it that could cover one of its own: whatever hangs on rows inside alone is decided at
+once, the rest in the next round, with stretches that begin half a stretch later. No task holds more than a stretch, however
+dense a track is; most rows are decided in the first round.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..constants import DYAD_REACH, SITE_FLOOR
-from .intervals import islands
-
-
-#: Runs that are walked in one group; they don't touch each other.
-RUNS = 256
+from ..storage import materialize
+from .intervals import point_join
 
+#: Positions of a stretch.
+STRETCH = 1 << 17
+#: Rounds after which the picks so far are written as one table.
+TOGETHER = 16
 
-def _runs(df: DataFrame, gap: int) -> DataFrame:
-    rows = df.withColumn("start", F.col("pos")).withColumn("end", F.col("pos"))
-    return islands(rows, gap).withColumn("_run", F.floor(F.col("island") / RUNS)).drop("start", "end", "island")
-
-
-def dyads(scores: DataFrame, reach: int = DYAD_REACH) -> DataFrame:
-    """(chr, pos, dyad_score, occ_score, first, last) -> (chr, dyad, dyad_score, avg_occ_score, min_occ_score).
 
-    first and last are the ends of the row's island; bases without a row score 0. The highest score that is not yet
-    suppressed (the first of equals) suppresses ``reach`` bases to either side; it is a call if those lie in the island
-    and none was suppressed before.
-    """
-    size = 2 * reach + 1
+def _round(rows: DataFrame, reach: int, shift: int, width: int) -> DataFrame:
+    """(chr, pos, score, begin, end, picked, ...) -> the undecided rows that are picked now, or stay undecided."""
+    columns, home = rows.columns, F.floor((F.col("pos") + shift) / width)
+    bins = F.sequence(F.floor((F.col("pos") + shift - reach) / width), F.floor((F.col("pos") + shift + reach) / width))
+    open_ = rows.where("not picked").select("chr", home.alias("_bin")).distinct()
+    dealt = rows.withColumn("_home", home).withColumn("_bin", F.explode(bins)).join(open_, ["chr", "_bin"], "left_semi")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("pos", kind="stable")
-        pos, score, occ = (pdf[c].to_numpy() for c in ("pos", "dyad_score", "occ_score"))
-        low, high = np.searchsorted(pos, pos - reach), np.searchsorted(pos, pos + reach, side="right")
-        low2, high2 = np.searchsorted(pos, pos - 2 * reach), np.searchsorted(pos, pos + 2 * reach, side="right")
-        inside = (pos - reach >= pdf["first"].to_numpy()) & (pos + reach <= pdf["last"].to_numpy())
-        gone, touched, out = np.zeros(len(pos), bool), np.zeros(len(pos), bool), []
+        pos, score, known = (pdf[c].to_numpy() for c in ("pos", "score", "picked"))
+        own = (pdf["_home"] == pdf["_bin"]).to_numpy()
+        low, high = np.searchsorted(pos, pdf["begin"].to_numpy()), np.searchsorted(pos, pdf["end"].to_numpy())
+        gone, doubtful, kept, now = (np.zeros(len(pos), bool) for _ in range(4))
         for i in np.lexsort((pos, -score)).tolist():
-            if score[i] <= 0:
-                break
-            if gone[i]:
+            if known[i]:
+                gone[low[i] : high[i]] = True
+            elif gone[i]:
                 continue
-            if inside[i] and not touched[i]:
-                near = occ[low[i] : high[i]]
-                out.append((pdf["chr"].iloc[0], pos[i], score[i], near.sum() / size, near.min() if len(near) == size else 0.0))
-            gone[low[i] : high[i]] = True
-            touched[low2[i] : high2[i]] = True
-        return pd.DataFrame(out, columns=["chr", "dyad", "dyad_score", "avg_occ_score", "min_occ_score"])
+            elif doubtful[i] or not own[i]:
+                doubtful[low[i] : high[i]] = True
+                kept[i] = own[i]
+            else:
+                gone[low[i] : high[i]] = True
+                kept[i] = now[i] = True
+        return pdf.assign(picked=now)[kept][columns]
 
-    schema = "chr string, dyad long, dyad_score double, avg_occ_score double, min_occ_score double"
-    columns = ["chr", "pos", "dyad_score", "occ_score", "first", "last"]
-    return _runs(scores.select(*columns), 2 * reach).groupBy("chr", "_run").applyInPandas(run, schema)
+    return dealt.groupBy("chr", "_bin").applyInPandas(run, rows.schema)
 
 
-def sites(scores: DataFrame, floor: float = SITE_FLOOR) -> DataFrame:
-    """(tf, chr, pos, width, score, first, last) -> (tf, chr, start, end, width, score), best first within a factor.
+def picks(rows: DataFrame, reach: int, width: int = STRETCH) -> DataFrame:
+    """(chr, pos, score, begin, end, ...) -> the rows that are picked; a row covers [begin, end), which lies within ``reach``
+    of it. The number of rounds is that of stretches along the longest chain of rows that wait for each other."""
+    columns = rows.columns
+    left, found, r = materialize(rows.withColumn("picked", F.lit(False)), "peaks"), [], 0
+    while not left.isEmpty():
+        both = reduce(DataFrame.unionByName, found, left)
+        decided = materialize(_round(both, reach, r % 2 * (width // 2), width), "peaks")
+        found.append(decided.where("picked"))
+        left, r = decided.where("not picked"), r + 1
+        if len(found) >= TOGETHER:
+            found = [materialize(reduce(DataFrame.unionByName, found), "peaks")]
+    return reduce(DataFrame.unionByName, found, left).select(*columns)
 
-    first and last are the ends of the row's island. The highest score at or over ``floor`` (the first of equals), at i,
-    suppresses [i - width, i + 2 width) within the island; the call is placed at the middle of that stretch.
+
+def dyads(scores: DataFrame, reach: int = DYAD_REACH, width: int = STRETCH) -> DataFrame:
+    """(chr, pos, dyad_score, occ_score, first, last) -> (chr, dyad, dyad_score, avg_occ_score, min_occ_score).
+
+    first and last are the ends of the row's island; bases without a row score 0. The highest score that is not yet
+    suppressed (the first of equals) suppresses ``reach`` bases to either side; it is a call if those lie in the island
+    and none was suppressed before. No rows give none; a null score counts 0.
     """
+    size, pos = 2 * reach + 1, F.col("pos")
+    rows = scores.where("dyad_score > 0").select(
+        "chr", "pos", F.col("dyad_score").alias("score"), (pos - reach).alias("begin"), (pos + reach + 1).alias("end"), "first", "last"
+    )
+    found = materialize(picks(rows, reach, width), "picks")
+    near = found.select("chr", pos.alias("dyad"), F.col("score").alias("dyad_score"), (pos - 2 * reach).alias("_from"), (pos + 2 * reach).alias("_to"))
+    earlier = F.struct("score", -pos) > F.struct("dyad_score", -F.col("dyad"))
+    touched = point_join(found.select("chr", "pos", "score"), near, ends=("_from", "_to")).where(earlier)
+    free = found.where("begin >= first and end - 1 <= last").join(touched.select("chr", F.col("dyad").alias("pos")), ["chr", "pos"], "left_anti")
+    called = free.select("chr", pos.alias("dyad"), F.col("score").alias("dyad_score"), "begin", (F.col("end") - 1).alias("_to"))
+    around = point_join(scores.select("chr", "pos", F.coalesce("occ_score", F.lit(0.0)).alias("_occ")), called, ends=("begin", "_to"))
+    least = F.when(F.count("*") == size, F.min("_occ")).otherwise(0.0)
+    return around.groupBy("chr", "dyad", "dyad_score").agg((F.sum("_occ") / size).alias("avg_occ_score"), least.alias("min_occ_score"))
+
+
+def sites(scores: DataFrame, floor: float = SITE_FLOOR, width: int = STRETCH) -> DataFrame:
+    """(tf, chr, pos, width, score, first, last) -> (tf, chr, start, end, width, score).
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("pos", kind="stable")
-        pos, score, width = (pdf[c].to_numpy() for c in ("pos", "score", "width"))
-        begin = np.maximum(pos - width, pdf["first"].to_numpy())
-        end = np.minimum(pos + 2 * width, pdf["last"].to_numpy() + 1)
-        low, high = np.searchsorted(pos, begin), np.searchsorted(pos, end)
-        gone, out = np.zeros(len(pos), bool), []
-        for i in np.lexsort((pos, -score)).tolist():
-            if score[i] < floor:
-                break
-            if not gone[i]:
-                gone[low[i] : high[i]] = True
-                at = (begin[i] + end[i]) // 2
-                out.append((pdf["tf"].iloc[0], pdf["chr_"].iloc[0], at, at + width[i], width[i], score[i]))
-        return pd.DataFrame(out, columns=["tf", "chr", "start", "end", "width", "score"])
-
-    widest = scores.agg(F.max("width")).first()[0] or 1
-    keyed = scores.select("tf", F.col("chr").alias("chr_"), F.concat_ws("\x01", "tf", "chr").alias("chr"), "pos", "width", "score", "first", "last")
-    schema = "tf string, chr string, start long, end long, width int, score double"
-    return _runs(keyed.where(F.col("score") >= floor), 3 * int(widest)).groupBy("chr", "_run").applyInPandas(run, schema)
+    first and last are the ends of the row's island. The highest score at or over ``floor`` (the first of equals), at i,
+    suppresses [i - width, i + 2 width) within the island; the call is placed at the middle of that stretch. No rows
+    give none; null scores are left out.
+    """
+    widest = int(scores.agg(F.max("width")).first()[0] or 1)
+    begin, end = F.greatest(F.col("pos") - F.col("width"), "first"), F.least(F.col("pos") + 2 * F.col("width"), F.col("last") + 1)
+    rows = scores.where(F.col("score") >= floor).select(
+        "tf", F.col("chr").alias("_chr"), F.concat_ws("\x01", "tf", "chr").alias("chr"), "pos", "width", "score", begin.alias("begin"), end.alias("end")
+    )
+    at = F.floor((F.col("begin") + F.col("end")) / 2)
+    return picks(rows, 2 * widest, width).select(
+        "tf", F.col("_chr").alias("chr"), at.alias("start"), (at + F.col("width")).alias("end"), F.col("width").cast("int").alias("width"), "score"
+    )

@@ -50,12 +50,37 @@ def _scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return track.join(T.sizes(spark, sf_dir), "chr").withColumn("first", F.lit(1)).withColumnRenamed("size", "last")
 
 
-@query()
+def _walk(back: str, ahead: str) -> str:
+    """Greedy picks in SQL, a round at a time, from track (chr, pos, k, ...): a row that has the highest k of all rows that are
+    left and cover it is picked, and whatever a pick of higher k covers goes. back and ahead bound where a row's coverers lie."""
+    near = f"(PARTITION BY chr ORDER BY pos RANGE BETWEEN {back} PRECEDING AND {ahead} FOLLOWING)"
+    return f"""walk AS (SELECT chr, pos, k, w, false AS pick FROM track UNION ALL
+    SELECT chr, pos, k, w, pick FROM (SELECT *, max(CASE WHEN pick THEN k END) OVER {near} AS best FROM
+      (SELECT chr, pos, k, w, k = max(k) OVER {near} AS pick FROM walk WHERE NOT pick)) WHERE pick OR best IS NULL OR best < k),
+    picks AS (SELECT chr, pos, k, w FROM walk WHERE pick)"""
+
+
+SIZES = """sizes AS (SELECT chr, max(ref_start + tlen) AS size FROM fragments WHERE tlen > 0 GROUP BY chr)"""
+
+
+@query(
+    f"""WITH RECURSIVE {T.MIDS}, {SIZES}, track AS (SELECT chr, pos, sum(n) AS score, coalesce(sum(n) FILTER (cls = 'short'), 0) AS occ, CAST(sum(n) AS BIGINT) * 10000000 - pos AS k, 0 AS w FROM hist GROUP BY chr, pos),
+    {_walk("58", "58")}, free AS (SELECT p.chr, p.pos FROM picks p JOIN sizes USING (chr) WHERE p.pos - 58 >= 1 AND p.pos + 58 <= size
+      AND NOT EXISTS (SELECT 1 FROM picks q WHERE q.chr = p.chr AND q.pos BETWEEN p.pos - 116 AND p.pos + 116 AND q.k > p.k))
+    SELECT chr, free.pos AS dyad, CAST(max(score) FILTER (track.pos = free.pos) AS DOUBLE) AS dyad_score, round(CAST(sum(occ) AS DOUBLE) / 117, 6) AS avg_occ_score,
+      CASE WHEN count(*) = 117 THEN CAST(min(occ) AS DOUBLE) ELSE 0.0 END AS min_occ_score
+    FROM free JOIN track USING (chr) WHERE track.pos BETWEEN free.pos - 58 AND free.pos + 58 GROUP BY chr, free.pos"""
+)
 def greedy_peaks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return calls.dyads(_scores(spark, sf_dir))
+    return calls.dyads(_scores(spark, sf_dir)).withColumn("avg_occ_score", F.round("avg_occ_score", 6))
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {T.MIDS}, {SIZES}, track AS (SELECT cls || ' ' || chr AS chr, pos, CAST(n AS BIGINT) * 10000000 - pos AS k, CASE WHEN cls = 'long' THEN 13 ELSE 8 END AS w FROM hist),
+    {_walk("(2 * w - 1)", "w")}, called AS (SELECT split_part(chr, ' ', 1) AS tf, split_part(chr, ' ', 2) AS chr, pos, w, CAST(ceil(k / 10000000) AS DOUBLE) AS score FROM picks),
+    placed AS (SELECT tf, chr, w, score, CAST(floor((greatest(pos - w, 1) + least(pos + 2 * w, size + 1)) / 2) AS BIGINT) AS centre FROM called JOIN sizes USING (chr))
+    SELECT tf, chr, centre AS start, centre + w AS "end", w AS width, score FROM placed"""
+)
 def site_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     tracks = T.midpoints(spark, sf_dir).groupBy("chr", "pos", F.col("cls").alias("tf")).agg(F.count("*").cast("double").alias("score"))
     rows = tracks.join(T.sizes(spark, sf_dir), "chr").withColumn("first", F.lit(1)).withColumnRenamed("size", "last")

@@ -20,12 +20,39 @@ def _linked(spark: SparkSession, sf_dir: str, n: int) -> DataFrame:
     return link.link([T.calls(spark, sf_dir, i) for i in range(n)])
 
 
-@query()
+# Two lists of a chromosome merged step by step: the heads are taken together if they are close, else the earlier one alone.
+LINKED = f"""{T.FRAGMENTS}, {T.CALLS}, ranked AS (SELECT *, row_number() OVER (PARTITION BY sample, chr ORDER BY dyad) AS k FROM calls WHERE min_occ_score > 0.1),
+    pairs AS (SELECT DISTINCT chr, CAST(1 AS BIGINT) AS i, CAST(1 AS BIGINT) AS j, CAST(NULL AS BIGINT) AS a, CAST(NULL AS BIGINT) AS b FROM ranked UNION ALL
+      SELECT chr, i + CAST(x AS INTEGER), j + CAST(y AS INTEGER), CASE WHEN x THEN da END, CASE WHEN y THEN db END FROM
+        (SELECT s.chr, s.i, s.j, a.dyad AS da, b.dyad AS db, a.dyad IS NOT NULL AND (b.dyad IS NULL OR a.dyad - b.dyad <= 73) AS x, b.dyad IS NOT NULL AND (a.dyad IS NULL OR b.dyad - a.dyad <= 73) AS y
+         FROM pairs s LEFT JOIN ranked a ON a.sample = 0 AND a.chr = s.chr AND a.k = s.i LEFT JOIN ranked b ON b.sample = 1 AND b.chr = s.chr AND b.k = s.j) WHERE x OR y),
+    two AS (SELECT chr, a, b FROM pairs WHERE a IS NOT NULL OR b IS NOT NULL)"""
+LINKED_THREE = f"""{LINKED}, mean AS (SELECT *, coalesce(b, a) AS z, least(a, b) AS low, greatest(a, b) AS high, CASE WHEN a IS NULL THEN b WHEN b IS NULL THEN a ELSE (a + b) // 2 END AS m FROM two),
+    rows2 AS (SELECT *, row_number() OVER (PARTITION BY chr ORDER BY m, a NULLS LAST, b NULLS LAST) AS k FROM mean),
+    thirds AS (SELECT DISTINCT chr, CAST(1 AS BIGINT) AS i, CAST(1 AS BIGINT) AS j, CAST(NULL AS BIGINT) AS a, CAST(NULL AS BIGINT) AS b, CAST(NULL AS BIGINT) AS c FROM ranked UNION ALL
+      SELECT chr, i + CAST(x AS INTEGER), j + CAST(y AS INTEGER), CASE WHEN x THEN a END, CASE WHEN x THEN b END, CASE WHEN y THEN c END FROM
+        (SELECT *, k IS NOT NULL AND (c IS NULL OR hit OR older) AS x, c IS NOT NULL AND (k IS NULL OR hit OR NOT older) AS y FROM
+          (SELECT s.chr, s.i, s.j, r.k, r.a, r.b, n.dyad AS c, CASE WHEN r.b IS NULL THEN n.dyad BETWEEN r.low - 73 AND r.high + 73 ELSE abs(n.dyad - r.b) <= 73 END AS hit,
+             CASE WHEN r.b IS NULL THEN r.low <= n.dyad ELSE r.b < n.dyad END AS older
+           FROM thirds s LEFT JOIN rows2 r ON r.chr = s.chr AND r.k = s.i LEFT JOIN ranked n ON n.sample = 2 AND n.chr = s.chr AND n.k = s.j)) WHERE x OR y),
+    three AS (SELECT chr, a, b, c FROM thirds WHERE a IS NOT NULL OR b IS NOT NULL OR c IS NOT NULL)"""
+
+
+def _named(letters: str, table: str) -> str:
+    """The linked rows of ``table`` with each sample's scores, shifts and names, in SQL."""
+    columns = ", ".join(f'{x} AS "dyad{x.upper()}", {x}_.min_occ_score AS "occupancy{x.upper()}", {x}_.dyad_score AS "pdyad{x.upper()}"' for x in letters)
+    joins = " ".join(f"LEFT JOIN ranked {x}_ ON {x}_.sample = {i} AND {x}_.chr = l.chr AND {x}_.dyad = l.{x}" for i, x in enumerate(letters))
+    shifts = ", ".join(f'{b} - {a} AS "shift_{a.upper()}{b.upper()}"' for a, b in zip(letters, letters[1:], strict=False))
+    order = f"coalesce({', '.join(letters)}), " + ", ".join(f"{x} NULLS FIRST" for x in letters)
+    return f"SELECT l.chr, {columns}, {shifts}, 'nuc_' || (row_number() OVER (ORDER BY l.chr, {order}) - 1) AS name FROM {table} l {joins}"
+
+
+@query(f"WITH RECURSIVE {LINKED} {_named('ab', 'two')}")
 def greedy_link(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link.named(_linked(spark, sf_dir, 2), 2)
 
 
-@query()
+@query(f"WITH RECURSIVE {LINKED_THREE} {_named('abc', 'three')}")
 def greedy_link_three(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link.named(_linked(spark, sf_dir, 3), 3)
 

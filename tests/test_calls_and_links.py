@@ -33,6 +33,39 @@ def test_dyads(spark, seed):
     assert got == dyads_by_hand({p: s for p, (s, _) in rows.items()}, {p: o for p, (_, o) in rows.items()}, 1, 700, 9)
 
 
+@pytest.mark.parametrize("kind", ["random", "even", "ramp"])
+def test_dense_tracks_are_cut_anywhere(spark, kind):
+    """A row at every base, in stretches of a few dozen: noise, equal scores (each waits for the one before), and a slope."""
+    r = random.Random(5)
+    score = {p: {"random": float(r.randint(1, 50)), "even": 1.0, "ramp": float(p)}[kind] for p in range(1, 301)}
+    df = spark.createDataFrame([("c", p, s, s, 1, 300) for p, s in score.items()], "chr string, pos long, dyad_score double, occ_score double, first long, last long")
+    got = sorted((x["dyad"], x["dyad_score"], round(x["avg_occ_score"], 9), x["min_occ_score"]) for x in calls.dyads(df, 7, width=60).collect())
+    assert got == dyads_by_hand(score, score, 1, 300, 7)
+
+
+def sites_by_hand(score, width, first, last):
+    left, out = dict(score), []
+    while left:
+        at = min(left, key=lambda p: (-left[p], p))
+        a, b = max(at - width, first), min(at + 2 * width, last + 1)
+        out.append(((a + b) // 2, score[at]))
+        left = {p: s for p, s in left.items() if not a <= p < b}
+    return sorted(out)
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_dense_sites_are_cut_anywhere(spark, seed):
+    r = random.Random(seed)
+    score = {p: float(r.randint(1, 9)) for p in range(1, 301)}
+    df = spark.createDataFrame([("t", "c", p, 4, s, 1, 300) for p, s in score.items()], "tf string, chr string, pos long, width int, score double, first long, last long")
+    assert sorted((x["start"], x["score"]) for x in calls.sites(df, width=50).collect()) == sites_by_hand(score, 4, 1, 300)
+
+
+def test_no_rows_no_calls(spark):
+    none = spark.createDataFrame([], "tf string, chr string, pos long, width int, score double, dyad_score double, occ_score double, first long, last long")
+    assert calls.dyads(none).collect() == [] and calls.sites(none).collect() == []
+
+
 def test_sites(spark):
     schema = "tf string, chr string, pos long, width int, score double, first long, last long"
     rows = [("t", "c", p, 4, s, 1, 100) for p, s in ((10, 0.5), (12, 0.9), (17, 0.8), (18, 0.7), (60, 0.3), (2, 0.2), (50, 1e-12))]
