@@ -12,6 +12,7 @@ BED6 = "chr string, start int, end int, name string, score int, strand string"
 GTF = "seqname string, source string, feature string, start long, end long, score string, strand string, frame string, attributes string"
 TSS = "chr string, ORF string, coordinate double"
 GENES = "chr string, orf string, strand int, plus1 long, minus1 long, tss long, tts long, orf_start long, orf_end long"
+SITE_SCORES = "start long, end long, width int, score double, tf string, chr string"
 MOTIFS = "motif string, pos int, base string, prob double"
 
 # Sizes in bases, thresholds and counts that results depend on.

@@ -156,9 +156,18 @@ def nb_moments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fit.moments(_counted(spark, sf_dir), ["rel"]).select("rel", "total", F.round("mean", 6).alias("mean"), F.round("var", 6).alias("var"))
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {COUNTED}, m AS (SELECT rel, CAST(sum(n) AS DOUBLE) AS total, CAST(sum(value * n) AS DOUBLE) / sum(n) AS mean, CAST(sum(value * value * n) AS DOUBLE) / sum(n) AS sq, max(value) AS top FROM counted GROUP BY rel),
+    fits AS (SELECT * FROM m WHERE sq - mean * mean > mean), above AS (SELECT f.rel, j, CAST(sum(CASE WHEN value > j THEN n ELSE 0 END) AS DOUBLE) AS n FROM fits f JOIN counted USING (rel), unnest(range(0, top)) t(j) GROUP BY f.rel, j),
+    halved AS (SELECT rel, CAST(1e-9 AS DOUBLE) AS low, CAST(1e9 AS DOUBLE) AS high, 0 AS step FROM fits UNION ALL
+      SELECT rel, CASE WHEN score > 0 THEN r ELSE low END, CASE WHEN score > 0 THEN high ELSE r END, step + 1 FROM
+        (SELECT h.rel, any_value(low) AS low, any_value(high) AS high, any_value(step) AS step, any_value((low + high) / 2) AS r, sum(n / ((low + high) / 2 + j)) - any_value(total * ln(1 + mean / ((low + high) / 2))) AS score
+         FROM halved h JOIN above USING (rel) JOIN fits ON fits.rel = h.rel WHERE step < 120 GROUP BY h.rel))
+    SELECT rel, round(coalesce(CASE WHEN s.rel IS NULL THEN 0.002 END, mean), 6) AS mu, round(coalesce(s.r, 100.0), 4) AS size FROM m LEFT JOIN (SELECT rel, (low + high) / 2 AS r FROM halved WHERE step = 120) s USING (rel)"""
+)
 def nb_mle_size(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fit.fit_nb(_counted(spark, sf_dir), ["rel"])
+    found = fit.fit_nb(_counted(spark, sf_dir), ["rel"])
+    return found.select("rel", F.round("mu", 6).alias("mu"), F.round("size", 4).alias("size"))
 
 
 @query(

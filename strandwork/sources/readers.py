@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..constants import BED3, BED6, CHROM_SIZES, FASTA_INDEX, GENES, GTF, SEGMENTS, TSS
+from ..constants import BED3, BED6, CHROM_SIZES, FASTA_INDEX, GENES, GTF, SEGMENTS, SITE_SCORES, TSS
 
 
 def _tsv(spark: SparkSession, path: str, schema: str, header: bool = False, sep: str = "\t", comment: str | None = None) -> DataFrame:
@@ -19,7 +19,7 @@ def _tsv(spark: SparkSession, path: str, schema: str, header: bool = False, sep:
 
 
 def segments(spark: SparkSession, path: str) -> DataFrame:
-    """Tab-separated chr, start, end with a header; numbered in order of place."""
+    """Tab-separated chr, start, end with a header; ``segment_id`` is a hash of the place."""
     rows = _tsv(spark, path, SEGMENTS, header=True)
     return rows.withColumn("segment_id", F.xxhash64("chr", "start", "end"))
 
@@ -72,6 +72,16 @@ def fasta(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(F.split(F.trim(F.col("p")[0]), r"\s+")[0].alias("chr"), F.regexp_replace(F.coalesce(F.try_element_at("p", F.lit(2)), F.lit("")), r"\s", "").alias("seq"))
 
 
+def fasta_sizes(records: DataFrame) -> DataFrame:
+    """(chr, size) of sequences (chr, seq)."""
+    return records.select("chr", F.length("seq").cast("long").alias("size"))
+
+
+def site_scores(spark: SparkSession, path: str) -> DataFrame:
+    """(tf, chr, start, end, width, score) as ``sinks.site_scores`` writes them; one factor or chromosome reads its folder only."""
+    return spark.read.schema(SITE_SCORES).parquet(path)
+
+
 def with_sequence(segs: DataFrame, records: DataFrame) -> DataFrame:
     """Adds seq and codes to segments; raises where a segment leaves its record. Segments of unknown chromosomes go."""
     from ..functions.scalar import base_codes
