@@ -170,7 +170,7 @@ def near_links(nodes: DataFrame, radius: int = 3, all_within: bool = True) -> Da
     rows = rows.select(bucket.alias("bucket"), "fp", "node", "probe")
     return (
         rows.repartition(F.col("bucket"))
-        .sortWithinPartitions("bucket")
+        .sortWithinPartitions("bucket", "fp", "probe")  # the links of a bucket are the same in every run
         .mapInArrow(_bucket_links(radius), "a long, b long")
     )
 

@@ -71,3 +71,16 @@ def test_rows_of_one_document_and_edges(spark, edge, nothing):
     assert kept.columns == edge.columns and len(ids) == len(set(ids))
     assert 0 in ids and not {1, 2, 9} & set(ids) and kept.where("doc_id is null").count() == 2
     assert simhash.keep_one_near(nothing).count() == 0
+
+
+def test_links_do_not_depend_on_the_order_of_rows(spark):
+    """A bucket of many fingerprints within the radius gives the same links however its rows come."""
+    r = random.Random(3)
+    rows = [(7 + (sum(1 << b for b in r.sample(range(32, 62), 3))), i) for i in range(60)]
+    rows = list({fp: (fp, i) for fp, i in rows}.values())
+    found = []
+    for seed, parts in ((1, 1), (2, 3), (3, 7)):
+        random.Random(seed).shuffle(rows)
+        nodes = spark.createDataFrame(rows, "fp long, node long").repartition(parts)
+        found.append({tuple(x) for x in simhash.near_links(nodes, 10, all_within=False).collect()})
+    assert found[0] and found[0] == found[1] == found[2]
