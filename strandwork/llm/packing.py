@@ -9,10 +9,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, positions
 from .tokens import encoder, paths, small_ids
 
 END_ID = 2
@@ -23,14 +23,14 @@ class Capacity:
     """What a sequence holds at most: tokens, documents' pieces, and attention cost.
 
     The cost of a piece is the number of ``tile`` x ``tile`` tiles that its own attention takes, so a sequence of many
-    short pieces costs more than one long piece of as many tokens. ``cost`` of None is one tile more than one piece of
-    ``tokens`` takes; ``docs`` of None does not bind. ``weights`` weigh what is left of the three, as shares of their
-    capacities, in the choice of a bin; ``rule`` is "residual" (smallest weighted Euclidean norm of what would be left) or "dot" (largest weighted dot product of the item
-    with what is left).
+    short pieces costs more than its tokens say. ``docs`` and ``cost`` of None are the most that ``tokens`` can need, so
+    they never cost a sequence, but still count in the choice of a bin. ``weights`` weigh what is left of the three, as
+    shares of their capacities, in that choice; ``rule`` is "residual" (smallest weighted Euclidean norm of what would be
+    left) or "dot" (largest weighted dot product of the item with what is left).
     """
 
     tokens: int = 1024
-    docs: int | None = 24
+    docs: int | None = None
     cost: int | None = None
     tile: int = 128
     weights: tuple[float, float, float] = (1.0, 0.5, 0.5)
@@ -40,7 +40,7 @@ class Capacity:
         return (-(-length // self.tile)) ** 2
 
     def limits(self) -> tuple[int, int, int]:
-        return self.tokens, self.docs or self.tokens, self.cost or self.cost_of(self.tokens) + 1
+        return self.tokens, self.docs or self.tokens, self.cost or max(self.tokens, self.cost_of(self.tokens))
 
 
 def pieces(docs: DataFrame, tokens: int = 1024, tokenizer: str | None = None, keep_ids: bool = False, ranks: str | None = None) -> DataFrame:
@@ -134,38 +134,27 @@ def plan_bins(counts: dict[int, int], capacity: Capacity) -> list[tuple[int, int
     return segments
 
 
-def place(items: DataFrame, capacity: Capacity, order: list[str], salts: int = 64) -> tuple[DataFrame, int]:
+def place(items: DataFrame, capacity: Capacity, order: list[str]) -> tuple[DataFrame, int]:
     """Adds sequence_id and offset to items with a ``length`` (1 to capacity.tokens) -> (items, number of sequences).
 
     The driver sees the histogram of lengths (at most capacity.tokens rows), plans on it, and gives back as many
     segments as bins of different contents have parts. Every item then finds its place from its rank among those of its
-    length: the rank within one of ``salts`` shares (by hash, so one length may hold most rows) and the sizes of the
-    shares before it. ``order`` names columns that identify an item; rows that agree in them are interchangeable.
+    length; ranks are taken over ranges of (length, ``order``), so a length that most rows have is spread like any other.
+    ``order`` names columns that identify an item; rows that agree in them are interchangeable.
     """
     spark = items.sparkSession
-    salted = items.withColumn("_salt", F.pmod(F.xxhash64(*order), F.lit(salts)).cast("int"))
-    shares = salted.groupBy("length", "_salt").count().collect()  # at most capacity.tokens * salts rows
-    totals: dict[int, int] = defaultdict(int)
-    before = []
-    for length, salt, n in sorted(map(tuple, shares)):
-        before.append((length, salt, totals[length]))
-        totals[length] += n
-    segments = plan_bins(dict(totals), capacity)
-    by_length: dict[int, list] = defaultdict(list)
-    for s in segments:
-        by_length[s[0]].append(s)
+    totals = {r["length"]: r["count"] for r in items.groupBy("length").count().collect()}
+    segments = plan_bins(totals, capacity)
     n_sequences = max((s[4] + s[2] // s[3] for s in segments), default=0)
-    before_df = spark.createDataFrame(before, "length long, _salt int, _before long")
     segment_df = spark.createDataFrame(
         [(s[0], s[1], s[1] + s[2], s[3], s[4], s[5]) for s in segments],
         "length long, _from long, _to long, _each long, _bin long, _at long",
     )
-    rank = F.row_number().over(Window.partitionBy("length", "_salt").orderBy(*order))
-    ranked = salted.join(F.broadcast(before_df), ["length", "_salt"]).withColumn("_rank", F.col("_before") + rank - 1)
-    in_segment = F.col("_rank") - F.col("_from")
+    in_segment = F.col("position") - F.col("_from")
     placed = (
-        ranked.join(F.broadcast(segment_df), "length")
-        .where("_rank >= _from and _rank < _to")
+        positions(items, ["length"], order, "ranks")
+        .join(F.broadcast(segment_df), "length")
+        .where("position >= _from and position < _to")
         .withColumn("sequence_id", F.col("_bin") + F.floor(in_segment / F.col("_each")))
         .withColumn("offset", F.col("_at") + F.pmod(in_segment, F.col("_each")) * F.col("length"))
     )

@@ -79,8 +79,9 @@ def test_plans_hold_every_capacity(capacity):
 
 
 def test_all_three_capacities_choose(documents, tokenizer):
-    """The default binds by documents and by cost, chooses other bins than tokens alone, and stays near the bound."""
-    capacity, plain = packing.Capacity(), packing.Capacity(docs=None, cost=10**9, weights=(1, 0, 0))
+    """Limits of documents and cost bind where they are asked for; the default chooses other bins than tokens alone, and
+    stays near the bound."""
+    capacity, plain = packing.Capacity(docs=24, cost=65), packing.Capacity(docs=None, cost=10**9, weights=(1, 0, 0))
 
     def bins(counts, c):
         out = defaultdict(list)
@@ -99,11 +100,18 @@ def test_all_three_capacities_choose(documents, tokenizer):
         counts[(n - 1) % 1024 + 1] += 1
         counts[1024] += (n - 1) // 1024
     counts = {k: v for k, v in counts.items() if v}
-    mine = bins(counts, capacity)
+    mine = bins(counts, packing.Capacity())
     assert sorted(map(sorted, mine)) != sorted(map(sorted, bins(counts, plain)))
     assert len(mine) <= 1.01 * sum(k * v for k, v in counts.items()) / 1024 + 2
 
 
+@pytest.mark.parametrize("counts", [{10: 100_000}, {1: 100_000}, {1024: 40_000, 3: 5000}, {k: 300 for k in range(1, 500)}, {900: 500, 100: 700, 24: 400, 2: 9000}])
+def test_default_costs_no_sequences(counts):
+    """Short, mixed and long histograms: documents and cost never take more sequences than tokens ask for."""
+    n = max(start + ranks // each for _, _, ranks, each, start, _ in packing.plan_bins(counts, packing.Capacity()))
+    assert n <= 1.01 * sum(k * v for k, v in counts.items()) / 1024 + 1
+
+
 def test_packing_edges(spark, edge, nothing, tokenizer):
     rows = packing.pack(edge).collect()
     size = sum(len(ids_of(tokenizer, r["text"])) for r in edge.select("text").collect())
