@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
-from functools import reduce
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -11,7 +12,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordIds, connected_components, materialize, mix, window_hashes
+from .common import WordIds, connected_components, list_column, materialize, mix, window_hashes
 
 #: Rows of a bucket that are compared at once; a larger bucket is dealt out as pairs of blocks of this size.
 BLOCK = 1024
@@ -194,63 +195,222 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 3) -> DataFra
     )
 
 
-def wide_fingerprints(docs: DataFrame, words: int = 5, parts: int = 4) -> DataFrame:
-    """(doc_id, text) -> (doc_id long, f0 long, f1 long, ...): ``parts`` times 64 bits of a text's set of shingles.
+def majorities(hashes: np.ndarray, parts: int) -> bytes:
+    """64 bits for each part, little-endian: those set in over half of the hashes, mixed anew for each part. Eight bits of
+    a word are counted at once, one in each of its bytes, over at most 255 words."""
+    keys = np.arange(parts, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    shifts, lanes = np.arange(8, dtype=np.uint64)[:, None, None], np.uint64(0x0101010101010101)
+    ones = np.zeros((8, parts, 8), np.int64)  # bit within a byte, part, byte
+    for i in range(0, len(hashes), 255):
+        words = mix(hashes[i : i + 255, None] ^ keys)
+        ones += ((words >> shifts) & lanes).sum(axis=1, dtype=np.uint64).view(np.uint8).reshape(8, parts, 8)
+    return np.packbits(2 * ones.transpose(1, 2, 0).reshape(-1) > len(hashes), bitorder="little").tobytes()
+
+
+@dataclass(frozen=True)
+class Sketch:
+    """What near copies are told by: SimHash fingerprints of ``parts`` times 64 bits over sets of ``words``-word shingles,
+    and ``bands`` keys of ``rows`` minima of hashes each, of which texts of similarity J share one with a chance of
+    1 - (1 - J^rows)^bands. ``similarity`` is the one that is asked for. Distances of more than ``margin`` standard deviations
+    above the mean at that similarity are no copies, those of ``sure`` below it are, and what lies between is decided on whole
+    sets of shingles."""
+
+    words: int = 5
+    parts: int = 8
+    bands: int = 16
+    rows: int = 7
+    similarity: float = 0.8
+    margin: float = 2.0
+    sure: float = 2.5
+
+    def limits(self) -> tuple[int, int]:
+        """The largest distance that is surely a copy's, and the largest that may be one's."""
+        p, bits = math.acos(2 * self.similarity / (1 + self.similarity)) / math.pi, 64 * self.parts
+        spread = math.sqrt(bits * p * (1 - p))
+        return max(0, int(bits * p - self.sure * spread)), int(bits * p + self.margin * spread)
+
+    def of(self, shingles: np.ndarray) -> tuple[bytes, np.ndarray]:
+        """Distinct 64-bit shingle hashes -> fingerprint and keys of the bands."""
+        fp = majorities(shingles, self.parts)
+        n = self.bands * self.rows
+        odd = mix(np.arange(1, n + 1, dtype=np.uint64)) | np.uint64(1)
+        least = np.full(n, np.iinfo(np.uint64).max, np.uint64)
+        for i in range(0, len(shingles), 4096):  # bounded memory for very long texts
+            part = shingles[i : i + 4096]
+            x = part[None, :] * odd[:, None]
+            np.minimum(least, (x ^ (x >> np.uint64(29))).min(axis=1), out=least)
+        keys = np.zeros(self.bands, np.uint64)
+        for column in least.reshape(self.bands, self.rows).T:
+            keys = mix(keys * np.uint64(0x9E3779B97F4A7C15) + column)
+        return fp, keys ^ mix(np.arange(self.bands, dtype=np.uint64) + np.uint64(1 << 20))
+
+
+def shingle_set(text: str | None, words: int, ids: WordIds) -> np.ndarray:
+    """Distinct 64-bit hashes of a text's shingles: A-Z are lower-cased, a text of fewer than ``words`` words is one shingle,
+    and texts without words have the same set of one."""
+    found = ids.of((text or "").encode().lower().split())
+    return np.unique(window_hashes(found, min(words, len(found)))) if len(found) else np.zeros(1, np.uint64)
+
+
+def sketches(docs: DataFrame, sketch: Sketch) -> DataFrame:
+    """(doc_id, text) -> (doc_id long, same binary, fp binary, bands array): ``same`` is 128 bits of hash of the ``shingle_set``."""
 
-    A-Z are lower-cased; a text of fewer than ``words`` words is one shingle; one without words has zeros. Sets of
-    similarity J differ in a share of acos(2J / (1 + J)) / pi of the bits on average.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids = WordIds()
+        for batch in batches:
+            same, fps, bands = [], [], []
+            for x in batch.column(1):
+                hashes = shingle_set(x.as_py(), sketch.words, ids)
+                fp, keys = sketch.of(hashes)
+                same.append(xxhash.xxh3_128_digest(hashes.tobytes()))
+                fps.append(fp)
+                bands.append(keys.view(np.int64))
+            values = np.concatenate(bands) if bands else np.empty(0, np.int64)
+            cols = [batch.column(0), pa.array(same, pa.binary()), pa.array(fps, pa.binary()), list_column([sketch.bands] * len(bands), values, pa.int64())]
+            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "same", "fp", "bands"])
+
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, same binary, fp binary, bands array<long>")
+
+
+def _far(fps: np.ndarray, fp: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(fps ^ fp).sum(axis=1, dtype=np.int64)
+
+
+def _joined_in(fps: np.ndarray, sure: int, limit: int) -> Iterator[tuple[int, int, bool]]:
+    """Fingerprints (n x parts) -> links that join all of them as far as distances of ``limit`` or fewer do.
+
+    First whatever chains of sure distances join; then these groups grow together, always by the smallest distance that
+    is left, and such links are not sure.
     """
-    names = [f"f{k}" for k in range(parts)]
+    group, n = np.full(len(fps), -1), 0
+    for root in range(len(fps)):
+        if group[root] >= 0:
+            continue
+        group[root], todo = n, [root]
+        while todo:
+            at = todo.pop()
+            rest = np.flatnonzero(group < 0)
+            hit = rest[_far(fps[rest], fps[at]) <= sure]
+            group[hit] = n
+            todo += hit.tolist()
+            yield from ((at, x, True) for x in hit.tolist())
+        n += 1
+    others = np.arange(len(fps)) if n > 1 else np.empty(0, int)
+    while len(others):
+        new = others[group[others] == group[others[0]]]
+        others = np.setdiff1d(others, new)
+        best, by = np.full(len(others), np.iinfo(np.int64).max), np.zeros(len(others), int)
+        while len(others):
+            if len(new) <= len(others):
+                for x in new.tolist():
+                    far = _far(fps[others], fps[x])
+                    near = far < best
+                    best[near], by[near] = far[near], x
+            else:
+                for k, x in enumerate(others.tolist()):
+                    far = _far(fps[new], fps[x])
+                    if far.min() < best[k]:
+                        best[k], by[k] = far.min(), new[far.argmin()]
+            k = int(best.argmin())
+            if best[k] > limit:
+                break
+            yield int(by[k]), int(others[k]), False
+            joins = group[others] == group[others[k]]
+            new, others, best, by = others[joins], others[~joins], best[~joins], by[~joins]
+
+
+def _wide_links(parts: int, sure: int, limit: int):
+    """For rows (bucket, node, fp) sorted by bucket: links (a, b, sure) between the nodes of a bucket, by whole distances."""
+
+    def of(bucket: np.ndarray, node: np.ndarray, fps: np.ndarray) -> pa.RecordBatch:
+        starts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
+        sizes = np.diff(np.concatenate([starts, [len(bucket)]]))
+        two = starts[sizes == 2]
+        far = _far(fps[two], fps[two + 1])
+        two, far = two[far <= limit], far[far <= limit]
+        out = [(node[two], node[two + 1], far <= sure)]
+        for i, n in zip(starts[sizes > 2].tolist(), sizes[sizes > 2].tolist(), strict=True):
+            if links := list(_joined_in(fps[i : i + n], sure, limit)):
+                x, y, known = map(np.array, zip(*links, strict=True))
+                out.append((node[x + i], node[y + i], known))
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], ["a", "b", "sure"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] | None = None
+        for batch in batches:
+            fps = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint64).reshape(-1, parts)
+            rows = [batch.column(0).to_numpy(), batch.column(1).to_numpy(), fps]
+            rows = rows if held is None else [np.concatenate(x) for x in zip(held, rows, strict=True)]
+            if not len(rows[0]):
+                continue
+            cut = int(np.searchsorted(rows[0], rows[0][-1]))
+            held = [x[cut:] for x in rows]
+            if cut:
+                yield of(*(x[:cut] for x in rows))
+        if held is not None and len(held[0]):
+            yield of(*held)
+
+    return run
+
+
+def similar(pairs: DataFrame, docs: DataFrame, words: int, similarity: float) -> DataFrame:
+    """(a, b) of doc_ids -> those pairs whose sets of shingles have a Jaccard similarity of ``similarity`` or more, exactly.
+    Only the documents of pairs are read again."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = WordIds()
         for batch in batches:
-            fps = np.zeros((batch.num_rows, parts), np.uint64)
-            for i, x in enumerate(batch.column(1)):
-                found = ids.of((x.as_py() or "").encode().lower().split())
-                if len(found):
-                    hashes = np.unique(window_hashes(found, min(words, len(found))))
-                    fps[i] = [majority(mix(hashes ^ np.uint64(k * 0x9E3779B97F4A7C15 % 2**64))) for k in range(parts)]
-            cols = [pa.array(np.ascontiguousarray(c).view(np.int64)) for c in fps.T]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *cols], ["doc_id", *names])
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                hashes = shingle_set(text.as_py(), words, ids).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array([doc], pa.int64()), list_column([len(hashes)], hashes, pa.int64())], ["doc_id", "s"])
 
-    rows = docs.select(F.col("doc_id").cast("long"), "text")
-    return rows.mapInArrow(run, ", ".join(["doc_id long", *(f"{n} long" for n in names)]))
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    some = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(asked, "doc_id", "left_semi")
+    sets = materialize(some.mapInArrow(run, "doc_id long, s array<long>"), "sets")
+    met = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("s").alias("sa")), "a")
+    met = met.join(sets.select(F.col("doc_id").alias("b"), F.col("s").alias("sb")), "b")
+    both = F.size(F.array_intersect("sa", "sb"))
+    return met.where(both >= similarity * (F.size("sa") + F.size("sb") - both)).select("a", "b")
 
 
-def near_copies(docs: DataFrame, words: int = 5, distance: int = 37, parts: int = 4, radius: int = 10) -> DataFrame:
+def near_copies(docs: DataFrame, sketch: Sketch | None = None) -> DataFrame:
     """(doc_id, text, ...) -> (doc_id long, component_id long), a row for each row with a doc_id.
 
-    component_id is the smallest doc_id that links reach, the own one included. Fingerprints have ``parts`` times 64 bits,
-    eight segments of 32 bits in all; texts whose fingerprints agree in a segment but for one bit, and within ``radius``
-    bits of its 64, are candidates, and linked if they differ in ``distance`` bits of all or fewer. 37 of 256 bits stand for
-    a Jaccard similarity of 0.81. The number of candidates follows that of the texts: a bucket gives links that connect
-    its members. Texts below a similarity of about 0.9 may share no segment; the README gives the measured shares.
+    component_id is the smallest doc_id that links reach, the own one included. Texts are linked that have the same set of
+    shingles, or share a band and have fingerprints whose distance is surely that of copies, or may be and their sets are
+    similar enough. Segments of a fingerprint can't find texts of similarity 0.8, which differ in 15 % of all bits (the
+    README has figures), so the table is fetched by bands. Whole distances are verified within a bucket, all of them, before
+    its links are thinned to those that join its members by the smallest distances; a bucket of more than BLOCK rows is
+    dealt out as pairs of blocks. The driver gets nothing but counts.
     """
-    names = [f"f{k}" for k in range(parts)]
-    fps = materialize(wide_fingerprints(docs.where("doc_id is not null"), words, parts), "fingerprints")
-    nodes = materialize(fps.groupBy(*names).agg(F.min("doc_id").alias("node")), "nodes")
-    pairs = []
-    for f in names:
-        first = materialize(nodes.groupBy(F.col(f).alias("fp")).agg(F.min("node").alias("b")), "first")
-        equal = nodes.select(F.col(f).alias("fp"), F.col("node").alias("a")).join(first, "fp").where("a <> b").select("a", "b")
-        pairs.append(equal.unionByName(near_links(first.withColumnRenamed("b", "node"), radius, all_within=False)))
-    every = reduce(DataFrame.unionByName, pairs).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    every = materialize(every.distinct(), "pairs")
-    for side in "ab":
-        every = every.join(nodes.select(F.col("node").alias(side), *(F.col(f).alias(f"{f}_{side}") for f in names)), side)
-    bits = sum((F.bit_count(F.col(f"{f}_a").bitwiseXOR(F.col(f"{f}_b"))) for f in names), F.lit(0))
-    roots = connected_components(every.where(bits <= distance).select("a", "b"))
-    placed = nodes.join(roots, "node", "left").withColumn("component_id", F.coalesce("root", "node"))
-    return fps.join(placed, names).select("doc_id", "component_id")
-
-
-def keep_one_near(docs: DataFrame, **options: int) -> DataFrame:
+    sketch = sketch or Sketch()
+    docs = docs.where("doc_id is not null")
+    found = materialize(sketches(docs, sketch), "sketches")
+    nodes = found.groupBy("same").agg(F.min("doc_id").alias("node"), F.any_value("fp").alias("fp"), F.any_value("bands").alias("bands"))
+    nodes = materialize(nodes, "nodes")
+    keys = nodes.select("node", F.explode("bands").alias("key"))
+    sizes = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    rows = materialize(keys.join(sizes, "key"), "buckets")
+    mine = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    bucket = F.xxhash64("key", F.struct(F.least(mine, F.col("other")), F.greatest(mine, F.col("other"))))
+    rows = rows.select(bucket.alias("bucket"), "node").join(nodes.select("node", "fp"), "node").select("bucket", "node", "fp")
+    rows = rows.repartition(F.col("bucket")).sortWithinPartitions("bucket", "node")
+    links = rows.mapInArrow(_wide_links(sketch.parts, *sketch.limits()), "a long, b long, sure boolean")
+    links = links.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.bool_or("sure").alias("sure"))
+    links = materialize(links, "links")
+    sure = links.where("sure").select("a", "b")
+    links = sure.unionByName(similar(links.where("not sure").select("a", "b"), docs, sketch.words, sketch.similarity))
+    placed = nodes.select("same", "node").join(connected_components(links), "node", "left")
+    return found.select("doc_id", "same").join(placed.select("same", F.coalesce("root", "node").alias("component_id")), "same").select("doc_id", "component_id")
+
+
+def keep_one_near(docs: DataFrame, sketch: Sketch | None = None) -> DataFrame:
     """The document with the smallest doc_id of each group of near copies, in docs' columns.
 
     Rows that share a doc_id are copies of one document, of which one row stays. Rows without doc_id all stay.
     """
-    return _first_of(docs, near_copies(docs.select("doc_id", "text"), **options))
+    return _first_of(docs, near_copies(docs.select("doc_id", "text"), sketch))
 
 
 def keep_one(docs: DataFrame, words: int = 3, radius: int = 3) -> DataFrame:
