@@ -112,6 +112,24 @@ def list_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.table(spark, sf_dir, "part").select("p_partkey", scalar.members(F.replace("p_name", F.lit(" "), F.lit(","))).alias("member"))
 
 
+BAM_SIZE = 1 << 28
+
+
+@query(
+    f"""WITH {T.FRAGMENTS} SELECT event_id % 2 AS sample, chr, ref_start, count(*) AS n, CAST(sum(tlen) AS BIGINT) AS total FROM fragments
+    WHERE chr IN ('click', 'view') AND ref_start >= 2000 AND ref_start < 30000 GROUP BY ALL"""
+)
+def bam_region(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two samples of fragments written as BAM and read by region."""
+    rows, paths = T.fragments(spark, sf_dir), []
+    sizes = {r[0]: BAM_SIZE for r in rows.select("chr").distinct().collect()}
+    for k in (0, 1):
+        paths.append(_path(spark, f"bam-{k}"))
+        sinks.bam(rows.where(F.col("event_id") % 2 == k), paths[k], sizes)
+    here = readers.bam(spark, paths, ["0", "1"]).where("chr in ('click', 'view') and ref_start >= 2000 and ref_start < 30000")
+    return here.groupBy(F.col("sample").cast("long").alias("sample"), "chr", "ref_start").agg(F.count("*").alias("n"), F.sum("tlen").alias("total"))
+
+
 @query(
     """SELECT p_partkey, CAST(p_size AS DOUBLE) AS a1, CAST(3 AS DOUBLE) AS c1, CAST(2 AS DOUBLE) AS g1, CAST(1 AS DOUBLE) AS t1, CAST(4 + p_size AS DOUBLE) AS a2,
     CAST(3 AS DOUBLE) AS c2, CAST(2 AS DOUBLE) AS g2, CAST(p_partkey AS DOUBLE) AS t2, CAST(0 AS DOUBLE) AS n2 FROM part"""

@@ -3,14 +3,18 @@
 from __future__ import annotations
 
 import gzip
+import json
 import struct
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..constants import BED3, BED6, CHROM_SIZES, FASTA_INDEX, GENES, GTF, SEGMENTS, SITE_SCORES, TSS
+from .bam import MAGIC, SCHEMA, SPLIT_BYTES, BamSource, block_length, open_file
 
 
 def _tsv(spark: SparkSession, path: str, schema: str, header: bool = False, sep: str = "\t", comment: str | None = None) -> DataFrame:
@@ -116,18 +120,43 @@ def dinucleotides(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(part[0].cast("int").alias("from"), part[1].cast("int").alias("to"), part[2].cast("double").alias("prob"))
 
 
-def bam(spark: SparkSession, path: str) -> DataFrame:
-    """Fragments (chr, ref_start, tlen) of BAM files, a task for each file; unplaced reads are left out.
+def bam(spark: SparkSession, path: str | list[str], samples: list[str] | None = None, split_bytes: int = SPLIT_BYTES) -> DataFrame:
+    """Fragments (chr, ref_start, tlen, sample) of BAM files or folders of them, stacked; unplaced reads are left out.
 
-    No other field is decoded. A file must fit a row (2 GB); split larger ones by chromosome, or keep fragments as
-    Parquet sorted by chr and ref_start, where filters skip row groups.
+    Files are read in pieces of ``split_bytes``, cut at blocks. Filters on chr, ref_start and sample reach the source: with a
+    ``.bai`` beside a file, only blocks that its index names are opened. ``samples`` names each path's sample (by default a
+    file's name). Files that aren't in blocks, or that only Spark can open, are inflated whole, a task for each.
     """
+    found = []
+    for i, p in enumerate([path] if isinstance(path, str) else path):
+        try:
+            fs, at = pafs.FileSystem.from_uri(p) if "://" in p or p.startswith("file:") else (pafs.LocalFileSystem(), p)
+        except pa.ArrowInvalid:
+            return _bam_whole(spark, path, samples)
+        info = fs.get_file_info(at)
+        inside = [p]
+        if info.type == pafs.FileType.Directory:
+            names = sorted(x.base_name for x in fs.get_file_info(pafs.FileSelector(at)))
+            inside = [f"{p.rstrip('/')}/{n}" for n in names if n.endswith(".bam") and n[0] not in "._"]
+        found += [(x, samples[i] if samples else x.rsplit("/", 1)[-1].removesuffix(".bam")) for x in inside]
+    for x, _ in found:
+        with open_file(x) as file:
+            if block_length(file.read_at(min(64, file.size()), 0)) is None:
+                return _bam_whole(spark, path, samples)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    spark.dataSource.register(BamSource)
+    options = {"paths": json.dumps([x for x, _ in found]), "samples": json.dumps([s for _, s in found]), "split_bytes": str(split_bytes)}
+    return spark.read.format(BamSource.name()).options(**options).load()
+
+
+def _bam_whole(spark: SparkSession, path: str | list[str], samples: list[str] | None) -> DataFrame:
+    """As ``bam``, a row for each file, which has to be smaller than 2 GB."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for content in batch.column(0):
+            for content, sample in zip(batch.column(0), batch.column(1), strict=True):
                 data = gzip.decompress(content.as_py())
-                if data[:4] != b"BAM\x01":
+                if data[:4] != MAGIC:
                     raise ValueError("not a BAM file")
                 at = 8 + struct.unpack_from("<i", data, 4)[0]
                 n_refs, at, names = struct.unpack_from("<i", data, at)[0], at + 4, []
@@ -143,9 +172,13 @@ def bam(spark: SparkSession, path: str) -> DataFrame:
                     at += 4 + size
                     if len(rows) == 100_000 or at >= len(data) and rows:
                         cols = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.string(), pa.int32(), pa.int32()), strict=True)]
-                        yield pa.RecordBatch.from_arrays(cols, ["chr", "ref_start", "tlen"])
+                        yield pa.RecordBatch.from_arrays([*cols, pa.array([sample.as_py()] * len(rows))], ["chr", "ref_start", "tlen", "sample"])
                         rows = []
 
-    files = spark.read.format("binaryFile").load(path).select("content")
-    return files.mapInArrow(run, "chr string, ref_start int, tlen int")
+    def read(p: str, name: str | None) -> DataFrame:
+        rows = spark.read.format("binaryFile").option("pathGlobFilter", "*.bam").load(p)
+        of = F.lit(name) if name else F.regexp_extract("path", r"([^/]*?)(?:\.bam)?$", 1)
+        return rows.select("content", of.alias("sample")).mapInArrow(run, SCHEMA)
 
+    paths = [path] if isinstance(path, str) else path
+    return reduce(DataFrame.unionByName, (read(p, samples[i] if samples else None) for i, p in enumerate(paths)))

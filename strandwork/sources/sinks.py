@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..constants import POSTERIOR_CUT
+from .bam import BamSource
 
 
 def sparse(df: DataFrame, path: str, value: str = "n") -> None:
@@ -32,3 +35,12 @@ def tsv(df: DataFrame, path: str) -> None:
 def bed(df: DataFrame, path: str) -> None:
     rest = [c for c in df.columns if c not in ("chr", "start", "end")]
     df.select("chr", "start", "end", *rest).write.mode("overwrite").option("sep", "\t").csv(path)
+
+
+def bam(df: DataFrame, path: str, sizes: dict[str, int]) -> None:
+    """Fragments (chr, ref_start, tlen) as a folder of BAM files in order of place, each with its index; a file for each
+    range of places, so the number of files follows the size. ``sizes`` are the chromosomes' lengths."""
+    df.sparkSession.dataSource.register(BamSource)
+    rows = df.select("chr", F.col("ref_start").cast("int").alias("ref_start"), F.col("tlen").cast("int").alias("tlen"))
+    rows = rows.repartitionByRange("chr", "ref_start").sortWithinPartitions("chr", "ref_start")
+    rows.write.format(BamSource.name()).mode("append").options(path=path, sizes=json.dumps(sorted(sizes.items()))).save()

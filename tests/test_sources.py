@@ -32,7 +32,7 @@ def test_bam(spark, tmp_path):
     head = b"BAM\x01" + struct.pack("<i", 3) + b"@HD" + struct.pack("<i", 1) + struct.pack("<i", 5) + b"chrI\0" + struct.pack("<i", 1000)
     parts = [head + record(0, 10, 150), record(0, 159, -150) + record(-1, -1, 0)]
     (tmp_path / "x.bam").write_bytes(b"".join(map(gzip.compress, parts)))
-    assert sorted(tuple(r) for r in readers.bam(spark, str(tmp_path / "x.bam")).collect()) == [("chrI", 10, 150), ("chrI", 159, -150)]
+    assert sorted(tuple(r) for r in readers.bam(spark, str(tmp_path / "x.bam")).collect()) == [("chrI", 10, 150, "x"), ("chrI", 159, -150, "x")]
 
 
 def test_tables(spark, tmp_path):
