@@ -82,7 +82,7 @@ def _fragments(spark: SparkSession, path: str) -> DataFrame:
 
 def _signals(spark: SparkSession, segments: DataFrame, configs: list[Config]) -> DataFrame:
     """Segments with codes and the counts of each config's fragments; a config without fragments adds none."""
-    rows = readers.with_sequence(segments, readers.fasta(spark, configs[0].fasta)).drop("seq")
+    rows = readers.with_sequence(segments, readers.sequence(spark, configs[0].fasta)).drop("seq")
     for c in configs:
         if c.fragments:
             found = segment_table(segments, _fragments(spark, c.fragments), c, tech=c.tech)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalar
 from ..operators import diff, intervals
-from ..sources import readers, sinks
+from ..sources import readers, sequence, sinks
 from ..storage import shared_dir
 from . import tables as T
 
@@ -112,6 +112,25 @@ def list_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.table(spark, sf_dir, "part").select("p_partkey", scalar.members(F.replace("p_name", F.lit(" "), F.lit(","))).alias("member"))
 
 
+@query(
+    """WITH r AS (SELECT 's' || (s_suppkey % 7) AS chr, string_agg(s_name, '' ORDER BY s_suppkey) AS seq FROM supplier GROUP BY ALL),
+    p AS (SELECT DISTINCT 's' || (l_suppkey % 7) AS chr, CAST(l_partkey AS BIGINT) AS start, CAST(l_partkey + l_quantity AS BIGINT) AS "end" FROM lineitem)
+    SELECT p.chr, start, "end", substr(seq, start, "end" - start + 1) AS seq, CAST(length(seq) AS BIGINT) AS size FROM p JOIN r USING (chr) WHERE start > 0 AND "end" <= length(seq)"""
+)
+def indexed_sequence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers' names as long records in lines of 60, indexed, cut into pieces and joined to stretches of their line items."""
+    key = lambda c: F.concat(F.lit("s"), F.col(c) % 7)
+    names = T.table(spark, sf_dir, "supplier").groupBy(key("s_suppkey").alias("chr")).agg(F.array_join(F.sort_array(F.collect_list(F.struct("s_suppkey", "s_name")))["s_name"], "").alias("s"))
+    lines = F.concat(F.lit(">"), F.col("chr"), F.lit("\n"), F.regexp_replace(F.regexp_replace("s", "(.{60})", "$1\n"), "\n$", ""))
+    path = _path(spark, "records")
+    names.select(lines.alias("value")).coalesce(1).write.text(path)
+    made = next(r[0] for r in spark.read.format("binaryFile").load(path).select("path").collect())
+    index = sequence.index_fasta(spark, made, split_bytes=1000)
+    stretches = T.table(spark, sf_dir, "lineitem").select(key("l_suppkey").alias("chr"), F.col("l_partkey").cast("long").alias("start"), (F.col("l_partkey") + F.col("l_quantity")).cast("long").alias("end")).distinct()
+    stretches = stretches.join(index.select("chr", F.col("length").alias("size")), "chr").where("start > 0 and end <= size")
+    return sequence.with_sequence(stretches, sequence.chunks(spark, made, index, width=128), width=128).select("chr", "start", "end", "seq", "size")
+
+
 BAM_SIZE = 1 << 28
 
 

@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 from ..constants import BED3, BED6, CHROM_SIZES, FASTA_INDEX, GENES, GTF, SEGMENTS, SITE_SCORES, TSS
 from .bam import MAGIC, SCHEMA, SPLIT_BYTES, BamSource, block_length, open_file
+from .sequence import chunks, chunks_of, index_fasta
+from .sequence import with_sequence as joined_sequence
 
 
 def _tsv(spark: SparkSession, path: str, schema: str, header: bool = False, sep: str = "\t", comment: str | None = None) -> DataFrame:
@@ -86,15 +88,26 @@ def site_scores(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(SITE_SCORES).parquet(path)
 
 
+def sequence(spark: SparkSession, path: str) -> DataFrame:
+    """(chr, chunk, seq) of a FASTA file, in pieces read by byte ranges: by the ``.fai`` beside it, or by an index that is made
+    now. A file that only Spark can open, or a folder, is read record by record."""
+    try:
+        with open_file(path):
+            pass
+    except (OSError, pa.ArrowInvalid):
+        return chunks_of(fasta(spark, path))
+    try:
+        with open_file(f"{path}.fai"):
+            index = fasta_index(spark, f"{path}.fai")
+    except OSError:
+        index = index_fasta(spark, path)
+    return chunks(spark, path, index)
+
+
 def with_sequence(segs: DataFrame, records: DataFrame) -> DataFrame:
-    """Adds seq and codes to segments; raises where a segment leaves its record. Segments of unknown chromosomes go."""
-    from ..functions.scalar import base_codes
-
-    met = segs.join(records, "chr")
-    inside = (F.col("start") > 0) & (F.col("end") <= F.length("seq"))
-    piece = F.when(inside, F.substring("seq", F.col("start").cast("int"), (F.col("end") - F.col("start") + 1).cast("int")))
-    piece = F.coalesce(piece, F.raise_error(F.concat(F.lit("segment outside of "), F.col("chr"))).cast("string"))
-    return met.select(*segs.columns, piece.alias("seq")).withColumn("codes", base_codes(F.col("seq")))
+    """Adds seq and codes to segments, from ``sequence`` or from whole records (chr, seq); raises where a segment leaves its
+    record. Segments of unknown chromosomes go."""
+    return joined_sequence(segs, records if "chunk" in records.columns else chunks_of(records))
 
 
 def motifs(spark: SparkSession, path: str) -> dict[str, list[list[float]]]:
