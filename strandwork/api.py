@@ -120,8 +120,10 @@ def run_decoding(spark: SparkSession, trained: str, segments: str, out: str) ->
     configs = [parse(r["text"]) for r in spark.read.parquet(f"{trained}/settings").orderBy("i").collect()]
     model = hmm.Model.load(spark, f"{trained}/model")
     rows = materialize(_signals(spark, readers.segments(spark, segments), configs), "signals")
-    hmm.log_likelihoods(rows, model).write.mode("overwrite").parquet(f"{out}/likelihoods")
-    return decode(rows, model, f"{out}/posterior")
+    found = materialize(hmm.decode_scored(rows, model), "decoded")
+    found.where("state is null").select("segment_id", "log_likelihood").write.mode("overwrite").parquet(f"{out}/likelihoods")
+    sinks.posterior(found.where("state is not null").drop("log_likelihood"), f"{out}/posterior")
+    return spark.read.parquet(f"{out}/posterior")
 
 
 def background_track(posterior: DataFrame, segments: DataFrame, model: hmm.Model) -> DataFrame:

@@ -26,7 +26,8 @@ from ..functions.scalar import to_probabilities
 HEAD, MIDDLE, TAIL = 9, 128, 10
 NUC_STATES = HEAD + 4 * MIDDLE + TAIL
 DYAD_POSITION = NUCLEOSOME // 2
-TOGETHER = 8  # segments that a task decodes at once
+TOGETHER = 8  # segments that a task decodes at once at most
+MEMORY = 64 << 20  # bytes of forward values that a task holds, which decides how many segments that is
 
 
 @dataclass(frozen=True)
@@ -202,40 +203,83 @@ class Kernel:
         out[:, b - 4 : b] += x[:, b, None]
         return out
 
-    def _emission(self, codes: np.ndarray | None, signals: dict[str, np.ndarray]) -> np.ndarray:
-        shape = codes.shape if codes is not None else next(iter(signals.values())).shape
-        out = self.base[codes] if codes is not None and self.model.use_sequence else np.ones((*shape, self.n))
+    def _emissions(self, codes: np.ndarray | None, signals: dict[str, np.ndarray]):
+        """A function of two places -> emissions between them (bases x segments x states)."""
+        looked_up = []
         for name, values in signals.items():
             c = self.model.counts[name]
             smooth = isinstance(c, Density)
             inside = c.nucleosome if smooth else [(m, c.nucleosome[1]) for m in c.nucleosome[0]]
             seen, at = np.unique(values, return_inverse=True)
             table = np.array([[c.at(float(k), *p) if smooth else _nb(int(k), *p) for p in (c.other, c.motif, *inside)] for k in seen])
-            out *= table[:, self.position + 2][at.reshape(shape)]
-        return out
+            looked_up.append((table, at.reshape(values.shape).T))
+        if codes is not None:
+            codes = codes.T
 
-    def posteriors(self, codes: np.ndarray | None, signals: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        """Chances of states of segments of equal length (segments x bases x states), and the log likelihood of each. One
-        scale is shared by both directions. All segments take a step together."""
-        tiny = np.finfo(float).tiny
-        e = np.ascontiguousarray(np.swapaxes(self._emission(codes, signals), 0, 1))  # base by base
-        n, m = e.shape[:2]
-        alpha, scale = np.empty((n, m, self.n)), np.empty((n, m, 1))
-        for t in range(n):
-            x = (np.broadcast_to(self.entry, (m, self.n)) if t == 0 else self._forward_step(alpha[t - 1])) * e[t]
+        def between(a: int, b: int) -> np.ndarray:
+            if codes is not None and self.model.use_sequence:
+                out = self.base[codes[a:b]]
+            else:
+                out = np.ones((b - a, (codes if codes is not None else looked_up[0][1]).shape[1], self.n))
+            for table, at in looked_up:
+                out *= table[at[a:b]][..., self.position + 2]
+            return out
+
+        return between
+
+    def _emission(self, codes: np.ndarray | None, signals: dict[str, np.ndarray]) -> np.ndarray:
+        """All emissions of one segment (bases x states)."""
+        lifted = self._emissions(None if codes is None else codes[None], {k: v[None] for k, v in signals.items()})
+        return lifted(0, len(codes if codes is not None else next(iter(signals.values()))))[:, 0]
+
+    def _next(self, alpha: np.ndarray | None, e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The next base's forward values, of sum 1, and what they were divided by. All segments take a step together."""
+        x = (np.broadcast_to(self.entry, e.shape) if alpha is None else self._forward_step(alpha)) * e
+        total = x.sum(axis=1, keepdims=True)
+        if not (total > 0).all():
+            x = np.where(total > 0, x, x + np.finfo(float).tiny)
             total = x.sum(axis=1, keepdims=True)
-            if not (total > 0).all():
-                x = np.where(total > 0, x, x + tiny)
-                total = x.sum(axis=1, keepdims=True)
-            scale[t] = total
-            alpha[t] = x / total
-        beta = np.ones((m, self.n))
-        for t in range(n - 2, -1, -1):
-            beta = self._backward_step(np.maximum(e[t + 1], 0) * beta) / scale[t + 1]
-            alpha[t] *= beta
-        total = alpha.sum(axis=2, keepdims=True)
-        alpha /= np.where(total > 0, total, 1)
-        return np.swapaxes(alpha, 0, 1), np.log(scale).sum(axis=(0, 2))
+        return x / total, total
+
+    def blocks(self, codes: np.ndarray | None, signals: dict[str, np.ndarray]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """For segments of equal length: (first base, chances of states (segments x bases x states), log likelihoods), from
+        the last stretch of bases to the first one. One scale is shared by both directions.
+
+        Forward values are kept at the border of each of some sqrt(bases) stretches and made again within a stretch when the
+        backward values get there, so memory follows the square root of the bases.
+        """
+        m, n = (codes if codes is not None else next(iter(signals.values()))).shape
+        emissions, step = self._emissions(codes, signals), math.isqrt(n - 1) + 1 if n else 1
+        starts, kept, scale, alpha = range(0, n, step), [], np.empty((n, m, 1)), None
+        for a in starts:
+            kept.append(alpha)
+            for t, e in enumerate(emissions(a, min(n, a + step)), a):
+                alpha, scale[t] = self._next(alpha, e)
+        ll = np.log(scale).sum(axis=(0, 2))
+        beta, following = np.ones((m, self.n)), None
+        for a in reversed(starts):
+            e, alpha = emissions(a, min(n, a + step)), kept.pop()
+            post = np.empty(e.shape)
+            for i in range(len(e)):
+                alpha, _ = self._next(alpha, e[i])
+                post[i] = alpha
+            for i in range(len(e) - 1, -1, -1):
+                if following is not None:
+                    beta = self._backward_step(following * beta) / scale[a + i + 1]
+                post[i] *= beta
+                following = e[i]
+            total = post.sum(axis=2, keepdims=True)
+            post /= np.where(total > 0, total, 1)
+            yield a, np.swapaxes(post, 0, 1), ll
+
+    def together(self, bases: int) -> int:
+        """How many segments of a length are decoded at once: two stretches of values and one of emissions fit MEMORY."""
+        return max(1, min(TOGETHER, MEMORY // (3 * 8 * self.n * (math.isqrt(max(0, bases - 1)) + 1))))
+
+    def posteriors(self, codes: np.ndarray | None, signals: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """Chances of states of segments of equal length (segments x bases x states), whole, and the log likelihood of each."""
+        found = list(self.blocks(codes, signals))
+        return np.concatenate([post for _, post, _ in reversed(found)], axis=1), found[0][2]
 
     def posterior(self, codes: np.ndarray | None, signals: dict[str, np.ndarray]) -> tuple[np.ndarray, float]:
         """``posteriors`` of one segment."""
@@ -259,37 +303,51 @@ def _inputs(segments: DataFrame, model: Model) -> DataFrame:
     return segments.repartition(tasks, "segment_id").select("segment_id", "chr", "start", *(["codes"] if model.use_sequence else []), *model.counts)
 
 
-def _decoded(batches: Iterator[pa.RecordBatch], model: Model, strict_compat: bool = False) -> Iterator[tuple]:
-    """(segment, chr, start, posterior, log likelihood) of each row; TOGETHER segments of equal length are decoded at once."""
-    kernel = Kernel(model, strict_compat)
+def _decoded(batches: Iterator[pa.RecordBatch], kernel: Kernel) -> Iterator[tuple]:
+    """(segment, chr, position, posterior, log likelihood, whether it is the last, place in the group) of each row's
+    stretches, from its end to its start; segments of equal length are decoded in groups."""
+    counts, use_sequence = kernel.model.counts, kernel.model.use_sequence
     for batch in batches:
         sizes = np.array([len(x) for x in batch.column(batch.num_columns - 1)], np.int64)
         order = np.argsort(sizes, kind="stable")
         for same in np.split(order, np.flatnonzero(np.diff(sizes[order])) + 1) if len(order) else ():
-            for i in range(0, len(same), TOGETHER):
-                rows = same[i : i + TOGETHER].tolist()
+            size = int(sizes[same[0]])
+            step = kernel.together(size)
+            for i in range(0, len(same) if size else 0, step):
+                rows = same[i : i + step].tolist()
                 get = lambda c: np.stack([np.asarray(batch.column(c)[r].values) for r in rows])  # noqa: E731, B023
-                codes = get("codes").astype(int) if model.use_sequence else None
-                if not sizes[rows[0]]:
-                    continue
-                post, ll = kernel.posteriors(codes, {k: get(k) for k in model.counts})
-                for k, r in enumerate(rows):
-                    yield *(batch.column(c)[r].as_py() for c in ("segment_id", "chr", "start")), post[k], float(ll[k])
+                names = [[batch.column(c)[r].as_py() for c in ("segment_id", "chr", "start")] for r in rows]
+                for a, post, ll in kernel.blocks(get("codes").astype(int) if use_sequence else None, {k: get(k) for k in counts}):
+                    for k, (segment, chrom, start) in enumerate(names):
+                        yield segment, chrom, start + a, post[k], float(ll[k]), a == 0, k
 
 
-def decode(segments: DataFrame, model: Model, cut: float = POSTERIOR_CUT, strict_compat: bool = False) -> DataFrame:
-    """(segment_id, chr, start[, codes], a count array for each signal of the model) -> the sparse posterior
-    (segment_id, chr, pos, state, prob) with prob >= cut. A segment is decoded in one piece, TOGETHER of equal length at
-    once, so a task's memory is that many times bases times states."""
+def decode_scored(segments: DataFrame, model: Model, cut: float = POSTERIOR_CUT, strict_compat: bool = False) -> DataFrame:
+    """(segment_id, chr, start[, codes], a count array for each signal of the model) -> (segment_id, chr, pos, state, prob,
+    log_likelihood): the sparse posterior, rows with prob >= cut, and a row for each segment that has its log likelihood and
+    no position, state or prob. One pass gives both."""
     shared = segments.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for segment, chrom, start, post, _ in _decoded(batches, shared.value, strict_compat):
+        for segment, chrom, start, post, ll, last, _ in _decoded(batches, Kernel(shared.value, strict_compat)):
             at, state = np.nonzero(post >= cut)
-            cols = [pa.array(np.full(len(at), segment)), pa.array([chrom] * len(at), pa.string()), pa.array(start + at), pa.array(state.astype(np.int32)), pa.array(post[at, state])]
-            yield pa.RecordBatch.from_arrays(cols, ["segment_id", "chr", "pos", "state", "prob"])
+            n = len(at)
+            cols = [
+                pa.array(np.full(n + last, segment), pa.int64()),
+                pa.array([chrom] * (n + last), pa.string()),
+                pa.array([*(start + at).tolist(), *[None] * last], pa.int64()),
+                pa.array([*state.tolist(), *[None] * last], pa.int32()),
+                pa.array([*post[at, state].tolist(), *[None] * last], pa.float64()),
+                pa.array([*[None] * n, *[ll] * last], pa.float64()),
+            ]
+            yield pa.RecordBatch.from_arrays(cols, ["segment_id", "chr", "pos", "state", "prob", "log_likelihood"])
 
-    return _inputs(segments, model).mapInArrow(run, "segment_id long, chr string, pos long, state int, prob double")
+    return _inputs(segments, model).mapInArrow(run, "segment_id long, chr string, pos long, state int, prob double, log_likelihood double")
+
+
+def decode(segments: DataFrame, model: Model, cut: float = POSTERIOR_CUT, strict_compat: bool = False) -> DataFrame:
+    """The sparse posterior (segment_id, chr, pos, state, prob) of ``decode_scored``."""
+    return decode_scored(segments, model, cut, strict_compat).where("state is not null").drop("log_likelihood")
 
 
 def decode_factors(segments: DataFrame, model: Model, cut: float = POSTERIOR_CUT) -> DataFrame:
@@ -302,7 +360,7 @@ def decode_factors(segments: DataFrame, model: Model, cut: float = POSTERIOR_CUT
         member = np.zeros((shared.value.n_states, len(names)))
         for state, f in factors:
             member[state, names.index(f)] = 1
-        for segment, chrom, start, post, _ in _decoded(batches, shared.value):
+        for segment, chrom, start, post, *_ in _decoded(batches, Kernel(shared.value)):
             sums = np.where(post >= cut, post, 0) @ member
             at, k = np.nonzero(sums)
             dbf = pa.DictionaryArray.from_arrays(pa.array(k.astype(np.int32)), pa.array(names)).cast(pa.string())
@@ -317,10 +375,14 @@ def expectations(segments: DataFrame, model: Model) -> DataFrame:
     shared = segments.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kernel = Kernel(shared.value)
-        for segment, _, _, post, ll in _decoded(batches, shared.value):
-            rows = [(segment, k, x, ll) for k, x in kernel.expected(post).items()]
-            yield pa.RecordBatch.from_pandas(pd.DataFrame(rows, columns=["segment_id", "dbf", "expected", "log_likelihood"]), preserve_index=False)
+        kernel, sums = Kernel(shared.value), {}
+        for segment, _, _, post, ll, last, place in _decoded(batches, kernel):
+            own = sums.setdefault(place, dict.fromkeys(kernel.expected(post[:0]), 0.0))
+            for k, x in kernel.expected(post).items():
+                own[k] += x
+            if last:
+                rows = [(segment, k, x, ll) for k, x in sums.pop(place).items()]
+                yield pa.RecordBatch.from_pandas(pd.DataFrame(rows, columns=["segment_id", "dbf", "expected", "log_likelihood"]), preserve_index=False)
 
     return _inputs(segments, model).mapInArrow(run, "segment_id long, dbf string, expected double, log_likelihood double")
 

@@ -40,14 +40,22 @@ def segment_counts(segments: DataFrame, mids: DataFrame, width: int = BIN) -> Da
 
 
 def dense_counts(segments: DataFrame, counts: DataFrame, classes: tuple[str, ...] = ("short", "long")) -> DataFrame:
-    """Adds to each segment an array of counts by base for each class, zeros included (a segment is a few thousand bases)."""
-    packed = counts.groupBy("segment_id").agg(
-        *(F.map_from_entries(F.collect_list(F.when(F.col("cls") == c, F.struct("pos", "n")))).alias(f"_{c}") for c in classes)
-    )
+    """Adds to each segment an array of counts by base for each class, zeros included (a segment is a few thousand bases).
+
+    The counts of a segment are put in order once; each adds the zeros since the one before it and itself.
+    """
+    hit = F.struct(F.col("pos").cast("long").alias("pos"), F.col("n").cast("int").alias("n"))
+    packed = counts.groupBy("segment_id").agg(*(F.sort_array(F.collect_list(F.when(F.col("cls") == c, hit))).alias(f"_{c}") for c in classes))
     rows = segments.join(packed, "segment_id", "left")
 
+    def zeros(n: Column) -> Column:
+        return F.array_repeat(F.lit(0), n.cast("int"))
+
     def dense(c: str) -> Column:
-        return F.transform(F.sequence("start", "end"), lambda p: F.coalesce(F.try_element_at(F.col(f"_{c}"), p), F.lit(0)).cast("int"))
+        hits, before = F.col(f"_{c}"), F.col("start") - 1
+        each = F.transform(hits, lambda h, i: F.concat(zeros(h["pos"] - F.coalesce(F.get(hits, i - 1)["pos"], before) - 1), F.array(h["n"])))
+        last = F.coalesce(F.try_element_at(hits, F.lit(-1))["pos"], before)
+        return F.flatten(F.concat(F.coalesce(each, F.array().cast("array<array<int>>")), F.array(zeros(F.col("end") - last))))
 
     return rows.withColumns({c: dense(c) for c in classes}).drop(*(f"_{c}" for c in classes))
 

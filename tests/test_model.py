@@ -30,7 +30,7 @@ def test_smooth_signals(spark, tmp_path, kind):
     assert hmm.Model.load(spark, str(tmp_path / "m")) == m or hmm.Model.load(spark, str(tmp_path / "m")).counts == m.counts
     x = np.array([[0.3, 1.7, 2.2]])
     kernel = hmm.Kernel(m)
-    got = kernel._emission(None, {"long": x})[0]
+    got = kernel._emission(None, {"long": x[0]})
     pdf = scalar.normal_pdf if kind == "normal" else scalar.gamma_pdf
     rows = spark.createDataFrame([(i, j, float(v), *pairs[p + 2]) for i, v in enumerate(x[0]) for j, p in enumerate(kernel.position.tolist())], "i int, j int, x double, a double, b double")
     want = {(r["i"], r["j"]): r["y"] for r in rows.select("i", "j", pdf(F.col("x"), F.col("a"), F.col("b")).alias("y")).collect()}
@@ -288,3 +288,44 @@ def test_scalars(spark):
 def test_config():
     c = parse("[main]\nfragRangeLong = (120, 180)\nfragRangeShort = (0, 90)\npwmFile = m.txt\ntech = ATAC\nother = 1\n")
     assert c.long == (120, 180) and c.short == (0, 90) and c.motifs == "m.txt" and c.offset == 4 and c.fasta is None
+
+
+@pytest.mark.parametrize("bases", [1, 2, 3, 160, 301])
+def test_stretches_are_the_whole(bases):
+    """Forward values made again within stretches give what values kept for every base give, in any number of stretches."""
+    m, rng = model(), np.random.default_rng(bases)
+    kernel = hmm.Kernel(m)
+    codes, counts = rng.integers(0, 5, (3, bases)), rng.integers(0, 4, (3, bases))
+    e = np.stack([kernel._emission(codes[k], {"long": counts[k]}) for k in range(3)], axis=1)
+    alpha, scale = [kernel._next(None, e[0])], []
+    for t in range(1, bases):
+        alpha.append(kernel._next(alpha[-1][0], e[t]))
+    scale = [s for _, s in alpha]
+    beta = [np.ones((3, kernel.n))]
+    for t in range(bases - 2, -1, -1):
+        beta.insert(0, kernel._backward_step(e[t + 1] * beta[0]) / scale[t + 1])
+    want = np.stack([a * b for (a, _), b in zip(alpha, beta, strict=True)], axis=1)
+    want /= want.sum(axis=2, keepdims=True)
+    found = list(kernel.blocks(codes, {"long": counts}))
+    assert [a for a, _, _ in found] == sorted((a for a, _, _ in found), reverse=True) and max(p.shape[1] for _, p, _ in found) <= math.isqrt(bases) + 1
+    post, ll = kernel.posteriors(codes, {"long": counts})
+    assert np.allclose(post, want, rtol=1e-12) and np.allclose(ll, np.log(scale).sum(axis=0)[:, 0], rtol=1e-12)
+
+
+def test_memory_follows_states_and_the_root_of_the_bases():
+    small = hmm.Kernel(model())
+    wide = hmm.Kernel(hmm.Model({f"m{i}": [[0.25] * 4] * 12 for i in range(150)}, [0.25] * 4, {"background": 0.5, "nucleosome": 0.2} | {f"m{i}": 0.002 for i in range(150)}))
+    assert small.together(5000) == hmm.TOGETHER and 1 < wide.together(100_000) < hmm.TOGETHER and wide.together(10**9) == 1
+    assert wide.together(100_000) * 3 * 8 * wide.n * 317 <= hmm.MEMORY
+
+
+def test_posterior_and_likelihood_come_from_one_pass(spark):
+    m, rng = model(), np.random.default_rng(8)
+    rows = [(i, "c", 1 + 100 * i, rng.integers(0, 4, 60).tolist(), rng.integers(0, 3, 60).tolist()) for i in (1, 2, 2)]
+    df = spark.createDataFrame(rows, "segment_id long, chr string, start long, codes array<int>, long array<int>")
+    found = hmm.decode_scored(df, m).collect()
+    lls = sorted((r["segment_id"], r["log_likelihood"]) for r in found if r["state"] is None)
+    kernel = hmm.Kernel(m)
+    want = sorted((r[0], kernel.posterior(np.array(r[3]), {"long": np.array(r[4])})[1]) for r in rows)
+    assert np.allclose(lls, want) and len(hmm.decode(df, m).collect()) == len(found) - 3
+    assert sorted(tuple(r) for r in hmm.log_likelihoods(df, m).collect()) == pytest.approx(want)
