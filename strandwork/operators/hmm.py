@@ -297,10 +297,11 @@ def _nb(k: int, mu: float, phi: float) -> float:
 
 
 def _inputs(segments: DataFrame, model: Model) -> DataFrame:
-    """What a decoder needs, dealt over all tasks: a segment is small, but takes long."""
+    """What a decoder needs, dealt out evenly over all tasks: a segment is small, but takes long, so Spark must not join tasks
+    by their bytes."""
     spark = segments.sparkSession
     tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    return segments.repartition(tasks, "segment_id").select("segment_id", "chr", "start", *(["codes"] if model.use_sequence else []), *model.counts)
+    return segments.repartition(tasks).select("segment_id", "chr", "start", *(["codes"] if model.use_sequence else []), *model.counts)
 
 
 def _decoded(batches: Iterator[pa.RecordBatch], kernel: Kernel) -> Iterator[tuple]:
