@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .config import Config, parse
-from .constants import DINUCLEOTIDE_SAMPLE, EM_ROUNDS, EM_SEED, EM_SEGMENTS, HALF_NUCLEOSOME, NB_EXCLUDED_CHR, NB_FALLBACK, NUCLEOSOME, SITE_REACH
+from .constants import DINUCLEOTIDE_SAMPLE, EM_ROUNDS, EM_SEED, EM_SEGMENTS, HALF_NUCLEOSOME, LINKER, NB_EXCLUDED_CHR, NB_FALLBACK, NUCLEOSOME, SITE_REACH
 from .operators import calls, fit, hmm, intervals, occupancy, signal
 from .sources import readers, sinks
 from .storage import materialize
@@ -27,9 +27,16 @@ def _one(histogram: DataFrame) -> tuple[float, float]:
     return (row["mu"], row["size"]) if row else NB_FALLBACK
 
 
+def linker_sites(dyads: DataFrame) -> DataFrame:
+    """(site_id, chr, centre) of linkers: a stretch [start, end) holds midpoints counted from 0, one less than ``midpoints`` counts."""
+    beside = intervals.linkers(dyads).withColumn("centre", F.col("start") + 1 + LINKER // 2)
+    return beside.select("chr", "centre").distinct().withColumn("site_id", F.xxhash64("chr", "centre"))
+
+
 def fit_counts(fragments: DataFrame, dyads: DataFrame, sites: DataFrame, config: Config) -> dict[str, hmm.Counts]:
-    """Count distributions of the two classes: nucleosomes by offset with one mean size, sites for short ones, linkers else."""
-    mids = signal.midpoints(fragments, config.long, config.short, config.offset)
+    """Count distributions of the two classes: nucleosomes by offset with one mean size, sites for short ones, linkers else.
+    Fragments count by the fits' own, strict rule."""
+    mids = signal.midpoints(fragments, config.long, config.short, config.offset, strict=True)
     short, long = mids.where("cls = 'short'"), mids.where("cls = 'long'")
     places = dyads.where(F.col("chr") != NB_EXCLUDED_CHR).select("chr", F.col("dyad").alias("centre"))
     places = places.withColumn("site_id", F.xxhash64("chr", "centre")).distinct()
@@ -38,9 +45,8 @@ def fit_counts(fragments: DataFrame, dyads: DataFrame, sites: DataFrame, config:
     phi = sum(v[1] for v in values) / NUCLEOSOME
     motif = sites.select("chr", "centre").distinct().withColumn("site_id", F.xxhash64("chr", "centre"))
     motif_short = _one(signal.site_count_histogram(motif, short, SITE_REACH).groupBy("value").agg(F.sum("n").alias("n")))
-    beside = intervals.linkers(dyads.where(~F.col("chr").contains("micron"))).withColumn("centre", F.col("start") + 7)
-    beside = beside.select("chr", "centre").distinct().withColumn("site_id", F.xxhash64("chr", "centre"))
-    other = {k: _one(signal.site_count_histogram(beside, m, 7).groupBy("value").agg(F.sum("n").alias("n"))) for k, m in (("short", short), ("long", long))}
+    beside = linker_sites(dyads.where(~F.col("chr").contains("micron")))
+    other = {k: _one(signal.site_count_histogram(beside, m, LINKER // 2).groupBy("value").agg(F.sum("n").alias("n"))) for k, m in (("short", short), ("long", long))}
     return {
         f"long_{config.tech}": hmm.Counts(other["long"], other["long"], (tuple(v[0] for v in values), phi)),
         f"short_{config.tech}": hmm.Counts(other["short"], motif_short, ((other["short"][0],) * NUCLEOSOME, other["short"][1])),

@@ -11,11 +11,15 @@ from .intervals import BIN, point_join
 
 
 def midpoints(
-    fragments: DataFrame, long: tuple[int, int] = LONG_FRAGMENT, short: tuple[int, int] = SHORT_FRAGMENT, offset: int = 0
+    fragments: DataFrame, long: tuple[int, int] = LONG_FRAGMENT, short: tuple[int, int] = SHORT_FRAGMENT, offset: int = 0, strict: bool = False
 ) -> DataFrame:
-    """(chr, ref_start, tlen) -> (chr, pos, cls, len) of the leftmost mates of either class; no mapping-quality filter."""
-    cls = scalar.fragment_class(F.col("tlen"), long, short)
-    valid = (F.col("tlen") != 0) & (F.col("tlen") - 2 * offset >= 0)
+    """(chr, ref_start, tlen) -> (chr, pos, cls, len) of the leftmost mates of either class; no mapping-quality filter.
+
+    ``strict`` is the rule of the fits: bases have to be left after both offsets, and the class is that of what is left.
+    """
+    left = F.col("tlen") - 2 * offset
+    cls = scalar.fragment_class(left if strict else F.col("tlen"), long, short)
+    valid = (F.col("tlen") > 0) & (left > 0) if strict else (F.col("tlen") != 0) & (left >= 0)
     pos = scalar.fragment_midpoint(F.col("ref_start"), F.col("tlen"), offset)
     return fragments.where(valid).select("chr", pos.alias("pos"), cls.alias("cls"), F.abs("tlen").cast("int").alias("len")).where("cls is not null")
 

@@ -7,8 +7,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import api
 from ..functions import scalar
-from ..operators import diff, intervals
+from ..operators import diff, intervals, signal
 from ..sources import readers, sequence, sinks
 from ..storage import shared_dir
 from . import tables as T
@@ -181,6 +182,18 @@ def fragment_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.fragments(spark, sf_dir).select("event_id", *(c.alias(k) for k, c in rules.items()))
 
 
+@query(
+    f"""WITH {T.FRAGMENTS}, {T.CALLS}, d AS (SELECT DISTINCT chr, dyad FROM calls WHERE dyad - 88 > 0), l AS (SELECT chr, dyad - 88 AS start FROM d UNION SELECT chr, dyad + 73 FROM d),
+    m AS (SELECT chr, CAST(floor((ref_start + 5 + ref_start + 4 + tlen - 8) / 2) AS BIGINT) AS pos, count(*) AS n FROM fragments WHERE tlen > 8 AND tlen - 8 BETWEEN 0 AND 80 GROUP BY ALL)
+    SELECT rel, value, count(*) AS n FROM (SELECT k - 7 AS rel, coalesce(m.n, 0) AS value FROM l CROSS JOIN range(15) r(k) LEFT JOIN m ON m.chr = l.chr AND m.pos = start + 1 + k) GROUP BY ALL"""
+)
+def linker_count_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Short fragments beside nucleosomes under the fits' rule, with an offset of 4."""
+    dyads = T.calls(spark, sf_dir, 0).unionByName(T.calls(spark, sf_dir, 1)).unionByName(T.calls(spark, sf_dir, 2)).select("chr", "dyad").distinct()
+    short = signal.midpoints(T.fragments(spark, sf_dir), offset=4, strict=True).where("cls = 'short'")
+    return signal.site_count_histogram(api.linker_sites(dyads), short, 7)
+
+
 Z = "1.959963984540054"
 
 
