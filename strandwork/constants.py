@@ -44,5 +44,5 @@ SITE_MIN_SCORE = 0.1
 TABLE_MIN_PERCENT = 10.0
 DIFF_P = 0.05
 DIFF_ABS = 1e-3
-KMEANS_SEED = 9
+KMEANS_ROUNDS = 50
 DINUCLEOTIDE_SAMPLE = 5000

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..constants import KMEANS_ROUNDS
 from ..functions.scalar import ERFC
 from ..operators import cluster, diff, link
 from ..operators.occupancy import union_all
@@ -245,7 +246,24 @@ def strongest_change(spark: SparkSession, sf_dir: str) -> DataFrame:
     return diff.strongest_change(nucs, change)
 
 
-@query()
+def _kmeans(vectors: str, k: int, shown: str) -> str:
+    """k-means in SQL: ``vectors`` gives v (a list) and more columns; ``shown`` is selected from them and ``cluster``, from 0."""
+    seeds = ["k1 AS (SELECT min(v) AS c FROM u)"]
+    for i in range(2, k + 1):
+        known = " UNION ALL ".join(f"SELECT c FROM k{j}" for j in range(1, i))
+        seeds.append(f"k{i} AS (SELECT v AS c FROM (SELECT u.v, min(list_distance(u.v, s.c)) AS far FROM u, ({known}) s GROUP BY u.v) ORDER BY far DESC, v LIMIT 1)")
+    near = "list_transform(cs, lambda c: list_distance(v, c))"
+    return f"""WITH RECURSIVE x AS MATERIALIZED ({vectors}), u AS MATERIALIZED (SELECT DISTINCT v FROM x), {", ".join(seeds)},
+    m AS (SELECT 0 AS r, [{", ".join(f"(SELECT c FROM k{i})" for i in range(1, k + 1))}] AS cs UNION ALL
+      SELECT r + 1, list(c ORDER BY k) FROM (SELECT r, k, list(a ORDER BY i) AS c FROM
+        (SELECT r, k, i, avg(y) AS a FROM (SELECT r, list_position(far, list_min(far)) AS k, unnest(v) AS y, unnest(range(len(v))) AS i
+          FROM (SELECT r, v, {near} AS far FROM m, x WHERE r < {KMEANS_ROUNDS})) GROUP BY ALL) GROUP BY ALL) GROUP BY r),
+    e AS (SELECT cs, list_transform(cs, lambda c: list_avg(c)) AS means FROM m ORDER BY r DESC LIMIT 1),
+    f AS (SELECT x.*, means, {near} AS far FROM x, e), g AS (SELECT *, means[list_position(far, list_min(far))] AS own FROM f)
+    SELECT {shown} FROM (SELECT *, CAST(len(list_filter(means, lambda y: y < own)) AS INTEGER) AS cluster FROM g)"""
+
+
+@query(_kmeans("SELECT vec_id, list_transform(embedding, lambda y: least(coalesce(CAST(y AS DOUBLE), 0), 1)) AS v FROM embeddings", 4, "vec_id, cluster + 1 AS occ_cluster"))
 def kmeans_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     table = T.table(spark, sf_dir, "embeddings")
     columns = [f"pdyad{i}" for i in range(table.agg(F.max(F.size("embedding"))).first()[0])]
@@ -253,7 +271,14 @@ def kmeans_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cluster.cluster_occupancy(rows, columns, 4).select("vec_id", "occ_cluster")
 
 
-@query()
+@query(
+    _kmeans(
+        """SELECT c_custkey, [(c_acctbal - (SELECT avg(c_acctbal) FROM customer)) / (SELECT stddev_pop(c_acctbal) FROM customer),
+        (c_nationkey - (SELECT avg(c_nationkey) FROM customer)) / (SELECT stddev_pop(c_nationkey) FROM customer)]::DOUBLE[] AS v FROM customer""",
+        4,
+        "c_custkey, cluster",
+    )
+)
 def kmeans_scaled(spark: SparkSession, sf_dir: str) -> DataFrame:
     columns = ["c_acctbal", "c_nationkey"]
     return cluster.cluster_scaled(T.table(spark, sf_dir, "customer"), columns, 4).select("c_custkey", "cluster")

@@ -69,6 +69,19 @@ def test_clusters_of_separate_groups(spark):
     assert {found[i] == i % 2 for i in range(60)} == {True}
 
 
+def test_clusters_do_not_depend_on_partitions(spark):
+    """Repeated rows, fewer different rows than clusters, an empty table, and rows dealt anew."""
+    rng = random.Random(7)
+    rows = [(i, rng.random(), rng.random(), rng.random()) for i in range(300)]
+    df = spark.createDataFrame(rows + [(i + 300, *r) for i, *r in rows], "i int, a double, b double, c double")
+    one, two = ({r["i"]: r["occ_cluster"] for r in cluster.cluster_occupancy(x, ["a", "b", "c"], 5).collect()} for x in (df.repartition(7), df.coalesce(1)))
+    assert one == two and set(one.values()) == {1, 2, 3, 4, 5} and all(one[i] == one[i + 300] for i in range(300))
+    few = cluster.cluster_occupancy(spark.createDataFrame([(0.5,), (0.5,), (0.1,)], "a double"), ["a"], 3).collect()
+    assert sorted((r["a"], r["occ_cluster"]) for r in few) == [(0.1, 1), (0.5, 2), (0.5, 2)]
+    none = cluster.cluster_scaled(spark.createDataFrame([], "a double"), ["a"], 3)
+    assert none.columns == ["a", "cluster"] and none.count() == 0
+
+
 @pytest.mark.parametrize("assays", [[], ["MNase"], ["MNase", "ATAC"]])
 def test_runs_from_config_files(spark, tmp_path, assays):
     """Sequence alone, one assay, two assays: from files to a model and a posterior; a second run finds all rounds done."""
