@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from .config import Config, parse
 from .constants import DINUCLEOTIDE_SAMPLE, EM_ROUNDS, EM_SEED, EM_SEGMENTS, HALF_NUCLEOSOME, LINKER, NB_EXCLUDED_CHR, NB_FALLBACK, NUCLEOSOME, SITE_REACH
-from .operators import calls, fit, hmm, intervals, occupancy, signal
+from .functions import scalar
+from .operators import calls, diff, fit, hmm, intervals, occupancy, signal
 from .sources import readers, sinks
 from .storage import materialize
 
@@ -58,19 +59,26 @@ def fit_sequence(sequence: DataFrame, dyads: DataFrame, motifs: dict[str, list[l
     share = {r["base"]: r["share"] for r in fit.base_composition(sequence).collect()}
     background = [share[b] for b in "ACGT"]
     motifs = dict(motifs) | {"unknown": hmm.unknown_motif(background)}
-    some = fit.sampled(dyads.withColumn("k", F.concat_ws(":", "chr", "dyad")), "k", DINUCLEOTIDE_SAMPLE, EM_SEED)
+    places = dyads.select("chr", "dyad").distinct().withColumn("k", F.concat_ws(":", "chr", "dyad"))
+    some = fit.drawn(places, "k", DINUCLEOTIDE_SAMPLE, EM_SEED).withColumn("_i", F.explode(F.sequence(F.lit(1), "draws")))
     start = F.col("dyad") - HALF_NUCLEOSOME
     there = some.join(sequence, "chr").where((start > 0) & (F.col("dyad") + HALF_NUCLEOSOME <= F.length("seq")))
     pieces = fit.eligible(there.select(F.substring("seq", start.cast("int"), F.lit(NUCLEOSOME)).alias("seq")))
+    base_model = hmm.Model(motifs, background, hmm.initial_weights(motifs, background))
+    return fit_nucleosome(pieces, base_model)
+
+
+def fit_nucleosome(pieces: DataFrame, model: hmm.Model) -> hmm.Model:
+    """``model`` with the base composition and dinucleotides of sequences (seq) of 147 bases; as it is if there are none."""
     bases = {(r["pos"], r["base"]): r["share"] for r in fit.position_composition(pieces).collect()}
     steps = {(r["pos"], r["cur"], r["nxt"]): r["p"] for r in fit.dinucleotide_transition(pieces).collect()}
     if not bases:
-        return hmm.Model(motifs, background, hmm.initial_weights(motifs, background))
+        return model
     ends = [[bases.get((p, b), 0.0) for b in "ACGT"] for p in (*range(1, hmm.HEAD + 1), *range(NUCLEOSOME - hmm.TAIL + 1, NUCLEOSOME + 1))]
     first = [bases.get((hmm.HEAD + 1, b), 0.0) for b in "ACGT"]
     middle = range(hmm.HEAD + 1, hmm.HEAD + hmm.MIDDLE)
     rows = [[[steps.get((p, a, b), 0.0) for b in "ACGT"] for a in "ACGT"] for p in middle]
-    return hmm.Model(motifs, background, hmm.initial_weights(motifs, background), first, rows, ends)
+    return replace(model, first=first, transitions=rows, ends=ends)
 
 
 def train(
@@ -184,3 +192,16 @@ def region(posterior: DataFrame, segments: DataFrame, model: hmm.Model, chrom: s
     part = posterior.where((F.col("chr") == chrom) & F.col("pos").between(start, end))
     return stitched(part, here, factors(spark, model))
 
+
+
+def compare_region(samples: list[tuple[DataFrame, DataFrame, hmm.Model]], linked: DataFrame, sites: DataFrame, chrom: str, start: int, end: int) -> dict[str, DataFrame]:
+    """What a view of a region shows of ordered samples (posterior, segments, model): ``tracks`` (sample, chr, pos, dbf, prob),
+    ``nucleosomes`` and ``sites``, see ``diff.region_nucleosomes`` and ``diff.region_sites``."""
+    spark, names = linked.sparkSession, [scalar.sample_suffix(i) for i in range(len(samples))]
+    wanted = spark.createDataFrame([(chrom, start, end)], "chr string, r_start long, r_end long")
+    tracks = [region(*s, chrom, start, end).select(F.lit(name).alias("sample"), "*") for name, s in zip(names, samples, strict=True)]
+    return {
+        "tracks": occupancy.union_all(tracks),
+        "nucleosomes": diff.region_nucleosomes(linked, len(samples), wanted),
+        "sites": diff.region_sites(sites, len(samples), wanted),
+    }

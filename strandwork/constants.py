@@ -37,6 +37,7 @@ SITE_FLOOR = 1e-10
 LINK_TOLERANCE = 73
 LINK_MIN_OCCUPANCY = 0.1
 SHIFT_THRESHOLD = 20
+DYAD_MARK = 25
 PLUS_MINUS_REACH = 50
 PROMOTER_REACH = 2000
 DOWNSTREAM_REACH = 500

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..constants import DIFF_ABS, DIFF_P, HALF_NUCLEOSOME, SITE_MIN_SCORE, TABLE_MIN_PERCENT
+from ..constants import DIFF_ABS, DIFF_P, DYAD_MARK, HALF_NUCLEOSOME, SHIFT_THRESHOLD, SITE_MIN_SCORE, TABLE_MIN_PERCENT
 from ..functions.scalar import sample_suffix, t_quantile, two_sided_p
-from .intervals import point_join
+from .intervals import overlap_join, point_join
 from .link import pair_category
 
 
@@ -112,3 +112,40 @@ def z_scores(change: DataFrame, background: DataFrame, p_cut: float = DIFF_P, le
     z = (F.col("diff") - F.col("_m")) / F.when(F.col("_s") > 0, F.col("_s"))
     rows = change.where(F.abs("diff") > least).where("probA <= 1 and probB <= 1").join(stats, "tf").withColumn("z", z)
     return rows.where("z is not null").withColumn("p_value", two_sided_p(F.col("z"))).where(F.col("p_value") < p_cut).drop("_m", "_s")
+
+
+def region_nucleosomes(linked: DataFrame, n: int, regions: DataFrame, threshold: int = SHIFT_THRESHOLD, half: int = DYAD_MARK) -> DataFrame:
+    """Marks of linked nucleosomes in regions (chr, r_start, r_end), a row for each sample that has one.
+
+    linked: as ``link.link`` gives it. (chr, r_start, r_end, sample, dyad, start, end, strength, shift, previous): the mark is
+    ``half`` bases to either side of the dyad; shift is ``later``, ``earlier`` or ``same`` by what it moved from the sample
+    before; previous is the dyad that it is joined to, null for the first sample or where that sample has none. A
+    nucleosome is in a region if its least dyad and its greatest are, but for their marks.
+    """
+    names = [sample_suffix(i) for i in range(n)]
+    dyads = F.array(*(f"dyad{x}" for x in names))
+    top, foot = F.array_min(dyads) + half + 2, F.array_max(dyads) - half
+    rows = linked.withColumns({"_top": top, "_foot": foot}).withColumns({"_a": F.least("_top", "_foot"), "_b": F.greatest("_top", "_foot")})
+    met = overlap_join(rows, regions, left_ends=("_a", "_b")).where("_top >= r_start and _foot <= r_end")
+
+    def mark(i: int) -> Column:
+        dyad, none = F.col(f"dyad{names[i]}").cast("long"), F.lit(None).cast("long")
+        before = F.col(f"dyad{names[i - 1]}").cast("long") if i else none
+        moved = dyad - before
+        kind = F.when(moved > threshold, "later").when(moved < -threshold, "earlier").otherwise("same")
+        strength = 0.9 * F.col(f"pdyad{names[i]}")
+        return F.struct(F.lit(names[i]).alias("sample"), dyad.alias("dyad"), (dyad - half).alias("start"), (dyad + half).alias("end"), strength.alias("strength"), kind.alias("shift"), before.alias("previous"))
+
+    return met.select("chr", "r_start", "r_end", F.inline(F.array(*map(mark, range(n))))).where("dyad is not null")
+
+
+def region_sites(merged: DataFrame, n: int, regions: DataFrame, minimum: float = SITE_MIN_SCORE) -> DataFrame:
+    """Sites of ``merge_sites`` in regions (chr, r_start, r_end), kept if any score exceeds ``minimum``: (chr, r_start, r_end, tf,
+    start, end, centre, scoreA, scoreB, ..., changed). A missing score is 0; a site is changed if one sample's score is
+    below ``minimum`` and another's above it."""
+    scores = [f"score{sample_suffix(i)}" for i in range(n)]
+    rows = merged.select("chr", "tf", "start", "end", *(F.coalesce(c, F.lit(0.0)).alias(c) for c in scores))
+    low, high = F.array_min(F.array(*scores)), F.array_max(F.array(*scores))
+    met = overlap_join(rows, regions).where((F.col("start") < F.col("r_end")) & (high > minimum))
+    centre = F.floor((F.col("start") + F.col("end")) / 2)
+    return met.select("chr", "r_start", "r_end", "tf", "start", "end", centre.alias("centre"), *scores, (low < minimum).alias("changed"))

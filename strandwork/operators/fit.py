@@ -6,10 +6,11 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..constants import NB_FALLBACK
+from .intervals import point_join, running
 
 
 def nb_size(values: np.ndarray, counts: np.ndarray) -> tuple[float, float]:
@@ -149,3 +150,44 @@ def eligible(sequences: DataFrame, seq: str = "seq", length: int = 147) -> DataF
 def sampled(df: DataFrame, key: str, n: int, seed: int) -> DataFrame:
     """n rows in an order that depends on key and seed only."""
     return df.orderBy(F.xxhash64(key, F.lit(seed)), key).limit(n)
+
+
+HASH_BITS = 60
+
+
+def _hashed(key: Column | str, seed: int) -> Column:
+    """A whole number below 2^60 by key and seed: the first 15 hex digits of the MD5 of ``key:seed``."""
+    return F.conv(F.substring(F.md5(F.concat_ws(":", F.col(key).cast("string") if isinstance(key, str) else key.cast("string"), F.lit(seed).cast("string"))), 1, 15), 16, 10).cast("long")
+
+
+def drawn(df: DataFrame, key: str, n: int, seed: int) -> DataFrame:
+    """Adds ``draws``: how often a row is drawn in n draws with replacement, which sum to n; rows never drawn go.
+
+    Draw i takes the row whose place in the order of hashed keys is the hash of i modulo the number of rows, so the counts
+    depend on keys and seed only. ``key`` is distinct and not null. Hashes are even, so the order is found in 4096 bins of
+    one size. An empty table gives no rows.
+    """
+    rows = df.withColumns({"_h": _hashed(key, seed), "_whole": F.lit(0)})
+    rows = running(rows, F.lit(1).cast("long"), "sum", "_place", ["_h", key], key="_whole", at="_h", width=1 << HASH_BITS - 12)
+    total = df.agg(F.count("*").alias("_n"))  # one row
+    draws = df.sparkSession.range(n).join(F.broadcast(total)).where("_n > 0")
+    places = draws.groupBy((_hashed("id", seed) % F.col("_n") + 1).alias("_place")).agg(F.count("*").alias("draws"))
+    return rows.join(places, "_place").select(*df.columns, "draws")
+
+
+def random_segments(sizes: DataFrame, n: int, length: int, seed: int) -> DataFrame:
+    """(draw, chr, start, end): n stretches of ``length`` bases, each place that holds one being equally likely.
+
+    sizes: (chr, size), a row for each chromosome. Draw i falls on its hash modulo the number of places, chromosomes in order
+    of name. Chromosomes shorter than ``length`` have no place.
+    """
+    earlier = Window.orderBy("chr").rowsBetween(Window.unboundedPreceding, -1)  # a row for each chromosome
+    room = sizes.where(F.col("size") >= length).select("chr", (F.col("size") - length + 1).cast("long").alias("_room"))
+    room = room.withColumn("_from", F.coalesce(F.sum("_room").over(earlier), F.lit(0)))
+    lines = room.select("chr", "_from", (F.col("_from") + F.col("_room") - 1).alias("_to"), F.lit(0).alias("_whole"))
+    total = room.agg(F.sum("_room").alias("_n"))  # one row
+    draws = sizes.sparkSession.range(n).withColumnRenamed("id", "draw").join(F.broadcast(total)).where("_n > 0")
+    draws = draws.select("draw", (_hashed("draw", seed) % F.col("_n")).alias("_at"), F.lit(0).alias("_whole"))
+    met = point_join(draws, lines, pos="_at", ends=("_from", "_to"), key="_whole", width=1 << 20)
+    start = F.col("_at") - F.col("_from") + 1
+    return met.select("draw", "chr", start.alias("start"), (start + length - 1).alias("end"))

@@ -111,6 +111,32 @@ class Model:
         rows += [(n + HEAD + 4 * (DYAD_POSITION - HEAD) + i, "nuc_center") for i in range(4)]
         return [*rows, (n, "nuc_start"), (n + NUC_STATES - 1, "nuc_end")]
 
+    def edges(self) -> list[tuple[int, int, float]]:
+        """(from, to, prob): the nucleosome's states, from 1, and the steps between them."""
+        chain = [(i, i + 1, 1.0) for i in range(1, HEAD)]
+        rows = chain + [(HEAD, HEAD + 1 + b, self.first[b]) for b in range(4)]
+        for g, step in enumerate(self.transitions):
+            at = HEAD + 1 + 4 * g
+            rows += [(at + a, at + 4 + b, step[a][b]) for a in range(4) for b in range(4)]
+        tail = HEAD + 4 * MIDDLE + 1
+        rows += [(tail - 4 + b, tail, 1.0) for b in range(4)]
+        return rows + [(i, i + 1, 1.0) for i in range(tail, NUC_STATES)]
+
+    def with_edges(self, edges: list[tuple[int, int, float]]) -> Model:
+        """This model with the nucleosome's steps from ``edges``; steps that are not named have no chance. Raises where an edge
+        joins states that are not neighbours, or the chain outside of the middle is not certain."""
+        known = {(a, b): p for a, b, p in edges}
+        if any((a, b) not in known for a, b, _ in self.edges() if a < HEAD or b > HEAD + 4 * MIDDLE):
+            raise ValueError("the nucleosome's chain is not complete")
+        at = [HEAD + 1 + 4 * g for g in range(MIDDLE - 1)]
+        first = [known.get((HEAD, HEAD + 1 + b), 0.0) for b in range(4)]
+        steps = [[[known.get((i + a, i + 4 + b), 0.0) for b in range(4)] for a in range(4)] for i in at]
+        read = replace(self, first=first, transitions=steps)
+        own = {(a, b): p for a, b, p in read.edges()}
+        if any(own.get(edge) != p for edge, p in known.items()):
+            raise ValueError("edges do not fit the nucleosome's states")
+        return read
+
     def save(self, spark: SparkSession, path: str) -> None:
         data = {k: getattr(self, k) for k in ("motifs", "background", "weights", "first", "transitions", "ends", "use_sequence")}
         data["counts"] = {k: [c.other, c.motif, c.nucleosome, getattr(c, "kind", None)] for k, c in self.counts.items()}

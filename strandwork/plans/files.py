@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import api
 from ..functions import scalar
-from ..operators import diff, intervals, signal
+from ..operators import diff, hmm, intervals, signal
 from ..sources import readers, sequence, sinks
 from ..storage import shared_dir
 from . import tables as T
@@ -206,3 +206,25 @@ Z = "1.959963984540054"
 def mean_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = T.table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("kind"), F.col("l_linestatus").alias("status"), F.col("l_quantity").cast("double").alias("v"))
     return diff.confidence(rows, "v", ["kind", "status"]).select("kind", "status", *(F.round(c, 4).alias(c) for c in ("mean", "low", "high")))
+
+
+@query(
+    f"""WITH s AS (SELECT translate(substr({" || ".join(f"md5(p_name || '{i}')" for i in range(5))}, 1, 147), '0123456789abcdef', 'ACGTACGTACGTACGT') AS seq FROM part),
+    c AS (SELECT pos, substr(seq, pos, 1) AS cur, substr(seq, pos + 1, 1) AS nxt, count(*) AS n FROM s, unnest(range(10, 137)) t(pos) GROUP BY ALL),
+    p AS (SELECT *, n / sum(n) OVER (PARTITION BY pos, cur) AS p FROM c),
+    e AS (SELECT i AS a, i + 1 AS b, 1.0::DOUBLE AS prob FROM (SELECT unnest(range(1, 9)) UNION ALL SELECT unnest(range(522, 531))) t(i)
+      UNION ALL SELECT 518 + i, 522, 1.0 FROM range(4) t(i)
+      UNION ALL SELECT 9, 10 + i, (SELECT count(*) FROM s WHERE substr(seq, 10, 1) = substr('ACGT', i + 1, 1)) / (SELECT count(*) FROM s) FROM range(4) t(i)
+      UNION ALL SELECT 10 + 4 * g + i, 14 + 4 * g + j, coalesce(p, 0) FROM range(127) x(g), range(4) y(i), range(4) z(j)
+        LEFT JOIN p ON pos = g + 10 AND cur = substr('ACGT', i + 1, 1) AND nxt = substr('ACGT', j + 1, 1))
+    SELECT CAST(a AS INTEGER) AS "from", CAST(b AS INTEGER) AS "to", round(prob, 6) AS prob FROM e"""
+)
+def dinucleotide_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A nucleosome fitted to 147 bases for each part, written as text, read into a model, written and read again."""
+    letters = F.concat(*(F.md5(F.concat("p_name", F.lit(str(i)))) for i in range(5)))
+    pieces = T.table(spark, sf_dir, "part").select(F.translate(F.substring(letters, 1, 147), "0123456789abcdef", "ACGTACGTACGTACGT").alias("seq"))
+    blank = hmm.Model({}, [0.25] * 4, {"background": 0.9, "nucleosome": 0.1})
+    one, two = _path(spark, "dinucleotides"), _path(spark, "dinucleotides")
+    sinks.dinucleotides(spark, api.fit_nucleosome(pieces, blank), one)
+    sinks.dinucleotides(spark, readers.dinucleotide_model(spark, one, blank), two)
+    return readers.dinucleotides(spark, two).withColumn("prob", F.round("prob", 6))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..constants import KMEANS_ROUNDS
 from ..functions.scalar import ERFC
-from ..operators import cluster, diff, link
+from ..operators import cluster, diff, fit, link
 from ..operators.occupancy import union_all
 from ..operators.signal import midpoint_histogram
 from . import tables as T
@@ -299,3 +299,61 @@ def set_ops(spark: SparkSession, sf_dir: str) -> DataFrame:
             orders.agg(F.count("*").alias("n")).select(F.lit("all").alias("kind"), "n"),
         ]
     )
+
+
+def _hashed(key: str, seed: int) -> str:
+    return f"CAST('0x' || substr(md5({key} || ':{seed}'), 1, 15) AS BIGINT)"
+
+
+@query(
+    f"""WITH ranked AS (SELECT o_orderkey, row_number() OVER (ORDER BY {_hashed("o_orderkey", 9)}, o_orderkey) AS place FROM orders), n AS (SELECT count(*) AS n FROM orders),
+    d AS (SELECT {_hashed("i", 9)} % n + 1 AS place, count(*) AS draws FROM n, unnest(range(n)) t(i) GROUP BY ALL)
+    SELECT o_orderkey, draws FROM ranked JOIN d USING (place)"""
+)
+def draws_with_replacement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As many draws as there are orders."""
+    orders = T.table(spark, sf_dir, "orders").select("o_orderkey")
+    return fit.drawn(orders, "o_orderkey", orders.count(), 9)
+
+
+@query(
+    f"""WITH {T.SPANS}, room AS (SELECT chr, size - 49 AS places, coalesce(sum(size - 49) OVER (ORDER BY chr ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS first FROM sizes WHERE size >= 50),
+    d AS (SELECT i AS draw, {_hashed("i", 10)} % (SELECT sum(places) FROM room) AS spot FROM (SELECT count(*) AS n FROM spans) m, unnest(range(n)) t(i))
+    SELECT draw, chr, CAST(spot - first + 1 AS BIGINT) AS start, CAST(spot - first + 50 AS BIGINT) AS "end" FROM d JOIN room ON spot >= first AND spot < first + places"""
+)
+def random_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As many stretches of 50 bases as there are fragments."""
+    return fit.random_segments(T.sizes(spark, sf_dir), T.spans(spark, sf_dir).count(), 50, 10)
+
+
+REGION_MARKS = " UNION ALL ".join(
+    f"""SELECT chr, r_start, r_end, '{x}' AS sample, "dyad{x}" AS dyad, "dyad{x}" - 25 AS start, "dyad{x}" + 25 AS "end", 0.9 * "pdyad{x}" AS strength,
+    CASE WHEN {f'"dyad{x}" - "dyad{p}" > 20' if p else 'false'} THEN 'later' WHEN {f'"dyad{x}" - "dyad{p}" < -20' if p else 'false'} THEN 'earlier' ELSE 'same' END AS shift,
+    {f'"dyad{p}"' if p else 'CAST(NULL AS BIGINT)'} AS previous FROM met WHERE "dyad{x}" IS NOT NULL"""
+    for p, x in zip(["", "A", "B"], "ABC", strict=True)
+)
+
+
+@query(
+    f"""WITH RECURSIVE {LINKED_THREE}, sizes AS (SELECT event_type AS chr, max(ref_start + tlen) AS size FROM fragments JOIN events USING (event_id) WHERE tlen > 0 GROUP BY ALL), {T.TILES},
+    named AS ({_named("abc", "three")}), met AS (SELECT n.*, t.start AS r_start, t."end" AS r_end FROM named n JOIN tiles t ON n.chr = t.chr
+      AND least("dyadA", "dyadB", "dyadC") + 27 >= t.start AND greatest("dyadA", "dyadB", "dyadC") - 25 <= t."end") {REGION_MARKS}"""
+)
+def region_nucleosomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each segment's view shows of the nucleosomes of three samples."""
+    regions = T.tiles(spark, sf_dir).select("chr", F.col("start").alias("r_start"), F.col("end").alias("r_end"))
+    return diff.region_nucleosomes(_linked(spark, sf_dir, 3), 3, regions)
+
+
+@query(
+    f"""WITH {MERGED}, regions AS (SELECT 'chr' || (s_suppkey % 16) AS chr, min(s_suppkey) * 7 AS r_start, min(s_suppkey) * 7 + 400 AS r_end FROM supplier GROUP BY ALL)
+    SELECT m.chr, r_start, r_end, tf, start, "end", CAST((start + "end") // 2 AS BIGINT) AS centre, coalesce("scoreA", 0) AS "scoreA", coalesce("scoreB", 0) AS "scoreB", coalesce("scoreC", 0) AS "scoreC",
+    least(coalesce("scoreA", 0), coalesce("scoreB", 0), coalesce("scoreC", 0)) < 0.08 AS changed FROM merged m JOIN regions r ON m.chr = r.chr AND start < r_end AND "end" >= r_start
+    WHERE greatest("scoreA", "scoreB", "scoreC") > 0.08"""
+)
+def region_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sites of three samples in a region of each chromosome."""
+    key = F.concat(F.lit("chr"), F.pmod("s_suppkey", F.lit(16)))
+    first = T.table(spark, sf_dir, "supplier").groupBy(key.alias("chr")).agg((F.min("s_suppkey") * 7).alias("r_start"))
+    merged = diff.merge_sites(_sites(spark, sf_dir), minimum=0.05)
+    return diff.region_sites(merged, 3, first.withColumn("r_end", F.col("r_start") + 400), minimum=0.08)

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..constants import BED3, BED6, CHROM_SIZES, FASTA_INDEX, GENES, GTF, SEGMENTS, SITE_SCORES, TSS
+from ..operators.hmm import Model
 from .bam import MAGIC, SCHEMA, SPLIT_BYTES, BamSource, block_length, open_file
 from .sequence import chunks, chunks_of, index_fasta
 from .sequence import with_sequence as joined_sequence
@@ -133,6 +134,11 @@ def dinucleotides(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(part[0].cast("int").alias("from"), part[1].cast("int").alias("to"), part[2].cast("double").alias("prob"))
 
 
+def dinucleotide_model(spark: SparkSession, path: str, model: Model) -> Model:
+    """``model`` with the nucleosome's steps from a file of edges."""
+    return model.with_edges([tuple(r) for r in dinucleotides(spark, path).collect()])
+
+
 def bam(spark: SparkSession, path: str | list[str], samples: list[str] | None = None, split_bytes: int = SPLIT_BYTES) -> DataFrame:
     """Fragments (chr, ref_start, tlen, sample) of BAM files or folders of them, stacked; unplaced reads are left out.
 

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..constants import POSTERIOR_CUT
+from ..operators.hmm import HEAD, MIDDLE, Model
 from .bam import BamSource
 
 
@@ -44,3 +45,15 @@ def bam(df: DataFrame, path: str, sizes: dict[str, int]) -> None:
     rows = df.select("chr", F.col("ref_start").cast("int").alias("ref_start"), F.col("tlen").cast("int").alias("tlen"))
     rows = rows.repartitionByRange("chr", "ref_start").sortWithinPartitions("chr", "ref_start")
     rows.write.format(BamSource.name()).mode("append").options(path=path, sizes=json.dumps(sorted(sizes.items()))).save()
+
+
+def dinucleotides(spark: SparkSession, model: Model, path: str) -> None:
+    """The steps of the model's nucleosome as text: states from 1, a line of ``from to prob`` for each step; a few thousand lines."""
+    # The format's comments, and the state that each stands before.
+    comments = [(1, "# nucleosome dinucleotide model"), (1, "# from to transition_prob"), (HEAD, "# 1 branched background state"), (HEAD + 4 * MIDDLE + 1, "# 10 normal background states")]
+    lines = []
+    for a, b, p in model.edges():
+        while comments and a >= comments[0][0]:
+            lines.append(comments.pop(0)[1])
+        lines.append(f"{a} {b} {p!r}")
+    spark.createDataFrame([("\n".join(lines),)], "value string").coalesce(1).write.mode("overwrite").text(path)
