@@ -11,6 +11,7 @@ from ..constants import DIFF_ABS, DIFF_P, DYAD_MARK, HALF_NUCLEOSOME, SHIFT_THRE
 from ..functions.scalar import sample_suffix, t_quantile, two_sided_p
 from .intervals import overlap_join, point_join
 from .link import pair_category
+from .quantile import group_key, quantiles
 
 
 def merge_sites(samples: list[DataFrame], keys: tuple[str, ...] = ("tf", "chr", "start", "end"), minimum: float = SITE_MIN_SCORE) -> DataFrame:
@@ -45,10 +46,10 @@ def mean_change(sites: DataFrame, scores: list[str], by: tuple[str, ...] = ("clu
 def spread(df: DataFrame, value: str, by: list[str]) -> DataFrame:
     """(by, n, mean, low, q1, median, q3, high): quartiles, and two population standard deviations around the mean."""
     mean, sd = F.avg(value), F.stddev_pop(value)
-    quarter = lambda p: F.expr(f"percentile({value}, {p})")
-    return df.groupBy(*by).agg(
-        F.count(value).alias("n"), mean.alias("mean"), (mean - 2 * sd).alias("low"), quarter(0.25).alias("q1"), quarter(0.5).alias("median"), quarter(0.75).alias("q3"), (mean + 2 * sd).alias("high")
-    )
+    rows = df.groupBy(*by).agg(F.count(value).alias("n"), mean.alias("mean"), (mean - 2 * sd).alias("low"), (mean + 2 * sd).alias("high"))
+    found = quantiles(df, value, by, [0.25, 0.5, 0.75]).select("_g", "q")
+    met = rows.withColumn("_g", group_key(by)).join(found, "_g", "left")
+    return met.select(*by, "n", "mean", "low", *(F.col("q")[i].alias(c) for i, c in enumerate(("q1", "median", "q3"))), "high")
 
 
 def confidence(df: DataFrame, value: str, by: list[str], level: float = 0.95) -> DataFrame:

@@ -1,7 +1,8 @@
 """Intervals on chromosomes: joins, islands, tiles, coverage, stitching, linkers.
 
 Intervals are 1-based and closed unless a function says otherwise. Every join has the chromosome and a bin of positions
-as equality keys, so no pair of far-away rows meets; every running value is computed in bins and then over bins.
+as equality keys, so no pair of far-away rows meets; every running value is computed in bins of even numbers of rows and
+then over bins.
 """
 
 from __future__ import annotations
@@ -13,6 +14,8 @@ from ..functions.scalar import clean_probability
 from ..storage import materialize
 
 BIN = 1 << 14
+CELL = 1 << 8  # positions whose rows are never parted
+BINS_A_TASK = 32
 
 
 def _bins(start: Column, end: Column, width: int) -> Column:
@@ -56,14 +59,32 @@ def contained(segments: DataFrame, regions: DataFrame, width: int = BIN) -> Data
     return met.where("start >= r_start and end <= r_end")
 
 
-def running(df: DataFrame, value: Column, how: str, name: str, order: list[str], key: str = "chr", at: str = "start", width: int = 64 * BIN) -> DataFrame:
+def binned(df: DataFrame, at: str, key: str = "chr", width: int | None = None) -> DataFrame:
+    """Adds ``_bin``, which grows with ``at``: bins of ``width`` positions, or else of even numbers of rows.
+
+    Even bins are cut between cells of 256 positions after their rows are counted, some 32 bins for each shuffle partition, so
+    a task holds about the mean however rows lie. A bin holds its share and at most one cell more. Rows without a
+    place or key have no bin and go.
+    """
+    if width:
+        return df.withColumn("_bin", F.floor(F.col(at) / width))
+    bins = BINS_A_TASK * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = df.withColumn("_cell", F.floor(F.col(at) / CELL))
+    cells = rows.where(F.col("_cell").isNotNull() & F.col(key).isNotNull()).groupBy(key, "_cell").agg(F.count("*").alias("_n"))
+    share = cells.agg(F.greatest(F.lit(1), F.ceil(F.sum("_n") / bins)).alias("_share"))  # one row
+    earlier = Window.partitionBy(key).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
+    cuts = cells.join(F.broadcast(share)).select(key, "_cell", F.floor(F.coalesce(F.sum("_n").over(earlier), F.lit(0)) / F.col("_share")).alias("_bin"))
+    return rows.join(cuts, [key, "_cell"]).drop("_cell")
+
+
+def running(df: DataFrame, value: Column, how: str, name: str, order: list[str], key: str = "chr", at: str = "start", width: int | None = None) -> DataFrame:
     """Adds the running max or sum of ``value`` over the rows of a chromosome up to and including each, by ``order``.
 
-    Rows run in bins of ``at`` (the first of ``order``); then one row for each bin runs over the bins. So a chromosome
-    with a third of all rows is spread like any other.
+    Rows run in bins of ``at`` (the first of ``order``), see ``binned``; then one row for each bin runs over the bins. So a
+    chromosome with a third of all rows is spread like any other. Rows are read twice.
     """
     f = {"max": F.max, "sum": F.sum}[how]
-    rows = df.withColumn("_bin", F.floor(F.col(at) / width)).withColumn("_v", value)
+    rows = binned(df, at, key, width).withColumn("_v", value)
     inside = Window.partitionBy(key, "_bin").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     before = Window.partitionBy(key).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
     bins = rows.groupBy(key, "_bin").agg(f("_v").alias("_all")).withColumn("_before", f("_all").over(before)).drop("_all")
@@ -73,22 +94,25 @@ def running(df: DataFrame, value: Column, how: str, name: str, order: list[str],
     return rows.withColumn(name, both).drop("_bin", "_v", "_in", "_before")
 
 
-def islands(df: DataFrame, gap: int = 1, width: int = 64 * BIN, keep: tuple[str, ...] = ()) -> DataFrame:
+def islands(df: DataFrame, gap: int = 1, width: int | None = None) -> DataFrame:
     """Adds ``island`` (from 0 by chromosome) to (chr, start, end): rows that touch, or lie less than ``gap`` + 1 apart.
 
-    A row begins an island if it starts after the greatest end before it plus ``gap``. ``keep`` names columns that break
-    ties in the order. Rows are written twice, once as they come and once with the mark of a new island.
+    A row begins an island if it starts after the greatest end before it plus ``gap``. Rows are written as they come; only
+    their different spans run, are written with the mark of a new island, and give their island back to the rows.
     """
-    order = ["start", "end", *keep]
-    rows = materialize(df, "intervals").withColumn("_bin", F.floor(F.col("start") / width))
+    order = ["start", "end"]
+    whole = materialize(df, "intervals")
+    rows = materialize(binned(whole.select("chr", *order).distinct(), "start", width=width), "spans")
     inside = Window.partitionBy("chr", "_bin").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     before = Window.partitionBy("chr").orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
     bins = rows.groupBy("chr", "_bin").agg(F.max("end").alias("_all")).withColumn("_carried", F.max("_all").over(before)).drop("_all")
     rows = rows.withColumn("_reach", F.max("end").over(inside)).join(bins, ["chr", "_bin"])
     new = F.col("start") > F.coalesce(F.greatest("_reach", "_carried"), F.lit(-(1 << 62))) + gap
-    rows = materialize(rows.withColumn("_new", new.cast("long")).drop("_bin", "_reach", "_carried"), "islands")
-    rows = running(rows, F.col("_new"), "sum", "island", order, width=width)
-    return rows.withColumn("island", F.col("island") - 1).drop("_new")
+    rows = materialize(rows.select("chr", *order, "_bin", new.cast("long").alias("_new")), "islands")
+    counts = rows.groupBy("chr", "_bin").agg(F.sum("_new").alias("_all")).withColumn("_before", F.sum("_all").over(before)).drop("_all")
+    upto = Window.partitionBy("chr", "_bin").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    found = rows.withColumn("_in", F.sum("_new").over(upto)).join(counts, ["chr", "_bin"])
+    return whole.join(found.select("chr", *order, (F.col("_in") + F.coalesce("_before", F.lit(0)) - 1).alias("island")), ["chr", *order])
 
 
 def island_extents(df: DataFrame, gap: int = 1) -> DataFrame:
@@ -119,9 +143,9 @@ def coverage(df: DataFrame) -> DataFrame:
     return after.where("depth > 0").select("chr", F.col("pos").alias("start"), (F.col("next") - 1).alias("end"), "depth")
 
 
-def following(df: DataFrame, at: str, name: str, width: int = 64 * BIN) -> DataFrame:
+def following(df: DataFrame, at: str, name: str, width: int | None = None) -> DataFrame:
     """Adds the next greater ``at`` of the chromosome, or null; ``at`` is distinct by chromosome."""
-    rows = df.withColumn("_bin", F.floor(F.col(at) / width))
+    rows = binned(df, at, width=width)
     inside = Window.partitionBy("chr", "_bin").orderBy(at)
     bins = rows.groupBy("chr", "_bin").agg(F.min(at).alias("_min"))
     bins = bins.withColumn("_next", F.lead("_min").over(Window.partitionBy("chr").orderBy("_bin"))).drop("_min")

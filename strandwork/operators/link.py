@@ -61,7 +61,7 @@ def add_sample(linked: DataFrame | None, calls: DataFrame, index: int, min_occup
     low, high = (f"array_{f}(array({', '.join(dyads)}))" for f in ("min", "max"))
     left = linked.select("chr", *old, *(F.lit(None).cast(t).alias(c) for c, t in new.dtypes if c != "chr"), F.expr(low).alias("start"), F.expr(high).alias("end"), F.lit(0).alias("_side"))
     right = new.select("chr", *(F.lit(None).cast(t).alias(c) for c, t in linked.dtypes if c in old), *_columns(index), F.col(mine).alias("start"), F.col(mine).alias("end"), F.lit(1).alias("_side"))
-    rows = islands(left.unionByName(right), tolerance, keep=("_side",))
+    rows = islands(left.unionByName(right), tolerance)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         none = lambda x: None if x is None or (isinstance(x, float) and math.isnan(x)) else x

@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 from strandwork.operators import intervals
 
 SPAN = "chr string, start long, end long"
@@ -35,6 +36,29 @@ def test_islands(spark, gap):
     assert sorted((r[0], r["min(start)"], r["max(end)"], r["count(1)"]) for r in got) == islands_by_hand(spans, gap)
 
 
+@pytest.mark.parametrize("gap", [0, 25])
+def test_islands_in_even_bins(spark, gap):
+    """A third of all rows on 300 positions, copies among them: the same islands, and no bin or task with over twice its share."""
+    r = random.Random(5)
+    spans = random_spans(9, 1500, 200_000) + [("a", x, x + r.randint(0, 3)) for x in (r.randint(90_000, 90_300) for _ in range(800))] + [("b", 5, 9)] * 200
+    df = spark.createDataFrame(spans, SPAN)
+    got = intervals.islands(df, gap).groupBy("chr", "island").agg({"start": "min", "end": "max", "*": "count"}).collect()
+    assert sorted((r[0], r["min(start)"], r["max(end)"], r["count(1)"]) for r in got) == islands_by_hand(spans, gap)
+    assert sorted(r["island"] for r in got if r["chr"] == "a") == list(range(sum(r["chr"] == "a" for r in got)))
+
+
+def test_even_bins(spark):
+    r = random.Random(6)
+    rows = [("a", r.randint(1, 1 << 22)) for _ in range(12_000)] + [("a", r.randint(1 << 20, (1 << 20) + 60_000)) for _ in range(6_000)] + [("b", r.randint(1, 9000)) for _ in range(900)] + [("c", None)]
+    found = intervals.binned(spark.createDataFrame(rows, "chr string, pos long"), "pos")
+    bins = found.groupBy("chr", "_bin").agg({"pos": "min", "*": "count"}).withColumnRenamed("min(pos)", "low").collect()
+    assert sum(b["count(1)"] for b in bins) == 18_900
+    order = sorted((b["chr"], b["_bin"], b["low"]) for b in bins)
+    assert order == sorted(order, key=lambda x: (x[0], x[2]))
+    tasks = [t["count"] for t in found.repartition(4, "chr", "_bin").groupBy(F.spark_partition_id().alias("task")).count().collect()]
+    assert max(tasks) <= 2 * sum(tasks) / 4
+
+
 def test_islands_of_the_sample_segments(spark):
     rows = [("chrI", a, a + 4999) for a in (24001, 28001, 60001, 64001, 68001)] + [("chrII", a, a + 4999) for a in (72001, 76001)]
     found = intervals.island_extents(spark.createDataFrame(rows, SPAN)).collect()
