@@ -12,7 +12,7 @@ from .constants import DINUCLEOTIDE_SAMPLE, EM_ROUNDS, EM_SEED, EM_SEGMENTS, HAL
 from .functions import scalar
 from .operators import calls, diff, fit, hmm, intervals, occupancy, signal
 from .sources import readers, sinks
-from .storage import materialize
+from .storage import kept, materialize
 
 
 def segment_table(segments: DataFrame, fragments: DataFrame, config: Config, sequence: DataFrame | None = None, tech: str = "MNase") -> DataFrame:
@@ -205,3 +205,15 @@ def compare_region(samples: list[tuple[DataFrame, DataFrame, hmm.Model]], linked
         "nucleosomes": diff.region_nucleosomes(linked, len(samples), wanted),
         "sites": diff.region_sites(sites, len(samples), wanted),
     }
+
+
+def count_store(spark: SparkSession, paths: list[str], low: int, high: int, offset: int = 0, root: str | None = None) -> DataFrame:
+    """(chr, len, pos, n) of fragments of BAM files (or folders of them), counted once for a version of the files and a width."""
+    return kept(
+        "length-position",
+        lambda: signal.length_position_counts(readers.bam(spark, paths), low, high, offset),
+        spark,
+        paths,
+        {"low": low, "high": high, "offset": offset},
+        root,
+    )

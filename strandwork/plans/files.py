@@ -11,7 +11,8 @@ from .. import api
 from ..functions import scalar
 from ..operators import diff, hmm, intervals, signal
 from ..sources import readers, sequence, sinks
-from ..storage import shared_dir
+from ..storage import kept, shared_dir
+from . import signals
 from . import tables as T
 
 QUERIES: dict[str, T.Query] = {}
@@ -228,3 +229,15 @@ def dinucleotide_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     sinks.dinucleotides(spark, api.fit_nucleosome(pieces, blank), one)
     sinks.dinucleotides(spark, readers.dinucleotide_model(spark, one, blank), two)
     return readers.dinucleotides(spark, two).withColumn("prob", F.round("prob", 6))
+
+
+@query(signals.SQL["length_position_counts"])
+def kept_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The counts of the second call, which reads what the first one kept."""
+
+    def counted() -> DataFrame:
+        return signal.length_position_counts(T.fragments(spark, sf_dir), 10, 250)
+
+    for _ in range(2):
+        found = kept("length-position", counted, spark, [f"{sf_dir}/events.parquet"], {"low": 10, "high": 250})
+    return found
