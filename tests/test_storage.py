@@ -3,7 +3,9 @@ import time
 
 import pytest
 from pyspark.sql import functions as F
-from strandwork import storage
+from strandwork import api, storage
+from strandwork.operators import signal
+from strandwork.sources import sinks
 
 
 def test_results_are_kept_by_version(spark, tmp_path):
@@ -49,3 +51,14 @@ def test_scratch_is_deleted(spark):
         assert len(os.listdir(path.removeprefix("file://"))) == 1
     assert not os.path.exists(path.removeprefix("file://"))
     assert storage.materialize(spark.range(4), "a").count() == 4
+
+
+def test_counts_of_files_are_kept(spark, tmp_path):
+    rows = [("a", 10 * i % 700, 20 + i % 200) for i in range(300)]
+    df = spark.createDataFrame(rows, "chr string, ref_start int, tlen int")
+    path, root = "file://" + str(tmp_path / "bams"), "file://" + str(tmp_path / "store")
+    sinks.bam(df, path, {"a": 2000})
+    wanted = sorted(map(tuple, signal.length_position_counts(df, 30, 180).collect()))
+    for _ in range(2):
+        assert sorted(map(tuple, api.count_store(spark, [path], 30, 180, root=root).collect())) == wanted
+    assert len(list((tmp_path / "store" / "length-position").iterdir())) == 1
