@@ -134,6 +134,34 @@ def test_three_samples(spark, seed):
     assert sorted(names, key=lambda n: int(n[4:])) == [f"nuc_{i}" for i in range(len(got))]
 
 
+@pytest.mark.parametrize(("step", "width", "tolerance"), [(9, 100, 73), (1, 40, 5), (30, 1 << 17, 73), (60, 997, 20)])
+def test_a_run_is_linked_in_stretches(spark, step, width, tolerance):
+    """Calls closer than the tolerance throughout, repeated dyads among them, cut into stretches from under the reach to one of all."""
+    r = random.Random(step)
+    samples = [sorted(r.choices(range(1000, 1000 + 300 * step), k=n)) for n in (260, 300, 280)]
+    linked = link.link([frame(spark, x) for x in samples], width=width, tolerance=tolerance)
+    got = [(x["dyadA"], x["dyadB"], x["dyadC"]) for x in linked.collect()]
+    assert sorted(map(str, got)) == sorted(map(str, third_by_hand(pair_by_hand(*samples[:2], tolerance), samples[2], tolerance)))
+
+
+def test_a_long_run_keeps_many_tasks_busy(spark):
+    """A row for every 40 positions in either sample: no stretch holds more than its own."""
+    a = spark.range(30000).selectExpr("'c' as chr", "id * 40 as dyad", "0.5 as dyad_score", "0.5 as min_occ_score")
+    b = a.withColumn("dyad", a["dyad"] + 27 - a["dyad"] % 13)
+    out = link.add_sample(link.add_sample(None, a, 0), b, 1, width=1 << 14)
+    got = {(x["dyadA"], x["dyadB"]) for x in out.collect()}
+    assert got == set(pair_by_hand([40 * i for i in range(30000)], [40 * i + 27 - 40 * i % 13 for i in range(30000)]))
+
+
+def test_links_of_nothing(spark):
+    none, one = frame(spark, [1]).limit(0), frame(spark, [500])
+    assert link.link([none, none]).collect() == []
+    assert [(x["dyadA"], x["dyadB"]) for x in link.link([none, one]).collect()] == [(None, 500)]
+    assert [(x["dyadA"], x["dyadB"]) for x in link.link([one, none]).collect()] == [(500, None)]
+    lost = spark.createDataFrame([(None, 500, 0.5, 0.5), ("c", None, 0.5, 0.5)], CALLS)
+    assert [(x["chr"], x["dyadA"], x["dyadB"]) for x in link.link([lost, lost]).collect()] == [(None, 500, 500)]
+
+
 def test_shift_class(spark):
     rows = [(5, -10), (30, 40), (30, -40), (30, None), (5, 40)]
     got = [r[0] for r in spark.createDataFrame(rows, "a long, b long").select(link.shift_class(["a", "b"])).collect()]
