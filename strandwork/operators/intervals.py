@@ -163,6 +163,18 @@ def stitch(df: DataFrame, values: list[str], by: tuple[str, ...] = ("chr", "pos"
     return df.groupBy(*by).agg(*(clean_probability(F.avg(v)).alias(v) for v in values), F.count("*").alias("n_segments"))
 
 
+def trimmed(df: DataFrame, segments: DataFrame, values: list[str], trim: int = 500, by: tuple[str, ...] = ("chr", "pos")) -> DataFrame:
+    """Per-base values (chr, pos, start, end of their segment) without those within ``trim`` of a segment's edge: (by, values).
+
+    Instead of averaging overlaps. The first and the last segment of a chromosome keep their outer edges; of segments that
+    still overlap the last one counts. Bases that no trimmed segment holds have no row.
+    """
+    ends = segments.groupBy("chr").agg(F.min("start").alias("_first"), F.max("end").alias("_last"))  # a row for each chromosome
+    low, high = (F.col("pos") >= F.col("start") + trim) | (F.col("start") == F.col("_first")), (F.col("pos") <= F.col("end") - trim) | (F.col("end") == F.col("_last"))
+    last = F.struct("start", "end")
+    return df.join(ends, "chr").where(low & high).groupBy(*by).agg(*(clean_probability(F.max_by(v, last)).alias(v) for v in values))
+
+
 def uncovered(region: DataFrame, segments: DataFrame) -> DataFrame:
     """Stretches (chr, start, end) of regions (chr, r_start, r_end) that no segment covers."""
     ends = segments.select("chr", "start", "end")

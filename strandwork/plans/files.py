@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import api
 from ..functions import scalar
-from ..operators import diff, hmm, intervals, signal
+from ..operators import diff, hmm, intervals, occupancy, signal
 from ..sources import readers, sequence, sinks
 from ..storage import kept, shared_dir
 from . import signals
@@ -87,6 +87,31 @@ def segment_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readers.segments(spark, path).select("chr", "start", "end")
 
 
+@query(
+    """WITH o AS (SELECT CAST(l_suppkey % 16 AS BIGINT) AS segment_id, CAST(l_partkey AS BIGINT) AS pos, coalesce(sum(l_discount / 7) FILTER (l_linestatus = 'F'), 0) AS f,
+      coalesce(sum(l_discount / 7) FILTER (l_linestatus = 'O'), 0) AS o FROM lineitem GROUP BY ALL)
+    SELECT segment_id, pos, CAST(printf('%.5e', f) AS DOUBLE) AS "F", CAST(printf('%.5e', o) AS DOUBLE) AS "O" FROM o"""
+)
+def binding_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = _path(spark, "binding")
+    segment = F.pmod("l_suppkey", F.lit(16)).cast("long").alias("segment_id")
+    rows = T.table(spark, sf_dir, "lineitem").groupBy(segment, F.col("l_partkey").cast("long").alias("pos"), F.col("l_linestatus").alias("dbf")).agg(F.sum(F.col("l_discount") / 7).alias("prob"))
+    sinks.binding(occupancy.wide(rows, ["F", "O"], ("segment_id", "pos")), path)
+    return spark.read.schema("segment_id long, pos long, F double, O double").option("sep", "\t").option("header", True).csv(path)
+
+
+@query(
+    f"""WITH {T.FRAGMENTS}, {T.CALLS}, {SCORES} SELECT 'dyads' AS "table", chr, dyad AS pos, dyad_score AS score FROM calls WHERE sample = 1
+    UNION ALL SELECT 'sites', chr, start, score FROM s"""
+)
+def call_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    root = _path(spark, "calls")
+    sinks.calls(root, {"dyads": T.calls(spark, sf_dir, 0), "sites": _scores(spark, sf_dir)})
+    sinks.calls(root, {"dyads": T.calls(spark, sf_dir, 1)})
+    read = lambda name, at, score: spark.read.parquet(f"{root}/{name}").select(F.lit(name).alias("table"), "chr", F.col(at).alias("pos"), F.col(score).alias("score"))
+    return read("dyads", "dyad", "dyad_score").unionByName(read("sites", "start", "score"))
+
+
 @query(f"WITH {T.SPANS} SELECT chr, CAST(size AS BIGINT) AS size FROM sizes WHERE chr <> 'view'")
 def chrom_sizes_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = _path(spark, "sizes")

@@ -220,6 +220,31 @@ def posterior_change(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("chr", "pos", "tf", *((F.round(c, 6) + 0.0).alias(c) for c in ("probA", "probB", "diff")))
 
 
+@query(
+    f"""WITH p AS (SELECT l_returnflag AS f, 'chr' || (l_suppkey % 16) AS chr, l_partkey * 100 AS pos, 'f' || (l_linenumber % 3) AS tf, avg(round(l_discount * 100) * round(l_discount * 100) / 256) AS prob FROM lineitem WHERE l_returnflag IN ('A', 'R') GROUP BY ALL),
+    w AS (SELECT chr, pos, tf, coalesce(max(prob) FILTER (f = 'A'), 0) AS "probA", coalesce(max(prob) FILTER (f = 'R'), 0) AS "probB" FROM p GROUP BY ALL), d AS (SELECT *, "probB" - "probA" AS diff FROM w),
+    n AS (SELECT l_orderkey || '-' || l_linenumber AS name, 'chr' || (l_suppkey % 16) AS chr, l_partkey * 100 AS a, l_partkey * 100 + CAST(l_quantity AS BIGINT) AS b FROM lineitem WHERE l_returnflag = 'N'),
+    around AS (SELECT name, tf, max_by(diff, abs(diff) * 1000000 + sign(diff)) AS diff FROM n JOIN d ON d.chr = n.chr AND pos BETWEEN least(b - 73, a) AND greatest(a + 73, b) GROUP BY ALL),
+    b AS (SELECT tf, avg(diff) AS m, stddev_pop(diff) AS s FROM around GROUP BY tf),
+    sites AS (SELECT DISTINCT 'chr' || (l_suppkey % 16) AS chr, l_partkey * 100 AS start, l_partkey * 100 + 11 AS "end", 'f' || (l_linenumber % 3) AS tf FROM lineitem WHERE l_returnflag = 'N'),
+    c AS (SELECT s.*, diff, "probA", "probB" FROM sites s JOIN d ON d.chr = s.chr AND d.tf = s.tf AND pos BETWEEN start AND "end" QUALIFY row_number() OVER (PARTITION BY s.chr, start, s.tf ORDER BY abs(diff) DESC, diff DESC, pos DESC) = 1),
+    x AS (SELECT c.*, (diff - m) / s AS z, abs((diff - m) / s) / sqrt(2.0) AS x FROM c JOIN b USING (tf) WHERE abs(diff) > 0.001), y AS (SELECT *, 1 / (1 + x / 2) AS t FROM x),
+    q AS (SELECT *, t * exp(-x * x + {POLYNOMIAL}) AS p FROM y)
+    SELECT chr, start, "end", tf, round(diff, 6) AS diff, round("probA", 6) AS "probA", round("probB", 6) AS "probB", round(z, 4) AS z, round(p, 6) AS p_value FROM q WHERE p < 0.05"""
+)
+def tf_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = T.table(spark, sf_dir, "lineitem")
+    chrom, pos, tf = F.concat(F.lit("chr"), F.pmod("l_suppkey", F.lit(16))).alias("chr"), F.col("l_partkey") * 100, F.concat(F.lit("f"), F.pmod("l_linenumber", F.lit(3))).alias("tf")
+    percent = F.round(F.col("l_discount") * 100)
+    a, b = (rows.where(F.col("l_returnflag") == f).select(chrom, pos.alias("pos"), tf, (percent * percent / 256).alias("prob")) for f in "AR")
+    rest = rows.where(F.col("l_returnflag") == "N")
+    nucs = rest.select(F.concat_ws("-", "l_orderkey", "l_linenumber").alias("name"), chrom, pos.alias("dyadA"), (pos + F.col("l_quantity").cast("long")).alias("dyadB"))
+    sites = rest.select(chrom, pos.alias("start"), (pos + 11).alias("end"), tf).distinct()
+    found = diff.between_samples(a, b, nucs, sites)
+    digits = {"diff": 6, "probA": 6, "probB": 6, "z": 4, "p_value": 6}
+    return found.select("chr", "start", "end", "tf", *(F.round(c, k).alias(c) for c, k in digits.items()))
+
+
 @query(
     f"""WITH {GRID}, n AS (SELECT chr || ':' || cell AS name, CASE WHEN "dyadA" IS NULL THEN 'null_A' WHEN "dyadB" IS NULL THEN 'null_B' ELSE 'not_null' END AS category FROM shifted
     WHERE "dyadA" IS NOT NULL OR "dyadB" IS NOT NULL),

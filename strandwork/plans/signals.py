@@ -80,6 +80,19 @@ def overlap_average_stitch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return intervals.stitch(scores, ["score"]).withColumn("score", F.round("score", 6))
 
 
+@query(
+    f"""WITH {T.MIDS}, spans AS (SELECT chr, ref_start + tlen AS "end" FROM fragments WHERE tlen > 0), sizes AS (SELECT chr, max("end") AS size FROM spans GROUP BY chr), {T.TILES},
+    v AS (SELECT t.chr, m.pos, t.start, t."end", sum(m.n) / (5.0 + t.start % 7) AS score FROM tiles t JOIN hist m ON t.chr = m.chr AND m.pos BETWEEN t.start AND t."end" GROUP BY t.chr, m.pos, t.start, t."end"),
+    e AS (SELECT chr, min(start) AS a, max("end") AS b FROM tiles GROUP BY chr)
+    SELECT chr, pos, round(least(max_by(score, start), 1), 6) AS score FROM v JOIN e USING (chr) WHERE (pos >= start + 500 OR start = a) AND (pos <= "end" - 500 OR "end" = b) GROUP BY chr, pos"""
+)
+def trimmed_track(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tiles = T.tiles(spark, sf_dir)
+    counts = signal.segment_counts(tiles, T.midpoints(spark, sf_dir)).groupBy("segment_id", "chr", "pos").agg(F.sum("n").alias("n"))
+    scores = counts.join(tiles.select("segment_id", "start", "end"), "segment_id").withColumn("score", F.col("n") / (5.0 + F.pmod("start", F.lit(7))))
+    return intervals.trimmed(scores, tiles, ["score"]).withColumn("score", F.round("score", 6))
+
+
 def _track(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.midpoints(spark, sf_dir).groupBy("chr", "pos").agg(F.count("*").alias("n"))
 

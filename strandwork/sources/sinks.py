@@ -33,6 +33,25 @@ def tsv(df: DataFrame, path: str) -> None:
     df.select(*flat).write.mode("overwrite").option("sep", "\t").option("header", True).csv(path)
 
 
+def binding(occupancy: DataFrame, path: str) -> None:
+    """Occupancy by factor (segment_id, pos, a column for each factor) as TSV, six significant digits, missing ones 0.
+
+    A range of segments, in order of place, is a file: a reader of one segment meets its rows together.
+    """
+    keys = ["segment_id", "pos"]
+    digits = lambda c: F.format_string("%.5e", F.coalesce(F.col(f"`{c}`").cast("double"), F.lit(0.0))).cast("double").alias(c)
+    rows = occupancy.select(*keys, *(digits(c) for c in occupancy.columns if c not in keys))
+    tsv(rows.repartitionByRange("segment_id", "pos").sortWithinPartitions(*keys), path)
+
+
+def calls(root: str, tables: dict[str, DataFrame]) -> None:
+    """Tables of calls and scores by name, each a folder under ``root``, in order of place; one that is there is replaced,
+    others stay."""
+    for name, df in tables.items():
+        keys = ["chr", "pos" if "pos" in df.columns else "dyad" if "dyad" in df.columns else "start"]
+        df.repartitionByRange(*keys).sortWithinPartitions(*keys).write.mode("overwrite").parquet(f"{root}/{name}")
+
+
 def bed(df: DataFrame, path: str) -> None:
     rest = [c for c in df.columns if c not in ("chr", "start", "end")]
     df.select("chr", "start", "end", *rest).write.mode("overwrite").option("sep", "\t").csv(path)
