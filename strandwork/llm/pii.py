@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -19,7 +20,10 @@ CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 LOCAL = r"(?<![0-9+(.-])(?:\([0-9]{3}\)\x20?|[0-9]{3}[\x20.-])[0-9]{3}[\x20.-][0-9]{4}(?![0-9])"
 SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
-PERSON = r"(?<![\p{L}])(?:%s)\x20[A-Z][\p{Ll}]+(?![\p{L}])"
+#: Capitalised words in a row, initials among them, from the first that no greeting, title or function word is.
+WORD = r"\p{Lu}(?:\p{Ll}++|['\u2019]\p{Lu}\p{Ll}++)(?:-\p{Lu}\p{Ll}++)?+"
+PERSON = rf"(?<![\p{{L}}'\u2019-])(?!(?:%s)\b){WORD}(?:\x20(?:\p{{Lu}}\.|{WORD}))++(?!\p{{L}})"
+IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}+(?:\x20?[A-Z0-9]{1,3})?+(?![A-Za-z0-9])"
 
 #: Kinds in the order of numbers; the first four are the base kinds.
 KINDS = ["email", "ip", "card", "phone", "local", "ssn", "person", "account"]
@@ -41,7 +45,13 @@ SURNAMES = (
     "Mueller Muller Murphy Nelson Nguyen Novak Patel Perez Peters Petit Phillips Richter Roberts Robinson Rodriguez Romero Rossi Roux Ruiz Sanchez Schmidt Schneider "
     "Schulz Scott Silva Simon Singh Smith Taylor Thomas Thompson Torres Turner Wagner Walker Weber White Williams Wilson Wolf Wood Wright Young Zimmermann"
 ).split()
-NOT_SURNAMES = "Street Road Avenue Square City County River Lake Island University College School Church Hospital Airport Park Award Prize Day January February March April May June July August September October November December".split()
+NO_NAMES = (
+    "A After All Also Although An And As At Because Before Both But By Can Contact Could Dear Did Do Does Dr For From Has Have He Hello Her Hi His How However If In Is It Its Last Later Madam Meanwhile "
+    "Miss Mr Mrs Ms My Next No Not Now Of On Once Or Our Please Prof Professor She Since Sir So Soon Thank Thanks That The Their Then There These They This To Today Tomorrow Was We Were What When Where "
+    "While Who Why Will With Would Yesterday You Your"
+).split()
+NOT_SURNAMES = "Street Road Avenue Square City County River Lake Island University College School Church Hospital Airport Park Award Prize Day January February March April May June July August September October November December Monday Tuesday Wednesday Thursday Friday Saturday Sunday Act Bank Bridge Canyon Center Centre Company Council Desert Edition General Hotel House Institute International License Lakes Management Market Ministry Morning Mountain Mountains Museum National North East Ocean Office Palace Public Republic Sea Section Service South States Station Table Tower United Valley Version West".split()
+IBAN_COUNTRIES = "AE AT BE BG BR CH CY CZ DE DK EE ES FI FR GB GR HR HU IE IL IS IT LI LT LU LV MC MT NL NO PL PT RO RS SA SE SI SK SM TR UA".split()
 ADVERTISED_SSN = ["078051120", "219099999", "457555462"]
 DOMAIN_ENDS = "com org net edu gov mil info io co de fr es it nl be at uk eu us ca au jp ch ru br mx in".split()
 COUNTRY_CODES = "1 7 20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 54 55 56 57 60 61 62 63 64 65 66 81 82 84 86 90 91 351 353 358 420".split()
@@ -52,9 +62,12 @@ CUES = {
     "phone": "phone|tel|call|mobile|fax|cell",
     "local": "phone|tel|call|mobile|fax|cell",
     "ssn": "ssn|social|security",
-    "person": "mr|mrs|ms|dr|name|by|from|dear|contact",
-    "account": "account|iban|acct|customer",
+    "person": "mr|mrs|ms|dr|prof|name|named|by|from|dear|contact|attn|patient|employee|signed|regards|sincerely|mother|father|son|daughter|sister|brother|wife|husband|colleague|friend|neighbour|manager",
+    "account": "account|iban|acct|customer|client|member|bank|policy|routing",
 }
+#: What stands right before a name, and what right after one.
+BEFORE_NAME = "(mr|mrs|ms|dr|prof|professor|miss|madam|sir|dear|hi|hello|regards|sincerely|signed|name|attn|patient|employee)\\b\\W*$"
+AFTER_NAME = "^,?\\x20(said|says|wrote|writes|asked|asks|told|tells|lives|lived|works|worked|joined|signed|replied|phoned|called|was born|is my|has been)\\b"
 COUNTER_CUES = "version|isbn|issn|doi|serial|sku|order|page|figure|build"
 
 
@@ -77,6 +90,14 @@ def _is_card(m: Column) -> Column:
     return F.length(_digits(m)).between(12, 19) & _luhn(_digits(m))
 
 
+def _is_iban(m: Column) -> Column:
+    """Its check digits are right: the number that it spells, first four characters last, is 1 modulo 97."""
+    bare = F.replace(m, F.lit(" "), F.lit(""))
+    characters = F.filter(F.split(F.concat(F.substring(bare, 5, 40), F.left(bare, F.lit(4))), ""), lambda c: c != "")
+    more = lambda a, c: F.when(c <= "9", (a * 10 + c.cast("int")) % 97).otherwise((a * 100 + F.ascii(c) - 55) % 97)
+    return F.aggregate(characters, F.lit(0), more) == 1
+
+
 def _vote(yes: Column, no: Column | None = None) -> Column:
     out = F.when(yes, F.lit(1))
     if no is not None:
@@ -89,7 +110,10 @@ def _votes(kind: str, s: Column) -> tuple[Column, Column, Column, Column]:
     m, digits = s["m"], _digits(s["m"])
     true = F.lit(True)
     before = F.lower(s["before"])
-    surname = F.element_at(F.split(m, "\\x20"), -1)
+    words, coded = F.split(m, "\\x20"), m.rlike("^[A-Z]")
+    named = F.element_at(words, 1).isin(NAMES) | F.element_at(words, -1).isin(SURNAMES)
+    other = F.arrays_overlap(words, F.array(*map(F.lit, NOT_SURNAMES)))
+    length = F.length(digits).between(8, 20)
     pattern, known = {
         "email": lambda: (_vote(m.rlike("^[A-Za-z0-9][^@]*@.*\\.[A-Za-z]{2,}$"), true), _vote(F.lower(F.element_at(F.split(m, "\\."), -1)).isin(DOMAIN_ENDS), F.lower(m).rlike("@(mail[0-9]*\\.)?example\\."))),
         "ip": lambda: (_vote(_is_ip(m), ~_is_ip(m)), _vote(m.rlike("^(10|172|192|8|1)\\."), m.rlike("^(0|127|255)\\."))),
@@ -97,8 +121,14 @@ def _votes(kind: str, s: Column) -> tuple[Column, Column, Column, Column]:
         "phone": lambda: (_vote(F.length(digits).between(9, 15), true), _vote(digits.rlike(f"^({'|'.join(COUNTRY_CODES)})"), true)),
         "local": lambda: (_vote(digits.rlike("^[2-9]..[2-9]"), true), _vote(F.lit(False), digits.rlike("^([2-9](00|11)|555)|^([0-9])\\2{9}$"))),
         "ssn": lambda: (_vote(~digits.rlike("^(000|666|9)|^...00|0000$"), true), _vote(F.lit(False), digits.isin(ADVERTISED_SSN))),
-        "person": lambda: (_vote(before.rlike("(^|[,.:;]|mr|mrs|ms|dr|dear|from|by|to|with|and)\\W*$"), before.rlike("(^|[^a-z])(in|at|on|near|of|the)\\x20$")), _vote(surname.isin(SURNAMES), surname.isin(NOT_SURNAMES))),
-        "account": lambda: (_vote(F.lit(False), ~F.length(digits).between(8, 20)), _vote(F.lit(False), digits.rlike("^(19|20)[0-9]{6}$|^([0-9])\\2+$|^97[89][0-9]{10}$"))),
+        "person": lambda: (
+            _vote(before.rlike(BEFORE_NAME) | s["after"].rlike(AFTER_NAME), before.rlike("(^|[^a-z])(in|at|on|near|of|the)\\x20$") | (F.size(F.array_distinct(words)) == 1)),
+            _vote(named & ~other, other),
+        ),
+        "account": lambda: (
+            F.when(coded, 1).otherwise(_vote(length & before.rlike("(\\b(no|nr|number|id)\\b|#)[\\s.:]*$"), ~length)),
+            _vote(coded & F.left(m, F.lit(2)).isin(IBAN_COUNTRIES), digits.rlike("^(19|20)[0-9]{6}$|^([0-9])\\2+$|^97[89][0-9]{10}$")),
+        ),
     }[kind]()
     cue = _vote(before.rlike(f"(?<![a-z])({CUES[kind]})(?![a-z])"), before.rlike(f"(?<![a-z])({COUNTER_CUES})(?![a-z])"))
     glued = s["after"].rlike("^[\\p{L}0-9_]") | s["before"].rlike("[\\p{L}0-9_]$")
@@ -128,11 +158,11 @@ def _cells(s: Column) -> tuple[Column, ...]:
 def candidates(docs: DataFrame) -> DataFrame:
     """(doc_id, text) -> doc_id, base_spans and candidates, an array of (start, no, end, kind, pattern).
 
-    pattern holds the four votes and the cells of shape and context as one number (``CELLS``). Candidates are the
+    Persons are candidates by shape, whatever the names: two to four capitalised words. pattern holds the four votes and the cells of shape and context as one number (``CELLS``). Candidates are the
     matches of the base patterns, checks failed or not, and of looser ones. One pass, without a shuffle.
     """
-    person = PERSON % "|".join(NAMES)
-    finders = {"email": EMAIL, "ip": IP, "card": CARD, "phone": PHONE, "local": LOCAL, "ssn": SSN, "person": person}
+    person = PERSON % "|".join(NO_NAMES)
+    finders = {"email": EMAIL, "ip": IP, "card": CARD, "phone": PHONE, "local": LOCAL, "ssn": SSN, "person": person, "iban": IBAN}
     stage = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("t"))
     has = {"email": F.instr("t", "@") > 0, "phone": F.instr("t", "+") > 0}
     some = lambda k: S.matches(F.col("t"), finders[k])
@@ -141,6 +171,7 @@ def candidates(docs: DataFrame) -> DataFrame:
     # A match of one digit more or less can't be a card or an account; most numbers in a text are short.
     located = {k: S.located(F.col("t"), finders[k], F.col(f"m.{k}")) for k in finders}
     located["card"] = F.filter(located["card"], lambda s: F.length(_digits(s["m"])) >= 8)
+    located["person"] = F.filter(located["person"], lambda s: F.regexp_count(s["m"], F.lit(" ")) <= 3)
     stage = stage.select("doc_id", F.struct(*(located[k].alias(k) for k in finders)).alias("s"))
     card = F.filter("s.card", lambda s: _is_card(s["m"]))
     account = F.filter("s.card", lambda s: ~_is_card(s["m"]))
@@ -150,7 +181,7 @@ def candidates(docs: DataFrame) -> DataFrame:
         "card": card,
         "phone": F.filter("s.phone", lambda s: F.length(_digits(s["m"])).between(9, 15)),
     }
-    every = {k: F.col(f"s.{k}") for k in finders} | {"card": card, "account": account}
+    every = {k: F.col(f"s.{k}") for k in finders} | {"card": card, "account": F.concat(account, F.filter("s.iban", lambda s: _is_iban(s["m"])))}
 
     def described(kind: str) -> Column:
         def one(s: Column) -> Column:
@@ -259,14 +290,15 @@ def scan(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
     """(doc_id, text, ...) -> doc_id, base_spans and pii_spans, arrays of (start, no, end, kind), a row for each row.
 
     base_spans are the matches of the four base patterns that pass their checks. pii_spans also hold the candidates
-    which the classifier finds likelier than ``threshold`` and which overlap no base span; candidates of several kinds on
-    one place are each kept. Offsets are code points, ends exclusive. A null or empty text has none; no rows give no rows.
+    which the classifier finds likelier than ``threshold``, for which a labeler votes, and which overlap no base span;
+    candidates of several kinds on one place are each kept. Offsets are code points, ends exclusive. A null or empty text has none; no rows give no rows.
     """
     found = materialize(candidates(docs), "pii")
     model = fit(found)
     likely = F.filter(
         "candidates",
         lambda c: (probability(model, c) > threshold)
+        & reduce(lambda a, k: a | (F.pmod(F.floor(c["pattern"] / (WIDTH * k)).cast("int"), F.lit(3)) == 2), (27, 9, 3, 1), F.lit(False))
         & ~F.exists("base_spans", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])),
     )
     more = F.transform(likely, lambda c: F.struct(c["start"].alias("start"), c["no"].alias("no"), c["end"].alias("end"), c["kind"].alias("kind")))
