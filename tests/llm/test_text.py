@@ -6,6 +6,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+import zstandard as zstd
 from strandwork.llm import decontam, langid, quality, queries
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -31,6 +32,37 @@ def test_only_the_text_counts(spark, documents):
     assert {r["doc_id"] - 1000: r["lang_pred"] for r in langid.classify(moved, model).collect()} == one
 
 
+def test_sizes_margins_and_rejections_by_hand(spark, data, documents):
+    """Each block compressed on its own by zstandard, called plainly; it gives the block back, so the size is that of all of it."""
+    given = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text", "lang")
+    model, some = langid.fit(given), documents.head(80)
+    params = zstd.ZstdCompressionParameters(window_log=18, hash_log=15, chain_log=15, search_log=3, min_match=3, strategy=zstd.STRATEGY_BTOPT, write_content_size=False)
+    rows = {r["doc_id"]: r for r in langid.classify(given.where(f"doc_id in ({', '.join(map(str, some['doc_id']))})"), model).collect()}
+    for d, text in zip(some["doc_id"], some["text"], strict=True):
+        row = rows[d]
+        if not text or not any(c.isalpha() for c in text):
+            assert (row["lang_pred"], row["score"], row["rejected"]) == ("und", 0.0, True)
+            continue
+        raw, size = text.lower().encode(), {}
+        for lang, known in model.items():
+            words, size[lang] = zstd.ZstdCompressionDict(known, dict_type=zstd.DICT_TYPE_RAWCONTENT), 0
+            for i in range(0, len(raw), 4096):
+                packed = zstd.ZstdCompressor(dict_data=words, compression_params=params).compress(raw[i : i + 4096])
+                assert zstd.ZstdDecompressor(dict_data=words).decompress(packed, max_output_size=4096) == raw[i : i + 4096]
+                size[lang] += len(packed)
+        best = min(size, key=lambda lang: (size[lang], lang))
+        second = min(n for lang, n in size.items() if lang != best)
+        assert row["lang_pred"] == best and row["score"] == pytest.approx((second - size[best]) / second)
+        assert row["rejected"] == ((second - size[best]) / second < 0.001)
+
+
+def test_languages_that_tie(spark):
+    """Two languages of one dictionary: the first by name, no margin, rejected."""
+    df = spark.createDataFrame([(1, "the same words again")], "doc_id long, text string")
+    row = langid.classify(df, {"aa": b"the same words ", "bb": b"the same words "}).first()
+    assert (row["lang_pred"], row["score"], row["rejected"]) == ("aa", 0.0, True)
+
+
 def test_language_edges(spark, edge, nothing):
     model = langid.fit(edge)
     rows = langid.classify(edge, model)
