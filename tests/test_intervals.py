@@ -95,3 +95,13 @@ def test_linkers(spark):
 def test_empty(spark):
     none = spark.createDataFrame([], SPAN)
     assert intervals.islands(none).count() == intervals.coverage(none).count() == 0
+
+
+def test_trimmed_edges(spark):
+    """The first and the last segment keep their outer edges, inner ones lose ``trim`` bases; no rows give none."""
+    segments = [("c", 1, 10), ("c", 7, 16), ("c", 13, 20)]
+    df = spark.createDataFrame([(c, p, a, b, a / 100) for c, a, b in segments for p in range(a, b + 1)], "chr string, pos long, start long, end long, p double")
+    ends = spark.createDataFrame(segments, "chr string, start long, end long")
+    got = {r["pos"]: r["p"] for r in intervals.trimmed(df, ends, ["p"], trim=2).collect()}
+    assert got == {p: 0.01 if p < 9 else 0.07 if p < 15 else 0.13 for p in range(1, 21)}
+    assert intervals.trimmed(df.limit(0), ends.limit(0), ["p"]).collect() == []
