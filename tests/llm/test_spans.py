@@ -227,7 +227,7 @@ def test_precision_and_recall_on_planted_spans(spark):
     assert beyond == set(pii.KINDS[4:])
 
 
-# Names and wordings that the labelers' lists don't hold.
+# Names that the labelers' lists don't hold. The sentences' cue words and first words are in those lists.
 FIRST = "Thandiwe Bjarne Xiomara Oluwaseun Katarzyna Siobhan Rajesh Yevgenia Tariq Noelani Zsofia Mbali".split()
 LAST = "Okonkwo Lindqvist Villalobos Adeyemi Wisniewska Gallagher Raghunathan Petrenko Haddad Kealoha O'Malley Szabo-Nagy".split()
 
