@@ -17,6 +17,10 @@ from .common import WordIds, connected_components, list_column, materialize, mix
 #: Rows of a bucket that are compared at once; a larger bucket is dealt out as pairs of blocks of this size.
 BLOCK = 1024
 HALF = 32
+#: The same for tables of half segments, which hold any number of rows of different texts: only the keys of a ball meet there.
+GROUP = 16 * 1024
+#: Bits of half a segment of a wide fingerprint.
+WIDE_HALF = 10
 
 
 def fingerprint(text: str | None, words: int = 3) -> int:
@@ -209,40 +213,42 @@ def majorities(hashes: np.ndarray, parts: int) -> bytes:
 
 @dataclass(frozen=True)
 class Sketch:
-    """What near copies are told by: SimHash fingerprints of ``parts`` times 64 bits over sets of ``words``-word shingles,
-    and ``bands`` keys of ``rows`` minima of hashes each, of which texts of similarity J share one with a chance of
-    1 - (1 - J^rows)^bands. ``similarity`` is the one that is asked for. Distances of more than ``margin`` standard deviations
-    above the mean at that similarity are no copies, those of ``sure`` below it are, and what lies between is decided on whole
-    sets of shingles."""
+    """What near copies are told by: SimHash fingerprints of ``parts`` times 64 bits over sets of ``words``-word shingles, cut
+    into ``segments`` of 20 bits, each of which is looked up with its ball of radius one. ``similarity`` is the one that is
+    asked for. Distances of more than ``margin`` standard deviations above the mean at that similarity are no copies, those
+    of ``sure`` below it are, and what lies between is decided on whole sets of shingles."""
 
     words: int = 5
     parts: int = 8
-    bands: int = 16
-    rows: int = 7
+    segments: int = 25
     similarity: float = 0.8
-    margin: float = 2.0
+    margin: float = 3.0
     sure: float = 2.5
 
+    def __post_init__(self) -> None:
+        if not 0 < self.segments * 2 * WIDE_HALF <= 64 * self.parts:
+            raise ValueError("the segments must fit into the fingerprint")
+
+    def differ(self) -> float:
+        """The share of bits in which texts of the similarity asked for differ."""
+        return math.acos(2 * self.similarity / (1 + self.similarity)) / math.pi
+
     def limits(self) -> tuple[int, int]:
         """The largest distance that is surely a copy's, and the largest that may be one's."""
-        p, bits = math.acos(2 * self.similarity / (1 + self.similarity)) / math.pi, 64 * self.parts
+        p, bits = self.differ(), 64 * self.parts
         spread = math.sqrt(bits * p * (1 - p))
         return max(0, int(bits * p - self.sure * spread)), int(bits * p + self.margin * spread)
 
-    def of(self, shingles: np.ndarray) -> tuple[bytes, np.ndarray]:
-        """Distinct 64-bit shingle hashes -> fingerprint and keys of the bands."""
-        fp = majorities(shingles, self.parts)
-        n = self.bands * self.rows
-        odd = mix(np.arange(1, n + 1, dtype=np.uint64)) | np.uint64(1)
-        least = np.full(n, np.iinfo(np.uint64).max, np.uint64)
-        for i in range(0, len(shingles), 4096):  # bounded memory for very long texts
-            part = shingles[i : i + 4096]
-            x = part[None, :] * odd[:, None]
-            np.minimum(least, (x ^ (x >> np.uint64(29))).min(axis=1), out=least)
-        keys = np.zeros(self.bands, np.uint64)
-        for column in least.reshape(self.bands, self.rows).T:
-            keys = mix(keys * np.uint64(0x9E3779B97F4A7C15) + column)
-        return fp, keys ^ mix(np.arange(self.bands, dtype=np.uint64) + np.uint64(1 << 20))
+    def chance(self) -> float:
+        """The share of pairs of the similarity asked for that differ in one bit at most of some segment."""
+        p, n = self.differ(), 2 * WIDE_HALF
+        return 1 - (1 - (1 - p) ** n - n * p * (1 - p) ** (n - 1)) ** self.segments
+
+    def cut(self, fps: list[bytes]) -> np.ndarray:
+        """Fingerprints -> the segments of each, as numbers, one row after the other."""
+        n = self.segments * 2 * WIDE_HALF
+        bits = np.unpackbits(np.frombuffer(b"".join(fps), np.uint8).reshape(len(fps), -1), axis=1, bitorder="little")[:, :n]
+        return bits.reshape(-1, 2 * WIDE_HALF).astype(np.int32) @ (1 << np.arange(2 * WIDE_HALF, dtype=np.int32))
 
 
 def shingle_set(text: str | None, words: int, ids: WordIds) -> np.ndarray:
@@ -253,23 +259,21 @@ def shingle_set(text: str | None, words: int, ids: WordIds) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, sketch: Sketch) -> DataFrame:
-    """(doc_id, text) -> (doc_id long, same binary, fp binary, bands array): ``same`` is 128 bits of hash of the ``shingle_set``."""
+    """(doc_id, text) -> (doc_id long, same binary, fp binary, segments array): ``same`` is 128 bits of hash of the ``shingle_set``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = WordIds()
         for batch in batches:
-            same, fps, bands = [], [], []
+            same, fps = [], []
             for x in batch.column(1):
                 hashes = shingle_set(x.as_py(), sketch.words, ids)
-                fp, keys = sketch.of(hashes)
                 same.append(xxhash.xxh3_128_digest(hashes.tobytes()))
-                fps.append(fp)
-                bands.append(keys.view(np.int64))
-            values = np.concatenate(bands) if bands else np.empty(0, np.int64)
-            cols = [batch.column(0), pa.array(same, pa.binary()), pa.array(fps, pa.binary()), list_column([sketch.bands] * len(bands), values, pa.int64())]
-            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "same", "fp", "bands"])
+                fps.append(majorities(hashes, sketch.parts))
+            values = sketch.cut(fps) if fps else np.empty(0, np.int32)
+            cols = [batch.column(0), pa.array(same, pa.binary()), pa.array(fps, pa.binary()), list_column([sketch.segments] * len(fps), values, pa.int32())]
+            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "same", "fp", "segments"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, same binary, fp binary, bands array<long>")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, same binary, fp binary, segments array<int>")
 
 
 def _far(fps: np.ndarray, fp: np.ndarray) -> np.ndarray:
@@ -319,40 +323,115 @@ def _joined_in(fps: np.ndarray, sure: int, limit: int) -> Iterator[tuple[int, in
             new, others, best, by = others[joins], others[~joins], best[~joins], by[~joins]
 
 
-def _wide_links(parts: int, sure: int, limit: int):
-    """For rows (bucket, node, fp) sorted by bucket: links (a, b, sure) between the nodes of a bucket, by whole distances."""
-
-    def of(bucket: np.ndarray, node: np.ndarray, fps: np.ndarray) -> pa.RecordBatch:
-        starts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
-        sizes = np.diff(np.concatenate([starts, [len(bucket)]]))
-        two = starts[sizes == 2]
-        far = _far(fps[two], fps[two + 1])
-        two, far = two[far <= limit], far[far <= limit]
-        out = [(node[two], node[two + 1], far <= sure)]
-        for i, n in zip(starts[sizes > 2].tolist(), sizes[sizes > 2].tolist(), strict=True):
-            if links := list(_joined_in(fps[i : i + n], sure, limit)):
-                x, y, known = map(np.array, zip(*links, strict=True))
-                out.append((node[x + i], node[y + i], known))
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], ["a", "b", "sure"])
+def _ball(code: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted codes -> row, first, n: the n rows from ``first`` on have the row's code or the code with one bit of its last
+    WIDE_HALF cleared. Of two codes that differ in one bit, just one has it set, so each pair of rows comes once."""
+    at = np.arange(len(code))
+    row, first, end = [at], [at + 1], [np.searchsorted(code, code, "right")]
+    for bit in range(WIDE_HALF):
+        has = np.flatnonzero(code >> bit & 1)
+        key = code[has] - (1 << bit)
+        row.append(has)
+        first.append(np.searchsorted(code, key, "left"))
+        end.append(np.searchsorted(code, key, "right"))
+    row, first, end = map(np.concatenate, (row, first, end))
+    met = end > first
+    return row[met], first[met], (end - first)[met]
+
+
+def _pairs(row: np.ndarray, first: np.ndarray, n: np.ndarray, at_once: int = 1 << 16) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The pairs of rows that ``_ball`` tells of, some at a time."""
+    ends = np.cumsum(n)
+    for start in range(0, int(ends[-1]) if len(ends) else 0, at_once):
+        pair = np.arange(start, min(start + at_once, int(ends[-1])))
+        k = np.searchsorted(ends, pair, "right")
+        yield row[k], first[k] + pair - (ends[k] - n[k])
+
+
+def _wide_links(parts: int, sure: int, limit: int, most: int = 256):
+    """For rows (code, node, fp) sorted by code: links (a, b, sure) between nodes of a bucket that meet in a ball, by whole
+    distances. The last WIDE_HALF bits of a code are the key within the bucket that the others name. A bucket where more
+    than ``most`` rows meet a row, or with more links than rows, gives links that join its members."""
+
+    def of(code: np.ndarray, node: np.ndarray, fps: np.ndarray) -> pa.RecordBatch:
+        name = code >> WIDE_HALF
+        starts = np.flatnonzero(np.concatenate([[True], name[1:] != name[:-1]]))
+        sizes = np.diff(np.concatenate([starts, [len(code)]]))
+        bucket = np.repeat(np.arange(len(starts)), sizes)
+        row, first, n = _ball(code)
+        full = np.bincount(bucket[row], n, len(starts)) > most * sizes
+        some = ~full[bucket[row]]
+        x, y, far = [np.empty(0, int)], [np.empty(0, int)], [np.empty(0, int)]
+        for a, b in _pairs(row[some], first[some], n[some]):
+            found = _far(fps[a], fps[b])
+            near = found <= limit
+            x.append(a[near])
+            y.append(b[near])
+            far.append(found[near])
+        x, y, far = map(np.concatenate, (x, y, far))
+        full |= np.bincount(bucket[x], minlength=len(starts)) > sizes
+        some = ~full[bucket[x]]
+        out = [(node[x[some]], node[y[some]], far[some] <= sure)]
+        for k in np.flatnonzero(full).tolist():
+            i = starts[k]
+            if links := list(_joined_in(fps[i : i + sizes[k]], sure, limit)):
+                a, b, known = map(np.array, zip(*links, strict=True))
+                out.append((node[a + i], node[b + i], known))
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["a", "b", "sure"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] | None = None
+        held: list[list[np.ndarray]] = []  # rows of the last bucket, by batch
         for batch in batches:
+            if not batch.num_rows:
+                continue
             fps = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint64).reshape(-1, parts)
             rows = [batch.column(0).to_numpy(), batch.column(1).to_numpy(), fps]
-            rows = rows if held is None else [np.concatenate(x) for x in zip(held, rows, strict=True)]
-            if not len(rows[0]):
+            name = rows[0] >> WIDE_HALF
+            if held and name[-1] == held[0][0][0] >> WIDE_HALF:
+                held.append(rows)
                 continue
-            cut = int(np.searchsorted(rows[0], rows[0][-1]))
-            held = [x[cut:] for x in rows]
+            rows = [np.concatenate(x) for x in zip(*held, rows, strict=True)]
+            cut = int(np.searchsorted(rows[0] >> WIDE_HALF, name[-1]))
+            held = [[x[cut:] for x in rows]]
             if cut:
                 yield of(*(x[:cut] for x in rows))
-        if held is not None and len(held[0]):
-            yield of(*held)
+        if held:
+            yield of(*(np.concatenate(x) for x in zip(*held, strict=True)))
 
     return run
 
 
+def _halves(segments: Column) -> Column:
+    """A row for each half of each segment: ``key``, which half of which segment and its bits, and ``rest``, the other half's bits."""
+    low = (1 << WIDE_HALF) - 1
+
+    def two(x: Column, i: Column) -> Column:
+        high, rest = F.shiftright(x, WIDE_HALF), x.bitwiseAND(low)
+        named = [((2 * i + half) * (low + 1) + bits, other) for half, bits, other in ((0, high, rest), (1, rest, high))]
+        return F.array(*(F.struct(key.cast("long").alias("key"), other.cast("long").alias("rest")) for key, other in named))
+
+    return F.flatten(F.transform(segments, two))
+
+
+def wide_links(nodes: DataFrame, sketch: Sketch) -> DataFrame:
+    """(node long, fp binary, segments array) -> links (a, b, sure) of nodes by multi-index hashing.
+
+    Each segment is looked up with its ball of radius one. Segments that differ in one bit at most agree in one half, so a
+    node is dealt to a table for each half of each segment, and meets there the keys of the ball in the other half. Whole
+    distances are verified within the bucket, all of them, before links are thinned to those that join its members by the
+    smallest distances. A table of more than GROUP rows is dealt out as pairs of blocks.
+    """
+    rows = nodes.select("node", "fp", F.explode(_halves(F.col("segments"))).alias("x")).select("node", "fp", "x.key", "x.rest")
+    sizes = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key", F.ceil(F.col("n") / GROUP).cast("int").alias("blocks"))
+    rows = rows.join(F.broadcast(sizes), "key")  # 2 * segments * 2^WIDE_HALF rows at most
+    mine = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    name = F.shiftleft("key", 32) + F.shiftleft(F.least(mine, F.col("other")).cast("long"), 16) + F.greatest(mine, F.col("other"))
+    rows = rows.select((F.shiftleft(name, WIDE_HALF) + F.col("rest")).alias("code"), "node", "fp")
+    rows = rows.repartition(F.shiftright("code", WIDE_HALF)).sortWithinPartitions("code", "node")
+    return rows.mapInArrow(_wide_links(sketch.parts, *sketch.limits()), "a long, b long, sure boolean")
+
+
 def similar(pairs: DataFrame, docs: DataFrame, words: int, similarity: float) -> DataFrame:
     """(a, b) of doc_ids -> those pairs whose sets of shingles have a Jaccard similarity of ``similarity`` or more, exactly.
     Only the documents of pairs are read again."""
@@ -377,26 +456,15 @@ def near_copies(docs: DataFrame, sketch: Sketch | None = None) -> DataFrame:
     """(doc_id, text, ...) -> (doc_id long, component_id long), a row for each row with a doc_id.
 
     component_id is the smallest doc_id that links reach, the own one included. Texts are linked that have the same set of
-    shingles, or share a band and have fingerprints whose distance is surely that of copies, or may be and their sets are
-    similar enough. Segments of a fingerprint can't find texts of similarity 0.8, which differ in 15 % of all bits (the
-    README has figures), so the table is fetched by bands. Whole distances are verified within a bucket, all of them, before
-    its links are thinned to those that join its members by the smallest distances; a bucket of more than BLOCK rows is
-    dealt out as pairs of blocks. The driver gets nothing but counts.
+    shingles, or meet in the ball of a segment (``wide_links``) and have fingerprints whose distance is surely that of copies,
+    or may be and their sets are similar enough. The driver gets nothing but counts.
     """
     sketch = sketch or Sketch()
     docs = docs.where("doc_id is not null")
     found = materialize(sketches(docs, sketch), "sketches")
-    nodes = found.groupBy("same").agg(F.min("doc_id").alias("node"), F.any_value("fp").alias("fp"), F.any_value("bands").alias("bands"))
+    nodes = found.groupBy("same").agg(F.min("doc_id").alias("node"), F.any_value("fp").alias("fp"), F.any_value("segments").alias("segments"))
     nodes = materialize(nodes, "nodes")
-    keys = nodes.select("node", F.explode("bands").alias("key"))
-    sizes = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    rows = materialize(keys.join(sizes, "key"), "buckets")
-    mine = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    bucket = F.xxhash64("key", F.struct(F.least(mine, F.col("other")), F.greatest(mine, F.col("other"))))
-    rows = rows.select(bucket.alias("bucket"), "node").join(nodes.select("node", "fp"), "node").select("bucket", "node", "fp")
-    rows = rows.repartition(F.col("bucket")).sortWithinPartitions("bucket", "node")
-    links = rows.mapInArrow(_wide_links(sketch.parts, *sketch.limits()), "a long, b long, sure boolean")
+    links = wide_links(nodes, sketch)
     links = links.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.bool_or("sure").alias("sure"))
     links = materialize(links, "links")
     sure = links.where("sure").select("a", "b")

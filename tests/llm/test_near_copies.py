@@ -128,3 +128,57 @@ def test_links_do_not_depend_on_the_order_of_rows(spark):
         nodes = spark.createDataFrame(rows, "fp long, node long").repartition(parts)
         found.append({tuple(x) for x in simhash.near_links(nodes, 10, all_within=False).collect()})
     assert found[0] and found[0] == found[1] == found[2]
+
+
+def linked(n, links):
+    root = list(range(n))
+    for _ in range(n):
+        for a, b in links:
+            root[a] = root[b] = min(root[a], root[b])
+    return root
+
+
+@pytest.mark.parametrize("group", [16 * 1024, 8])
+def test_segments_are_looked_up_with_balls(spark, monkeypatch, group):
+    """Links join just what meets in a ball of radius one of some segment and lies within the limit as a whole."""
+    monkeypatch.setattr(simhash, "GROUP", group)
+    sketch, r = simhash.Sketch(), np.random.default_rng(6)
+    sure, limit = sketch.limits()
+    bits = (r.random((60, 512)) < 0.5)[r.integers(0, 60, 240)]
+    bits ^= r.random((240, 512)) < r.uniform(0, 0.16, 240)[:, None]
+    bits[:40, :20] = bits[0, :20]  # a segment that texts share which differ elsewhere
+    bits[0:40, 3] ^= r.random(40) < 0.5
+    bits[200:] = bits[200] ^ (r.random((40, 512)) < 0.01)  # a large group of near copies
+    fps = [x.tobytes() for x in np.packbits(bits, axis=1, bitorder="little")]
+    far = (bits[:, None] != bits[None]).sum(axis=2)
+    pieces = bits[:, :500].reshape(240, 25, 20)
+    meet = np.array([(pieces[i] != pieces).sum(axis=2).min(axis=1) <= 1 for i in range(240)])
+    assert np.array_equal(sketch.cut(fps).reshape(240, 25), pieces @ (1 << np.arange(20)))
+    nodes = spark.createDataFrame([(i, fp, x) for i, (fp, x) in enumerate(zip(fps, sketch.cut(fps).reshape(240, 25).tolist(), strict=True))], "node long, fp binary, segments array<int>")
+    got = simhash.wide_links(nodes, sketch).collect()
+    assert all(far[x["a"], x["b"]] <= (sure if x["sure"] else limit) for x in got)
+    asked = np.argwhere(np.triu(meet & (far <= limit), 1)).tolist()
+    assert len(asked) > 900 and linked(240, [(x["a"], x["b"]) for x in got]) == linked(240, asked)
+
+
+def test_balls_name_each_pair_once():
+    r = np.random.default_rng(8)
+    for n in (1, 2, 50, 400):
+        code = np.sort(r.integers(0, 3 << simhash.WIDE_HALF, n))
+        got = [(a, b) for x, y in simhash._pairs(*simhash._ball(code), at_once=7) for a, b in zip(x.tolist(), y.tolist(), strict=True)]
+        same, one = code[:, None] == code, (code[:, None] >> 10 == code >> 10) & (np.bitwise_count(code[:, None] ^ code) == 1)
+        assert len({frozenset(x) for x in got}) == len(got) == np.triu(same | one, 1).sum()
+        assert all(same[a, b] or one[a, b] for a, b in got)
+
+
+def test_pairs_at_the_similarity_asked_for(spark):
+    """Of pairs with a similarity of just 0.8, 0.98 are found (shared bands of minima found fewer)."""
+    r, rows = random.Random(11), []
+    for i in range(1500):
+        base = [f"v{r.randrange(10**6)}" for _ in range(184)]
+        rows += [(2 * i, " ".join(base)), (2 * i + 1, " ".join(x if k % 46 != 40 else "changed" for k, x in enumerate(base)))]
+    assert all(jaccard(grams(rows[i][1]), grams(rows[i + 1][1])) == 0.8 for i in range(0, 3000, 2))
+    found = simhash.near_copies(spark.createDataFrame(rows, "doc_id long, text string"))
+    got = {x["doc_id"]: x["component_id"] for x in found.collect()}
+    assert all(c in (d, d - d % 2) for d, c in got.items())
+    assert sum(got[i] == got[i + 1] for i in range(0, 3000, 2)) >= 0.98 * 1500
