@@ -21,6 +21,8 @@ HALF = 32
 GROUP = 16 * 1024
 #: Bits of half a segment of a wide fingerprint.
 WIDE_HALF = 10
+#: Rows of the map of ids that ``maybe_among`` broadcasts, and the bits of each (what ``bitmap_construct_agg`` makes).
+MAPS, MAP_BITS = 1024, 32 * 1024
 
 
 def fingerprint(text: str | None, words: int = 3) -> int:
@@ -432,9 +434,26 @@ def wide_links(nodes: DataFrame, sketch: Sketch) -> DataFrame:
     return rows.mapInArrow(_wide_links(sketch.parts, *sketch.limits()), "a long, b long, sure boolean")
 
 
+def maybe_among(doc_id: Column, docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Adds ``maybe`` to docs: true wherever ``doc_id`` is one of the rows (doc_id) of ids, false for nearly all others and for null.
+
+    Ids are told by a bit each of a map of 2^25 bits (4 MB) in MAPS rows, which is broadcast whatever the number of ids. So
+    docs stay where they are, and what an exact join must shuffle is only what may be among ids.
+    """
+    key = F.xxhash64(F.col("doc_id").cast("long"))
+    bits = ids.select(F.pmod(key, F.lit(MAPS)).alias("_map"), F.pmod(F.shiftright(key, 32), F.lit(MAP_BITS)).alias("_bit"))
+    bits = bits.repartition("_map").groupBy("_map").agg(F.bitmap_construct_agg("_bit").alias("_bits"))  # ids are shuffled, not maps
+    key = F.xxhash64(doc_id.cast("long"))
+    bit = F.pmod(F.shiftright(key, 32), F.lit(MAP_BITS))
+    byte = F.conv(F.hex(F.substring("_bits", F.shiftright(bit, 3).cast("int") + 1, F.lit(1))), 16, 10).cast("long")
+    met = docs.withColumn("_map", F.pmod(key, F.lit(MAPS))).join(F.broadcast(bits), "_map", "left")
+    hit = F.call_function("shiftright", byte, bit.bitwiseAND(7).cast("int")).bitwiseAND(1) == 1
+    return met.withColumn("maybe", doc_id.isNotNull() & F.coalesce(hit, F.lit(False))).drop("_map", "_bits")
+
+
 def similar(pairs: DataFrame, docs: DataFrame, words: int, similarity: float) -> DataFrame:
     """(a, b) of doc_ids -> those pairs whose sets of shingles have a Jaccard similarity of ``similarity`` or more, exactly.
-    Only the documents of pairs are read again."""
+    Only the documents of pairs are read again; the texts of others are not shuffled."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = WordIds()
@@ -444,7 +463,8 @@ def similar(pairs: DataFrame, docs: DataFrame, words: int, similarity: float) ->
                 yield pa.RecordBatch.from_arrays([pa.array([doc], pa.int64()), list_column([len(hashes)], hashes, pa.int64())], ["doc_id", "s"])
 
     asked = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    some = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(asked, "doc_id", "left_semi")
+    some = maybe_among(F.col("doc_id"), docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), asked).where("maybe")
+    some = some.select("doc_id", "text").join(asked, "doc_id", "left_semi")
     sets = materialize(some.mapInArrow(run, "doc_id long, s array<long>"), "sets")
     met = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("s").alias("sa")), "a")
     met = met.join(sets.select(F.col("doc_id").alias("b"), F.col("s").alias("sb")), "b")
@@ -490,6 +510,12 @@ def keep_one(docs: DataFrame, words: int = 3, radius: int = 3) -> DataFrame:
 
 
 def _first_of(docs: DataFrame, found: DataFrame) -> DataFrame:
-    first = found.where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.where("doc_id is not null").join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where("doc_id is null")).select(*(f"`{c}`" for c in docs.columns))
+    """docs without the rows that are dropped. A document that is alone with its doc_id and the first of its group stays where
+    it is; only the rows that may be others are shuffled."""
+    first = F.bool_or(F.col("doc_id") == F.col("component_id"))
+    told = found.where("doc_id is not null").groupBy("doc_id").agg(first.alias("first"), (F.count("*") > 1).alias("repeated"))
+    told = materialize(told, "told")
+    names = [f"`{c}`" for c in docs.columns]
+    met = maybe_among(F.col("doc_id"), docs.select(F.struct(*names).alias("row"), "doc_id"), told.where("repeated or not first"))
+    kept = met.where("maybe").join(told.where("first"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return met.where("not maybe").select("row.*").unionByName(kept.select("row.*"))

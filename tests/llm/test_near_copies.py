@@ -182,3 +182,49 @@ def test_pairs_at_the_similarity_asked_for(spark):
     got = {x["doc_id"]: x["component_id"] for x in found.collect()}
     assert all(c in (d, d - d % 2) for d, c in got.items())
     assert sum(got[i] == got[i + 1] for i in range(0, 3000, 2)) >= 0.98 * 1500
+
+
+def written(spark):
+    """Bytes that all tasks so far have written for shuffles."""
+    sc = spark.sparkContext._jsc.sc()
+    sc.listenerBus().waitUntilEmpty()
+    found = sc.statusStore().executorList(False)
+    return sum(found.apply(i).totalShuffleWrite() for i in range(found.size()))
+
+
+def test_texts_that_are_no_copies_are_not_shuffled(spark, monkeypatch):
+    """What the stage shuffles besides fingerprints does not follow the length of texts that all stay."""
+    monkeypatch.setattr(simhash, "wide_links", lambda nodes, sketch: spark.createDataFrame([(0, 1, False), (2, 3, True)], "a long, b long, sure boolean"))
+    r, size = random.Random(5), spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    rows = [(i, " ".join(f"{r.getrandbits(64):x}" for _ in range(3000))) for i in range(400)]
+    rows[1] = (1, rows[0][1] + " end")
+    text = sum(len(t) for _, t in rows)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4).cache()
+    assert docs.count() == 400
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        before = written(spark)
+        kept = {x["doc_id"] for x in simhash.keep_one_near(docs).select("doc_id", "text").collect()}
+        assert kept == set(range(400)) - {1, 3} and written(spark) - before < text / 10
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", size)
+        docs.unpersist()
+
+
+def test_ids_are_told_by_a_map(spark):
+    """No id is missed, few others are taken for one, null is none, and docs are not shuffled."""
+    ids = [*range(-500, 500), 2**63 - 1, -(2**63), *(k << 40 for k in range(1, 500))]
+    asked = spark.createDataFrame([(i,) for i in ids], "doc_id long")
+    docs = asked.unionByName(spark.range(10_000, 110_000).toDF("doc_id")).unionByName(spark.sql("select cast(null as long) doc_id"))
+    got = simhash.maybe_among(docs["doc_id"], docs, asked).collect()
+    assert len(got) == len(ids) + 100_001 and sorted(x["doc_id"] for x in got if x["maybe"] and x["doc_id"] in set(ids)) == sorted(ids)
+    assert [x["maybe"] for x in got if x["doc_id"] is None] == [False] and sum(x["maybe"] for x in got) < len(ids) + 50
+    none = simhash.maybe_among(docs["doc_id"], docs, asked.limit(0)).where("maybe")
+    assert none.count() == 0
+
+
+def test_rows_of_a_repeated_doc_id_meet_wherever_they_lie(spark):
+    """One row stays of a doc_id whose texts differ, if one of them is the first of its group; other rows stay as they are."""
+    docs = spark.createDataFrame([(4, "p q r", 1), (4, "s t u", 2), (7, "s t u", 3), (8, "v w x", 4), (None, "v w x", 5), (9, "v w x", 6)], "doc_id long, text string, row int").repartition(4)
+    got = sorted((x["doc_id"] or 0, x["row"]) for x in simhash.keep_one_near(docs).collect())
+    assert [d for d, _ in got] == [0, 4, 8] and got[0] == (0, 5) and got[1][1] in (1, 2) and got[2] == (8, 4)
