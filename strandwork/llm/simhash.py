@@ -169,7 +169,7 @@ def near_links(nodes: DataFrame, radius: int = 3, all_within: bool = True) -> Da
         .where("n > 1 and own > 0")
         .select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
     )
-    rows = rows.join(sizes, "key")
+    rows = rows.join(sizes.hint("merge"), "key")  # by file sizes Spark takes either side for a small one, and would send all rows' keys to the driver
     mine = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     pair = F.struct(F.least(mine, F.col("other")), F.greatest(mine, F.col("other")))

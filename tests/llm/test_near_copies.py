@@ -228,3 +228,14 @@ def test_rows_of_a_repeated_doc_id_meet_wherever_they_lie(spark):
     docs = spark.createDataFrame([(4, "p q r", 1), (4, "s t u", 2), (7, "s t u", 3), (8, "v w x", 4), (None, "v w x", 5), (9, "v w x", 6)], "doc_id long, text string, row int").repartition(4)
     got = sorted((x["doc_id"] or 0, x["row"]) for x in simhash.keep_one_near(docs).collect())
     assert [d for d, _ in got] == [0, 4, 8] and got[0] == (0, 5) and got[1][1] in (1, 2) and got[2] == (8, 4)
+
+
+def test_exploded_keys_are_not_broadcast(spark):
+    """The rows of all keys are many times the file that Spark sizes them by; neither side of their join goes to the driver."""
+    r = random.Random(9)
+    rows = [(r.getrandbits(63), i) for i in range(300)]
+    rows += [(fp ^ 1 << r.randrange(62), 1000 + i) for fp, i in rows]
+    nodes = simhash.materialize(spark.createDataFrame(rows, "fp long, node long"), "nodes")
+    links = simhash.near_links(nodes)
+    assert {tuple(sorted(x)) for x in links.collect()} == {(i, 1000 + i) for i in range(300)}
+    assert "Broadcast" not in links._jdf.queryExecution().executedPlan().toString()
