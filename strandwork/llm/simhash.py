@@ -350,12 +350,53 @@ def _pairs(row: np.ndarray, first: np.ndarray, n: np.ndarray, at_once: int = 1 <
         yield row[k], first[k] + pair - (ends[k] - n[k])
 
 
+def _by_bucket(of, parts: int):
+    """Calls ``of`` for rows (code, node, fp, ...) sorted by code, as arrays, with all rows of a bucket at once. The last
+    WIDE_HALF bits of a code are the key within the bucket that the others name."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[np.ndarray]] = []  # rows of the last bucket, by batch
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            fps = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint64).reshape(-1, parts)
+            rows = [batch.column(0).to_numpy(), batch.column(1).to_numpy(), fps, *(c.to_numpy() for c in batch.columns[3:])]
+            name = rows[0] >> WIDE_HALF
+            if held and name[-1] == held[0][0][0] >> WIDE_HALF:
+                held.append(rows)
+                continue
+            rows = [np.concatenate(x) for x in zip(*held, rows, strict=True)]
+            cut = int(np.searchsorted(rows[0] >> WIDE_HALF, name[-1]))
+            held = [[x[cut:] for x in rows]]
+            if cut:
+                yield from of(*(x[:cut] for x in rows))
+        if held:
+            yield from of(*(np.concatenate(x) for x in zip(*held, strict=True)))
+
+    return run
+
+
+def _unsettled(n: int, a: np.ndarray, b: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """The members (of 0 to n - 1) of those trees of links (a, b) that have a link which is not ``known``."""
+    root = list(range(n))
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = x = root[root[x]]
+        return x
+
+    for x, y in zip(a.tolist(), b.tolist(), strict=True):
+        root[find(x)] = find(y)
+    asked = {find(x) for x in a[~known].tolist()}
+    return np.array([x for x in range(n) if find(x) in asked], int)
+
+
 def _wide_links(parts: int, sure: int, limit: int, most: int = 256):
     """For rows (code, node, fp) sorted by code: links (a, b, sure) between nodes of a bucket that meet in a ball, by whole
-    distances. The last WIDE_HALF bits of a code are the key within the bucket that the others name. A bucket where more
-    than ``most`` rows meet a row, or with more links than rows, gives links that join its members."""
+    distances. A bucket where more than ``most`` rows meet a row, or with more links than rows, gives links that join its
+    members, and a row (a, a, false) for each member that may have further links which are not sure, see ``left_links``."""
 
-    def of(code: np.ndarray, node: np.ndarray, fps: np.ndarray) -> pa.RecordBatch:
+    def of(code: np.ndarray, node: np.ndarray, fps: np.ndarray) -> Iterator[pa.RecordBatch]:
         name = code >> WIDE_HALF
         starts = np.flatnonzero(np.concatenate([[True], name[1:] != name[:-1]]))
         sizes = np.diff(np.concatenate([starts, [len(code)]]))
@@ -379,28 +420,25 @@ def _wide_links(parts: int, sure: int, limit: int, most: int = 256):
             if links := list(_joined_in(fps[i : i + sizes[k]], sure, limit)):
                 a, b, known = map(np.array, zip(*links, strict=True))
                 out.append((node[a + i], node[b + i], known))
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["a", "b", "sure"])
+                if not known.all():
+                    open_ = node[_unsettled(sizes[k], a, b, known) + i]
+                    out.append((open_, open_, np.zeros(len(open_), bool)))
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["a", "b", "sure"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[list[np.ndarray]] = []  # rows of the last bucket, by batch
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            fps = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint64).reshape(-1, parts)
-            rows = [batch.column(0).to_numpy(), batch.column(1).to_numpy(), fps]
-            name = rows[0] >> WIDE_HALF
-            if held and name[-1] == held[0][0][0] >> WIDE_HALF:
-                held.append(rows)
-                continue
-            rows = [np.concatenate(x) for x in zip(*held, rows, strict=True)]
-            cut = int(np.searchsorted(rows[0] >> WIDE_HALF, name[-1]))
-            held = [[x[cut:] for x in rows]]
-            if cut:
-                yield of(*(x[:cut] for x in rows))
-        if held:
-            yield of(*(np.concatenate(x) for x in zip(*held, strict=True)))
+    return _by_bucket(of, parts)
 
-    return run
+
+def _left_links(parts: int, limit: int):
+    """For rows (code, node, fp, root) sorted by code: all pairs (a, b) of nodes that meet in a ball and have different roots."""
+
+    def of(code: np.ndarray, node: np.ndarray, fps: np.ndarray, root: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for a, b in _pairs(*_ball(code)):
+            apart = root[a] != root[b]
+            a, b = a[apart], b[apart]
+            near = _far(fps[a], fps[b]) <= limit
+            yield pa.RecordBatch.from_arrays([pa.array(node[a[near]]), pa.array(node[b[near]])], ["a", "b"])
+
+    return _by_bucket(of, parts)
 
 
 def _halves(segments: Column) -> Column:
@@ -415,23 +453,38 @@ def _halves(segments: Column) -> Column:
     return F.flatten(F.transform(segments, two))
 
 
-def wide_links(nodes: DataFrame, sketch: Sketch) -> DataFrame:
-    """(node long, fp binary, segments array) -> links (a, b, sure) of nodes by multi-index hashing.
+def _dealt(nodes: DataFrame) -> DataFrame:
+    """(node, fp, segments, ...) -> (code, node, fp, ...), a row for each half of each segment, sorted by code within a task.
 
-    Each segment is looked up with its ball of radius one. Segments that differ in one bit at most agree in one half, so a
-    node is dealt to a table for each half of each segment, and meets there the keys of the ball in the other half. Whole
-    distances are verified within the bucket, all of them, before links are thinned to those that join its members by the
-    smallest distances. A table of more than GROUP rows is dealt out as pairs of blocks.
+    A segment is looked up with its ball of radius one. Segments that differ in one bit at most agree in one half, so a
+    node is dealt to a table for each half of each segment, and meets there the keys of the ball in the other half. A table
+    of more than GROUP rows is dealt out as pairs of blocks.
     """
-    rows = nodes.select("node", "fp", F.explode(_halves(F.col("segments"))).alias("x")).select("node", "fp", "x.key", "x.rest")
+    names = ["node", "fp", *(c for c in nodes.columns if c not in ("node", "fp", "segments"))]
+    rows = nodes.select(*names, F.explode(_halves(F.col("segments"))).alias("x")).select(*names, "x.key", "x.rest")
     sizes = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key", F.ceil(F.col("n") / GROUP).cast("int").alias("blocks"))
     rows = rows.join(F.broadcast(sizes), "key")  # 2 * segments * 2^WIDE_HALF rows at most
     mine = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     name = F.shiftleft("key", 32) + F.shiftleft(F.least(mine, F.col("other")).cast("long"), 16) + F.greatest(mine, F.col("other"))
-    rows = rows.select((F.shiftleft(name, WIDE_HALF) + F.col("rest")).alias("code"), "node", "fp")
-    rows = rows.repartition(F.shiftright("code", WIDE_HALF)).sortWithinPartitions("code", "node")
-    return rows.mapInArrow(_wide_links(sketch.parts, *sketch.limits()), "a long, b long, sure boolean")
+    rows = rows.select((F.shiftleft(name, WIDE_HALF) + F.col("rest")).alias("code"), *names)
+    return rows.repartition(F.shiftright("code", WIDE_HALF)).sortWithinPartitions("code", "node")
+
+
+def wide_links(nodes: DataFrame, sketch: Sketch) -> DataFrame:
+    """(node long, fp binary, segments array) -> links (a, b, sure) of nodes by multi-index hashing.
+
+    Whole distances are verified within the bucket, all of them, before links are thinned to those that join its members by
+    the smallest distances. A row (a, a, false) tells that a is in a group that was thinned and has links that are not sure.
+    """
+    return _dealt(nodes.select("node", "fp", "segments")).mapInArrow(_wide_links(sketch.parts, *sketch.limits()), "a long, b long, sure boolean")
+
+
+def left_links(nodes: DataFrame, sketch: Sketch) -> DataFrame:
+    """(node long, fp binary, segments array, root long) -> all pairs (a, b) that meet in a ball, may be near by their whole
+    distance and have different roots: what thinned groups are still to be asked for when a link that joined them was none."""
+    rows = _dealt(nodes.select("node", "fp", "segments", "root")).mapInArrow(_left_links(sketch.parts, sketch.limits()[1]), "a long, b long")
+    return rows.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def maybe_among(doc_id: Column, docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -477,10 +530,15 @@ def near_copies(docs: DataFrame, sketch: Sketch | None = None) -> DataFrame:
 
     component_id is the smallest doc_id that links reach, the own one included. Texts are linked that have the same set of
     shingles, or meet in the ball of a segment (``wide_links``) and have fingerprints whose distance is surely that of copies,
-    or may be and their sets are similar enough. The driver gets nothing but counts.
+    or may be and their sets are similar enough. Groups that ``wide_links`` thinned are first asked for the links that would
+    join them; whatever these leave apart is then compared pair by pair (``left_links``). The driver gets nothing but counts.
     """
     sketch = sketch or Sketch()
     docs = docs.where("doc_id is not null")
+
+    def alike(pairs: DataFrame) -> DataFrame:
+        return similar(pairs, docs, sketch.words, sketch.similarity)
+
     found = materialize(sketches(docs, sketch), "sketches")
     nodes = found.groupBy("same").agg(F.min("doc_id").alias("node"), F.any_value("fp").alias("fp"), F.any_value("segments").alias("segments"))
     nodes = materialize(nodes, "nodes")
@@ -488,8 +546,13 @@ def near_copies(docs: DataFrame, sketch: Sketch | None = None) -> DataFrame:
     links = links.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.bool_or("sure").alias("sure"))
     links = materialize(links, "links")
     sure = links.where("sure").select("a", "b")
-    links = sure.unionByName(similar(links.where("not sure").select("a", "b"), docs, sketch.words, sketch.similarity))
-    placed = nodes.select("same", "node").join(connected_components(links), "node", "left")
+    roots = connected_components(sure.unionByName(alike(links.where("not sure and a <> b").select("a", "b"))))
+    some = nodes.join(links.where("a = b").select(F.col("a").alias("node")).hint("merge"), "node", "left_semi")
+    more = left_links(some.join(roots.hint("merge"), "node", "left").withColumn("root", F.coalesce("root", "node")), sketch)
+    more = materialize(more, "more")
+    if not more.isEmpty() and not (more := materialize(alike(more), "more")).isEmpty():
+        roots = connected_components(more.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
+    placed = nodes.select("same", "node").join(roots, "node", "left")
     return found.select("doc_id", "same").join(placed.select("same", F.coalesce("root", "node").alias("component_id")), "same").select("doc_id", "component_id")
 
 

@@ -239,3 +239,29 @@ def test_exploded_keys_are_not_broadcast(spark):
     links = simhash.near_links(nodes)
     assert {tuple(sorted(x)) for x in links.collect()} == {(i, 1000 + i) for i in range(300)}
     assert "Broadcast" not in links._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("group", [16 * 1024, 16])
+def test_pairs_of_thinned_groups_are_all_asked_for(spark, monkeypatch, group):
+    """Where the nearest link of two groups is no copy's, their other links are compared too: whoever is alike is joined."""
+    sketch, r, n = simhash.Sketch(), np.random.default_rng(12), 300
+    sure, limit = sketch.limits()
+    bits = (r.random((6, 512)) < 0.5)[r.integers(0, 6, n)]
+    bits ^= r.random((n, 512)) < r.choice([0.02, 0.08, 0.1], n)[:, None]
+    fps = [x.tobytes() for x in np.packbits(bits, axis=1, bitorder="little")]
+    far = (bits[:, None] != bits[None]).sum(axis=2)
+    pieces = bits[:, :500].reshape(n, 25, 20)
+    meet = np.array([(pieces[i] != pieces).sum(axis=2).min(axis=1) <= 1 for i in range(n)])
+    alike = lambda a, b: (a * a + b * b) % 23 == 0
+    rows = [(i, b"%d" % i, fp, x) for i, (fp, x) in enumerate(zip(fps, sketch.cut(fps).reshape(n, 25).tolist(), strict=True))]
+    monkeypatch.setattr(simhash, "GROUP", group)
+    monkeypatch.setattr(simhash, "sketches", lambda docs, sketch: spark.createDataFrame(rows, "doc_id long, same binary, fp binary, segments array<int>"))
+    monkeypatch.setattr(simhash, "similar", lambda pairs, *_: pairs.where("(a * a + b * b) % 23 = 0"))
+    docs = spark.createDataFrame([(i, "") for i in range(n)], "doc_id long, text string")
+    got = {x["doc_id"]: x["component_id"] for x in simhash.near_copies(docs, sketch).collect()}
+    pairs = np.argwhere(np.triu(far <= limit, 1)).tolist()
+    joins = [(a, b) for a, b in pairs if far[a, b] <= sure or alike(a, b)]
+    asked = [(a, b) for a, b in joins if meet[a, b]]
+    assert len(asked) > 100 and all(got[a] == got[b] for a, b in asked)
+    whole = linked(n, joins)
+    assert len(set(whole)) > 10 and all(whole[i] == whole[got[i]] for i in range(n))
