@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -111,12 +113,62 @@ def base_composition(sequences: DataFrame, seq: str = "seq") -> DataFrame:
     return rows.crossJoin(F.broadcast(total)).select("base", (F.col("n") / F.col("total")).alias("share"))  # one row
 
 
+AT_ONCE = 1 << 20  # characters that are counted together
+
+
+def _words(sequences: DataFrame, seq: str, size: int) -> DataFrame:
+    """(pos, word, n): words of one or two letters A, C, G, T by place (from 1), either case, counted; a task counts some of a
+    million letters at once, so what is grouped and shuffled are counts and not letters."""
+    codes = np.full(129, 4, np.uint8)
+    codes[[ord(b) for b in "ACGT"]] = range(4)
+    words = [a + b for a in ("ACGT" if size == 2 else [""]) for b in "ACGT"]
+
+    def counts(texts: list[str], first: int) -> pa.RecordBatch:
+        """``first`` is the place of the texts' first letters."""
+        n = np.fromiter(map(len, texts), np.int64, len(texts))
+        joined = "".join(texts)
+        if joined.isascii():
+            code = codes[np.frombuffer(joined.encode(), np.uint8)]
+        else:
+            code = codes[np.minimum(np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32), 128)]
+        at = np.arange(len(code), dtype=np.int32) - np.repeat((np.cumsum(n) - n).astype(np.int32), n)
+        if size == 2:
+            whole = (code[:-1] < 4) & (code[1:] < 4) & (at[1:] > 0)
+            key = (at[:-1] * 16 + code[:-1] * 4 + code[1:])[whole]
+        else:
+            key = (at * 4 + code)[code < 4]
+        if n.max() * len(words) <= 4 * AT_ONCE:
+            found = np.bincount(key)
+            key = np.flatnonzero(found)
+            found = found[key]
+        else:
+            key, found = np.unique(key, return_counts=True)
+        place, word = np.divmod(key, len(words))
+        return pa.RecordBatch.from_arrays([pa.array((place + first).astype(np.int32)), pa.array(word.astype(np.int32)), pa.array(found.astype(np.int64))], ["pos", "word", "n"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                if len(text) > AT_ONCE:
+                    for i in range(0, len(text) - size + 1, AT_ONCE):
+                        yield counts([text[i : i + AT_ONCE + size - 1]], i + 1)
+                    continue
+                if n + len(text) > AT_ONCE:
+                    yield counts(held, 1)
+                    held, n = [], 0
+                held.append(text)
+                n += len(text)
+        if held:
+            yield counts(held, 1)
+
+    rows = sequences.where(F.length(seq) >= size).select(F.upper(seq)).mapInArrow(run, "pos int, word int, n long")
+    named = F.element_at(F.array(*map(F.lit, words)), F.col("word") + 1)
+    return rows.groupBy("pos", "word").agg(F.sum("n").alias("n")).select("pos", named.alias("word"), "n")
+
+
 def _pairs(sequences: DataFrame, seq: str) -> DataFrame:
-    s = F.upper(seq)
-    at = F.explode(F.sequence(F.lit(1), F.length(s) - 1)).alias("pos")
-    return sequences.where(F.length(seq) >= 2).select(s.alias("s"), at).select(
-        "pos", F.substring("s", F.col("pos"), F.lit(1)).alias("cur"), F.substring("s", F.col("pos") + 1, F.lit(1)).alias("nxt")
-    ).where(F.col("cur").isin(*"ACGT") & F.col("nxt").isin(*"ACGT"))
+    return _words(sequences, seq, 2).select("pos", F.substring("word", 1, 1).alias("cur"), F.substring("word", 2, 1).alias("nxt"), "n")
 
 
 def _share(counts: DataFrame, within: list[str], name: str) -> DataFrame:
@@ -126,20 +178,17 @@ def _share(counts: DataFrame, within: list[str], name: str) -> DataFrame:
 
 def dinucleotide_frequency(sequences: DataFrame, seq: str = "seq") -> DataFrame:
     """(pos, cur, nxt, n, share): pairs of neighbours by place (from 1), as shares of the place."""
-    return _share(_pairs(sequences, seq).groupBy("pos", "cur", "nxt").agg(F.count("*").alias("n")), ["pos"], "share")
+    return _share(_pairs(sequences, seq), ["pos"], "share")
 
 
 def dinucleotide_transition(sequences: DataFrame, seq: str = "seq") -> DataFrame:
     """(pos, cur, nxt, n, p): the chance of a base given the one before it, by place."""
-    return _share(_pairs(sequences, seq).groupBy("pos", "cur", "nxt").agg(F.count("*").alias("n")), ["pos", "cur"], "p")
+    return _share(_pairs(sequences, seq), ["pos", "cur"], "p")
 
 
 def position_composition(sequences: DataFrame, seq: str = "seq") -> DataFrame:
     """(pos, base, n, share) of bases by place (from 1)."""
-    s = F.upper(seq)
-    at = sequences.where(F.length(seq) >= 1).select(s.alias("s"), F.explode(F.sequence(F.lit(1), F.length(s))).alias("pos"))
-    base = at.select("pos", F.substring("s", F.col("pos"), F.lit(1)).alias("base")).where(F.col("base").isin(*"ACGT"))
-    return _share(base.groupBy("pos", "base").agg(F.count("*").alias("n")), ["pos"], "share")
+    return _share(_words(sequences, seq, 1).withColumnRenamed("word", "base"), ["pos"], "share")
 
 
 def eligible(sequences: DataFrame, seq: str = "seq", length: int = 147) -> DataFrame:

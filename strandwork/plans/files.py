@@ -248,7 +248,8 @@ def mean_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
 def dinucleotide_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A nucleosome fitted to 147 bases for each part, written as text, read into a model, written and read again."""
     letters = F.concat(*(F.md5(F.concat("p_name", F.lit(str(i)))) for i in range(5)))
-    pieces = T.table(spark, sf_dir, "part").select(F.translate(F.substring(letters, 1, 147), "0123456789abcdef", "ACGTACGTACGTACGT").alias("seq"))
+    names = T.table(spark, sf_dir, "part").select("p_name").repartition(spark.sparkContext.defaultParallelism)  # a file may be one task
+    pieces = names.select(F.translate(F.substring(letters, 1, 147), "0123456789abcdef", "ACGTACGTACGTACGT").alias("seq"))
     blank = hmm.Model({}, [0.25] * 4, {"background": 0.9, "nucleosome": 0.1})
     one, two = _path(spark, "dinucleotides"), _path(spark, "dinucleotides")
     sinks.dinucleotides(spark, api.fit_nucleosome(pieces, blank), one)
