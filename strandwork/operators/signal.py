@@ -91,10 +91,14 @@ def length_shares(heat: DataFrame) -> DataFrame:
 
 
 def site_count_histogram(sites: DataFrame, mids: DataFrame, reach: int) -> DataFrame:
-    """(rel, value, n): how many sites have ``value`` midpoints at ``rel``; sites without any count as value 0."""
-    offsets = sites.select("site_id", F.explode(F.sequence(F.lit(-reach).cast("long"), F.lit(reach).cast("long"))).alias("rel"))
-    every = offsets.groupBy("rel").agg(F.count("*").alias("sites"))
-    seen = around(sites, mids, reach).groupBy("site_id", "rel").agg(F.count("*").alias("value")).groupBy("rel", "value").agg(F.count("*").alias("n"))
+    """(rel, value, n): how many sites (a row each) have ``value`` midpoints at ``rel``; sites without any count as value 0."""
+    offsets = F.explode(F.sequence(F.lit(-reach).cast("long"), F.lit(reach).cast("long"))).alias("rel")
+    every = sites.agg(F.count("*").alias("sites")).select("sites", offsets)
+    # Sites of one place have the same counts, and places meet only the bases around them.
+    places = sites.groupBy("chr", "centre").agg(F.count("*").alias("_sites")).select("chr", "centre", "_sites", offsets)
+    places = places.select("chr", (F.col("centre") + F.col("rel")).alias("pos"), "rel", "_sites")
+    counts = mids.groupBy("chr", "pos").agg(F.count("*").alias("value"))
+    seen = places.hint("merge").join(counts, ["chr", "pos"]).groupBy("rel", "value").agg(F.sum("_sites").alias("n"))
     zero = every.join(seen.groupBy("rel").agg(F.sum("n").alias("some")), "rel", "left").select(
         "rel", F.lit(0).cast("long").alias("value"), (F.col("sites") - F.coalesce("some", F.lit(0))).alias("n")
     )

@@ -1,10 +1,11 @@
 """Counts by place against plain Python, and what their plans make of the input."""
 
+import random
 from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
-from strandwork.operators import fit
+from strandwork.operators import fit, signal
 
 TEXTS = ["ACGTNACG", "acgtt", "A", "", None, "TTßéA漢C", "👍AC".encode("utf-16", "surrogatepass").decode("utf-16"), "GATTACA" * 9]
 
@@ -30,3 +31,15 @@ def test_letters_are_not_exploded(spark):
     df = spark.createDataFrame([("ACGT",)], "seq string")
     for found in (fit.position_composition(df), fit.dinucleotide_transition(df)):
         assert "Generate" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_site_counts_of_crowded_places(spark):
+    """Many sites and midpoints on few bases: counts as by hand, and no pair of a site and a midpoint has a row."""
+    r = random.Random(4)
+    sites = [(i, r.choice("ab"), r.randint(1, 12) * 10) for i in range(600)] + [(600, "c", 5), (601, "a", None)]
+    mids = [(r.choice("ab"), r.randint(1, 130)) for _ in range(700)]
+    found = signal.site_count_histogram(spark.createDataFrame(sites, "site_id long, chr string, centre long"), spark.createDataFrame(mids, "chr string, pos long"), 3)
+    at = Counter(mids)
+    want = Counter((rel, at[c, p + rel] if p else 0) for _, c, p in sites for rel in range(-3, 4))
+    assert {(x["rel"], x["value"]): x["n"] for x in found.collect()} == want
+    assert "_bin" not in found._jdf.queryExecution().optimizedPlan().toString()
