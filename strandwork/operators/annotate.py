@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..constants import DOWNSTREAM_REACH, HALF_NUCLEOSOME, PLUS_MINUS_REACH, PROMOTER_REACH, SITE_MIN_SCORE
 from ..functions.scalar import forward_orf, gtf_attribute, sample_suffix
 from ..storage import materialize
-from .intervals import coverage, first_match, names_at, overlap_join, point_join
+from .intervals import coverage, first_match, names_at, nearest_below, other_than, overlap_join
 
 ENDS = ("tss", "tts", "orf_start", "orf_end")
 
@@ -20,19 +20,18 @@ def _clip(genes: DataFrame, start: Column, end: Column, raise_start: Column, nam
     """Adds names: [start, end] cut back to what other genes leave free.
 
     Where ``raise_start`` holds, the start is raised to the greatest base of any other gene that lies whole below the
-    end; else the end is lowered to the smallest base of any other gene that lies whole above the start. Only genes
-    whose nearer end is inside the stretch can cut it, so they are found by a point join.
+    end; else the end is lowered to the smallest base of any other gene that lies whole above the start. That is the
+    nearest one, so genes are looked up in order of place, however many lie within the stretch.
     """
-    rows = genes.select("chr", "orf", start.cast("long").alias("_s"), end.cast("long").alias("_e"), raise_start.alias("_up")).distinct()
-    tops = genes.select("chr", F.col("orf").alias("_other"), F.greatest(*ENDS).alias("pos"))
-    feet = genes.select("chr", F.col("orf").alias("_other"), F.least(*ENDS).alias("pos"))
-    low = point_join(tops, rows.where("_up"), ends=("_s", "_e")).where("_other <> orf and pos < _e")
-    high = point_join(feet, rows.where("not _up"), ends=("_s", "_e")).where("_other <> orf and pos > _s")
-    low = low.groupBy("chr", "orf", "_s", "_e").agg(F.max("pos").alias("_low"))
-    high = high.groupBy("chr", "orf", "_s", "_e").agg(F.min("pos").alias("_high"))
-    cut = rows.join(low, ["chr", "orf", "_s", "_e"], "left").join(high, ["chr", "orf", "_s", "_e"], "left")
-    cut = cut.select("chr", "orf", F.greatest("_s", "_low").alias(names[0]), F.least("_e", "_high").alias(names[1]))
-    return genes.join(cut.distinct(), ["chr", "orf"])
+    up, at = F.col("_up"), F.when(F.col("_up"), F.col("_e")).otherwise(-F.col("_s"))  # ends below which genes are looked for, starts mirrored
+    rows = genes.withColumns({"_s": start.cast("long"), "_e": end.cast("long"), "_up": raise_start}).withColumns({"at": at, "_side": F.struct("_up", "chr")})
+    some = genes.where("chr is not null")
+    tops = some.select(F.struct(F.lit(True).alias("_up"), "chr").alias("_side"), "orf", F.greatest(*ENDS).cast("long").alias("pos"))
+    feet = some.select(F.struct(F.lit(False).alias("_up"), "chr").alias("_side"), "orf", (-F.least(*ENDS)).cast("long").alias("pos"))
+    sides = nearest_below(rows.where("chr is not null").select("_side", "at"), tops.unionByName(feet), "orf", "_near", key="_side")
+    near = other_than(F.col("orf"), F.col("_near"))
+    cut = {names[0]: F.when(up, F.greatest("_s", near)).otherwise(F.col("_s")), names[1]: F.when(up, F.col("_e")).otherwise(F.least("_e", -near))}
+    return rows.join(sides, ["_side", "at"], "left").select(*genes.columns, *(c.alias(k) for k, c in cut.items()))
 
 
 def promoters(genes: DataFrame, reach: int = PROMOTER_REACH) -> DataFrame:

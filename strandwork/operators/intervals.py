@@ -77,15 +77,18 @@ def binned(df: DataFrame, at: str, key: str = "chr", width: int | None = None) -
     return rows.join(cuts, [key, "_cell"]).drop("_cell")
 
 
-def running(df: DataFrame, value: Column, how: str, name: str, order: list[str], key: str = "chr", at: str = "start", width: int | None = None) -> DataFrame:
-    """Adds the running max or sum of ``value`` over the rows of a chromosome up to and including each, by ``order``.
+def running(
+    df: DataFrame, value: Column, how: str, name: str, order: list[str], key: str = "chr", at: str = "start", width: int | None = None, own: bool = True
+) -> DataFrame:
+    """Adds the running max or sum of ``value`` over the rows of a chromosome up to and including each (without ``own``: up to
+    the one before it), by ``order``.
 
     Rows run in bins of ``at`` (the first of ``order``), see ``binned``; then one row for each bin runs over the bins. So a
     chromosome with a third of all rows is spread like any other. Rows are read twice.
     """
     f = {"max": F.max, "sum": F.sum}[how]
     rows = binned(df, at, key, width).withColumn("_v", value)
-    inside = Window.partitionBy(key, "_bin").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    inside = Window.partitionBy(key, "_bin").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0 if own else -1)
     before = Window.partitionBy(key).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
     bins = rows.groupBy(key, "_bin").agg(f("_v").alias("_all")).withColumn("_before", f("_all").over(before)).drop("_all")
     rows = rows.withColumn("_in", f("_v").over(inside)).join(bins, [key, "_bin"])
@@ -186,6 +189,32 @@ def uncovered(region: DataFrame, segments: DataFrame) -> DataFrame:
     return runs.where("depth = 1").select("chr", "start", "end")
 
 
+def nearest_below(asked: DataFrame, marks: DataFrame, who: str, name: str, key: str = "chr") -> DataFrame:
+    """(key, at) and marks (key, pos, who) -> (key, at, name) for the distinct places: the nearest marks below ``at``, for ``other_than``.
+
+    Marks are taken by place and places in order, so it doesn't matter how many marks lie between. Marks without ``who`` go.
+    """
+    places = marks.where(F.col(who).isNotNull()).groupBy(key, "pos").agg(F.min(who).alias("_least"), F.max(who).alias("_most"))
+    places = materialize(places, "places")
+    # Of a run of places of one and the same alone, each knows the last place before the run.
+    before = running(places, F.struct("pos", "_least", "_most"), "max", "_last", ["pos"], key, "pos", own=False)
+    same = (F.col("_last._least") == F.col("_least")) & (F.col("_last._most") == F.col("_most")) & (F.col("_least") == F.col("_most"))
+    before = before.select(*places.columns, F.when(~F.coalesce(same, F.lit(False)), F.col("_last.pos")).alias("_past"))
+    runs = running(materialize(before, "places"), F.col("_past"), "max", "_else", ["pos"], key, "pos")
+    near = F.struct("pos", "_least", "_most", "_else")
+    rows = runs.select(key, "pos", near.alias("_near"), F.lit(True).alias("_mark"))
+    places = asked.where(F.col(key).isNotNull() & F.col("at").isNotNull()).select(key, F.col("at").alias("pos")).distinct()
+    rows = materialize(rows.unionByName(places.withColumn("_mark", F.lit(False)), allowMissingColumns=True), "places")
+    found = running(rows, F.col("_near"), "max", name, ["pos", "_mark"], key, "pos")
+    return found.where("not _mark").select(key, F.col("pos").alias("at"), name)
+
+
+def other_than(who: Column, near: Column) -> Column:
+    """Of what ``nearest_below`` found, the nearest place with a mark that isn't of ``who`` alone; null if there is none."""
+    alone = (near["_least"] == who) & (near["_most"] == who)
+    return F.when(alone, near["_else"]).when(who.isNotNull(), near["pos"])
+
+
 def linkers(dyads: DataFrame, half: int = 73, width: int = 15) -> DataFrame:
     """(chr, dyad) -> two half-open stretches [start, end) beside each nucleosome; none where the left one would pass 0."""
     d = F.col("dyad")
