@@ -69,10 +69,13 @@ def annotate(nucs: DataFrame, genes: DataFrame, dyads: list[str], row_id: str =
         ("orf", body, ("body_start", "body_end")),
         ("downstream", downstreams(genes), ("downstream_start", "downstream_end")),
     )
-    found += [names_at(nucs, dyads, spans, ends, "orf", row_id, name) for name, spans, ends in stretches]
     for one in found:
         nucs = nucs.join(one, row_id, "left")
     taken = F.col("plus1").isNotNull() | F.col("minus1").isNotNull()
+    nucs = materialize(nucs, "nucleosomes")
+    rest = nucs.where(~taken)
+    for name, spans, ends in stretches:
+        nucs = nucs.join(names_at(rest, dyads, spans, ends, "orf", row_id, name), row_id, "left")
     kept = {}
     for name, _, _ in stretches:
         kept[name] = F.when(~taken, F.col(name))

@@ -14,6 +14,7 @@ from ..functions.scalar import clean_probability
 from ..storage import materialize
 
 BIN = 1 << 14
+NARROW = 1 << 10  # bins of stretches of some hundred positions
 CELL = 1 << 8  # positions whose rows are never parted
 BINS_A_TASK = 32
 
@@ -229,8 +230,10 @@ def first_match(rows: DataFrame, points: list[str], marks: DataFrame, pos: str,
     marks'. marks: (chr, pos, order, value). Rows without a match are left out; null points match nothing."""
     pairs = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.col(p).alias("_p")) for i, p in enumerate(points))))
     each = rows.select(row_id, "chr", pairs.alias("x")).select(row_id, "chr", "x.i", "x._p").where("_p is not null")
-    near = marks.select("chr", (F.col(pos) - reach).alias("_from"), (F.col(pos) + reach).alias("_to"), F.col(order).alias("_o"), F.col(value).alias("_v"))
-    return point_join(each, near, "_p", ("_from", "_to")).groupBy(row_id).agg(F.min(F.struct("i", "_o", "_v"))["_v"].alias(name))
+    first = F.min(F.struct(F.col(order).alias("_o"), F.col(value).alias("_v"))).alias("_first")
+    near = marks.groupBy("chr", F.col(pos).alias("_m")).agg(first).select("chr", (F.col("_m") - reach).alias("_from"), (F.col("_m") + reach).alias("_to"), "_first")
+    met = point_join(each, near, "_p", ("_from", "_to"), width=2 * reach + 1)
+    return met.groupBy(row_id).agg(F.min(F.struct("i", "_first"))["_first"]["_v"].alias(name))
 
 
 def names_at(rows: DataFrame, points: list[str], spans: DataFrame, ends: tuple[str, str], value: str, row_id: str, name: str) -> DataFrame:
@@ -238,4 +241,4 @@ def names_at(rows: DataFrame, points: list[str], spans: DataFrame, ends: tuple[s
     each = rows.select(row_id, "chr", F.explode(F.array(*points)).alias("_p")).where("_p is not null")
     a, b = ends
     inner = spans.select("chr", (F.col(a) + 1).alias("_from"), (F.col(b) - 1).alias("_to"), F.col(value).alias("_v"))
-    return point_join(each, inner, "_p", ("_from", "_to")).groupBy(row_id).agg(F.array_join(F.sort_array(F.collect_set("_v")), ",").alias(name))
+    return point_join(each, inner, "_p", ("_from", "_to"), width=NARROW).groupBy(row_id).agg(F.array_join(F.sort_array(F.collect_set("_v")), ",").alias(name))

@@ -3,7 +3,7 @@
 import random
 
 import pytest
-from strandwork.operators import annotate
+from strandwork.operators import annotate, intervals
 
 GENES = "chr string, orf string, strand int, plus1 long, minus1 long, tss long, tts long, orf_start long, orf_end long, row long"
 
@@ -53,3 +53,25 @@ def test_genes_within_a_stretch_have_no_rows(spark):
     df = spark.createDataFrame(crowded(1, 50, 500), GENES)
     for found in (annotate.promoters(df), annotate.downstreams(df)):
         assert "Generate" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_names_are_looked_up_for_rows_that_are_left(spark, monkeypatch):
+    """Genes' stretches meet only nucleosomes without a +1 or -1 gene, and of marks on one base the first one only."""
+    df = spark.createDataFrame([("a", f"Y{i}W", 1, 100 + i % 5, None, 900, 990, 903, 987, i) for i in range(200)], GENES)
+    nucs = spark.createDataFrame([("x", "a", 90, 120), ("y", "a", 950, None), ("z", "a", None, 5000)], "name string, chr string, dyadA long, dyadB long")
+    asked, marked, names_at, point_join = [], [], annotate.names_at, intervals.point_join
+
+    def names(rows, *rest):
+        asked.append({r["name"] for r in rows.collect()})
+        return names_at(rows, *rest)
+
+    def joined(points, marks, *rest, **more):
+        marked.append(marks.count())
+        return point_join(points, marks, *rest, **more)
+
+    monkeypatch.setattr(annotate, "names_at", names)
+    monkeypatch.setattr(intervals, "point_join", joined)
+    found = {r["name"]: r for r in annotate.annotate(nucs, df, ["dyadA", "dyadB"]).collect()}
+    assert asked == [{"y", "z"}] * 3 and marked[0] == 5
+    assert found["x"]["plus1"] == "Y0W" and found["x"]["orf"] is None
+    assert found["y"]["orf"] == ",".join(sorted(f"Y{i}W" for i in range(200))) and found["z"]["orf"] is None
